@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuegrain.llm import decontaminate, quality, url_filter
+from valuegrain.llm import decontaminate, language, quality, scoring, subwords, url_filter
 from valuegrain.llm.common import table
 
 
@@ -22,7 +22,19 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op5_decontaminate)}
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_sentencepiece, op5_decontaminate, op6_language_id, op8_lm_score)}
 
 #: Only where SQL can express the whole result.
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
