@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuegrain.llm import decontaminate, language, quality, scoring, subwords, url_filter
+from valuegrain.llm import decontaminate, language, pii, quality, scoring, simhash, subwords, units, url_filter
 from valuegrain.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(url_filter.labelled_urls(spark)))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,11 +34,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_sentencepiece, op5_decontaminate, op6_language_id, op8_lm_score)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_decontaminate, op6_language_id, op7_pii, op8_lm_score, op10_simhash)}
 
 #: Only where SQL can express the whole result.
-ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": units.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
