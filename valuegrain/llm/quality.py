@@ -211,13 +211,39 @@ def threshold_of(scored: DataFrame, labels: DataFrame, key: str = "doc_id") -> f
     return (cut + (int(below.iloc[0]) + 1 if len(below) else cut)) / 2 / SCORE_STEPS  # midway to the next score seen
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Key, base counts, base_failed, score, kept: one row for each row of ``docs``."""
+def verdict(docs: DataFrame, labels: DataFrame, key: str, text_col: str) -> tuple[DataFrame, Forest | None, float]:
+    """The staged statistics, the forest and the threshold."""
     stats = C.stage(with_statistics(docs, key, text_col), "quality")
     sample = sample_of(stats, key=key)
     if not len(sample):
-        return stats.select(key, *BASE, base_failed().alias("base_failed"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    scored = with_score(stats, grow(sample))
-    cut = threshold_of(scored, labels, key)
+        return stats, None, 2.0
+    forest = grow(sample)
+    return stats, forest, threshold_of(with_score(stats, forest), labels, key)
+
+
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Key, base counts, base_failed, score, kept: one row for each row of ``docs``."""
+    stats, forest, cut = verdict(docs, labels, key, text_col)
     failed = base_failed()
-    return scored.select(key, *BASE, failed.alias("base_failed"), "score", (~failed & (F.col("score") < cut)).alias("kept"))
+    if forest is None:
+        return stats.select(key, *BASE, failed.alias("base_failed"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+    return with_score(stats, forest).select(key, *BASE, failed.alias("base_failed"), "score", (~failed & (F.col("score") < cut)).alias("kept"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns; judged row by row in one more narrow pass, so texts aren't shuffled."""
+    _, forest, cut = verdict(docs, labels, key, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def make():
+        def work(texts):
+            rows = [statistics(t) for t in texts]
+            if shared.value is None:
+                return [[False] * len(rows)]
+            scores = shared.value.scores(np.array([r[len(BASE) :] for r in rows]))
+            return [[bool(r[0] >= MIN_WORDS and 100 * r[4] <= MAX_REPEAT_PERCENT * r[0] and s < cut) for r, s in zip(rows, scores)]]
+
+        return work
+
+    out = C.map_texts(docs, text_col, [("_kept", T.BooleanType())], make)
+    return out.filter("_kept").select(f"{C.CARRIED}.*")

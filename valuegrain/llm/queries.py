@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuegrain.llm import decontaminate, language, pii, quality, scoring, simhash, subwords, units, url_filter
+from valuegrain.llm import decontaminate, language, pii, quality, scoring, simhash, subwords, suffixes, units, url_filter
 from valuegrain.llm.common import table
 
 
@@ -42,11 +42,15 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_decontaminate, op6_language_id, op7_pii, op8_lm_score, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_decontaminate, op6_language_id, op7_pii, op8_lm_score, op9_suffix_dedup, op10_simhash)}
 
 #: Only where SQL can express the whole result.
 ORACLES: dict[str, str] = {"op2_line_dedup": units.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
