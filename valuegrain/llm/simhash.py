@@ -92,7 +92,8 @@ def links(fps: DataFrame) -> DataFrame:
     within_one, at_two = [0, *_masks(1)], _masks(2)
     centres = C.stage(near.select("fp", _each("fp", within_one).alias("value")).groupBy("value").agg(F.min("fp").alias("centre")), "centres")
     probes = near.select("fp", _each("fp", within_one + at_two).alias("value"))
-    met = probes.join(centres, "value").filter(F.col("fp") != F.col("centre")).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= RADIUS)
+    # a merge join: the size of the probes, two thousand to a fingerprint, can't be told from the table they come from
+    met = probes.join(centres.hint("merge"), "value").filter(F.col("fp") != F.col("centre")).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= RADIUS)
     return met.select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b")).distinct()
 
 
