@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -66,7 +67,6 @@ def unit_display(secs: Column, unit: Column) -> Column:
     a = F.abs(secs)
     scaled = (a % scale).cast("decimal(38,0)") * F.lit(10**12).cast("decimal(38,0)")
     exact = scaled % scale == 0
-    fraction = F.when(exact, F.expr("0")).otherwise(0)
     fraction = F.floor((scaled.cast("decimal(38,0)") + F.when(exact, F.lit(0)).otherwise(F.floor(scale / 2)).cast("decimal(38,0)")).cast("decimal(30,0)") / scale.cast("decimal(8,0)"))
     carry = fraction == 10**12
     whole = (F.floor(a / scale) + F.when(carry, 1).otherwise(0)).cast("bigint")
@@ -85,22 +85,41 @@ def claim_seconds(lexeme: Column, unit: Column) -> Column:
     With zeros stripped, a valid significand has at most 26 digits and needs at most seven decimal
     places removed (604800 holds seven twos), so decimal(38,0) is exact.
     """
-    x = F.trim(lexeme)
     shape = r"^([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{1,4}))?$"
-    sign, whole, frac, power = (F.regexp_extract(x, shape, i) for i in range(1, 5))
-    exponent = F.coalesce(try_cast(F.when(power == "", F.lit("0")).otherwise(power), "int"), F.lit(0))
-    digits = F.ltrim(F.concat(whole, frac), F.lit("0"))
-    bare = F.rtrim(digits, F.lit("0"))
-    shift = exponent - F.char_length(frac) + (F.char_length(digits) - F.char_length(bare))
-    ok = x.rlike(shape) & (F.char_length(F.concat(whole, frac)) > 0) & (F.octet_length(lexeme) <= CLAIM_BYTES) & (F.abs(exponent) <= CLAIM_EXPONENT) & unit_seconds(unit).isNotNull()
-    significand = try_cast(F.when(F.char_length(bare) <= 26, bare), "decimal(26,0)")
-    product = (significand * unit_seconds(unit).cast("decimal(6,0)")).cast("decimal(38,0)")
-    ten = lambda n: F.element_at(F.array(*[F.lit(10**k).cast("decimal(20,0)") for k in range(20)]), F.greatest(F.least(n, F.lit(19)), F.lit(0)) + 1)
-    up = F.when((shift >= 0) & (F.char_length(bare) + shift <= 19), F.try_multiply(product, ten(shift).cast("decimal(20,0)")))
-    down = F.when((shift < 0) & (shift >= -7) & (product % ten(-shift) == 0), F.floor(product / ten(-shift)).cast("decimal(38,0)"))
-    magnitude = F.coalesce(up.cast("decimal(38,0)"), down)
-    seconds = F.when(magnitude <= CLAIM_SECONDS, magnitude.cast("bigint"))
-    return F.when(~ok, F.lit(None)).when(bare == "", F.lit(0).cast("bigint")).otherwise(F.when(sign == "-", -seconds).otherwise(seconds))
+    scale = unit_seconds(unit)
+    powers = F.array(*[F.lit(str(10**k)).cast("decimal(20,0)") for k in range(20)])
+    ten = lambda n: F.element_at(powers, F.greatest(F.least(n, F.lit(19)), F.lit(0)) + 1)
+
+    def of_parts(p: Column) -> Column:
+        exponent = F.coalesce(try_cast(F.when(p["power"] == "", F.lit("0")).otherwise(p["power"]), "int"), F.lit(0))
+        digits = F.ltrim(F.concat(p["whole"], p["frac"]), F.lit("0"))
+        return F.struct(p["ok"].alias("ok"), p["sign"].alias("sign"), p["scale"].alias("scale"), exponent.alias("exponent"), (exponent - F.char_length(p["frac"])).alias("shift"), digits.alias("digits"))
+
+    def of_digits(d: Column) -> Column:
+        bare = F.rtrim(d["digits"], F.lit("0"))
+        product = (try_cast(F.when(F.char_length(bare) <= 26, bare), "decimal(26,0)") * d["scale"].cast("decimal(6,0)")).cast("decimal(38,0)")
+        shift = d["shift"] + F.char_length(d["digits"]) - F.char_length(bare)
+        return F.struct((d["ok"] & (F.abs(d["exponent"]) <= CLAIM_EXPONENT)).alias("ok"), d["sign"].alias("sign"), bare.alias("bare"), product.alias("product"), shift.alias("shift"))
+
+    def of_product(v: Column) -> Column:
+        up = F.when((v["shift"] >= 0) & (F.char_length(v["bare"]) + v["shift"] <= 19), F.try_multiply(v["product"], ten(v["shift"])))
+        down = F.when((v["shift"] < 0) & (v["shift"] >= -7) & (v["product"] % ten(-v["shift"]) == 0), F.floor(v["product"] / ten(-v["shift"])).cast("decimal(38,0)"))
+        magnitude = F.coalesce(up.cast("decimal(38,0)"), down)
+        seconds = F.when(magnitude <= CLAIM_SECONDS, magnitude.cast("bigint"))
+        return F.when(~v["ok"], F.lit(None)).when(v["bare"] == "", F.lit(0).cast("bigint")).otherwise(F.when(v["sign"] == "-", -seconds).otherwise(seconds))
+
+    def of_text(x: Column) -> Column:
+        whole, frac = F.regexp_extract(x["text"], shape, 2), F.regexp_extract(x["text"], shape, 3)
+        ok = x["text"].rlike(shape) & x["text"].rlike("^[+-]?[.]?[0-9]") & (F.octet_length(x["text"]) <= CLAIM_BYTES) & x["scale"].isNotNull()
+        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), F.regexp_extract(x["text"], shape, 1).alias("sign"), whole.alias("whole"), frac.alias("frac"), F.regexp_extract(x["text"], shape, 4).alias("power"), x["scale"].alias("scale"))
+
+    text = F.struct(F.trim(lexeme).alias("text"), scale.alias("scale"))
+    return _let(_let(_let(_let(text, of_text), of_parts), of_digits), of_product)
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def date_diff(first: Column, second: Column) -> Column:

@@ -111,10 +111,10 @@ def _price_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 @query(fx.ctes() + """SELECT k * 100 + n AS claim_id, CASE WHEN k % 17 = 0 THEN 'INVALID_INPUT' WHEN k % 13 = 0 THEN 'MISMATCH' ELSE 'OK' END AS status,
-CASE WHEN k % 17 = 0 THEN NULL ELSE CAST(round(price * (1 - discount) * (1 + tax), 4) AS DECIMAL(18,4)) END AS computed FROM fx_lines""")
+CASE WHEN k % 17 = 0 THEN NULL ELSE CAST(floor(price * (1 - discount) * (1 + tax) * 1000 + 0.12345) AS BIGINT) END AS computed FROM fx_lines""")
 def q_verify_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verify.verify(*_price_claims(spark, sf_dir))
-    return out.select("claim_id", "status", F.round("number", 4).cast("decimal(18,4)").alias("computed"))
+    return out.select("claim_id", "status", F.floor(F.col("number") * 1000 + 0.12345).cast("bigint").alias("computed"))
 
 
 def _gap_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -212,12 +212,6 @@ def q_extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_documents(spark, sf_dir))
 
 
-@query()
-def q_extract_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = prepared(spark) and table(spark, sf_dir, "conversations")
-    return extract.extract(texts(own, F.concat_ws("/", F.lit("conversations"), F.col("conv_id").cast("string"), F.col("turn").cast("string")), "text"))
-
-
 @query()
 def q_extract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.counts(_documents(spark, sf_dir))
@@ -241,7 +235,7 @@ def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.floor(cents / 100).cast("bigint")
     us_text = F.format_number(whole, 0)
     amount = F.when(eu, F.concat(F.translate(us_text, ",", "."), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))).otherwise(F.concat(us_text, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))
-    content = F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" is "), amount, F.lit("\nwidth "), (F.col("o_orderkey") % 1000).cast("string"), F.lit("px and item-"), F.col("o_orderkey").cast("string"), F.lit("x\n"), F.lit("seen "), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00")))
+    content = F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" is "), amount, F.lit("\nwidth "), (F.col("o_orderkey") % 1000).cast("string"), F.lit("px and item-"), F.col("o_orderkey").cast("string"), F.lit("x\n"), F.lit("seen "), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00"))
     return own.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("file_path"), content.alias("content"), _null("string").alias("number_format"))
 
 
