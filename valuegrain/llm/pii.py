@@ -50,7 +50,7 @@ EDGE = "()[]{}<>.,;:!?\"'"
 TRAIN_TOKENS, TRAIN_DOCS = 20_000, 60_000
 FEATURES = 1 << 12
 #: Logarithm of the bonus for equal labels along a skip edge, and the marginal that makes a span.
-SKIP, SURE, ROUNDS = 2.5, 0.9, 12
+SKIP, SURE, ROUNDS = 4.0, 0.9, 12
 
 
 def emails(text: str) -> list[tuple[int, int]]:
