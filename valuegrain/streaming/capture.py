@@ -19,7 +19,8 @@ def read_events(spark: SparkSession, folder: str, kind: str = "parquet") -> Data
 
 def captured(events: DataFrame, sources: DataFrame) -> DataFrame:
     """Eligible events whose content is the stored source's; works on a batch and on a stream (against a static table)."""
-    own = normalise(events.withColumn("agent", canonical_agent(F.col("agent"))))
+    named = events.withColumn("_named", F.col("agent")).withColumn("agent", canonical_agent(F.col("agent")))
+    own = normalise(named.filter("_named is null or agent is not null").drop("_named"))
     return snapshot_matches(own.filter(eligible()), sources).filter("matches")
 
 
