@@ -78,11 +78,11 @@ def q_upsert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(fx.ctes("""aliased AS (SELECT source_id, source_id % 1000 AS identity, checked FROM fx_sources)""", "survivors AS (SELECT identity, arg_max(source_id, (checked, source_id)) AS survivor FROM aliased WHERE identity <> 0 GROUP BY identity)")
-    + "SELECT n.id, coalesce(v.survivor, n.source_id) AS source_id FROM fx_nodes n LEFT JOIN aliased a ON n.source_id = a.source_id LEFT JOIN survivors v ON a.identity = v.identity")
+    + "SELECT n.id, CAST(coalesce(v.survivor, n.source_id) AS VARCHAR) AS source_id FROM fx_nodes n LEFT JOIN aliased a ON n.source_id = a.source_id LEFT JOIN survivors v ON a.identity = v.identity")
 def q_alias_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fx.sources(spark, sf_dir).withColumn("identity", F.when(F.col("source_id") % 1000 == 0, "0:0").otherwise((F.col("source_id") % 1000).cast("string")))
     moved, _ = record.rekey_aliases(fx.nodes(spark, sf_dir), own)
-    return moved.select("id", "source_id")
+    return moved.select("id", F.col("source_id").cast("string").alias("source_id"))
 
 
 #: k % 11: 0 gone, 1 unreadable, 2 other time and content, 3 other time and same content, 4 other size; the rest as before, checked long ago if k % 11 = 5.
@@ -161,11 +161,11 @@ def q_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.texts(own, F.concat(F.lit("documents/"), F.col("doc_id").cast("string")), "text", form).drop("content")
 
 
-@query("SELECT doc_id, doc_id % 9 <> 0 AS valid, CASE WHEN doc_id % 9 <> 0 THEN length(text) END AS n_chars FROM documents")
+@query("SELECT doc_id, doc_id % 9 <> 0 AS valid, CASE WHEN doc_id % 9 <> 0 THEN length(text) ELSE 0 END AS n_chars FROM documents")
 def q_utf8_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = prepared(spark) and tables.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C328FF")))).otherwise(F.col("text").cast("binary")).alias("content"))
     good, bad = tables.utf8_gate(own)
-    return good.select("doc_id", F.lit(True).alias("valid"), F.char_length("content").cast("bigint").alias("n_chars")).unionByName(bad.select("doc_id", F.lit(False).alias("valid"), F.lit(None).cast("bigint").alias("n_chars")))
+    return good.select("doc_id", F.lit(True).alias("valid"), F.char_length("content").cast("bigint").alias("n_chars")).unionByName(bad.select("doc_id", F.lit(False).alias("valid"), F.lit(0).cast("bigint").alias("n_chars")))
 
 
 @query()

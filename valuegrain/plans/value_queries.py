@@ -18,10 +18,15 @@ def _str(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-@query(fx.ctes() + "SELECT k, n, CASE WHEN shipped >= ordered THEN shipped - ordered END AS secs FROM fx_lines")
+def _shown(x: Column) -> Column:
+    """A whole number that may be null, as text: data frames of other libraries show such columns in different types."""
+    return x.cast("string")
+
+
+@query(fx.ctes() + "SELECT k, n, CAST(CASE WHEN shipped >= ordered THEN shipped - ordered END AS VARCHAR) AS secs FROM fx_lines")
 def q_date_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fx.view(spark, sf_dir, "fx_lines")
-    return own.select("k", F.col("n").cast("bigint").alias("n"), V.date_diff(F.timestamp_seconds("ordered"), F.timestamp_seconds("shipped")).alias("secs"))
+    return own.select("k", F.col("n").cast("bigint").alias("n"), _shown(V.date_diff(F.timestamp_seconds("ordered"), F.timestamp_seconds("shipped"))).alias("secs"))
 
 
 @query(fx.ctes() + "SELECT k, count(*) AS n, CAST(sum(secs) AS BIGINT) AS total FROM fx_gaps GROUP BY k HAVING count(*) BETWEEN 2 AND 26")
@@ -29,10 +34,10 @@ def q_duration_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.aggregate_durations(fx.view(spark, sf_dir, "fx_gaps"), "k", "secs").filter("n between 2 and 26").select("k", "n", "total")
 
 
-@query(fx.ctes() + "SELECT c, count(*) AS n, CAST(CASE WHEN CAST(sum(secs + k % 7) AS BIGINT) % count(*) = 0 THEN CAST(sum(secs + k % 7) AS BIGINT) // count(*) END AS BIGINT) AS mean FROM fx_gaps GROUP BY c")
+@query(fx.ctes() + "SELECT c, count(*) AS n, CAST(CASE WHEN CAST(sum(secs + k % 7) AS BIGINT) % count(*) = 0 THEN CAST(sum(secs + k % 7) AS BIGINT) // count(*) END AS VARCHAR) AS mean FROM fx_gaps GROUP BY c")
 def q_duration_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fx.view(spark, sf_dir, "fx_gaps").select("c", (F.col("secs") + F.col("k") % 7).alias("secs"))
-    return verify.aggregate_durations(own, "c", "secs").select("c", "n", "mean")
+    return verify.aggregate_durations(own, "c", "secs").select("c", "n", _shown(F.col("mean")).alias("mean"))
 
 
 #: Signed, with hours, minutes and seconds.
@@ -72,7 +77,7 @@ def q_duration_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("k", "n", "unit", "d.decimal", "d.approximate", "d.text")
 
 
-@query(fx.ctes() + """SELECT k, n, CAST(CASE k % 6 WHEN 0 THEN secs * 60 WHEN 1 THEN -secs WHEN 2 THEN CASE WHEN n % 2 = 0 THEN secs * 1800 END WHEN 3 THEN secs * 864 WHEN 4 THEN NULL ELSE secs END AS BIGINT) AS secs
+@query(fx.ctes() + """SELECT k, n, CAST(CASE k % 6 WHEN 0 THEN secs * 60 WHEN 1 THEN -secs WHEN 2 THEN CASE WHEN n % 2 = 0 THEN secs * 1800 END WHEN 3 THEN secs * 864 WHEN 4 THEN NULL ELSE secs END AS VARCHAR) AS secs
 FROM (SELECT k, n, secs // 86400 AS secs FROM fx_gaps)""")
 def q_claim_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fx.view(spark, sf_dir, "fx_gaps").withColumn("d", F.floor(F.col("secs") / 86400).cast("bigint"))
@@ -80,7 +85,7 @@ def q_claim_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.when(F.col("n") % 2 == 0, _str(F.floor(d / 2).cast("bigint"), F.when(d % 2 == 0, ".0").otherwise(".5"))).otherwise(_str(d, ".", d, "x"))
     lexeme = F.when(k == 0, _str(d, "")).when(k == 1, _str("-", d, "000e-3")).when(k == 2, half).when(k == 3, _str(d, "e-2")).when(k == 4, _str(d, ".0000000001")).otherwise(_str("+", d, ".000"))
     unit = F.when(k == 0, "minutes").when(k == 2, "hours").when(k == 3, "days").otherwise("seconds")
-    return own.select("k", F.col("n").cast("bigint").alias("n"), V.claim_seconds(lexeme, unit).alias("secs"))
+    return own.select("k", F.col("n").cast("bigint").alias("n"), _shown(V.claim_seconds(lexeme, unit)).alias("secs"))
 
 
 # Claims
@@ -111,10 +116,10 @@ def _price_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 @query(fx.ctes() + """SELECT k * 100 + n AS claim_id, CASE WHEN k % 17 = 0 THEN 'INVALID_INPUT' WHEN k % 13 = 0 THEN 'MISMATCH' ELSE 'OK' END AS status,
-CASE WHEN k % 17 = 0 THEN NULL ELSE CAST(floor(price * (1 - discount) * (1 + tax) * 1000 + 0.12345) AS BIGINT) END AS computed FROM fx_lines""")
+CAST(CASE WHEN k % 17 = 0 THEN NULL ELSE CAST(floor(price * (1 - discount) * (1 + tax) * 1000 + 0.12345) AS BIGINT) END AS VARCHAR) AS computed FROM fx_lines""")
 def q_verify_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verify.verify(*_price_claims(spark, sf_dir))
-    return out.select("claim_id", "status", F.floor(F.col("number") * 1000 + 0.12345).cast("bigint").alias("computed"))
+    return out.select("claim_id", "status", _shown(F.floor(F.col("number") * 1000 + 0.12345).cast("bigint")).alias("computed"))
 
 
 def _gap_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,10 +140,10 @@ def _gap_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 @query(fx.ctes() + """SELECT k * 100 + n AS claim_id, CASE WHEN shipped < ordered THEN 'INVALID_INPUT' WHEN k % 13 = 0 AND k % 19 <> 0 THEN 'MISMATCH' ELSE 'OK' END AS status,
-CASE WHEN shipped >= ordered THEN shipped - ordered END AS secs FROM fx_lines""")
+CAST(CASE WHEN shipped >= ordered THEN shipped - ordered END AS VARCHAR) AS secs FROM fx_lines""")
 def q_verify_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, nodes, _ = _gap_claims(spark, sf_dir)
-    return verify.verify(claims, nodes).select("claim_id", "status", "secs")
+    return verify.verify(claims, nodes).select("claim_id", "status", _shown(F.col("secs")).alias("secs"))
 
 
 @query("""SELECT o_orderkey AS claim_id, 'INVALID_INPUT' AS status, CASE o_orderkey % 8 WHEN 0 THEN 'OPERATION' WHEN 1 THEN 'PARENT_COUNT' WHEN 2 THEN 'PARENT_COUNT' WHEN 3 THEN 'EXPRESSION' WHEN 4 THEN 'UNIT'
