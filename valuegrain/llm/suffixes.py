@@ -13,8 +13,9 @@ against each existing level for equal keys, and then joins the family: while a l
 exists, the two merge into one of twice the size, so a suffix is rewritten a logarithmic number of times.
 
 Verdicts: where two suffixes agree in key and digest, all strings filed there are repeated. Where only keys
-agree, the strings themselves are digested (128 bits) and counted: those of every undecided suffix, and of one
-suffix for each distinct digest under the same key. Only texts with such suffixes are shuffled.
+agree, the ranges of every undecided suffix, and of one suffix for each distinct digest under the same key, are
+cut into parts of ``STEP`` starts that are compared in the same way; what is still undecided is digested string
+by string (128 bits) and counted. Only texts with suffixes found again are shuffled.
 
 Rows with the same key and text share one identity but count as two occurrences. Defined cases: null is the
 empty text; texts under ``LENGTH`` bytes lose nothing; repeated bytes within a text count; an empty table gives an empty result.
@@ -39,7 +40,9 @@ DEPTH = LENGTH - SPREAD + 1
 BATCHES = 4
 #: Positions that are hashed at once, and bits of a position within them.
 BLOCK, PLACE_BITS = 1 << 20, 22
-SUFFIX = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("head", "print", "d1", "d2")]])
+#: Starts that are decided together in the second step.
+STEP = 16
+SUFFIX = T.StructType([*[T.StructField(n, T.IntegerType()) for n in ("low", "high", "anchor")], *[T.StructField(n, T.LongType()) for n in ("head", "print", "d1", "d2")]])
 KEY = ["head", "print"]
 DIGEST = ["d1", "d2"]
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,18 +81,30 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM, spread: int = S
     return np.concatenate(parts)
 
 
-def suffixes_of(data: bytes, length: int = LENGTH, spread: int = SPREAD, gram: int = GRAM) -> list[tuple[int, int, int, int, int, int]]:
-    """(first start, last start, head, fingerprint, digest) of each suffix with strings."""
+def _entry(data: bytes, low: int, high: int, anchor: int, common: int, length: int) -> tuple[int, ...]:
+    """A range of starts: its key is made of the ``common`` bytes from the anchor on, its digest of all bytes that its strings cover."""
+    d = xxhash.xxh3_128_digest(data[low : high + length])
+    key = xxhash.xxh3_64_intdigest(data[anchor : anchor + common])
+    return (low, high, anchor, int.from_bytes(data[anchor : anchor + 8], "big", signed=True), _signed(key), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True))
+
+
+def suffixes_of(data: bytes, length: int = LENGTH, spread: int = SPREAD, gram: int = GRAM) -> list[tuple[int, ...]]:
+    """(first start, last start, anchor, head, fingerprint, digest) of each suffix with strings."""
     filed = anchors(data, length, gram, spread)
     if not len(filed):
         return []
     cuts = np.flatnonzero(filed[1:] != filed[:-1]) + 1
     lows = [0, *cuts.tolist()]
     highs = [*(cuts - 1).tolist(), len(filed) - 1]
-    depth, out = length - spread + 1, []
-    for low, high, a in zip(lows, highs, filed[lows].tolist()):
-        d = xxhash.xxh3_128_digest(data[low : high + length])
-        out.append((low, high, int.from_bytes(data[a : a + 8], "big", signed=True), _signed(xxhash.xxh3_64_intdigest(data[a : a + depth])), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+    return [_entry(data, low, high, a, length - spread + 1, length) for low, high, a in zip(lows, highs, filed[lows].tolist())]
+
+
+def parts_of(data: bytes, low: int, high: int, anchor: int, length: int = LENGTH) -> list[tuple[int, ...]]:
+    """The range of a suffix's starts cut at multiples of ``STEP`` before its anchor; a part's key has what the strings of a whole part share."""
+    out = []
+    for k in range((anchor - high) // STEP, (anchor - low) // STEP + 1):
+        first, last = anchor - k * STEP - STEP + 1, anchor - k * STEP
+        out.append(_entry(data, max(low, first), min(high, last), last, length - STEP + 1, length))
     return out
 
 
@@ -197,35 +212,69 @@ def family_of(rows: DataFrame, batches: int = BATCHES) -> tuple[dict[int, DataFr
     return family, union(met).distinct()
 
 
-def spans_of(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(key, hash, row, text, sure, found) of the texts that lose bytes or might; spans in bytes. ``docs`` has _key, _hash, _own."""
+def decided(entries: DataFrame, known: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(repeated, undecided, partners) of entries with key, digest and ``place``.
+
+    ``known`` counts distinct (key, digest). Entries whose key occurs once are dropped: none of their strings is repeated.
+    """
+    totals = known.groupBy(*KEY).agg(F.min("n").alias("least"), F.sum("n").alias("total"))
+    totals = C.stage(totals.filter("total > 1"), "least")
+    known = C.stage(known.join(totals, KEY).select(*KEY, *DIGEST, "n", (F.col("least") == 1).alias("contested")), "known")
+    found = C.stage(entries.join(known, [*KEY, *DIGEST]), "repeated")
+    partner = found.filter("contested and n > 1").groupBy(*KEY, *DIGEST).agg(F.min(F.struct(*place)).alias("p")).select("p.*")
+    return found.filter("n > 1"), found.filter("n = 1"), partner
+
+
+def texts_of(docs: DataFrame, batches: int) -> DataFrame:
+    """(row, key, hash, text, sure, todo) of the texts with suffixes found again. ``docs`` has _key, _hash, _own."""
     rows = C.stage(with_suffixes(docs), "suffixes")
     family, met = family_of(rows, batches)
     levels = union(list(family.values())).join(met, KEY, "left_semi")
-    known = C.stage(levels.groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n")), "known")
-    least = C.stage(known.groupBy(*KEY).agg(F.min("n").alias("least")), "least")
-    known = C.stage(known.join(least, KEY).select(*KEY, *DIGEST, "n", (F.col("least") == 1).alias("contested")), "known")
-    found = C.stage(rows.join(known, [*KEY, *DIGEST]), "repeated")
+    known = C.stage(levels.groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n")), "counts")
+    for level in family.values():
+        C.drop_stage(level)
+    place = ["_key", "_hash", "low", "high", "anchor"]
+    sure, undecided, partner = decided(rows, known, place)
     C.drop_stage(rows)
-    span = F.struct("low", "high", (F.col("n") == 1).alias("open"))
-    place = ["_key", "_hash", "low", "high"]
-    partner = found.filter("contested and n > 1").groupBy(*KEY, *DIGEST).agg(F.min(F.struct(*place)).alias("p")).select("p.*", F.lit(False).alias("open"))
-    todo = found.filter("n = 1").select(*place, F.lit(True).alias("open")).unionByName(partner)
-    tagged = found.filter("n > 1").select("_key", "_hash", F.lit(True).alias("is_sure"), span.alias("s")).unionByName(todo.select("_key", "_hash", F.lit(False).alias("is_sure"), F.struct("low", "high", "open").alias("s")))
+    own = lambda df, is_sure, is_open: df.select("_key", "_hash", F.lit(is_sure).alias("is_sure"), F.struct("low", "high", "anchor", F.lit(is_open).alias("open")).alias("s"))
+    tagged = own(sure, True, False).unionByName(own(undecided, False, True)).unionByName(own(partner, False, False))
     by_text = tagged.groupBy(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).agg(
         F.collect_list(F.when(F.col("is_sure"), F.struct("s.low", "s.high"))).alias("sure"), F.collect_list(F.when(~F.col("is_sure"), F.col("s"))).alias("todo")
     )
-    texts = docs.join(by_text, docs["_key"].eqNullSafe(F.col("_k")) & (docs["_hash"] == F.col("_h"))).select("_key", "_hash", "_own", "sure", "todo")
-    return C.stage(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    joined = docs.join(by_text, docs["_key"].eqNullSafe(F.col("_k")) & (docs["_hash"] == F.col("_h")))
+    return C.stage(joined.select("_key", "_hash", "_own", "sure", "todo").withColumn("row", F.monotonically_increasing_id()), "texts")
+
+
+def parts(texts: DataFrame) -> DataFrame:
+    """(row, low, high, anchor, head, print, d1, d2, n, open) of the parts of the suffixes in ``todo``; a partner's are known to be repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        for batch in batches:
+            rows = []
+            for row, text, todo in zip(*[c.to_pylist() for c in batch.columns]):
+                data = C.utf8(text)
+                for t in todo:
+                    rows += [(row, *p, 1 if t["open"] else 2, t["open"]) for p in parts_of(data, t["low"], t["high"], t["anchor"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["row", *SUFFIX.names, "n", "open"])
+
+    schema = "row long, low int, high int, anchor int, head long, print long, d1 long, d2 long, n long, open boolean"
+    return texts.filter(F.size("todo") > 0).select("row", "_own", "todo").mapInArrow(run, schema)
 
 
 def with_removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(key, hash, n_removed, n_spans, kept_sha256, spans) of each distinct text that loses bytes. ``docs`` has _key, _hash, _own."""
-    texts = spans_of(docs, batches)
-    strings = windows(texts.filter(F.size("todo") > 0))
-    strings = C.stage(strings, "strings")
+    """(key, hash, n_removed, n_spans, kept_sha256, runs) of each distinct text that loses bytes. ``docs`` has _key, _hash, _own."""
+    texts = texts_of(docs, batches)
+    cut = C.stage(parts(texts), "parts")
+    known = cut.groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n"))
+    sure, undecided, partner = decided(cut.drop("n"), known, ["row", "low", "high"])
+    undecided = undecided.filter("open")
+    each = undecided.select("row", "low", "high", F.lit(True).alias("open")).unionByName(partner.withColumn("open", F.lit(False)))
+    todo = each.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("low", "high", "open")).alias("todo"))
+    strings = C.stage(windows(texts.drop("todo").join(todo, F.col("row") == F.col("of"))), "strings")
     several = C.stage(strings.groupBy("w1", "w2").agg(F.count("*").alias("k")).filter("k > 1").select("w1", "w2"), "several")
-    hits = strings.filter("open").join(several, ["w1", "w2"], "left_semi").groupBy(F.col("row").alias("of")).agg(F.collect_list("at").alias("found"))
+    hits = strings.filter("open").join(several, ["w1", "w2"], "left_semi").select("row", F.col("at").alias("low"), F.col("at").alias("high"))
+    hits = hits.unionByName(sure.filter("open").select("row", "low", "high")).groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("low", "high")).alias("found"))
     joined = texts.drop("todo").join(hits, F.col("row") == F.col("of"), "left")
 
     def make():
@@ -233,7 +282,7 @@ def with_removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             out = []
             for t, own, more in zip(texts, sure, found):
                 data = C.utf8(t)
-                runs = covered([(s["low"], s["high"] + LENGTH) for s in own or ()] + [(x, x + LENGTH) for x in more or ()])
+                runs = covered([(s["low"], s["high"] + LENGTH) for s in [*(own or ()), *(more or ())]])
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(data[at:a])
