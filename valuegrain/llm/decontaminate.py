@@ -122,8 +122,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col:
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_set: int = MAX_SET) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, all columns kept."""
     found, _ = with_hits(docs, benchmark, text_col, max_set=max_set)
-    kept = found.filter(~contaminated(_n_hit(F.col("hits")), F.size("w").cast("long")))
-    return kept.select(f"{C.CARRIED}.*")
+    counted = found.select(C.CARRIED, _n_hit(F.col("hits")).alias("_hit"), F.size("w").cast("long").alias("_all"))
+    # the row number keeps the filter above: pushed down, it would split the text again for every word
+    judged = counted.select(C.CARRIED, contaminated(F.col("_hit"), F.col("_all")).alias("_bad"), F.monotonically_increasing_id().alias("_row"))
+    return judged.filter("not _bad and _row >= 0").select(f"{C.CARRIED}.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_set: int = MAX_SET) -> DataFrame:
