@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from valuegrain.llm import language, lattice, pii, scoring, subwords
@@ -151,3 +152,14 @@ def test_lm_scores(spark, voc, monkeypatch):
         p = lattice.log_sum(own, table, byte_weight)
         assert r.score == pytest.approx((sum(p[w] for w in own) + len(own) * math.log(1 - end) + math.log(end)) / math.log(10))
     assert scoring.judge(docs_of(spark, []) if False else docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_pii_field_finds_every_mention_of_a_marked_number():
+    weights = np.zeros((pii.FEATURES, len(pii.LABELS)))
+    weights[:, 0] = 0.1  # ten features: O is favoured by one nat
+    model = pii.Model(weights, np.zeros((len(pii.LABELS), len(pii.LABELS))))
+    for n in (1, 2, 5, 50, 1000):
+        plain = " then ".join(["442079460958"] * n)
+        for text in (f"+442079460958 then {plain}", f"{plain} then +442079460958"):
+            (base, every), (_, none) = pii.spans_of([text, plain], model)
+            assert len(base) == 1 and len(every) == n + 1 and {k for _, k, _ in every} == {3} and not none, n

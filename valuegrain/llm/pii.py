@@ -9,8 +9,9 @@ it recurs. Tokens whose marginal for a kind reaches ``SURE`` become additional s
 
 Training is piecewise, on a bounded sample: label weights of hashed token features by softmax
 regression, transitions by counts, both from tokens labelled by the base patterns. The pass over
-the texts is narrow; skip edges link each token to the previous one of its key, so that a token
-that recurs a thousand times makes a thousand edges and no more.
+the texts is narrow; skip edges link each token to the previous one of its key, and each free one
+to the first clamped token of every kind that its key has, so that evidence doesn't fade from
+mention to mention and the edges of a token that recurs stay in proportion to its mentions.
 
 Defined cases: a null text is empty and has no spans; overlapping spans of different kinds are all
 reported; ``redact`` merges overlapping spans under the kind that starts first; without training
@@ -50,7 +51,9 @@ EDGE = "()[]{}<>.,;:!?\"'"
 TRAIN_TOKENS, TRAIN_DOCS = 20_000, 60_000
 FEATURES = 1 << 12
 #: Logarithm of the bonus for equal labels along a skip edge, and the marginal that makes a span.
-SKIP, SURE, ROUNDS = 4.0, 0.9, 12
+SKIP, SURE = 4.0, 0.9
+#: Messages are passed until none moves by more; the rounds are bounded only because loops may oscillate.
+SETTLED, MOST_ROUNDS = 1e-4, 2_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -194,27 +197,34 @@ def train(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> Model
 
 
 def marginals(unary: np.ndarray, clamped: np.ndarray, a: np.ndarray, b: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Loopy sum-product over all edges at once; ``pair`` has an edge's log potentials. Clamped labels are -1 where free."""
+    """Loopy sum-product over all unsettled edges at once; ``pair`` has an edge's log potentials. Clamped labels are -1 where free."""
     node = unary.copy()
     fixed = clamped >= 0
     node[fixed] = -50.0
     node[fixed, clamped[fixed]] = 0.0
     forth, back = np.zeros((len(a), node.shape[1])), np.zeros((len(a), node.shape[1]))
-    source, target = np.concatenate([a, b]), np.concatenate([b, a])
+    belief, live = node.copy(), np.arange(len(a))
 
     def log_sum(x: np.ndarray) -> np.ndarray:
         high = x.max(1, keepdims=True)
         out = (high + np.log(np.exp(x - high).sum(1, keepdims=True)))[:, 0]
         return out - out.max(1, keepdims=True)
 
-    for _ in range(ROUNDS if len(a) else 0):
-        belief = node.copy()
-        np.add.at(belief, target, np.concatenate([forth, back]))
-        forth = 0.5 * forth + 0.5 * log_sum((belief[a] - back)[:, :, None] + pair)
-        back = 0.5 * back + 0.5 * log_sum((belief[b] - forth)[:, :, None] + pair.transpose(0, 2, 1))
-    belief = node
-    if len(a):
-        np.add.at(belief, target, np.concatenate([forth, back]))
+    for _ in range(MOST_ROUNDS):
+        if not len(live):
+            break
+        s, t, own = a[live], b[live], pair[live]
+        more_forth = 0.5 * (log_sum((belief[s] - back[live])[:, :, None] + own) - forth[live])
+        more_back = 0.5 * (log_sum((belief[t] - forth[live])[:, :, None] + own.transpose(0, 2, 1)) - back[live])
+        more_forth[fixed[t]] = more_back[fixed[s]] = 0.0  # a clamped label stays, however many tokens are linked to it
+        forth[live] += more_forth
+        back[live] += more_back
+        np.add.at(belief, t, more_forth)
+        np.add.at(belief, s, more_back)
+        touched = np.zeros(len(node), bool)
+        touched[t[np.abs(more_forth).max(1) > SETTLED]] = True
+        touched[s[np.abs(more_back).max(1) > SETTLED]] = True
+        live = np.flatnonzero(touched[a] | touched[b])
     belief = np.exp(belief - belief.max(1, keepdims=True))
     return belief / belief.sum(1, keepdims=True)
 
@@ -239,18 +249,25 @@ def spans_of(texts: list[str | None], model: Model | None) -> list[tuple[list, l
             continue
         rows += features(text, tokens)
         clamps += [x or -1 for x in labels]
+        keys = [skip_keys(text[s:e]) for s, e, _ in tokens]
+        marked: dict[str, dict[int, int]] = {}
+        for i, y in enumerate(labels):
+            for key in keys[i] if y else ():
+                marked.setdefault(key, {}).setdefault(y, n + i)
         last: dict[str, int] = {}
-        for i, (s, e, place) in enumerate(tokens):
+        for i, (_, _, place) in enumerate(tokens):
             if i and tokens[i - 1][2] == place - 1:
                 a.append(n + i - 1)
                 b.append(n + i)
                 is_skip.append(False)
-            for key in skip_keys(text[s:e]):
-                if key in last:
-                    a.append(last[key])
-                    b.append(n + i)
-                    is_skip.append(True)
-                last[key] = n + i
+            linked = [last[key] for key in keys[i] if key in last]
+            if not labels[i]:
+                linked += {m for key in keys[i] for m in marked.get(key, {}).values()}.difference(linked)
+            for m in linked:
+                a.append(m)
+                b.append(n + i)
+                is_skip.append(True)
+            last.update((key, n + i) for key in keys[i])
         n += len(tokens)
     out = [(spans, spans) for spans in base]
     if not rows:
