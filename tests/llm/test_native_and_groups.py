@@ -155,6 +155,17 @@ def test_simhash_components(spark, prose):
     assert simhash.judge(docs_of(spark, [])).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group(spark, prose):
+    a, b, c, d, e = [t for _, t in prose[:30] if len(t.split()) > 20][:5]
+    # a: null ids only; b: alone with a null id; c: a copy under an id that another group has; d and e: two texts of one id
+    texts = [(None, a), (None, a), (None, b), (1, c), (2, c), (2, d), (2, e), (2, e), (None, e)]
+    for seed in range(2):
+        rows = random.Random(seed).sample(texts, len(texts))
+        first = simhash.first_of_group(docs_of(spark, rows))
+        assert sorted((r.doc_id or 0, r.text) for r in first.collect()) == sorted([(0, a), (0, b), (1, c), (2, d), (2, e)])
+    assert simhash.first_of_group(docs_of(spark, [])).count() == 0
+
+
 def test_suffix_dedup(spark, prose):
     texts = [*prose, (700, "q" * 1200), (701, "start " + prose[40][1]), (702, prose[36][1] + " end")]
     data = [(i, (t or "").encode()) for i, t in texts]

@@ -13,8 +13,9 @@ differ in three bits, so those alone in all their thirty-five block keys have no
 Components come from alternating star contraction over the links, one small table a round.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; repeated
-rows and ties share a component; a null key counts in no minimum; an empty table gives an empty
-result; ``first_of_group`` keeps all columns, ``judge`` reads key and text only.
+rows and ties share a component; a null key counts in no minimum of ``judge``; an empty table gives
+an empty result; ``judge`` reads key and text only. ``first_of_group`` keeps all columns and just one
+row of each component, whose key may be null or that of another component's row too.
 """
 
 from __future__ import annotations
@@ -118,8 +119,8 @@ def components(edges: DataFrame) -> DataFrame:
         done = state
 
 
-def groups(rows: DataFrame, key: str) -> DataFrame:
-    """(fp, component): the smallest key of each fingerprint's component. ``rows`` has key and fp, staged."""
+def groups(rows: DataFrame, key: str | Column) -> DataFrame:
+    """(fp, component): the smallest key of each fingerprint's component. ``rows`` has what makes the key, and fp, staged."""
     fps = C.stage(rows.groupBy("fp").agg(F.min(key).alias("first")), "fps")
     roots = components(links(fps.select("fp")))
     own = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -138,9 +139,12 @@ def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def first_of_group(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest key of their component, all columns kept; repeated rows of that key once."""
-    found = with_fingerprint(docs.select(key, text_col), text_col)
-    rows = C.stage(found.select(*C.unpack(found, key), "fp"), "fingerprints")
-    kept = C.stage(groups(rows, key).select(F.col("component").alias("_kept")).distinct(), "kept")
-    first = docs.join(kept, F.col(key) == F.col("_kept"), "left_semi")
-    return first.dropDuplicates([key])
+    """One row of ``docs`` for each component, all columns kept: the smallest by key (nulls last), fingerprint, text hash and row number."""
+    numbered = C.stage(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    text = F.col(f"doc.`{text_col}`")
+    own = numbered.select(F.col(f"doc.`{key}`").alias("key"), F.xxhash64(text).alias("hash"), "row", text.alias("text"))
+    found = C.map_texts(own, "text", [("fp", T.LongType())], lambda: lambda texts: [[fingerprint(t) for t in texts]], carry=["key", "hash", "row"])
+    rows = C.stage(found.select(*C.unpack(found, "key", "hash", "row"), "fp"), "fingerprints")
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "fp", "hash", "row")
+    kept = C.stage(groups(rows, place).select(F.col("component.row").alias("row")).distinct(), "kept")
+    return numbered.join(kept, "row", "left_semi").select("doc.*")
