@@ -34,8 +34,8 @@ def masked_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def subword_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their subword ids."""
-    return subwords.encode(docs)
+    """All documents with their subword ids, and the length and digest of the text decoded from them."""
+    return subwords.encode(docs, check=True)
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 """The pipeline's stages on a small input."""
 
+import hashlib
 import random
 
 
@@ -19,3 +20,12 @@ def test_stages_in_order(spark, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == {*range(20), 54} and all(out[i].text == texts[i] and out[i].ids for i in range(20))
     assert out[54].text.endswith(" mail [EMAIL]") and out[54].n_chars == len(out[54].text)
+
+
+def test_last_stage_decodes_its_ids(spark):
+    import corpus_pipeline
+
+    texts = ["the water  and\nthe stone", "", None, "\u65e5\u672c \u00e9 \u2581x\U0001f600"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.decoded_chars, r.decoded_sha256) for r in corpus_pipeline.subword_ids(spark, docs, "").collect()}
+    assert out == {i: (None, None) if t is None else (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
