@@ -56,3 +56,22 @@ def test_paths_and_commands(spark):
     assert [r for r in got if r.want != r.got] == []
     r = spark.range(1).select(iri_part(F.lit("a b~*é/")).alias("i"), turtle_literal(F.lit('a"\\\n\x01')).alias("t"), relative_path(F.lit("/p/a/b"), "/p").alias("r"), relative_path(F.lit("/q/a"), "/p").alias("o"), relative_path(F.lit("../x"), "/p").alias("c"), absolute_path(F.lit("a"), "/p").alias("x")).first()
     assert (r.i, r.t, r.r, r.o, r.c, r.x) == ("a%20b~%2A%C3%A9%2F", 'a\\"\\\\\\n\\u0001', "a/b", None, None, "/p/a")
+
+
+def test_duration_units_of_every_order(spark):
+    from valuegrain.plans import value_queries
+
+    folder = "/root/testdata/sf0.001"
+    scales = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400, "weeks": 604800}
+
+    def shown(secs, unit):
+        exact = abs(secs) * 10**12 % scales[unit] == 0
+        whole, part = divmod((2 * abs(secs) * 10**12 + scales[unit]) // (2 * scales[unit]), 10**12)
+        plain = f"{whole}.{part:012d}".rstrip("0") if part else str(whole)
+        decimal = "-" * (secs < 0 and plain != "0") + plain
+        return decimal, not exact, f"{'' if exact else 'approximately '}{decimal} {unit[:-1] if (whole, part) == (1, 0) else unit}"
+
+    rows = value_queries._mixed(spark, folder).collect()
+    want = [(r.k, r.n, u, *shown(r.secs, u)) for r in rows for u in scales]
+    assert any(r.k % 5 for r in rows)
+    assert sorted(tuple(r) for r in value_queries.q_duration_units(spark, folder).collect()) == sorted(want)
