@@ -65,6 +65,15 @@ def test_line_dedup(spark, prose):
     assert whole.columns == ["doc_id", "text", "n_words", "_key", "removed"]
 
 
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    from valuegrain.llm import queries
+
+    texts = [(1, "a b\nshort line\n\nA  b"), (2, "short line\nx\n "), (3, "x"), (4, None)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.removed, r.text) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {1: ("16:20", "a b\nshort line\n"), 2: ("0:10", "x\n "), 3: ("0:1", ""), 4: ("", None)}
+
+
 def test_quality_base_and_verdict(spark, prose):
     junk = [(400 + i, " ".join(f"w{j}x%%%" for j in range(40 + i))) for i in range(6)] + [(410 + i, " ".join("same" if j % 2 else "same" for j in range(30))) for i in range(3)]
     texts = prose + junk

@@ -15,7 +15,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.judge(table(spark, sf_dir, "documents"))
+    return units.judge(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ with their original offsets.
 
 Earliest means the smallest key, then the smallest start; a null key comes last. Rows with the
 same key and text are one document and get the same result. Defined cases: a null text stays null and has no
-units; units of fewer than ``MIN_WORDS`` words are never removed; a text of which all lines go
+units; units of fewer than ``min_words`` words (``MIN_WORDS`` unless told; the registered query takes 1) are never removed; a text of which all lines go
 becomes empty; the line feeds between kept lines are kept; an empty table gives an empty result.
 """
 
