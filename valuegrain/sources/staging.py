@@ -1,4 +1,4 @@
-"""Session settings and tables staged in the shared folder."""
+"""Session settings and tables staged in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -15,17 +15,31 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where no one has set it."""
+    """The folder that driver and executors share.
+
+    Where none is set, a local session, whose tasks all run on this machine, gets a temporary one; any other session fails.
+    """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         known = sc.getCheckpointDir()
     return known.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Remove staged tables that no one will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
