@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from valuegrain.sources import staging
+from valuegrain.sources.staging import drop_stage  # noqa: F401  for the operators
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 _BYTE_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -44,32 +45,9 @@ def crc_mod(key: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where no one has set it."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(known)
-        known = sc.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {"compression": "zstd"})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Remove a staged table that no one will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A staged copy of a table, compressed harder: what is staged here grows with the corpus."""
+    return staging.stage(df, name, {"compression": "zstd"})
 
 
 CARRIED = "_carried"
@@ -118,6 +96,11 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def carried_but(df: DataFrame, *names: str) -> list[Column]:
+    """All carried columns but those with the names of new ones, which replace them."""
+    return unpack(df, *[c for c in df.schema[CARRIED].dataType.names if c not in names])
+
+
 def unpack(df: DataFrame, *names: str) -> list[Column]:
     """Carried columns as top-level ones."""
     return [F.col(f"{CARRIED}.`{n}`").alias(n) for n in names]

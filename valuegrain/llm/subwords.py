@@ -9,8 +9,9 @@ The encoding is lossless: every blank (U+0020) marks the word after it, characte
 piece are spelt as UTF-8 byte pieces, and a mark in the text itself is spelt as bytes.
 
 Defined cases: a null text has null ids and a null decoded text; an empty text has no ids; texts
-of any length are encoded whole; ids outside the vocabulary decode to nothing; extra columns are
-not read by ``judge`` and are kept by ``encode``.
+of any length are encoded whole; ids outside the vocabulary decode to nothing; repeated rows are
+encoded alike; an empty table gives an empty result; extra columns are not read by ``judge`` and are
+kept by ``encode`` and ``decode``, where a column with the name of a new one is replaced by it.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = L.MODEL, ids_co
         return work
 
     out = C.map_texts(docs, text_col, fields, make)
-    return out.select(f"{C.CARRIED}.*", *[n for n, _ in fields])
+    return out.select(*C.carried_but(out, *[n for n, _ in fields]), *[n for n, _ in fields])
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = L.MODEL, text_col: str = "decoded") -> DataFrame:
@@ -94,7 +95,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = L.MODEL, text_
         return lambda lists: [[decoder.text(x) for x in lists]]
 
     out = C.map_texts(encoded, ids_col, [(text_col, T.StringType())], make)
-    return out.select(f"{C.CARRIED}.*", text_col)
+    return out.select(*C.carried_but(out, text_col), text_col)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text", model: str = L.MODEL) -> DataFrame:
