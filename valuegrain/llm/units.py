@@ -8,8 +8,9 @@ with their original offsets.
 
 Earliest means the smallest key, then the smallest start; a null key comes last. Rows with the
 same key and text are one document and get the same result. Defined cases: a null text stays null and has no
-units; units of fewer than ``min_words`` words (``MIN_WORDS`` unless told; the registered query takes 1) are never removed; a text of which all lines go
-becomes empty; the line feeds between kept lines are kept; an empty table gives an empty result.
+units; units of fewer than ``min_words`` words (``MIN_WORDS`` unless told) are never removed; a text of which all lines go
+becomes empty; the line feeds between kept lines are kept; an empty table gives an empty result; a column
+named ``removed`` is replaced by the new one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 
 from valuegrain.llm import common as C
 
-MIN_WORDS = 5
+#: Shorter units aren't removed: sound texts share short lines by chance, and a passage worth removing has longer ones.
+MIN_WORDS = 15
 SPLITS = {"line": "\n", "paragraph": "\n\n"}
 UNIT = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])
 
@@ -84,7 +86,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text_col: str = "text", unit: st
     text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(shorter)
     none = F.array().cast("array<struct<at:int,start:int,end:int>>")
     done = joined.withColumn("_parts", F.when(F.col("removed").isNotNull(), parts)).withColumn("_kept", text)
-    return done.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"{C.CARRIED}.`{c}`").alias(c) for c in docs.columns], F.coalesce("removed", none).alias("removed"))
+    return done.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"{C.CARRIED}.`{c}`").alias(c) for c in docs.columns if c != "removed"], F.coalesce("removed", none).alias("removed"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
