@@ -7,8 +7,9 @@ pass over the small table. Texts are never shuffled.
 
 Defined cases: a null or blank text has no words, fails the base rule and is dropped; statistics
 of a text depend on it alone, so repeated rows and ties get equal verdicts; without labelled rows
-of both kinds nothing but the base rule drops a document; an empty table gives an empty result;
-columns other than key and text are not read.
+of both kinds nothing but the base rule drops a document; a document that is labelled more than once
+counts once, as good only if every label says so; null labels and labels of unknown documents count
+for nothing; an empty table gives an empty result; columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -41,11 +42,9 @@ MAX_GOOD_DROPPED = 0.002
 SCORE_STEPS = 10_000
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Shares, rounded down to tenths so that a stray number or stutter doesn't isolate a sound document: symbols among word
-#: characters, words with a symbol, words equal to the one before, ASCII words without a letter or digit.
-#: Repeated lines and windows are left to the base rule: sound documents have them too.
-FEATURES = ("f_symbols", "f_marked", "f_same", "f_bare")
-FEATURE_STEPS = 10
+#: What the forest sees, all unrounded: mean word length; shares of repeated lines, of words in repeated windows, of symbols among
+#: word characters, of words with a symbol, of words equal to the one before, of ASCII words without a letter or digit, of distinct words.
+FEATURES = ("f_length", "f_lines", "f_repeat", "f_symbols", "f_marked", "f_same", "f_bare", "f_distinct")
 
 
 def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
@@ -79,7 +78,7 @@ def statistics(text: str | None) -> tuple:
     words = data.split()
     n = len(words)
     if not n:
-        return (0, 0, sum(map(data.count, map(bytes, zip(SYMBOLS)))), 0, 0, 0.0, 0.0, 0.0, 0.0)
+        return (0, 0, sum(map(data.count, map(bytes, zip(SYMBOLS)))), 0, 0, *[0.0] * len(FEATURES))
     chars = len(text) - sum(data.count(b) for b in BLANKS)
     symbols = sum(data.count(b) for b in SYMBOLS)
     lines = [x for x in data.split(b"\n") if x.strip()]
@@ -91,7 +90,7 @@ def statistics(text: str | None) -> tuple:
     same = int((ids[1:] == ids[:-1]).sum())
     bare = int(counts[[i for w, i in seen.items() if not BARE.search(w)]].sum())
     marked = int(counts[[i for w, i in seen.items() if w.translate(None, SYMBOLS) != w]].sum()) if symbols else 0
-    return (n, chars, symbols, dup, repeat, *(int(x * FEATURE_STEPS) / FEATURE_STEPS for x in (symbols / chars, marked / n, same / n, bare / n)))
+    return (n, chars, symbols, dup, repeat, chars / n, dup / len(lines), repeat / n, symbols / chars, marked / n, same / n, bare / n, len(seen) / n)
 
 
 def with_statistics(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,9 +191,9 @@ def sample_of(stats: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id") ->
     return chosen.select(*FEATURES).limit(rows).toPandas().to_numpy(float)
 
 
-def threshold_of(scored: DataFrame, labels: DataFrame, key: str = "doc_id") -> float:
+def threshold_of(scored: DataFrame, labels: DataFrame, key: str = "doc_id", label_key: str = "doc_id") -> float:
     """From a histogram over all labelled rows (fixed size): the cut with the most bad documents caught at few good ones lost."""
-    own = labels.select(F.col("doc_id").alias("_label_of"), "quality").filter("quality is not null")
+    own = labels.filter("quality is not null").groupBy(F.col(label_key).alias("_label_of")).agg(F.min("quality").alias("quality"))
     joined = scored.filter(~base_failed()).join(own, F.col(key) == F.col("_label_of"))
     step = F.floor(F.col("score") * SCORE_STEPS).alias("step")
     hist: pd.DataFrame = joined.groupBy(step).agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") != 0).alias("good")).toPandas()
@@ -211,28 +210,28 @@ def threshold_of(scored: DataFrame, labels: DataFrame, key: str = "doc_id") -> f
     return (cut + (int(below.iloc[0]) + 1 if len(below) else cut)) / 2 / SCORE_STEPS  # midway to the next score seen
 
 
-def verdict(docs: DataFrame, labels: DataFrame, key: str, text_col: str) -> tuple[DataFrame, Forest | None, float]:
+def verdict(docs: DataFrame, labels: DataFrame, key: str, text_col: str, label_key: str) -> tuple[DataFrame, Forest | None, float]:
     """The staged statistics, the forest and the threshold."""
     stats = C.stage(with_statistics(docs, key, text_col), "quality")
     sample = sample_of(stats, key=key)
     if not len(sample):
         return stats, None, 2.0
     forest = grow(sample)
-    return stats, forest, threshold_of(with_score(stats, forest), labels, key)
+    return stats, forest, threshold_of(with_score(stats, forest), labels, key, label_key)
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_key: str = "doc_id") -> DataFrame:
     """Key, base counts, base_failed, score, kept: one row for each row of ``docs``."""
-    stats, forest, cut = verdict(docs, labels, key, text_col)
+    stats, forest, cut = verdict(docs, labels, key, text_col, label_key)
     failed = base_failed()
     if forest is None:
         return stats.select(key, *BASE, failed.alias("base_failed"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     return with_score(stats, forest).select(key, *BASE, failed.alias("base_failed"), "score", (~failed & (F.col("score") < cut)).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns; judged row by row in one more narrow pass, so texts aren't shuffled."""
-    _, forest, cut = verdict(docs, labels, key, text_col)
+    _, forest, cut = verdict(docs, labels, key, text_col, label_key)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def make():
