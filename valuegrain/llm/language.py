@@ -5,13 +5,15 @@ sum over all its segmentations (forward algorithm), a text's the product over it
 language with the highest probability wins.
 
 Training uses a bounded sample of labelled rows (``SAMPLE`` a language, chosen by a hash of the
-key) and one round of expectation over all their words, both as Spark jobs; what reaches the
-driver is one row for each language and piece. Scoring is one narrow pass: distinct words of some
-texts are scored once, in sorted order.
+key) and one round of expectation over all their words, both as Spark jobs. Every language that
+has a training row is learned. Scoring is narrow, one step over the texts for each ``BLOCK``
+languages, whose piece tables are what reaches the driver and the tasks at once; distinct words of
+some texts are scored once, in sorted order.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; without any training
 row every text is ``und``; a null language is not learned; ties go to the smaller language name;
-texts are scored whole, whatever their length; key, language and source never enter a prediction.
+texts are scored whole, whatever their length; repeated rows get equal predictions; an empty table
+gives an empty result; key, language and source never enter a prediction.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from valuegrain.llm import lattice as L
 FOLDS = 5
 #: Labelled rows learned from, for each language, at most about so many.
 SAMPLE = 3_000
-#: Languages that are learned at most; the most frequent ones.
-LANGUAGES = 200
+#: Languages whose piece tables a task holds at once.
+BLOCK = 48
 #: Uses of each piece that are added to what was seen, spread by the vocabulary's own weights.
 PRIOR = 2_000.0
 UNKNOWN = "und"
@@ -45,14 +47,10 @@ def held_out(key: str) -> F.Column:
 def sample_of(docs: DataFrame, key: str, text_col: str, lang_col: str, rows: int = SAMPLE) -> DataFrame:
     """(lang, text) of at most about ``rows`` training rows for each language."""
     train = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(key).alias("key")).filter(~held_out("key") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = [(r["lang"], r["n"]) for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    if not sizes:
-        return train.select("lang", "text").limit(0)
+    sizes = C.stage(train.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n")), "languages")
     place = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in sizes:
-        chosen = chosen | ((F.col("lang") == lang) & (place < int(min(1.0, rows / n) * (1 << 30)) + 1))
-    return train.filter(chosen).select("lang", "text")
+    share = F.floor(F.least(F.lit(1.0), F.lit(rows) / F.col("n")) * (1 << 30)) + 1
+    return train.join(sizes, F.col("lang") == F.col("_lang")).filter(place < share).select("lang", "text")
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
@@ -89,52 +87,69 @@ def expected_uses(counts: DataFrame, voc: L.Vocabulary) -> DataFrame:
     return counts.mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str = L.MODEL, rows: int = SAMPLE) -> tuple[list[str], L.Vocabulary, dict[str, tuple[float, ...]], tuple[float, ...]]:
-    """Languages, vocabulary, log probabilities of each piece by language, and of a byte by language."""
+def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str = L.MODEL, rows: int = SAMPLE) -> tuple[L.Vocabulary, DataFrame, list[str]]:
+    """Vocabulary, expected uses (lang, piece, n) as a staged table, and all languages in order."""
     voc = L.load(model)
-    uses = expected_uses(word_counts(sample_of(docs, key, text_col, lang_col, rows)), voc).toPandas()
-    langs = sorted(uses["lang"].unique())
+    uses = C.stage(expected_uses(word_counts(sample_of(docs, key, text_col, lang_col, rows)), voc), "uses")
+    return voc, uses, sorted(r["lang"] for r in uses.select("lang").distinct().collect())
+
+
+def tables(uses: DataFrame, voc: L.Vocabulary, langs: list[str]) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
+    """Log probabilities of each piece by language, and of a byte by language."""
+    rows = uses.filter(F.col("lang").isin(langs)).toPandas()
     byte_weight = exp(voc.byte_log_weight)
-    tables, unknown = [], []
+    by_lang, unknown = [], []
     for lang in langs:
-        own = uses[uses["lang"] == lang]
+        own = rows[rows["lang"] == lang]
         seen = dict(zip(own["piece"], own["n"]))
         total = sum(seen.values()) + PRIOR
-        tables.append({p: log((seen.get(i, 0.0) + PRIOR * exp(voc.log_weight[p])) / total) for p, i in voc.ids.items()})
+        by_lang.append({p: log((seen.get(i, 0.0) + PRIOR * exp(voc.log_weight[p])) / total) for p, i in voc.ids.items()})
         unknown.append(log((sum(seen.get(i, 0.0) for i in voc.byte_ids) / len(voc.byte_ids) + PRIOR * byte_weight) / total))
-    return langs, voc, {p: tuple(t[p] for t in tables) for p in voc.ids}, tuple(unknown)
+    return {p: tuple(t[p] for t in by_lang) for p in voc.ids}, tuple(unknown)
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str = L.MODEL, rows: int = SAMPLE) -> DataFrame:
-    """(key, held_out, lang_pred, score) for each row; score is the share of the winner's posterior."""
-    langs, voc, weight, unknown = train(docs, key, text_col, lang_col, model, rows)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, voc.pairs, weight, unknown))
+def with_block(texts: DataFrame, carry: list[str], voc: L.Vocabulary, langs: list[str], weight: dict[str, tuple[float, ...]], unknown: tuple[float, ...]) -> DataFrame:
+    """(_key, _text, lang_pred, high, mass) once more, these languages compared too: the best one so far, its log probability, all probabilities over its."""
+    shared = texts.sparkSession.sparkContext.broadcast((langs, voc.pairs, weight, unknown))
 
     def make():
         names, pairs, table, bytes_too = shared.value
         tilt = L.tilted(table)
         memory = L.remembered(lambda parts: L.log_sums(parts, table, tilt, bytes_too), lambda own: tuple(map(sum, zip(*own))) if len(own) > 1 else own[0], pairs)
 
-        def verdict(text: str | None, known: dict, words: Counter) -> tuple[str, float]:
-            if not names or text is None or not any(map(str.isalpha, words)):
-                if not names or text is None or not any(map(str.isalpha, text)):
-                    return UNKNOWN, 0.0
+        def verdict(known: dict, words: Counter, best: str | None, before: float | None, mass: float | None) -> tuple[str, float, float]:
             totals = [0.0] * len(names)
             for w, n in words.items():
                 totals = [t + n * x for t, x in zip(totals, known[w])]
-            high = max(totals)
-            return names[totals.index(high)], 1.0 / sum(exp(t - high) for t in totals)
+            top = max(totals)
+            if best is not None and before >= top:
+                return best, before, mass + sum(exp(t - before) for t in totals)
+            return names[totals.index(top)], top, sum(exp(t - top) for t in totals) + (mass * exp(before - top) if best is not None else 0.0)
 
-        def work(texts):
+        def work(texts, best, high, mass):
             out = []
             for a, b in L.chunks(texts):
                 counted = [Counter((" " + t).replace(L.MARK, L.OWN_MARK).split()) if t else Counter() for t in texts[a:b]]
-                counted = [Counter({L.MARK + w: n for w, n in c.items()}) for c in counted]
-                known = memory.of({w for c in counted for w in c}) if names else {}
-                out += [verdict(t, known, c) for t, c in zip(texts[a:b], counted)]
-            return [[o[0] for o in out], [o[1] for o in out]]
+                counted = [c if any(map(str.isalpha, c)) or any(any(map(str.isalpha, w)) for w in c) else None for c in counted]
+                counted = [None if c is None else Counter({L.MARK + w: n for w, n in c.items()}) for c in counted]
+                known = memory.of({w for c in counted if c for w in c})
+                out += [(None, None, None) if c is None else verdict(known, c, *so_far) for c, *so_far in zip(counted, best[a:b], high[a:b], mass[a:b])]
+            return [list(x) for x in zip(*out)]
 
         return work
 
-    out = C.map_texts(docs, text_col, [("lang_pred", T.StringType()), ("score", T.DoubleType())], make, carry=[key])
-    return out.select(*C.unpack(out, key), "lang_pred", "score").select(key, held_out(key).alias("held_out"), "lang_pred", "score")
+    fields = [("lang_pred", T.StringType()), ("high", T.DoubleType()), ("mass", T.DoubleType())]
+    out = C.map_texts(texts, "_text", fields, make, carry=carry, also=[n for n, _ in fields])
+    return out.select(*C.unpack(out, *carry), *[n for n, _ in fields])
+
+
+def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str = L.MODEL, rows: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """(key, held_out, lang_pred, score) for each row; score is the share of the winner's posterior."""
+    voc, uses, langs = train(docs, key, text_col, lang_col, model, rows)
+    done = docs.select(
+        F.col(key).alias("_key"), F.col(text_col).alias("_text"), F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("mass")
+    )
+    for at in range(0, len(langs), block):
+        carry = ["_key", "_text"] if at + block < len(langs) else ["_key"]
+        done = with_block(done, carry, voc, langs[at : at + block], *tables(uses, voc, langs[at : at + block]))
+    return done.select(F.col("_key").alias(key), held_out("_key").alias("held_out"), F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(F.lit(1.0) / F.col("mass"), F.lit(0.0)).alias("score"))

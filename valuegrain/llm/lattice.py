@@ -151,22 +151,43 @@ def log_sum(words: list[str], weight: dict[str, float], byte_weight: float) -> d
 
 #: Longest word that the walks without logarithms take; their weights are tilted by so much a character to stay near 1.
 PLAIN, TILT = 150, 2.0
+#: A smaller sum than this may have lost digits on its way.
+SMALL = 1e-200
 
 
 def tilted(weight: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...]]:
     return with_suffixes({p: tuple(exp(x + TILT * len(p)) for x in v) for p, v in weight.items()}, ())
 
 
+def in_logarithms(w: str, weight: dict[str, tuple[float, ...]], tilt: dict[str, tuple[float, ...]], byte_weight: tuple[float, ...]) -> list[float]:
+    """One word's sums under several models; as exact as ``log_sum``, whatever its length and letters."""
+    alpha = [[0.0] * len(byte_weight)]
+    for j in range(1, len(w) + 1):
+        terms, i = [], j - 1
+        while i >= 0:
+            p = tilt.get(w[i:j])
+            if p is None:
+                break
+            if p:
+                terms.append([a + x for a, x in zip(alpha[i], weight[w[i:j]])])
+            i -= 1
+        if not tilt.get(w[j - 1]):
+            n = len(bytes_of(w[j - 1]))
+            terms.append([a + b * n for a, b in zip(alpha[j - 1], byte_weight)])
+        high = [max(t) for t in zip(*terms)]
+        alpha.append([h + log(sum([exp(x - h) for x in t])) for h, t in zip(high, zip(*terms))])
+    return alpha[-1]
+
+
 def log_sums(words: list[str], weight: dict[str, tuple[float, ...]], tilt: dict[str, tuple[float, ...]], byte_weight: tuple[float, ...]) -> dict[str, list[float]]:
-    """As ``log_sum`` for several models at once (``tilt`` is ``tilted(weight)``); long words go through ``log_sum``."""
+    """As ``log_sum`` for several models at once (``tilt`` is ``tilted(weight)``); words too long or too rare for plain doubles go through logarithms."""
     get = tilt.get
-    models = range(len(byte_weight))
     out: dict[str, list[float]] = {}
     alpha: list[tuple[float, ...]] = [(1.0,) * len(byte_weight)]
     before = ""
     for w in sorted(words):
         if len(w) > PLAIN:
-            out[w] = [log_sum([w], with_suffixes({p: v[m] for p, v in weight.items() if p in w}, 1.0), byte_weight[m])[w] for m in models]
+            out[w] = in_logarithms(w, weight, tilt, byte_weight)
             continue
         k = shared(before, w)
         del alpha[k + 1 :]
@@ -184,7 +205,8 @@ def log_sums(words: list[str], weight: dict[str, tuple[float, ...]], tilt: dict[
                 own = [x * exp(b * n + TILT) for x, b in zip(alpha[j - 1], byte_weight)]
                 total = own if total is None else [t + x for t, x in zip(total, own)]
             alpha.append(total)
-        out[w] = [log(x) - TILT * len(w) if x > 0 else -1e6 for x in alpha[-1]]
+        last = alpha[-1]
+        out[w] = [log(x) - TILT * len(w) for x in last] if min(last) > SMALL else in_logarithms(w, weight, tilt, byte_weight)
         before = w
     return out
 
@@ -192,14 +214,16 @@ def log_sums(words: list[str], weight: dict[str, tuple[float, ...]], tilt: dict[
 def expected(counted: Iterable[tuple[str, float]], voc: Vocabulary, tilt: dict[str, tuple[float, ...]]) -> dict[int, float]:
     """Expected uses of each piece over all segmentations of counted marked words (forward and backward).
 
-    Longer words than ``PLAIN`` are cut into parts of that length; this touches training only.
+    Longer words than ``PLAIN`` are cut into parts of that length, and parts too rare for plain doubles in halves; this touches training only.
     """
     get, ids = tilt.get, voc.ids
     byte_weight = exp(voc.byte_log_weight)
     out: dict[int, float] = {}
     alpha, edges, before = [1.0], [()], ""
-    parts = [(w[at : at + PLAIN], c) for w, c in counted for at in range(0, len(w), PLAIN)]
-    for w, c in sorted(parts):
+    parts = sorted((w[at : at + PLAIN], c) for w, c in counted for at in range(0, len(w), PLAIN))
+    parts.reverse()
+    while parts:
+        w, c = parts.pop()
         k = shared(before, w)
         del alpha[k + 1 :], edges[k + 1 :]
         for j in range(k + 1, len(w) + 1):
@@ -219,7 +243,8 @@ def expected(counted: Iterable[tuple[str, float]], voc: Vocabulary, tilt: dict[s
             alpha.append(total)
             edges.append(own)
         before, n = w, len(w)
-        if not alpha[n]:
+        if alpha[n] < SMALL:
+            parts += [(w[n // 2 :], c), (w[: n // 2], c)] if n > 1 else []
             continue
         beta = [0.0] * n + [1.0 / alpha[n]]
         for j in range(n, 0, -1):
@@ -236,9 +261,12 @@ def expected(counted: Iterable[tuple[str, float]], voc: Vocabulary, tilt: dict[s
     return out
 
 
+LATIN_END = "\u0250"
+
+
 def segments(word: str, pairs: frozenset[str]) -> list[str]:
-    """The parts of a word between the boundaries that every segmentation has, so parts can be scored apart."""
-    if word[1:].isalpha():
+    """The parts of a word between the boundaries that every segmentation has, so parts can be scored apart. Latin words are left whole: few have one."""
+    if word[1:].isalpha() and max(word[1:]) < LATIN_END:
         return [word]
     parts, start = [], 0
     for i in range(1, len(word)):
