@@ -60,8 +60,19 @@ def test_lattice_against_all_segmentations(voc):
     assert lattice.log_sums([lattice.MARK + "th" * 200], table, lattice.tilted(table), (0.0, 0.0))[lattice.MARK + "th" * 200][0] == pytest.approx(lattice.log_sum([lattice.MARK + "th" * 200], voc.suffixes, voc.byte_log_weight)[lattice.MARK + "th" * 200])
 
 
+def test_rare_letters_keep_their_sums(voc):
+    table = {p: (x, x - 1.0) for p, x in voc.log_weight.items()}
+    tilt = lattice.tilted(table)
+    for w in ("▁" + "Ꙁ" * 60, "▁" + "日本" * 20 + "é", "▁" + "th" * 200 + "Ω", "▁" + "ЩѬ" * 30):
+        many = lattice.log_sums([w], table, tilt, (voc.byte_log_weight, voc.byte_log_weight - 1.0))[w]
+        one = lattice.log_sum([w], voc.suffixes, voc.byte_log_weight)[w]
+        assert many[0] == pytest.approx(one) and many[1] < many[0]
+        uses = lattice.expected([(w, 2.0)], voc, lattice.tilted({p: (x,) for p, x in voc.log_weight.items()}))
+        assert sum(uses.values()) > 2.0
+
+
 def test_parts_share_every_boundary(voc):
-    for w in ("▁stone.", "▁a1b2", "▁(x)", "▁l'eau"):
+    for w in ("▁stone.", "▁a1b2", "▁(x)", "▁l'eau", "▁日本ѬΩ", "▁ЩѬЩ"):
         whole = lattice.log_sum([w], voc.suffixes, voc.byte_log_weight)[w]
         parts = lattice.segments(w, voc.pairs)
         assert "".join(parts) == w and sum(lattice.log_sum(parts, voc.suffixes, voc.byte_log_weight)[p] for p in parts) == pytest.approx(whole)
@@ -71,9 +82,11 @@ def test_encoding_round_trip(spark):
     docs = docs_of(spark, TEXTS)
     out = {r.doc_id: r for r in subwords.judge(docs).collect()}
     assert len(out) == len(TEXTS) and all(r.round_trip for r in out.values()) and out[2].ids is None and out[1].ids == [] and out[0].ids == out[9].ids
-    coded = subwords.encode(docs.drop("ids"))
+    coded = subwords.encode(docs)  # replaces the column of that name
     assert coded.columns == ["doc_id", "text", "score", "ids"]
-    back = {r.doc_id: r.decoded for r in subwords.decode(coded).collect()}
+    again = subwords.decode(coded.withColumn("decoded", coded["score"]))
+    assert again.columns == ["doc_id", "text", "score", "ids", "decoded"]
+    back = {r.doc_id: r.decoded for r in again.collect()}
     assert [back[i] for i in range(len(TEXTS))] == TEXTS
     assert subwords.judge(docs.limit(0)).count() == 0
 
@@ -90,6 +103,8 @@ def test_language_id(spark):
     assert len(held) > 20 and all(a == b for a, b in held) and out[903].lang_pred == "cc"
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (900, 901, 902)) and out[904].lang_pred in parts and all(0 <= r.score <= 1 for r in out.values())
     assert language.judge(df.limit(0)).count() == 0
+    blocks = {r.doc_id: r for r in language.judge(df, block=2).collect()}  # the third language comes in a second step
+    assert all(blocks[i].lang_pred == r.lang_pred and blocks[i].score == pytest.approx(r.score) for i, r in out.items())
     unlabelled = df.withColumn("lang", df["lang"].substr(9, 1)).filter("doc_id < 3").selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in language.judge(unlabelled).collect()} == {"und"}
 
