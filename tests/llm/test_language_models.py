@@ -1,5 +1,6 @@
 """Subwords, language ID, PII and LM scoring: round trips, brute force and held-out accuracy on small fixtures."""
 
+import itertools
 import math
 import random
 import re
@@ -171,10 +172,65 @@ def test_lm_scores(spark, voc, monkeypatch):
 
 def test_pii_field_finds_every_mention_of_a_marked_number():
     weights = np.zeros((pii.FEATURES, len(pii.LABELS)))
-    weights[:, 0] = 0.1  # ten features: O is favoured by one nat
-    model = pii.Model(weights, np.zeros((len(pii.LABELS), len(pii.LABELS))))
+    weights[:, 0] = 1 / len(pii.features("442079460958", [(0, 12, 0)])[0])  # O is favoured by one nat
+    model = pii.Model(weights, np.zeros((len(pii.LABELS), len(pii.LABELS))), np.full(len(pii.LABELS), 4.0))
     for n in (1, 2, 5, 50, 1000):
         plain = " then ".join(["442079460958"] * n)
         for text in (f"+442079460958 then {plain}", f"{plain} then +442079460958"):
             (base, every), (_, none) = pii.spans_of([text, plain], model)
             assert len(base) == 1 and len(every) == n + 1 and {k for _, k, _ in every} == {3} and not none, n
+
+
+def exact_marginals(unary, clamped, edges, pair):
+    n, k = unary.shape
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        if all(c < 0 or c == y for c, y in zip(clamped, labels)):
+            out[range(n), labels] += math.exp(sum(unary[i, y] for i, y in enumerate(labels)) + sum(p[labels[a], labels[b]] for (a, b), p in zip(edges, pair)))
+    return out / out.sum(1, keepdims=True)
+
+
+def test_pii_messages_against_all_labellings():
+    rng = np.random.default_rng(3)
+    for n, edges in ((1, []), (4, [(0, 1), (1, 2), (1, 3)]), (5, [(0, 1), (1, 2), (2, 3), (3, 4)]), (4, [(0, 1), (2, 3)])):
+        unary, pair = rng.normal(size=(n, 5)), rng.normal(size=(len(edges), 5, 5))
+        for clamped in (np.full(n, -1), np.where(np.arange(n) == n - 1, 2, -1)):
+            a, b = (np.array([e[i] for e in edges], int) for i in (0, 1))
+            found = pii.marginals(unary, clamped, a, b, pair)
+            assert np.abs(found - exact_marginals(unary, clamped, edges, pair)).max() < 0.01
+    edges = [(0, 1), (1, 2), (0, 2), (2, 3)]  # a loop: near, not exact
+    for _ in range(20):
+        unary, pair = rng.normal(size=(4, 5)), np.array([np.eye(5)] * 4)
+        clamped = np.array([-1, -1, -1, 4])
+        found = pii.marginals(unary, clamped, *(np.array([e[i] for e in edges]) for i in (0, 1)), pair)
+        exact = exact_marginals(unary, clamped, edges, pair)
+        assert np.abs(found - exact).max() < 0.12
+
+
+def test_pii_field_finds_rewritten_data_and_leaves_near_misses(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choice(["th", "an", "er", "on", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    def hit():
+        return rng.choice((f"of.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", ".".join(str(rng.randint(0, 255)) for _ in range(4)), card(), f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"))
+
+    texts = [f"{say(20)} {hit()} {say(10)}" + (f" License, version {rng.randint(1, 9)}.0, number {rng.randrange(10**15, 10**16)}" if i % 3 == 0 else "") for i in range(400)]
+    model = pii.train(spark.createDataFrame(list(enumerate(texts[:250])), "doc_id long, text string"))
+    found = total = 0
+    for i, text in enumerate(texts[250:]):
+        base = pii.base_spans(text)
+        assert pii.spans_of([text], model)[0][1] == base
+        new, true = pii.changed(text, base, pii.rewritten, random.Random(i))
+        every = pii.spans_of([new], model)[0][1]
+        total += len(true)
+        found += sum(any(e[1] == s[1] and e[0] < s[2] and s[0] < e[2] for e in every) for s in true)
+        missed, _ = pii.changed(text, base, pii.near_miss, random.Random(i))
+        assert pii.spans_of([missed], model)[0][1] == pii.base_spans(missed), missed
+    assert total >= 140 and found >= 0.97 * total
+    (base, every), = pii.spans_of(["call +1 (826) 555-4081 190.137.223.204 now"], model)  # the pattern runs on into the address
+    assert [k for _, k, _ in base] == [1] and (5, 3, 22) in every
+    assert pii.spans_of(["jo [at] mail [dot] example [dot] com"], model)[0][1] == [(0, 0, 36)]
