@@ -79,3 +79,30 @@ def test_empty_tables(spark):
     assert graph.collect_garbage(nodes.limit(0), e.limit(0))[0].count() == 0 and graph.is_acyclic(e.limit(0)).first().acyclic
     assert graph.reject_cycles(e, e.limit(0).select("parent_id", "child_id"))[0].count() == 0
     assert nodes.filter(F.col("id").isNull()).count() == 0
+
+
+def test_deep_graphs_in_steps_of_many_edges(spark, monkeypatch):
+    n = 1000
+    chain = spark.range(n).selectExpr("concat('n', id) as parent_id", "concat('n', id + 1) as child_id")
+    out = {r.id: r.depth for r in graph.reach(chain, spark.createDataFrame([("n0",)], "id string")).collect()}
+    assert out == {f"n{i}": i for i in range(n + 1)}
+    rng = random.Random(5)
+    monkeypatch.setattr(graph, "LEVELS", 2)
+    monkeypatch.setattr(graph, "HOPS", 4)
+    monkeypatch.setattr(graph, "TABLES", 2)
+    pairs = [(f"v{i}", f"v{i + 1}") for i in range(25)] + [(f"v{rng.randrange(26)}", f"v{rng.randrange(26)}") for _ in range(12)]
+    e = spark.createDataFrame(pairs, "parent_id string, child_id string")
+
+    def walk(start, most=10**9):
+        depth, todo = {start: 0}, [start]
+        for x in todo:
+            for a, b in pairs:
+                if a == x and b not in depth and depth[x] < most:
+                    depth[b] = depth[x] + 1
+                    todo.append(b)
+        return depth
+
+    assert {r.id: r.depth for r in graph.reach(e, spark.createDataFrame([("v0",)], "id string")).collect()} == walk("v0")
+    assert {r.id: r.depth for r in graph.reach(e, spark.createDataFrame([("v0",)], "id string"), max_depth=5).collect()} == walk("v0", 5)
+    many = graph.reach(e, spark.createDataFrame([("v0", "v0"), ("v7", "v7")], "root string, id string")).collect()
+    assert {(r.root, r.id): r.depth for r in many} == {(s, i): d for s in ("v0", "v7") for i, d in walk(s).items()} and len(many) == len({(r.root, r.id) for r in many})

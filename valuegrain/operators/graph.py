@@ -1,7 +1,8 @@
 """Reachability over derivation edges, as loops of joins.
 
 Every loop step joins the frontier with the edges, removes what was seen by an anti join and
-stages the new frontier, so plans stay short and nothing is collected but a count.
+stages the new frontier, so plans stay short and nothing is collected but a count. What was seen is
+one table, rewritten every few levels. Graphs deeper than ``LEVELS`` go on in steps of ``HOPS`` edges.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuegrain.sources.staging import stage
+from valuegrain.sources.staging import drop_stage, stage
 
+#: Levels that are searched edge by edge; edges that a step takes beyond them (a power of two); tables that the seen ones may lie in.
+LEVELS, HOPS, TABLES = 24, 64, 8
 STALE_PARENT, MODIFIED, DELETED = "PARENT_NODE_STALE", "SOURCE_FILE_MODIFIED", "FILE_DELETED"
 
 
@@ -25,31 +28,61 @@ def _steps(edges: DataFrame, down: bool) -> DataFrame:
     return edges.select(F.col(near).alias("_near"), F.col(far).alias("_far")).distinct()
 
 
+def _shortcuts(steps: DataFrame, hops: int) -> DataFrame:
+    """(_near, _far, _hops) of all pairs within so many edges, with the fewest edges; by doubling, so in few joins."""
+    pairs = stage(steps.withColumn("_hops", F.lit(1)), "hops")
+    for _ in range(hops.bit_length() - 1):
+        on = pairs.select(F.col("_near").alias("_far"), F.col("_far").alias("_to"), F.col("_hops").alias("_more"))
+        longer = pairs.join(on, "_far").select("_near", F.col("_to").alias("_far"), (F.col("_hops") + F.col("_more")).alias("_hops"))
+        doubled = stage(pairs.unionByName(longer).groupBy("_near", "_far").agg(F.min("_hops").alias("_hops")), "hops")
+        drop_stage(pairs)
+        pairs = doubled
+    return pairs
+
+
 def reach(edges: DataFrame, starts: DataFrame, down: bool = True, max_depth: int | None = None) -> DataFrame:
     """(root, id, depth) of everything each start reaches, starts included at depth 0; shortest depth, safe on cycles.
 
-    ``starts`` has ``id``, or ``root`` and ``id``. Without ``root`` all starts share one search.
+    ``starts`` has ``id``, or ``root`` and ``id``. Without ``root`` all starts share one search. Beyond ``LEVELS`` the
+    edges left (in a shared search those between nodes not seen yet) get shortcuts, and a step takes ``HOPS`` of them:
+    what it reaches from the last level within so many edges is what so many levels would have found, at the same depths.
     """
     steps = stage(_steps(edges, down), "steps")
-    own = starts if "root" in starts.columns else starts.withColumn("root", F.lit(None).cast("string"))
+    shared = "root" not in starts.columns
+    own = starts.withColumn("root", F.lit(None).cast("string")) if shared else starts
     frontier = stage(own.select("root", "id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    found, depth = [frontier], 0
+    found, depth, jump = [frontier], 0, 1
     while max_depth is None or depth < max_depth:
-        depth += 1
-        met = frontier.join(steps, F.col("id") == F.col("_near")).select("root", F.col("_far").alias("id")).distinct()
+        if len(found) > TABLES:
+            seen = stage(_union(found[:-1] if jump > 1 else found), "seen")
+            drop_stage(*found[:-1])
+            found = [seen, found[-1]] if jump > 1 else [seen]  # the last one may still be read
         seen = _union(found).select(F.col("root").alias("_r"), F.col("id").alias("_i"))
-        new = met.join(seen, F.col("root").eqNullSafe(F.col("_r")) & (F.col("id") == F.col("_i")), "left_anti")
-        frontier = stage(new.withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        if depth == LEVELS:
+            jump = HOPS
+            left = steps
+            if shared:
+                done = seen.select("_i").distinct()
+                left = steps.join(done, F.col("_far") == F.col("_i"), "left_anti").join(done.join(frontier.select("id"), F.col("_i") == F.col("id"), "left_anti"), F.col("_near") == F.col("_i"), "left_anti")
+            steps = _shortcuts(left, HOPS)
+        hops = F.col("_hops") if jump > 1 else F.lit(1)
+        met = frontier.select("root", "id").join(steps, F.col("id") == F.col("_near")).select("root", F.col("_far").alias("id"), hops.alias("_hops"))
+        met = met.groupBy("root", "id").agg((F.min("_hops") + depth).alias("depth"))
+        if max_depth is not None:
+            met = met.filter(F.col("depth") <= max_depth)
+        new = stage(met.join(seen, F.col("root").eqNullSafe(F.col("_r")) & (F.col("id") == F.col("_i")), "left_anti"), "frontier")
+        if new.isEmpty():
             break
-        found.append(frontier)
+        found.append(new)
+        depth += jump
+        frontier = new if jump == 1 else new.filter(F.col("depth") == depth)
     return _union(found)
 
 
 def closure(edges: DataFrame, starts: DataFrame, down: bool = True) -> DataFrame:
-    """(root, id) as ``reach`` by path doubling: as many joins as the depth has binary digits, for very deep graphs.
+    """(root, id) as ``reach`` by path doubling of the whole graph: as many joins as the depth has binary digits.
 
-    The reachable pairs are squared only inside what the starts can reach.
+    It holds all reachable pairs, so it is for small graphs that many starts ask; ``reach`` is for the rest.
     """
     steps = _steps(edges, down)
     own = starts if "root" in starts.columns else starts.withColumn("root", F.col("id"))
@@ -57,8 +90,9 @@ def closure(edges: DataFrame, starts: DataFrame, down: bool = True) -> DataFrame
     size = pairs.count()
     while True:
         longer = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        pairs = stage(pairs.unionByName(longer).distinct(), "pairs")
-        grown = pairs.count()
+        doubled = stage(pairs.unionByName(longer).distinct(), "pairs")
+        drop_stage(pairs)
+        pairs, grown = doubled, doubled.count()
         if grown == size:
             break
         size = grown
