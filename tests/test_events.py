@@ -36,10 +36,43 @@ def test_size_cap_and_lines(spark):
     assert spark.range(1).select(*[events.n_lines(F.lit(t)).alias(f"c{i}") for i, t in enumerate(("", "a", "a\n", "a\nb"))]).first()[:] == (1, 1, 1, 2)
 
 
+def files_of(spark, texts):
+    own = spark.createDataFrame([(p, c, p) for p, c in texts], "file_path string, c string, identity string")
+    return own.select("file_path", F.to_timestamp(F.lit("2020-01-01")).alias("mtime"), F.length("c").cast("long").alias("file_size"), F.sha2("c", 256).alias("content_hash"), "identity")
+
+
+def stored_values(store):
+    named = store["nodes"].join(store["sources"].select("source_id", "file_path"), "source_id").join(store["captures"], F.col("id") == F.col("node_id"))
+    return {(r.file_path, r.line_number, r.number_val, r.is_stale, r.agent) for r in named.collect()}
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    stored = spark.createDataFrame([("/p/a.csv", "x,1\ny,2\n"), ("b.csv", "1\n")], "file_path string, c string").select("file_path", F.sha2("c", 256).alias("content_hash"))
+    files = files_of(spark, [("/p/a.csv", "x,1\ny,2\n"), ("b.csv", "1\n")])
     frame(spark).unionByName(frame(spark)).repartition(3).write.parquet(f"{tmp_path}/in")
-    capture.start(capture.read_events(spark, f"{tmp_path}/in"), stored, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
-    streamed = {tuple(r) for r in capture.recorded(spark, f"{tmp_path}/out").select("id", "file_path", "line_number", "number_val", "agent").collect()}
-    batch = {tuple(r) for r in capture.values_of(capture.captured(frame(spark), stored)).select("id", "file_path", "line_number", "number_val", "agent").collect()}
-    assert streamed == batch and {r[1:] for r in batch} == {("/p/a.csv", 1, 1.0, "claude-code"), ("/p/a.csv", 2, 2.0, "claude-code"), ("b.csv", 1, 1.0, "codex")}
+    now = F.to_timestamp(F.lit("2020-02-01"))
+    capture.start(capture.read_events(spark, f"{tmp_path}/in"), files, str(tmp_path), f"{tmp_path}/log", now).awaitTermination()
+    out = capture.recorded(spark, str(tmp_path))
+    batch = capture.record_events(frame(spark), files, capture.empty_store(spark), now)
+    want = {("/p/a.csv", 1, 1.0, False, "claude-code"), ("/p/a.csv", 2, 2.0, False, "claude-code"), ("b.csv", 1, 1.0, False, "codex")}
+    assert stored_values(out) == stored_values(batch) == want
+    names = {CASES[r.event_id][0]: r.reason for r in out["rejects"].collect()}
+    assert names == {"malformed": "MALFORMED", "not an object": "MALFORMED", "null": "MALFORMED", "unknown agent": "UNKNOWN_AGENT"} or set(names.values()) <= {"MALFORMED", "UNKNOWN_AGENT"} and {"malformed", "null", "unknown agent"} <= set(names), names
+
+
+def test_a_later_batch_makes_values_stale(spark, tmp_path):
+    """The file changes between two batches: its first value goes stale, with what derives from it; the second stays."""
+    event = lambda i, text: json.dumps({**READ, "tool_response": {"content": text}})
+    now = F.to_timestamp(F.lit("2020-02-01"))
+    send = lambda n, text: spark.createDataFrame([(n, None, "claude", event(n, text))], capture.SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+    send(1, "x,1\ny,2\n")
+    capture.start(capture.read_events(spark, f"{tmp_path}/in"), files_of(spark, [("/p/a.csv", "x,1\ny,2\n")]), str(tmp_path), f"{tmp_path}/log", now).awaitTermination()
+    send(2, "x,9\ny,2\n")
+    capture.start(capture.read_events(spark, f"{tmp_path}/in"), files_of(spark, [("/p/a.csv", "x,9\ny,2\n")]), str(tmp_path), f"{tmp_path}/log", now).awaitTermination()
+    out = capture.recorded(spark, str(tmp_path))
+    assert stored_values(out) == {("/p/a.csv", 1, 1.0, True, "claude-code"), ("/p/a.csv", 1, 9.0, False, "claude-code"), ("/p/a.csv", 2, 2.0, False, "claude-code")}
+
+
+def test_values_beyond_the_returned_lines_are_refused(spark):
+    own = spark.createDataFrame([(1, None, "claude-code", "a", "x,1\ny,2", 1), (2, None, "claude-code", "b", "x,1\ny,2", 2)], "event_id long, ts timestamp, agent string, path string, content string, n_lines int")
+    values, agents = capture.values_of(own)
+    assert {r.file_path for r in values.collect()} == {r.file_path for r in agents.collect()} == {"b"}

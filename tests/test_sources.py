@@ -1,8 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from valuegrain.operators import detect, export, graph, record
 from valuegrain.operators.extract import extract
+from valuegrain.functions.text import absolute_path, relative_path
 from valuegrain.sources import tables
+from valuegrain.streaming import capture
 
 SOURCE = "source_id long, file_path string, mtime timestamp, file_size long, content_hash string, last_checked_at timestamp, identity string"
 
@@ -15,19 +18,41 @@ def test_record_again_keeps_what_is_still_there(spark):
         when = F.to_timestamp(F.lit(at))
         return record.roots_of(docs(text)).drop("file_path").withColumns({"source_id": F.lit(1).cast("bigint"), "is_stale": F.lit(False), "stale_reason": F.lit(None).cast("string"), "created_at": when, "updated_at": when})
 
-    old, new = nodes("a,100\nb,500", "2020-01-01"), nodes("a,200\nb,500", "2020-02-01").select(*nodes("", "2020-01-01").columns)
+    old, new, now = nodes("a,100\nb,500", "2020-01-01"), docs("a,200\nb,500"), F.to_timestamp(F.lit("2020-02-01"))
     hundred = old.filter("number_val = 100").first().id
     child = old.filter("number_val = 100").withColumns({"id": F.lit("child"), "node_type": F.lit("DERIVED"), "number_val": F.lit(200.5)})
     edges = spark.createDataFrame([(1, hundred, "child", "EXPRESSION", "a * 2")], "edge_id long, parent_id string, child_id string, operation string, expression string")
     row = lambda h, at: spark.createDataFrame([(1, "f", None, 1, h, at, None)], "source_id long, file_path string, mtime timestamp, file_size long, content_hash string, last_checked_at string, identity string").withColumn("last_checked_at", F.to_timestamp("last_checked_at"))
     caps = spark.createDataFrame([], "node_id string, agent string")
-    out, sources, credited = record.record_batch(old.unionByName(child), edges, row("h1", "2020-01-01"), caps, new, row("h2", "2020-02-01"), "codex")
+    out, sources, credited = record.record_batch(old.unionByName(child), edges, row("h1", "2020-01-01"), caps, new, row("h2", "2020-02-01"), now, spark.createDataFrame([("f", "codex")], "file_path string, agent string"))
     assert {(r.number_val, r.is_stale, r.stale_reason) for r in out.collect()} == {(100.0, True, graph.MODIFIED), (200.5, True, graph.STALE_PARENT), (500.0, False, None), (200.0, False, None)}
     assert sources.first().content_hash == "h2" and credited.count() == 2
-    same, _, _ = record.record_batch(old.unionByName(child), edges, row("h1", "2020-01-01"), caps, new, row("h1", "2020-02-01"))
+    same, _, _ = record.record_batch(old.unionByName(child), edges, row("h1", "2020-01-01"), caps, new, row("h1", "2020-02-01"), now)
     assert same.filter("is_stale").count() == 0
 
 
+def test_record_a_renamed_file(spark):
+    """old.csv had 100 and 500 and is new.csv now, with 100 and 501: 100 stays fresh under both names, 500 goes stale, one source is left."""
+    docs = lambda path, text: extract(tables.texts(spark.createDataFrame([(path, text)], "p string, t string"), "p", "t"))
+    row = lambda i, path, h, at: spark.createDataFrame([(i, path, None, 1, h, at, "7:8")], SOURCE.replace("timestamp", "string")).withColumns({c: F.to_timestamp(c) for c in ("mtime", "last_checked_at")})
+    empty = {k: spark.createDataFrame([], v) for k, v in capture.STORE.items()}
+    at = lambda d: F.to_timestamp(F.lit(d))
+    nodes, sources, _ = record.record_batch(empty["nodes"], empty["edges"], empty["sources"], empty["captures"], docs("old.csv", "a,100\nb,500"), row(1, "old.csv", "h1", "2020-01-01"), at("2020-01-01"))
+    for new_id in (2, 1):  # a caller may also give the new path the id that it had
+        out, kept, _ = record.record_batch(nodes, empty["edges"], sources, empty["captures"], docs("new.csv", "a,100\nb,501"), row(new_id, "new.csv", "h2", "2020-02-01"), at("2020-02-01"))
+        assert [(r.source_id, r.file_path, r.content_hash) for r in kept.collect()] == [(new_id, "new.csv", "h2")]
+        assert sorted((r.number_val, r.is_stale, r.source_id) for r in out.collect()) == [(100.0, False, new_id), (100.0, False, new_id), (500.0, True, new_id), (501.0, False, new_id)]
+
+
+def test_disclosed_paths(spark):
+    paths = ["<stdin>", "./a.csv", "a/./b.csv", ".", "/p/a.csv", "/p/../x", "../x", "/q/a", "/p"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", relative_path(F.col("p"), "/p").alias("r"), absolute_path(F.col("p"), "/p").alias("a"))
+    assert {x.p: (x.r, x.a) for x in df.collect()} == {
+        "<stdin>": (None, None), "./a.csv": ("a.csv", "/p/./a.csv"), "a/./b.csv": ("a/b.csv", "/p/a/./b.csv"), ".": (None, "/p/."), "/p/a.csv": ("a.csv", "/p/a.csv"), "/p/../x": (None, "/p/../x"),
+        "../x": (None, "/p/../x"), "/q/a": (None, "/q/a"), "/p": (None, "/p"),
+    }
+
+
 def test_change_classes(spark):
     ts = "2020-01-01 00:00:00"
     rows = [(1, "same", ts, 1, "h", ts, "i"), (2, "gone", ts, 1, "h", ts, None), (3, "locked", ts, 1, "h", ts, None), (4, "touched", ts, 1, "h", ts, None), (5, "edited", ts, 1, "h", ts, None), (6, "old", ts, 1, "h", "2019-12-31 00:00:00", None), (7, "moved", ts, 1, "h", ts, "i"), (8, tables.VIRTUAL, ts, 1, "h", ts, None)]
@@ -37,12 +62,15 @@ def test_change_classes(spark):
     current = spark.createDataFrame([("same", ts, 1, None, None), ("locked", ts, 1, None, "denied"), ("touched", "2020-01-02 00:00:00", 1, None, None), ("edited", ts, 2, None, None), ("old", ts, 1, None, None), ("moved", ts, 1, "j", None)], "file_path string, mtime string, file_size long, identity string, read_error string").withColumn("mtime", F.to_timestamp("mtime"))
     first = detect.suspects(stored, current, now)
     assert {r.file_path for r in first.filter("must_read").collect()} == {"touched", "edited", "old", "moved"}
+    contents = spark.createDataFrame([(p, p) for p in ("same", "locked", "touched", "edited", "old")], "file_path string, content string")
+    assert {r.file_path for r in detect.hash_suspects(first, contents).collect()} == {"touched", "edited", "old"}
+    assert {r.file_path: r.status for r in detect.detect(stored.withColumn("content_hash", F.sha2(F.lit("touched"), 256)), current, contents, now).collect()}["touched"] == "VERIFIED_UNCHANGED"
     hashes = spark.createDataFrame([("touched", "h"), ("edited", "g"), ("old", "h"), ("same", "zzz")], "file_path string, content_hash string")
     got = {r.file_path: r.status for r in detect.classify(first, hashes).collect()}
     assert got == {"same": "UNCHANGED", "gone": "FILE_NOT_FOUND", "locked": "CHECK_FAILED", "touched": "VERIFIED_UNCHANGED", "edited": "CHANGED", "old": "VERIFIED_UNCHANGED", "moved": "CHECK_FAILED"}
 
 
-def test_files_gate_and_snapshots(spark, tmp_path):
+def test_files_gate_and_snapshots(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes(b"x 1\n")
     (tmp_path / "in" / "b.txt").write_bytes(b"\xff\xfe")
@@ -52,6 +80,12 @@ def test_files_gate_and_snapshots(spark, tmp_path):
     df = spark.range(3)
     tables.write_snapshot({"nodes": df, "edges": df.limit(1)}, f"{tmp_path}/store")
     tables.write_snapshot({"nodes": df.limit(2), "edges": df.limit(1)}, f"{tmp_path}/store")
+    (tmp_path / "store" / "v-000000000009").mkdir()  # another writer was first
+    with pytest.raises(Exception, match="(?i)exist"):
+        monkeypatch.setattr(tables, "versions", lambda *_: [8])
+        tables.write_snapshot({"nodes": df}, f"{tmp_path}/store")
+    monkeypatch.undo()
+    (tmp_path / "store" / "v-000000000009").rmdir()
     now = tables.read_snapshot(spark, f"{tmp_path}/store")
     assert set(now) == {"nodes", "edges"} and now["nodes"].count() == 2
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuegrain.operators.graph import DELETED, MODIFIED, invalidate_sources
+from valuegrain.sources.staging import stage
 from valuegrain.sources.tables import VIRTUAL
 
 #: Fixed value: a check older than this reads the content again whatever the metadata say.
@@ -25,6 +26,22 @@ def suspects(sources: DataFrame, current: DataFrame, now: Column) -> DataFrame:
     return joined.select("o.source_id", "o.file_path", F.col("o.content_hash").alias("old_hash"), F.col("c.file_path").isNotNull().alias("present"), "c.read_error", F.coalesce(metadata_differs() | forced, F.lit(False)).alias("must_read"))
 
 
+def hash_suspects(first: DataFrame, contents: DataFrame) -> DataFrame:
+    """(file_path, content_hash) of the suspects that can be read; no other content of (file_path, content) is hashed or shuffled.
+
+    The suspects are the small side, so the contents are met where they are read; only where suspects
+    are too many to be sent to every task does Spark join by path.
+    """
+    wanted = first.filter("must_read and present and read_error is null").select(F.col("file_path").alias("_w")).distinct()
+    return contents.join(wanted, F.col("file_path") == F.col("_w"), "left_semi").select("file_path", F.sha2("content", 256).alias("content_hash"))
+
+
+def detect(sources: DataFrame, current: DataFrame, contents: DataFrame, now: Column) -> DataFrame:
+    """Both tiers: (source_id, file_path, status, new_hash) of stored sources against current metadata and, for suspects, contents."""
+    first = stage(suspects(sources, current, now), "suspects")
+    return classify(first, hash_suspects(first, contents))
+
+
 def classify(first: DataFrame, hashes: DataFrame) -> DataFrame:
     """(source_id, file_path, status); ``hashes`` (file_path, content_hash) is needed for the suspects only."""
     joined = first.join(hashes.select(F.col("file_path").alias("_p"), "content_hash"), (F.col("file_path") == F.col("_p")) & F.col("must_read"), "left")

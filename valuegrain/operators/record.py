@@ -112,19 +112,53 @@ def vanished(old_roots: DataFrame, new_ids: DataFrame, changed: DataFrame) -> Da
     return fresh.join(new_ids.select(F.col("id").alias("_new")), F.col("id") == F.col("_new"), "left_anti")
 
 
-def record_batch(nodes: DataFrame, edges: DataFrame, sources: DataFrame, captures: DataFrame, new_roots: DataFrame, new_sources: DataFrame, agent: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, sources, captures) after a batch: vanished values go stale with what derives from them, then all is upserted.
+def known_as(new_sources: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, new_path, old_path, changed) of incoming sources that are stored, by path or else by file identity; inline content is none."""
+    matched = match_sources(new_sources.drop("source_id"), sources).filter(F.col("source_id").isNotNull() & (F.col("file_path") != VIRTUAL)).alias("n")
+    joined = matched.join(sources.alias("o"), F.col("n.source_id") == F.col("o.source_id"))
+    return joined.select("n.source_id", F.col("n.file_path").alias("new_path"), F.col("o.file_path").alias("old_path"), (~F.col("n.content_hash").eqNullSafe(F.col("o.content_hash"))).alias("changed"))
 
-    Recorded nodes are fresh again; stale descendants stay stale until derived anew.
+
+def merge_identities(sources: DataFrame, recorded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sources, moves): rows of the same file identity as one just recorded give way to it; moves (_from, _to) are their ids and its.
+
+    Of several recorded paths with one identity the last checked one stays.
+    """
+    known = sources.filter("identity is not null and identity <> '0:0'")
+    just = known.join(recorded.select(F.col("file_path").alias("_r")).distinct(), F.col("file_path") == F.col("_r"), "left_semi")
+    top = just.groupBy(F.col("identity").alias("_i")).agg(F.max_by(F.struct("source_id", "file_path"), F.struct("last_checked_at", "file_path")).alias("_top"))
+    lost = stage(known.join(top, F.col("identity") == F.col("_i")).filter(F.col("file_path") != F.col("_top.file_path")).select("file_path", F.col("source_id").alias("_from"), F.col("_top.source_id").alias("_to")), "lost")
+    return sources.join(lost.select(F.col("file_path").alias("_p")), F.col("file_path") == F.col("_p"), "left_anti"), lost.filter("_from <> _to").select("_from", "_to").distinct()
+
+
+def record_batch(
+    nodes: DataFrame, edges: DataFrame, sources: DataFrame, captures: DataFrame, values: DataFrame, new_sources: DataFrame, now: Column, agents: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, sources, captures) after a batch of extracted values (file_path, line, occurrence, value_kind, number_val, date_val).
+
+    Values that changed files no longer have go stale with what derives from them; a renamed file still has a value if it has it
+    under the old path. Then all is upserted, and sources of a recorded file's identity become one, their nodes its nodes.
+    Recorded nodes are fresh again; stale descendants stay stale until derived anew. ``agents`` (file_path, agent) are credited
+    with all values of the file. A new path's ``source_id`` must be no other path's.
     """
-    known = match_sources(new_sources.drop("source_id"), sources).filter("source_id is not null").alias("n")
-    changed = known.join(sources.alias("o"), F.col("n.source_id") == F.col("o.source_id")).filter((F.col("n.content_hash") != F.col("o.content_hash")) & (F.col("n.file_path") != VIRTUAL)).select(F.col("n.source_id").alias("source_id"))
-    gone = vanished(nodes, new_roots, changed).select("id", F.lit(MODIFIED).alias("reason"))
+    sources, new_sources, values = stage(sources, "sources"), stage(latest(new_sources, ["file_path"], "last_checked_at"), "recorded"), stage(values, "values")
+    known = stage(known_as(new_sources, sources), "known")
+    renamed = known.filter("changed and new_path <> old_path")
+    under_old = values.join(renamed, F.col("file_path") == F.col("new_path")).withColumn("file_path", F.col("old_path")).select(*values.columns)
+    incoming = roots_of(values.unionByName(under_old)).select("id")
+    gone = stage(vanished(nodes, incoming, known.filter("changed")).select("id", F.lit(MODIFIED).alias("reason")), "gone")
     marked = cascade(nodes, edges, gone)
+    merged, moves = merge_identities(stage(upsert_sources(sources, new_sources), "merged"), new_sources)
+    ids = merged.select(F.col("file_path").alias("_p"), F.col("source_id").alias("_id"))
+    roots = stage(roots_of(values).join(ids, F.col("file_path") == F.col("_p")), "roots")
+    new_roots = roots.withColumnsRenamed({"_id": "source_id"}).withColumns({"is_stale": F.lit(False), "stale_reason": F.lit(None).cast("string"), "created_at": now, "updated_at": now})
+    moved = marked.join(moves, F.col("source_id") == F.col("_from"), "left")
+    moved = moved.select(*[F.coalesce("_to", "source_id").alias(c) if c == "source_id" else F.col(c) for c in nodes.columns])
     credited = captures
-    if agent is not None:
-        credited = add_captures(captures, new_roots.select(F.col("id").alias("node_id"), F.lit(agent).alias("agent")))
-    return upsert_nodes(marked, new_roots.select(*nodes.columns)), upsert_sources(sources, new_sources), credited
+    if agents is not None:
+        own = roots.select("id", "file_path").join(agents.select(F.col("file_path").alias("_f"), "agent"), F.col("file_path") == F.col("_f"))
+        credited = add_captures(captures, own.select(F.col("id").alias("node_id"), "agent"))
+    return upsert_nodes(moved, new_roots.select(*nodes.columns)), merged, credited
 
 
 def integrity(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuegrain.functions.text import absolute_path, relative_path
+from valuegrain.functions.text import VIRTUAL, absolute_path, relative_path
 from valuegrain.functions.values import duration_id
 from valuegrain.operators import export, graph, status
 from valuegrain.plans import fixtures as fx
@@ -65,10 +65,11 @@ def q_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lineage(nodes, fx.edges(spark, sf_dir), asked(nodes)).select("root", "id", "depth", F.col("step").cast("bigint").alias("step"), F.array_join("parents", ",").alias("parents"))
 
 
-@query()
+@query(fx.ctes(ASKED, UP, PARENTS, STEPS) + f"""SELECT root, CAST(step AS BIGINT) AS step, CAST(json_object('id', s.id, 'node_type', node_type, 'value_kind', value_kind, 'value', {sql_value('n.')}, 'is_stale', false,
+    'parents', CASE WHEN parents IS NULL THEN CAST([] AS VARCHAR[]) ELSE string_split(parents, ',') END) AS VARCHAR) AS json FROM steps s JOIN fx_nodes n ON s.id = n.id LEFT JOIN parents p ON s.id = p.child_id""")
 def q_lineage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = fx.nodes(spark, sf_dir)
-    return export.lineage_json(graph.lineage(nodes, fx.edges(spark, sf_dir), asked(nodes)))
+    return export.lineage_json(graph.lineage(nodes, fx.edges(spark, sf_dir), asked(nodes))).withColumn("step", F.col("step").cast("bigint"))
 
 
 @query(fx.ctes(ASKED, UP) + "SELECT root, count(DISTINCT id) - 1 AS n_ancestors FROM walk GROUP BY root")
@@ -175,7 +176,8 @@ def q_graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.as_dot(fx.marked(spark, sf_dir), fx.edges(spark, sf_dir))
 
 
-@query()
+@query(fx.ctes(MARKED) + f"""SELECT 0 AS section, '' AS key, CAST(json_object('total', count(*), 'active', count(*) FILTER (WHERE NOT is_stale), 'stale', count(*) FILTER (WHERE is_stale)) AS VARCHAR) AS line FROM marked
+UNION ALL SELECT 1, id, CAST(json_object('id', id, 'value_kind', value_kind, 'value', {sql_value()}, 'reason', stale_reason) AS VARCHAR) FROM marked WHERE is_stale""")
 def q_status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.as_json(fx.marked(spark, sf_dir))
 
@@ -207,10 +209,13 @@ def _pathed(sources: DataFrame) -> DataFrame:
     return sources.withColumn("file_path", path)
 
 
-@query(fx.ctes() + """SELECT source_id, CASE WHEN source_id % 5 IN (0, 1) THEN file_path END AS relative,
-CASE source_id % 5 WHEN 0 THEN '/home/p/' || file_path WHEN 1 THEN '/home/p/' || file_path WHEN 2 THEN '/srv/' || file_path WHEN 4 THEN 'C:/' || file_path END AS absolute FROM fx_sources""")
+@query(fx.ctes() + """SELECT source_id, CASE WHEN source_id % 9 = 8 THEN NULL WHEN source_id % 9 = 7 OR source_id % 5 IN (0, 1) THEN file_path END AS relative,
+CASE WHEN source_id % 9 = 8 THEN NULL WHEN source_id % 9 = 7 THEN '/home/p/./' || file_path ELSE CASE source_id % 5 WHEN 0 THEN '/home/p/' || file_path WHEN 1 THEN '/home/p/' || file_path WHEN 2 THEN '/srv/' || file_path
+WHEN 3 THEN '/home/p/../' || file_path WHEN 4 THEN 'C:/' || file_path END END AS absolute FROM fx_sources""")
 def q_path_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _pathed(fx.sources(spark, sf_dir))
+    """Also inline content and paths that start with a dot."""
+    plain, m = fx.sources(spark, sf_dir), F.col("source_id") % 9
+    own = _pathed(plain).withColumn("file_path", F.when(m == 8, VIRTUAL).when(m == 7, F.concat(F.lit("./orders/"), F.col("source_id").cast("string"), F.lit(".csv"))).otherwise(F.col("file_path")))
     return own.select("source_id", relative_path(F.col("file_path"), "/home/p").alias("relative"), absolute_path(F.col("file_path"), "/home/p").alias("absolute"))
 
 

@@ -95,16 +95,18 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     current = stored.filter(m != 0).select(
         "file_path", F.when(m.isin(2, 3), F.col("mtime") + F.expr("interval 1 second")).otherwise(F.col("mtime")).alias("mtime"), F.when(m == 4, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("file_size"),
         F.when(m == 6, F.lit(None).cast("string")).otherwise(F.col("identity")).alias("identity"), F.when(m == 1, "permission denied").alias("read_error"),
-        F.when(m.isin(2, 4), F.sha2("content_hash", 256)).otherwise(F.col("content_hash")).alias("content_hash"),
     )
+    seconds = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    same = F.concat("o_orderstatus", seconds.cast("string"))
+    contents = tables.table(spark, sf_dir, "orders").select(_str("orders/", F.col("o_orderkey"), ".csv").alias("file_path"), F.when((F.col("o_orderkey") % 11).isin(2, 4), F.concat(same, F.lit("\n"))).otherwise(same).alias("content"))
     virtual = stored.limit(1).withColumns({"file_path": F.lit(tables.VIRTUAL), "source_id": F.lit(-1).cast("bigint")})
-    return stored.unionByName(virtual), current, current.select("file_path", "content_hash"), now
+    return stored.unionByName(virtual), current, contents, now
 
 
 @query(fx.ctes() + f"SELECT source_id, {STATUS} AS status FROM fx_sources")
 def q_change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, current, hashes, now = _snapshots(spark, sf_dir)
-    return detect.classify(detect.suspects(stored, current, now), hashes).select("source_id", "status")
+    stored, current, contents, now = _snapshots(spark, sf_dir)
+    return detect.detect(stored, current, contents, now).select("source_id", "status")
 
 
 @query(fx.ctes(f"verdicts AS (SELECT source_id, {STATUS} AS status FROM fx_sources)", "starts AS (SELECT id, CASE WHEN status = 'CHANGED' THEN 'SOURCE_FILE_MODIFIED' ELSE 'FILE_DELETED' END AS reason FROM fx_nodes n JOIN verdicts v ON n.source_id = v.source_id WHERE status IN ('CHANGED', 'FILE_NOT_FOUND'))",
@@ -112,23 +114,45 @@ def q_change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT 'node' AS kind, r.id, coalesce(s.reason, 'PARENT_NODE_STALE') AS state FROM reached r LEFT JOIN starts s ON r.id = s.id
 UNION ALL SELECT 'source', CAST(source_id AS VARCHAR), CASE WHEN status = 'CHECK_FAILED' THEN 'touched' ELSE 'refreshed' END FROM verdicts WHERE status IN ('CHANGED', 'VERIFIED_UNCHANGED', 'CHECK_FAILED')""")
 def q_sync_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, current, hashes, now = _snapshots(spark, sf_dir)
-    verdicts = stage(detect.classify(detect.suspects(stored, current, now), hashes), "verdicts")
+    stored, current, contents, now = _snapshots(spark, sf_dir)
+    verdicts = stage(detect.detect(stored, current, contents, now), "verdicts")
     nodes, own = detect.sync(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), stored, verdicts, current, now)
     checked = own.filter(F.col("last_checked_at") == now).join(verdicts.select("source_id", "status"), "source_id")
     state = F.when(F.col("status") == "CHECK_FAILED", "touched").otherwise("refreshed")
     return nodes.filter("is_stale").select(F.lit("node").alias("kind"), "id", F.col("stale_reason").alias("state")).unionByName(checked.select(F.lit("source").alias("kind"), F.col("source_id").cast("string").alias("id"), state.alias("state")))
 
 
-@query(fx.ctes(SUMS, "gone AS (SELECT id FROM old_roots WHERE k % 7 <> 0 AND k % 5 = 0 AND id NOT IN (SELECT id FROM new_roots))")
-    + """SELECT id, 'SOURCE_FILE_MODIFIED' AS reason FROM gone UNION SELECT 'E:' || k, 'PARENT_NODE_STALE' FROM old_roots WHERE n = 2 AND id IN (SELECT id FROM gone)""")
+#: Files recorded again under another path; their rows come with new ids.
+RENAMED, NEW_ID = "k % 11 = 3", 1_000_000_000
+_MOVED_ROOT = _root_sql(f"({NEW_PRICE})").replace("'orders/'", "'moved/'")
+
+
+@query(fx.ctes(SUMS, "gone AS (SELECT id FROM old_roots WHERE k % 7 <> 0 AND k % 5 = 0 AND id NOT IN (SELECT id FROM new_roots))", f"moved_roots AS (SELECT k, n, {_MOVED_ROOT} AS id FROM fx_lines WHERE k % 7 <> 0 AND {RENAMED})")
+    + f"""SELECT 'stale' AS kind, id, 'SOURCE_FILE_MODIFIED' AS state FROM gone WHERE id NOT IN (SELECT id FROM moved_roots) UNION SELECT 'stale', 'E:' || k, 'PARENT_NODE_STALE' FROM old_roots WHERE n = 2 AND id IN (SELECT id FROM gone)
+UNION SELECT 'source', CASE WHEN k % 7 <> 0 AND {RENAMED} THEN 'moved/' ELSE 'orders/' END || k || '.csv', CAST(CASE WHEN k % 7 <> 0 AND {RENAMED} THEN k + {NEW_ID} ELSE k END AS VARCHAR) FROM (SELECT source_id AS k FROM fx_sources)
+UNION SELECT 'rekeyed', id, CAST(k + {NEW_ID} AS VARCHAR) FROM old_roots WHERE k % 7 <> 0 AND {RENAMED} UNION SELECT 'rekeyed', id, CAST(k + {NEW_ID} AS VARCHAR) FROM moved_roots""")
 def q_record_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new, edges = _versions(spark, sf_dir)
+    """What goes stale, the sources afterwards, and the nodes that have another source than before; a ninth of the files is renamed."""
+    old, _, edges = _versions(spark, sf_dir)
     stored = fx.sources(spark, sf_dir)
-    again = stored.filter("source_id % 7 <> 0").withColumns({"content_hash": F.when(F.col("source_id") % 5 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")), "last_checked_at": F.to_timestamp(F.lit(T1))})
+    renamed = F.col("k") % 11 == 3
+    path = _str(F.when(renamed, "moved/").otherwise("orders/"), F.col("k"), ".csv")
+    again = stored.filter("source_id % 7 <> 0").withColumn("k", F.col("source_id")).withColumns({
+        "file_path": path, "source_id": F.when(renamed, F.col("k") + NEW_ID).otherwise(F.col("k")),
+        "content_hash": F.when(F.col("k") % 5 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")), "last_checked_at": F.to_timestamp(F.lit(T1)),
+    }).drop("k")
+    lines = fx.view(spark, sf_dir, "fx_lines").filter("k % 7 <> 0")
+    price = F.when((F.col("k") % 5 == 0) & (F.col("n") % 2 == 0), F.col("price") + 1).otherwise(F.col("price"))
+    values = lines.select(path.alias("file_path"), (F.col("n") + 1).cast("int").alias("line"), F.lit(0).alias("occurrence"), F.lit("NUMBER").alias("value_kind"), price.alias("number_val"), F.lit(None).cast("timestamp").alias("date_val"))
     none = spark.createDataFrame([], "node_id string, agent string")
-    nodes, _, _ = record.record_batch(old, edges, stored, none, new, again, "codex")
-    return nodes.filter("is_stale").select("id", F.col("stale_reason").alias("reason"))
+    agents = again.select("file_path", F.lit("codex").alias("agent"))
+    nodes, sources, _ = record.record_batch(old, edges, stored, none, values, again, F.to_timestamp(F.lit(T1)), agents)
+    nodes = stage(nodes, "recorded")
+    return (
+        nodes.filter("is_stale").select(F.lit("stale").alias("kind"), "id", F.col("stale_reason").alias("state"))
+        .unionByName(sources.select(F.lit("source").alias("kind"), F.col("file_path").alias("id"), F.col("source_id").cast("string").alias("state")))
+        .unionByName(nodes.filter(F.col("source_id") >= NEW_ID).select(F.lit("rekeyed").alias("kind"), "id", F.col("source_id").cast("string").alias("state")))
+    )
 
 
 FAULTS = ("TYPED_COLUMN", "NODE_TYPE", "LINE_NUMBER", "DERIVED_SOURCE", "NO_SOURCE")
@@ -250,11 +274,23 @@ def q_command_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", command_path(command).alias("path"))
 
 
-@query()
+_VALUE_ID = sql_digest("node_raw_", _PATH, "'1'", "'0'", "'NUMBER'", "CAST(event_id AS VARCHAR)")
+
+
+@query(f"""WITH {_KNOWN}, {_NORMAL}, top AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY user_id),
+    good AS (SELECT n.*, {_VALUE_ID} AS id FROM normal n JOIN top USING (user_id) WHERE event_id = e AND content IS NOT NULL AND phase = 'After' AND outcome IN ('CompletedResult', 'ExplicitSuccess') AND complete)
+SELECT 'value' AS kind, id, CAST(event_id AS VARCHAR) AS state FROM good UNION ALL SELECT 'capture', id, agent FROM good UNION ALL SELECT 'source', path, 'fresh' FROM good
+UNION ALL SELECT 'reject', CAST(event_id AS VARCHAR), 'MALFORMED' FROM own WHERE broken""")
 def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, run until nothing is left; one batch a run of files."""
+    """The events as a stream, run until nothing is left: values, attributions, sources and rejects of the store afterwards."""
     root = f"{shared_dir(prepared(spark))}/stream-{uuid.uuid4().hex}"
     _events(spark, sf_dir).select("event_id", "ts", "agent", "payload").write.parquet(f"{root}/in")
-    stored = stage(_stored(spark, sf_dir), "stored")
-    capture.start(capture.read_events(spark, f"{root}/in"), stored, f"{root}/out", f"{root}/log").awaitTermination()
-    return capture.recorded(spark, f"{root}/out")
+    files = stage(_stored(spark, sf_dir).select("file_path", F.to_timestamp(F.lit(T0)).alias("mtime"), F.lit(1).cast("bigint").alias("file_size"), "content_hash", F.col("file_path").alias("identity")), "files")
+    capture.start(capture.read_events(spark, f"{root}/in"), files, root, f"{root}/log", F.to_timestamp(F.lit(T1))).awaitTermination()
+    out = capture.recorded(spark, root)
+    fresh = out["nodes"].filter("not is_stale")
+    return (
+        fresh.select(F.lit("value").alias("kind"), "id", F.col("number_val").cast("bigint").cast("string").alias("state")).unionByName(out["captures"].select(F.lit("capture").alias("kind"), F.col("node_id").alias("id"), F.col("agent").alias("state")))
+        .unionByName(out["sources"].select(F.lit("source").alias("kind"), F.col("file_path").alias("id"), F.lit("fresh").alias("state")))
+        .unionByName(out["rejects"].select(F.lit("reject").alias("kind"), F.col("event_id").cast("string").alias("id"), F.col("reason").alias("state")))
+    )

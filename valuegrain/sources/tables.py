@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Inline content; its earlier values are never invalidated and it is never checked for changes.
-VIRTUAL = "<stdin>"
+from valuegrain.functions.text import VIRTUAL  # noqa: F401
+
 TABLES = ("sources", "nodes", "edges", "captures", "settings")
 
 
@@ -46,22 +47,43 @@ def number_format(explicit: Column, setting: Column) -> Column:
     return F.coalesce(known(explicit), known(setting), F.lit("auto"))
 
 
+def _path(spark: SparkSession, name: str) -> tuple:
+    """A path and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions, in order."""
+    path, fs = _path(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v-"))
+
+
 def write_snapshot(tables: dict[str, DataFrame], root: str) -> str:
-    """Write a table set to a new folder and then name it as the current one."""
-    name = f"v-{uuid.uuid4().hex}"
-    for k, df in tables.items():
-        df.write.parquet(f"{root}/{name}/{k}")
+    """Write a table set aside and then rename it to the next version, in one step.
+
+    Readers see all of a version or none of it. If another writer took the number first, the rename fails and so does the call.
+    """
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{root}/CURRENT")
+    aside = f"{root}/_aside-{uuid.uuid4().hex}"
+    for k, df in tables.items():
+        df.write.parquet(f"{aside}/{k}")
+    name = f"v-{(versions(spark, root) or [0])[-1] + 1:012d}"
+    sc = spark.sparkContext
+    (source, _), (target, _) = _path(spark, aside), _path(spark, f"{root}/{name}")
+    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), sc._jsc.hadoopConfiguration())
+    no_overwriting = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context.rename(source, target, no_overwriting)
     return name
 
 
 def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The current table set, all of one version."""
-    name = spark.read.text(f"{root}/CURRENT").first()[0]
+    """The current table set, all of one version; empty if there is none."""
+    known = versions(spark, root)
     reads = {}
-    for k in TABLES:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{k}")
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            reads[k] = spark.read.parquet(f"{root}/{name}/{k}")
+    for k in TABLES if known else ():
+        path, fs = _path(spark, f"{root}/v-{known[-1]:012d}/{k}")
+        if fs.exists(path):
+            reads[k] = spark.read.parquet(str(path))
     return reads

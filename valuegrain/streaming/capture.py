@@ -1,49 +1,100 @@
-"""Capture as a stream: events are normalised, gated and matched, their values recorded batch by batch."""
+"""Capture as a stream: events are normalised, gated and matched; each batch is recorded as one unit, or not at all.
+
+``files`` is what is on disk now: (file_path, mtime, file_size, content_hash, identity). The store is a folder of
+table sets (``sources.tables.write_snapshot``); a batch reads the last version and writes the next, so readers never
+see half a batch, and a batch that is tried again records the same rows over themselves.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from valuegrain.operators.extract import extract
-from valuegrain.operators.record import canonical_agent, roots_of, within_limit
-from valuegrain.streaming.events import eligible, normalise, snapshot_matches
+from valuegrain.operators.record import canonical_agent, record_batch, within_limit
+from valuegrain.sources.staging import stage
+from valuegrain.sources.tables import read_snapshot, write_snapshot
+from valuegrain.streaming.events import MAX_BYTES, eligible, normalise, snapshot_matches
 
 SCHEMA = "event_id long, ts timestamp, agent string, payload string"
+STORE = {
+    "nodes": "id string, node_type string, value_kind string, number_val double, date_val timestamp, duration_secs long, source_id long, line_number int, is_stale boolean, stale_reason string, created_at timestamp, updated_at timestamp",
+    "edges": "edge_id long, parent_id string, child_id string, operation string, expression string",
+    "sources": "source_id long, file_path string, mtime timestamp, file_size long, content_hash string, last_checked_at timestamp, identity string",
+    "captures": "node_id string, agent string",
+}
 
 
 def read_events(spark: SparkSession, folder: str, kind: str = "parquet") -> DataFrame:
     return spark.readStream.format(kind).schema(SCHEMA).load(folder)
 
 
-def captured(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """Eligible events whose content is the stored source's; works on a batch and on a stream (against a static table)."""
-    named = events.withColumn("_named", F.col("agent")).withColumn("agent", canonical_agent(F.col("agent")))
-    own = normalise(named.filter("_named is null or agent is not null").drop("_named"))
-    return snapshot_matches(own.filter(eligible()), sources).filter("matches")
+def _normalised(events: DataFrame) -> DataFrame:
+    """Events under their agents' canonical names; those of unknown agents have none but a name given."""
+    named = events.withColumn("named", F.col("agent")).withColumn("agent", canonical_agent(F.col("agent")))
+    return normalise(named)
+
+
+def _known() -> Column:
+    return F.col("named").isNull() | F.col("agent").isNotNull()
+
+
+def rejects(events: DataFrame) -> DataFrame:
+    """(event_id, reason) of events that can't be read: too large, of an unknown agent, or malformed."""
+    own = _normalised(events)
+    reason = F.when(F.octet_length("payload") > MAX_BYTES, "OVERSIZED").when(~_known(), "UNKNOWN_AGENT").when(F.col("phase").isNull(), "MALFORMED")
+    return own.select("event_id", reason.alias("reason")).filter("reason is not null")
+
+
+def captured(events: DataFrame, files: DataFrame) -> DataFrame:
+    """Eligible events whose content is the file's as it is now; works on a batch and on a stream (against a static table)."""
+    own = _normalised(events).filter(_known()).drop("named")
+    return snapshot_matches(own.filter(eligible()), files).filter("matches")
+
+
+def values_of(events: DataFrame, number_format: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(values, agents) of captured events: extracted values by file, and (file_path, agent).
+
+    A file's content is that of its last event. A file of which some value lies on a line that wasn't returned has no values.
+    """
+    last = events.groupBy("path").agg(F.max_by(F.struct("content", "n_lines"), F.struct("ts", "event_id")).alias("_last"), F.collect_set("agent").alias("agents"))
+    texts = stage(last.select(F.col("path").alias("file_path"), "_last.content", "_last.n_lines", "agents").withColumn("number_format", F.lit(number_format)), "texts")
+    found = within_limit(extract(texts.select("file_path", "content", "number_format"))).filter("kept").drop("kept")
+    values = stage(found, "values")
+    beyond = values.join(texts.select(F.col("file_path").alias("_p"), "n_lines"), (F.col("file_path") == F.col("_p")) & (F.col("line") > F.col("n_lines"))).select(F.col("file_path").alias("_b")).distinct()
+    whole = values.join(beyond, F.col("file_path") == F.col("_b"), "left_anti")
+    agents = texts.join(beyond, F.col("file_path") == F.col("_b"), "left_anti").select("file_path", F.explode("agents").alias("agent"))
+    return whole, agents
+
+
+def empty_store(spark: SparkSession) -> dict[str, DataFrame]:
+    return {k: spark.createDataFrame([], v) for k, v in STORE.items()}
 
 
-def values_of(events: DataFrame) -> DataFrame:
-    """Root nodes and agents of captured events: (id, ..., agent); repeats of an event add nothing."""
-    texts = events.select(F.concat_ws("\x1f", "path", F.sha2("content", 256)).alias("file_path"), "path", "content", F.lit("auto").alias("number_format"), "agent")
-    once = texts.dropDuplicates(["file_path", "agent"])
-    values = within_limit(extract(once.dropDuplicates(["file_path"]).select("file_path", "content", "number_format"))).filter("kept").drop("kept")
-    named = values.withColumn("_of", F.col("file_path")).withColumn("file_path", F.element_at(F.split("file_path", "\x1f"), 1))
-    roots = roots_of(named.select("file_path", "line", "occurrence", "value_kind", "number_val", "date_val"))
-    agents = once.select("path", "agent").distinct()
-    return roots.join(agents, F.col("file_path") == F.col("path")).drop("path").distinct()
+def record_events(events: DataFrame, files: DataFrame, store: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
+    """The store after the events, recorded as one batch. A new path's id is a digest of the path."""
+    values, agents = values_of(stage(captured(events, files), "captured"))
+    paths = agents.select(F.col("file_path").alias("_p")).distinct()
+    own = files.join(paths, F.col("file_path") == F.col("_p"), "left_semi")
+    sources = own.select(F.pmod(F.xxhash64("file_path"), F.lit(1 << 62)).alias("source_id"), "file_path", "mtime", "file_size", "content_hash", now.alias("last_checked_at"), "identity")
+    nodes, kept, captures = record_batch(store["nodes"], store["edges"], store["sources"], store["captures"], values, sources, now, agents)
+    return {"nodes": nodes, "edges": store["edges"], "sources": kept, "captures": captures}
 
 
-def start(events: DataFrame, sources: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Run what is there and stop. A batch writes its own folder, so one that is tried again replaces itself."""
+def start(events: DataFrame, files: DataFrame, root: str, checkpoint: str, now: Column | None = None) -> StreamingQuery:
+    """Run what is there and stop. Each batch writes the store's next version under ``root``/store, and what it refused under ``root``/rejects."""
 
     def record(batch: DataFrame, number: int) -> None:
-        values_of(captured(batch, sources)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        own = stage(batch, "batch")
+        rejects(own).write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
+        store = {**empty_store(spark), **read_snapshot(spark, f"{root}/store")}
+        write_snapshot(record_events(own, files, store, F.current_timestamp() if now is None else now), f"{root}/store")
 
     return events.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def recorded(spark: SparkSession, out: str) -> DataFrame:
-    """All batches as one keyed table: repeats across batches collapse."""
-    return spark.read.parquet(out).drop("batch").dropDuplicates(["id", "agent"])
+def recorded(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The store's last version, and the rejects of all batches."""
+    return {**read_snapshot(spark, f"{root}/store"), "rejects": spark.read.schema("event_id long, reason string").parquet(f"{root}/rejects").select("event_id", "reason")}
