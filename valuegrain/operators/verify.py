@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuegrain.functions import values as V
@@ -15,8 +15,8 @@ from valuegrain.sources.staging import stage
 OPERATIONS = ("EXPRESSION", "DATE_DIFF", "DURATION_SUM", "DURATION_AVG")
 AGGREGATES = ("DURATION_SUM", "DURATION_AVG")
 MAX_PARENTS = 26
-#: Distinct formulas that are translated in one plan; more are verified in several passes.
-BLOCK = 200
+#: Distinct formulas that become Columns of one plan; where there are more, all are translated in the tasks.
+BLOCK = 64
 
 
 def shape_faults(claims: DataFrame) -> DataFrame:
@@ -51,8 +51,17 @@ def with_parents(claims: DataFrame, nodes: DataFrame) -> DataFrame:
     return claims.join(grouped, F.col("claim_id") == F.col("_c"), "left").drop("_c")
 
 
+def coercion(parents: Column) -> Column:
+    """What a formula made of its temporal parents, as a text; null if it has none."""
+    has = lambda kind: F.exists(parents, lambda p: F.coalesce(p["value_kind"] == kind, F.lit(False)))
+    read = F.concat_ws(" and ", F.when(has("DATE"), "dates as seconds since 1970"), F.when(has("DURATION"), "durations as their seconds"))
+    return F.when(read != "", F.concat(F.lit("The formula reads "), read, F.lit("; its result is a number, not a duration.")))
+
+
 def verify(claims: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Claims with parents, ``status`` (OK, MISMATCH, INVALID_INPUT), ``message``, ``number`` and ``secs`` as computed.
+    """Claims with parents, ``status`` (OK, MISMATCH, INVALID_INPUT), ``message``, ``warning``, ``number`` and ``secs`` as computed.
+
+    The warning says which temporal parents a formula took for numbers; null where it took none.
 
     Claims are (claim_id, parent_ids, operation, expression, result, result_unit); a temporal claim
     without a result is computed and holds. Nothing is written.
@@ -62,12 +71,14 @@ def verify(claims: DataFrame, nodes: DataFrame) -> DataFrame:
         "missing": F.exists("parents", lambda p: p["value_kind"].isNull()),
         "as_number": F.transform("parents", lambda p: F.coalesce(p["number_val"], F.unix_seconds(p["date_val"]).cast("double"), p["duration_secs"].cast("double"))),
     })
-    formulas = [r[0] for r in own.filter("operation = 'EXPRESSION'").select("expression").distinct().toLocalIterator()]
-    number, known = F.lit(None).cast("double"), F.lit(False)
-    for at in range(0, len(formulas), BLOCK):
-        value, fits = formula.evaluate(formulas[at : at + BLOCK], F.col("expression"), F.col("as_number"))
-        own = own.withColumns({"_number": value if at == 0 else F.coalesce("_number", value), "_known": fits if at == 0 else F.col("_known") | fits})
-        number, known = F.col("_number"), F.col("_known")
+    own = stage(own, "claims")
+    few = [r[0] for r in own.filter("operation = 'EXPRESSION'").select("expression").distinct().limit(BLOCK + 1).collect()]
+    if len(few) <= BLOCK:
+        value, fits = formula.evaluate(few, F.col("expression"), F.col("as_number"))
+        own = own.withColumns({"_number": value, "_known": fits})
+    else:
+        own = formula.evaluate_in_tasks(own, "expression", "as_number", "_number", "_known")
+    number, known = F.col("_number"), F.col("_known")
     secs_of = F.transform("parents", lambda p: p["duration_secs"])
     total = F.aggregate(secs_of, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x.cast("decimal(19,0)")).cast("decimal(38,0)"))
     in_range = F.when(F.abs(total) <= V.CLAIM_SECONDS, total)
@@ -87,11 +98,11 @@ def verify(claims: DataFrame, nodes: DataFrame) -> DataFrame:
     done = own.withColumns({"fault": fault, "holds": holds})
     judged = done.select(
         *claims.columns, "parents", "number", "secs", F.when(F.col("fault").isNotNull(), "INVALID_INPUT").when(F.col("holds"), "OK").otherwise("MISMATCH").alias("status"),
-        F.coalesce("fault", F.when(F.col("holds"), "").otherwise("VALUE")).alias("message"),
+        F.coalesce("fault", F.when(F.col("holds"), "").otherwise("VALUE")).alias("message"), F.when(expression, coercion(F.col("parents"))).alias("warning"),
     )
     refused = checked.filter("fault is not null").select(
         *claims.columns, F.lit(None).cast(judged.schema["parents"].dataType).alias("parents"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("bigint").alias("secs"),
-        F.lit("INVALID_INPUT").alias("status"), F.col("fault").alias("message"),
+        F.lit("INVALID_INPUT").alias("status"), F.col("fault").alias("message"), F.lit(None).cast("string").alias("warning"),
     )
     return judged.unionByName(refused)
 

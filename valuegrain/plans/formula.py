@@ -2,20 +2,27 @@
 
 The grammar is closed: decimals, the letters a to z for parents 0 to 25, ``+ - * / % ^`` and parentheses.
 Usual precedence: power binds tighter than a sign and to the right, the others to the left; division is
-a float's, and an undefined result is null. A formula is translated once however many claims use it.
+a float's, and an undefined result is null. A formula is translated once however many claims use it:
+into a Column while there are few formulas, else in the tasks that have its claims.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 import re
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Limits of an admitted formula.
 MAX_BYTES, MAX_DEPTH, MAX_PARENTS = 4096, 256, 26
+#: Translated formulas that a task remembers.
+MOST_REMEMBERED = 10_000
 _TOKEN = re.compile(r"\s*(?:((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)|([a-z])(?![A-Za-z0-9_])|(.))", re.S)
 _LEVELS = ("+-", "*/%")
 
@@ -46,21 +53,73 @@ def names(text: str) -> set[int]:
     return {ord(t) - 97 for t in tokenise(text) if len(t) == 1 and "a" <= t <= "z"}
 
 
-def _apply(op: str, x: Column, y: Column) -> Column:
-    if op == "/":
-        return F.try_divide(x, y)
-    if op == "%":
-        return F.when(y != 0, F.try_mod(x, y))
-    return {"+": x + y, "-": x - y, "*": x * y, "^": F.pow(x, y)}[op]
+class OfColumns:
+    """Formulas over an array column of doubles."""
 
+    def __init__(self, parents: Column):
+        self.parents = parents
 
-def to_column(text: str, parents: Column) -> Column:
-    """The formula over an array of doubles."""
+    def number(self, x: float) -> Column:
+        return F.lit(x)
+
+    def parent(self, i: int) -> Column:
+        return F.get(self.parents, F.lit(i))
+
+    def minus(self, x: Column) -> Column:
+        return -x
+
+    def apply(self, op: str, x: Column, y: Column) -> Column:
+        if op == "/":
+            return F.try_divide(x, y)
+        if op == "%":
+            return F.when(y != 0, F.try_mod(x, y))
+        return {"+": x + y, "-": x - y, "*": x * y, "^": F.pow(x, y)}[op]
+
+
+Function = Callable[[list[float]], float]
+
+
+class OfFunctions:
+    """The same formulas as functions of a list of doubles; what is undefined is NaN."""
+
+    def number(self, x: float) -> Function:
+        return lambda p: x
+
+    def parent(self, i: int) -> Function:
+        return lambda p: p[i]
+
+    def minus(self, x: Function) -> Function:
+        return lambda p: -x(p)
+
+    def apply(self, op: str, x: Function, y: Function) -> Function:
+        own = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": _divided, "%": _rest, "^": _power}[op]
+        return lambda p: own(x(p), y(p))
+
+
+def _divided(x: float, y: float) -> float:
+    return x / y if y else math.nan
+
+
+def _rest(x: float, y: float) -> float:
+    return math.fmod(x, y) if y and math.isfinite(x) else math.nan
+
+
+def _power(x: float, y: float) -> float:
+    try:
+        return math.pow(x, y)
+    except OverflowError:
+        return math.inf
+    except ValueError:
+        return math.inf if x == 0 else math.nan
+
+
+def translated(text: str, algebra: OfColumns | OfFunctions) -> Column | Function:
+    """The formula in an algebra."""
     if not admitted(text):
         raise FormulaError("empty, too long or too deep")
     rest = tokenise(text)[::-1]
 
-    def atom() -> Column:
+    def atom() -> Column | Function:
         if not rest:
             raise FormulaError("it ends too early")
         t = rest.pop()
@@ -70,25 +129,25 @@ def to_column(text: str, parents: Column) -> Column:
                 raise FormulaError("a parenthesis isn't closed")
             return inner
         if "a" <= t <= "z":
-            return F.get(parents, F.lit(ord(t) - 97))
+            return algebra.parent(ord(t) - 97)
         if t in "+-*/%^)":
             raise FormulaError(f"unexpected {t!r}")
-        return F.lit(float(t))
+        return algebra.number(float(t))
 
-    def signed() -> Column:
+    def signed() -> Column | Function:
         if rest and rest[-1] in "+-":
-            return -signed() if rest.pop() == "-" else signed()
+            return algebra.minus(signed()) if rest.pop() == "-" else signed()
         base = atom()
         if rest and rest[-1] == "^":
             rest.pop()
-            return F.pow(base, signed())
+            return algebra.apply("^", base, signed())
         return base
 
-    def chain(level: int) -> Column:
+    def chain(level: int) -> Column | Function:
         part = signed if level + 1 == len(_LEVELS) else lambda: chain(level + 1)
         left = part()
         while rest and rest[-1] in _LEVELS[level]:
-            left = _apply(rest.pop(), left, part())
+            left = algebra.apply(rest.pop(), left, part())
         return left
 
     out = chain(0)
@@ -97,6 +156,38 @@ def to_column(text: str, parents: Column) -> Column:
     return out
 
 
+def to_column(text: str, parents: Column) -> Column:
+    """The formula over an array of doubles."""
+    return translated(text, OfColumns(parents))
+
+
+def evaluate_in_tasks(claims: DataFrame, expression: str, parents: str, value: str, known: str) -> DataFrame:
+    """As ``evaluate`` for any number of distinct formulas: each task translates those of its own rows, and remembers the last ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lru_cache(MOST_REMEMBERED)(_function)
+        for batch in batches:
+            values, fits = [], []
+            for text, own in zip(batch.column(expression).to_pylist(), batch.column(parents).to_pylist()):
+                function, n_used, highest = made(text) if text is not None else (None, 0, -1)
+                good = function is not None and own is not None and len(own) > highest and len(own) == n_used
+                x = function([math.nan if p is None else p for p in own]) if good else math.nan
+                values.append(x if math.isfinite(x) else None)
+                fits.append(good)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64()), pa.array(fits, pa.bool_())], names=[*batch.schema.names, value, known])
+
+    return claims.mapInArrow(run, T.StructType([*claims.schema.fields, T.StructField(value, T.DoubleType()), T.StructField(known, T.BooleanType())]))
+
+
+def _function(text: str) -> tuple[Function | None, int, int]:
+    """(function, parents used, the highest of them); no function for text outside the grammar."""
+    try:
+        used = names(text)
+        return translated(text, OfFunctions()), len(used), max(used, default=-1)
+    except FormulaError:
+        return None, 0, -1
+
+
 def evaluate(formulas: Iterable[str], expression: Column, parents: Column) -> tuple[Column, Column]:
     """(value, admitted) of a row's formula among the distinct ones given; formulas outside the grammar aren't admitted."""
     value, known = F.lit(None).cast("double"), F.lit(False)
