@@ -62,21 +62,35 @@ def unit_seconds(unit: Column) -> Column:
 
 
 def unit_display(secs: Column, unit: Column) -> Column:
-    """struct(decimal, approximate, text): twelve decimals, half up; ``approximately`` where that isn't exact."""
-    scale = unit_seconds(unit)
-    a = F.abs(secs)
-    scaled = (a % scale).cast("decimal(38,0)") * F.lit(10**12).cast("decimal(38,0)")
-    exact = scaled % scale == 0
-    fraction = F.floor((scaled.cast("decimal(38,0)") + F.when(exact, F.lit(0)).otherwise(F.floor(scale / 2)).cast("decimal(38,0)")).cast("decimal(30,0)") / scale.cast("decimal(8,0)"))
-    carry = fraction == 10**12
-    whole = (F.floor(a / scale) + F.when(carry, 1).otherwise(0)).cast("bigint")
-    digits = F.rtrim(F.lpad(fraction.cast("decimal(13,0)").cast("string"), 12, "0"), F.lit("0"))
-    plain = F.when((fraction == 0) | carry, whole.cast("string")).otherwise(F.concat(whole.cast("string"), F.lit("."), digits))
-    decimal = F.when((secs < 0) & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
-    one = (whole == 1) & ((fraction == 0) | carry)
-    label = F.when(one, F.regexp_replace(unit, "s$", "")).otherwise(unit)
-    text = F.concat(F.when(exact, F.lit("")).otherwise(F.lit("approximately ")), decimal, F.lit(" "), label)
-    return F.when(scale.isNotNull(), F.struct(decimal.alias("decimal"), (~exact).alias("approximate"), text.alias("text")))
+    """struct(decimal, approximate, text): twelve decimals, half up; ``approximately`` where that isn't exact.
+
+    Below a unit there are at most 604,799 seconds, so the rest times 10^12 fits 63 bits and no decimal is needed.
+    """
+
+    def of_parts(x: Column) -> Column:
+        scaled = x["rest"] * F.lit(10**12)
+        exact = scaled % x["scale"] == 0
+        up = F.when(exact, F.lit(0)).otherwise(F.floor(x["scale"] / 2))
+        total = scaled + up
+        return F.struct(x["secs"].alias("secs"), x["unit"].alias("unit"), x["whole"].alias("whole"), exact.alias("exact"), ((total - total % x["scale"]) / x["scale"]).cast("decimal(20,0)").cast("bigint").alias("fraction"))
+
+    def of_fraction(x: Column) -> Column:
+        carry = x["fraction"] == 10**12
+        return F.struct(x["secs"].alias("secs"), x["unit"].alias("unit"), x["exact"].alias("exact"), (x["whole"] + carry.cast("bigint")).alias("whole"), F.when(carry, F.lit(0)).otherwise(x["fraction"]).alias("fraction"))
+
+    def of_text(x: Column) -> Column:
+        digits = F.rtrim(F.lpad(x["fraction"].cast("string"), 12, "0"), F.lit("0"))
+        plain = F.when(x["fraction"] == 0, x["whole"].cast("string")).otherwise(F.concat(x["whole"].cast("string"), F.lit("."), digits))
+        one = (x["whole"] == 1) & (x["fraction"] == 0)
+        return F.struct(x["exact"].alias("exact"), F.when((x["secs"] < 0) & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain).alias("decimal"), F.when(one, F.regexp_replace(x["unit"], "s$", "")).otherwise(x["unit"]).alias("label"))
+
+    def shown(x: Column) -> Column:
+        text = F.concat(F.when(x["exact"], F.lit("")).otherwise(F.lit("approximately ")), x["decimal"], F.lit(" "), x["label"])
+        return F.struct(x["decimal"].alias("decimal"), (~x["exact"]).alias("approximate"), text.alias("text"))
+
+    scale, a = unit_seconds(unit), F.abs(secs)
+    parts = F.struct(secs.alias("secs"), unit.alias("unit"), scale.alias("scale"), (a % scale).alias("rest"), F.floor(a / scale).cast("bigint").alias("whole"))
+    return F.when(scale.isNotNull(), _let(_let(_let(_let(parts, of_parts), of_fraction), of_text), shown))
 
 
 def claim_seconds(lexeme: Column, unit: Column) -> Column:

@@ -68,7 +68,7 @@ _SHOWN = """shown AS (SELECT k, n, secs, unit, scale, CAST(abs(secs) % scale AS
 ), plain AS (SELECT *, CASE WHEN f = 0 THEN CAST(whole AS VARCHAR) ELSE whole || '.' || rtrim(lpad(CAST(f AS VARCHAR), 12, '0'), '0') END AS p FROM digits)"""
 
 
-@query(fx.ctes(f"mixed AS (SELECT k, n, CAST({_MIXED} AS BIGINT) AS secs FROM fx_gaps WHERE k % 5 = 0)", _UNITS, _SHOWN) + """
+@query(fx.ctes(f"mixed AS (SELECT k, n, CAST({_MIXED} AS BIGINT) AS secs FROM fx_gaps)", _UNITS, _SHOWN) + """
 SELECT k, n, unit, CASE WHEN secs < 0 AND p <> '0' THEN '-' || p ELSE p END AS decimal, NOT exact AS approximate,
 CASE WHEN exact THEN '' ELSE 'approximately ' END || CASE WHEN secs < 0 AND p <> '0' THEN '-' || p ELSE p END || ' ' || CASE WHEN whole = 1 AND f = 0 THEN rtrim(unit, 's') ELSE unit END AS text FROM plain""")
 def q_duration_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,13 +260,14 @@ def q_extract_auto_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT 'orders/' || o_orderkey AS file_path, 1 AS line, 1 AS occurrence, CAST({_CENTS} AS BIGINT) AS cents FROM orders WHERE o_orderkey % 2 = 1 OR {_CENTS} >= 100000
+UNION ALL SELECT 'orders/' || o_orderkey, 1, 1, {_CENTS} // 100 * 100 FROM orders WHERE o_orderkey % 2 = 0 AND {_CENTS} < 100000
+UNION ALL SELECT 'orders/' || o_orderkey, 1, 2, {_CENTS} % 100 * 100 FROM orders WHERE o_orderkey % 2 = 0 AND {_CENTS} < 100000
 UNION ALL SELECT 'orders/' || o_orderkey, 2, 0, (o_orderkey % 1000) * 100 FROM orders""")
 def q_extract_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts below 1,000 in the convention with a decimal comma are left out: nothing tells them from two numbers."""
-    big = F.regexp_replace("file_path", "orders/", "").cast("bigint") % 2 == 1
+    """Amounts below 1,000 in the convention with a decimal comma are two numbers: nothing in their text tells otherwise."""
     out = extract.extract(_rendered(spark, sf_dir)).filter("value_kind = 'NUMBER'")
     cents = F.round(F.col("number_val") * 100).cast("bigint")
-    return out.filter((F.col("line") == 2) | big | (cents >= 100000)).select("file_path", "line", "occurrence", cents.alias("cents"))
+    return out.select("file_path", "line", "occurrence", cents.alias("cents"))
 
 
 @query("""SELECT 'nation/' || c_nationkey AS file_path, count(*) AS n_values, count(*) FILTER (WHERE nth <= 40) AS n_kept FROM (
