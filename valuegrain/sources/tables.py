@@ -78,11 +78,11 @@ def write_snapshot(tables: dict[str, DataFrame], root: str) -> str:
     return name
 
 
-def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def read_snapshot(spark: SparkSession, root: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
     """The current table set, all of one version; empty if there is none."""
     known = versions(spark, root)
     reads = {}
-    for k in TABLES if known else ():
+    for k in names if known else ():
         path, fs = _path(spark, f"{root}/v-{known[-1]:012d}/{k}")
         if fs.exists(path):
             reads[k] = spark.read.parquet(str(path))
