@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valuegrain.sources import staging
-from valuegrain.sources.staging import drop_stage  # noqa: F401  for the operators
+from valuegrain.sources.staging import drop_stage, shared_dir  # noqa: F401  for the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

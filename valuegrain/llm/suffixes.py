@@ -8,9 +8,11 @@ at equal offsets, and about one suffix in ``SPREAD / 2`` bytes is kept. Each has
 fingerprint of the ``DEPTH`` bytes that all its strings share), the range of starts filed there, and a
 digest of all bytes that those strings cover.
 
-Family: documents come in batches. A batch's suffixes are sorted into a suffix array (a run, range-partitioned by key), merge-scanned
-against each existing level for equal keys, and then joins the family: while a level of the same size
-exists, the two merge into one of twice the size, so a suffix is rewritten a logarithmic number of times.
+Family: documents come in batches. A batch's suffixes become a suffix array (a run: the distinct suffixes with their numbers, in
+buckets of keys, sorted in each), which is merge-scanned against each existing level for equal keys and then joins the family:
+while a level of the same size exists, the two merge into one of twice the size, so a suffix is rewritten a logarithmic number of
+times. Levels lie in a folder and outlive the session: a later batch meets what earlier ones left. All have the same buckets, so
+scans and merges read them bucket by bucket, in order, and shuffle nothing; only a batch itself is shuffled, counted beforehand.
 
 Verdicts: where two suffixes agree in key and digest, all strings filed there are repeated. Where only keys
 agree, the ranges of every undecided suffix, and of one suffix for each distinct digest under the same key, are
@@ -18,22 +20,25 @@ cut into parts of ``STEP`` starts that are compared in the same way; what is sti
 by string (128 bits) and counted. Only texts with suffixes found again are shuffled.
 
 Rows with the same key and text share one identity but count as two occurrences. Defined cases: null is the
-empty text; texts under ``LENGTH`` bytes lose nothing; repeated bytes within a text count; an empty table gives an empty result.
+empty text; texts of any length are read whole; columns other than key and text are not read; texts under ``LENGTH`` bytes lose nothing; repeated bytes within a text count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valuegrain.llm import common as C
+from valuegrain.sources import tables
 
 LENGTH, GRAM, SPREAD = 400, 16, 200
 DEPTH = LENGTH - SPREAD + 1
@@ -127,34 +132,101 @@ def with_suffixes(docs: DataFrame) -> DataFrame:
     return out.select(*C.unpack(out, "_key", "_hash"), F.explode("s").alias("s")).select("_key", "_hash", "s.*")
 
 
-def run_of(rows: DataFrame) -> DataFrame:
-    """A suffix array: distinct (key, digest) with how often, sorted by key over ranges of keys."""
-    counted = rows.groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n"))
-    return C.stage(counted.repartitionByRange(*KEY).sortWithinPartitions(*KEY, *DIGEST), "run")
+RUN = "head long, print long, d1 long, d2 long, n long"
 
 
-def repeated_within(run: DataFrame) -> DataFrame:
-    return run.groupBy(*KEY).agg(F.sum("n").alias("n")).filter("n > 1").select(*KEY)
-
-
-def met_with(run: DataFrame, level: DataFrame) -> DataFrame:
-    """Merge-scan: keys of a run that a level has too."""
-    return run.select(*KEY).distinct().hint("merge").join(level.select(*KEY), KEY, "left_semi")
+class Family:
+    """The levels in a folder: distinct (key, digest) with how often, bucketed and sorted by key.
 
+    What the folder's last version names is the family; a batch writes new levels beside it and then the next version.
+    """
 
-def add(family: dict[int, DataFrame], rows: DataFrame) -> tuple[dict[int, DataFrame], list[DataFrame]]:
-    """File one more batch: the new family by level, and the keys found again (staged tables)."""
-    run = run_of(rows)
-    met = [C.stage(repeated_within(run), "met"), *[C.stage(met_with(run, level), "met") for level in family.values()]]
-    family, k = dict(family), 0
-    while k in family:
-        old = family.pop(k)
-        merged = run_of(run.unionByName(old))
-        C.drop_stage(run)
-        C.drop_stage(old)
-        run, k = merged, k + 1
-    family[k] = run
-    return family, met
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder
+        stored = tables.read_snapshot(spark, f"{folder}/versions", ("levels",))
+        rows = stored["levels"].collect() if stored else []  # one for each level
+        self.buckets = rows[0]["buckets"] if rows else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.paths: dict[str, str] = {}
+        self.levels = {r["level"]: self._known(r["path"]) for r in rows}
+
+    def _name(self, path: str = "") -> str:
+        name = f"suffixes_{uuid.uuid4().hex}"
+        self.paths[name] = path or f"{self.folder}/{name}"
+        return name
+
+    def _known(self, path: str) -> str:
+        """A table's name for the files of a level written earlier."""
+        name = self._name(path)
+        columns = ", ".join(f"`{c.split()[0]}` BIGINT" for c in RUN.split(", "))
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (head, print) SORTED BY (head, print) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return name
+
+    def write(self, rows: DataFrame) -> str:
+        """A table of rows that are in their buckets."""
+        name = self._name()
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.paths[name]).option("compression", "zstd").format("parquet").saveAsTable(name)
+        return name
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(name)
+
+    def drop(self, name: str) -> None:
+        C.drop_stage(self.spark.table(name))
+        self.spark.sql(f"DROP TABLE {name}")
+
+    def all_levels(self) -> DataFrame:
+        """Distinct (key, digest) of each level, counted in each."""
+        return union([self.read(name) for name in self.levels.values()])
+
+    def merged(self, *runs: str) -> str:
+        """One table of several; buckets stay where they are."""
+        return self.write(union([self.read(r) for r in runs]).groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n")))
+
+    def met(self, run: str) -> str:
+        """The run's keys that occur again, in it or in a level: each level is merge-scanned in the order of the keys."""
+        own = self.read(run).groupBy(*KEY).agg(F.sum("n").alias("n"))
+        found = [own.filter("n > 1").select(*KEY)]
+        found += [own.select(*KEY).hint("merge").join(self.read(level).select(*KEY), KEY, "left_semi") for level in self.levels.values()]
+        return self.write(union(found).distinct())
+
+    def add(self, rows: DataFrame) -> str:
+        """File one more batch of (key, digest, n); the table of its keys found again."""
+        counted = rows.groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n"))
+        run = self.write(counted.repartition(self.buckets, *KEY))
+        with in_order(self.spark):
+            met = self.met(run)
+            levels, k, old = dict(self.levels), 0, []
+            while k in levels:
+                old += [run, levels[k]]
+                run, k = self.merged(run, levels.pop(k)), k + 1
+        levels[k] = run
+        entries = [(level, self.paths[name], self.buckets) for level, name in levels.items()]
+        tables.write_snapshot({"levels": self.spark.createDataFrame(entries, "level int, path string, buckets int").coalesce(1)}, f"{self.folder}/versions")
+        self.levels = levels
+        for name in old:
+            self.drop(name)
+        return met
+
+    def close(self, keep: bool = True) -> None:
+        """Forget the levels' names; without ``keep`` their files go too."""
+        for name in self.levels.values():
+            if keep:
+                self.spark.sql(f"DROP TABLE {name}")
+            else:
+                self.drop(name)
+        self.levels = {}
+
+
+@contextmanager
+def in_order(spark: SparkSession) -> Iterator[None]:
+    """Scans of buckets that are one sorted file each count as sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
@@ -201,24 +273,12 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def family_of(rows: DataFrame, batches: int = BATCHES) -> tuple[dict[int, DataFrame], DataFrame]:
-    """The family after all batches of staged suffix rows, and the keys that occur more than once."""
-    family: dict[int, DataFrame] = {}
-    met: list[DataFrame] = []
-    for b in range(batches):
-        own = rows.filter(F.pmod(F.xxhash64("_key", "_hash"), F.lit(batches)) == b).select(*KEY, *DIGEST, F.lit(1).cast("long").alias("n"))
-        family, found = add(family, own)
-        met += found
-    return family, union(met).distinct()
-
-
 def decided(entries: DataFrame, known: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(repeated, undecided, partners) of entries with key, digest and ``place``.
 
-    ``known`` counts distinct (key, digest). Entries whose key occurs once are dropped: none of their strings is repeated.
+    ``known`` (staged) counts distinct (key, digest). Entries whose key occurs once are dropped: none of their strings is repeated.
     """
-    totals = known.groupBy(*KEY).agg(F.min("n").alias("least"), F.sum("n").alias("total"))
-    totals = C.stage(totals.filter("total > 1"), "least")
+    totals = known.groupBy(*KEY).agg(F.min("n").alias("least"), F.sum("n").alias("total")).filter("total > 1")
     known = C.stage(known.join(totals, KEY).select(*KEY, *DIGEST, "n", (F.col("least") == 1).alias("contested")), "known")
     found = C.stage(entries.join(known, [*KEY, *DIGEST]), "repeated")
     partner = found.filter("contested and n > 1").groupBy(*KEY, *DIGEST).agg(F.min(F.struct(*place)).alias("p")).select("p.*")
@@ -227,14 +287,18 @@ def decided(entries: DataFrame, known: DataFrame, place: list[str]) -> tuple[Dat
 
 def texts_of(docs: DataFrame, batches: int) -> DataFrame:
     """(row, key, hash, text, sure, todo) of the texts with suffixes found again. ``docs`` has _key, _hash, _own."""
+    spark = docs.sparkSession
     rows = C.stage(with_suffixes(docs), "suffixes")
-    family, met = family_of(rows, batches)
-    levels = union(list(family.values())).join(met, KEY, "left_semi")
-    known = C.stage(levels.groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n")), "counts")
-    for level in family.values():
-        C.drop_stage(level)
-    place = ["_key", "_hash", "low", "high", "anchor"]
-    sure, undecided, partner = decided(rows, known, place)
+    family = Family(spark, f"{C.shared_dir(spark)}/family-{uuid.uuid4().hex}")
+    met = [family.add(rows.filter(F.pmod(F.xxhash64("_key", "_hash"), F.lit(batches)) == b).select(*KEY, *DIGEST, F.lit(1).cast("long").alias("n"))) for b in range(batches)]
+    with in_order(spark):
+        again = union([family.read(m) for m in met]).distinct()
+        known = family.write(family.all_levels().hint("merge").join(again, KEY, "left_semi").groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n")))
+        place = ["_key", "_hash", "low", "high", "anchor"]
+        sure, undecided, partner = decided(rows, family.read(known), place)
+    for name in (*met, known):
+        family.drop(name)
+    family.close(keep=False)
     C.drop_stage(rows)
     own = lambda df, is_sure, is_open: df.select("_key", "_hash", F.lit(is_sure).alias("is_sure"), F.struct("low", "high", "anchor", F.lit(is_open).alias("open")).alias("s"))
     tagged = own(sure, True, False).unionByName(own(undecided, False, True)).unionByName(own(partner, False, False))
@@ -266,7 +330,7 @@ def with_removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(key, hash, n_removed, n_spans, kept_sha256, runs) of each distinct text that loses bytes. ``docs`` has _key, _hash, _own."""
     texts = texts_of(docs, batches)
     cut = C.stage(parts(texts), "parts")
-    known = cut.groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n"))
+    known = C.stage(cut.groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n")), "counts")
     sure, undecided, partner = decided(cut.drop("n"), known, ["row", "low", "high"])
     undecided = undecided.filter("open")
     each = undecided.select("row", "low", "high", F.lit(True).alias("open")).unionByName(partner.withColumn("open", F.lit(False)))
