@@ -252,12 +252,23 @@ def test_suffix_dedup(spark, prose):
     assert sum(w[2] > 0 for w in want) > 10 and suffixes.judge(docs_of(spark, []), batches=2).count() == 0
 
 
-def test_family_merges_geometrically(spark):
-    rows = [spark.createDataFrame([(k, k, k, k, 1), (99, 99, b, b, 1)], "head long, print long, d1 long, d2 long, n long") for b, k in enumerate(range(4))]
-    family = {}
-    met = []
-    for r in rows:
-        family, found = suffixes.add(family, r)
-        met += found
-    assert sorted(family) == [2] and {r.head for m in met for r in m.collect()} == {99}
-    assert family[2].agg(F.sum("n")).first()[0] == 8
+def test_family_merges_geometrically_and_outlives_the_session(spark, tmp_path):
+    batches = [spark.createDataFrame([(k, k, k, k, 1), (99, 99, b, b, 1), (7, b, 1, 1, 2)], suffixes.RUN) for b, k in enumerate(range(100, 107))]
+    met, levels = [], []
+    for rows in batches:  # each batch meets what earlier ones left on disk
+        family = suffixes.Family(spark, str(tmp_path), 4)
+        found = family.add(rows)
+        met.append({(r.head, r.print) for r in family.read(found).collect()})
+        levels.append(sorted(family.levels))
+        family.close()
+    assert levels == [[0], [1], [0, 1], [2], [0, 2], [1, 2], [0, 1, 2]]
+    assert met == [{(7, b)} | ({(99, 99)} if b else set()) for b in range(7)]  # (7, b) occurs twice within its batch
+    family = suffixes.Family(spark, str(tmp_path))
+    rows = family.all_levels().collect()
+    assert family.buckets == 4 and sum(r.n for r in rows) == 28 and len(rows) == 21
+    run = next(iter(family.levels.values()))
+    with suffixes.in_order(spark):
+        plan = family.read(run).select(*suffixes.KEY).hint("merge").join(family.read(list(family.levels.values())[1]).select(*suffixes.KEY), suffixes.KEY, "left_semi")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "SortMergeJoin" in text
+    family.close(keep=False)
