@@ -18,9 +18,11 @@ NUMBER = r"(?U)\d[\d.,]*(?:[eE][+-]?\d+)?"
 CURRENCY = "$€£¥"
 #: Units that may follow a number without a blank.
 UNIT_SUFFIXES = (
-    "s ms us ns m min mins h hr hrs d w wk wks y yr yrs g kg mg ug lb lbs oz km cm mm um nm mi ft in yd l ml "
-    "b kb mb gb tb pb kib mib gib tib hz khz mhz ghz px pt em rem vw vh v kv mv kw mw ma c k"
-).split()
+    "s", "ms", "us", "ns", "m", "min", "mins", "h", "hr", "hrs", "d", "w", "wk", "wks", "y", "yr", "yrs",
+    "g", "kg", "mg", "ug", "lb", "lbs", "oz", "km", "cm", "mm", "um", "nm", "mi", "ft", "in", "yd", "l", "ml",
+    "b", "kb", "mb", "gb", "tb", "pb", "kib", "mib", "gib", "tib", "hz", "khz", "mhz", "ghz",
+    "px", "pt", "em", "rem", "vw", "vh", "v", "kv", "mv", "kw", "mw", "ma", "c", "k",
+)
 US_SHAPE, EU_SHAPE = r"^[0-9]{1,3}(,[0-9]{3})+\.[0-9]+$", r"^[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$"
 WORD = r"[\p{IsAlphabetic}\p{N}_]"
 

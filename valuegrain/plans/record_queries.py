@@ -47,7 +47,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
     old, new = stage(roots(own, F.col("price"), T0), "old"), stage(roots(own.filter("k % 7 <> 0"), new_price, T1), "new")
     child = old.filter("line_number = 3").select(F.lit(1).cast("bigint").alias("edge_id"), F.col("id").alias("parent_id"), _str("E:", F.col("source_id")).alias("child_id"), F.lit("EXPRESSION").alias("operation"), F.lit("a").alias("expression"))
-    derived = child.select(F.col("child_id").alias("id")).distinct().join(old.limit(0).drop("id"), F.lit(True), "left").select(
+    derived = child.select(F.col("child_id").alias("id")).distinct().select(
         "id", F.lit("DERIVED").alias("node_type"), F.lit("NUMBER").alias("value_kind"), F.lit(1.0).alias("number_val"), F.lit(None).cast("timestamp").alias("date_val"), F.lit(None).cast("bigint").alias("duration_secs"), F.lit(None).cast("bigint").alias("source_id"),
         F.lit(None).cast("int").alias("line_number"), F.lit(False).alias("is_stale"), F.lit(None).cast("string").alias("stale_reason"), F.to_timestamp(F.lit(T0)).alias("created_at"), F.to_timestamp(F.lit(T0)).alias("updated_at"),
     )
