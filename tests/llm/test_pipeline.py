@@ -29,3 +29,30 @@ def test_last_stage_decodes_its_ids(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: (r.decoded_chars, r.decoded_sha256) for r in corpus_pipeline.subword_ids(spark, docs, "").collect()}
     assert out == {i: (None, None) if t is None else (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+
+
+CLASHES = "doc_id long, text string, lang string, n_chars int, ids string, decoded_chars string, _kept string, _carried string, hits string, w string, _row string, row string, doc string, removed string"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, nulls in every column, clashing names, one very long text; then nothing at all."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    a, b, c, long = say(60), say(60), say(60), " ".join(f"{rng.choice(words)}{i % 977}" for i in range(60_000))
+    mine = [(1, a), (1, b), (None, c), (None, c), (2, a), (3, None), (3, ""), (4, long), (5, " \n\t "), (6, b)]
+    rows = [(i, t, None, len(t) if t else None, *["x"] * 10) for i, t in mine]
+    for name, docs in (("odd", spark.createDataFrame(rows, CLASHES)), ("none", spark.createDataFrame([], CLASHES))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, None), (77, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, ""), (2, say(40))], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    names = CLASHES.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    assert sorted(out.columns) == sorted([*names, "decoded_sha256"])
+    got = out.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c), (4, long)])
+    assert all(r.decoded_chars == len(r.text) and r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() and r._kept == "x" and len(r.ids) > 50 for r in got)
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.count() == 0 and none.columns == out.columns
