@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -37,6 +38,49 @@ def segmentations(w, voc):
     return out
 
 
+def plain_uses(voc, counted):
+    """Expected uses of each piece id, over all segmentations of each word."""
+    out = Counter()
+    for w, c in counted.items():
+        every = segmentations(w, voc)
+        z = sum(math.exp(s) for _, s in every)
+        for parts, s in every:
+            for p in parts:
+                for i in [voc.ids[p]] if p in voc.ids else [voc.byte_ids[b] for b in lattice.bytes_of(p)]:
+                    out[i] += c * math.exp(s) / z
+    return out
+
+
+def plain_model(voc, uses, prior):
+    total = sum(uses.values()) + prior
+    weight = {p: math.log((uses[i] + prior * math.exp(voc.log_weight[p])) / total) for p, i in voc.ids.items()}
+    byte = math.log((sum(uses[i] for i in voc.byte_ids) / 256 + prior * math.exp(voc.byte_log_weight)) / total)
+    return SimpleNamespace(ids=voc.ids, log_weight=weight, byte_log_weight=byte)
+
+
+def plain_log(model, w):
+    return math.log(sum(math.exp(s) for _, s in segmentations(w, model)))
+
+
+def test_language_id_equals_brute_force(spark, voc):
+    rng = random.Random(17)
+    parts = {"aa": ["th", "er", "wh"], "bb": ["sch", "ei", "ü"], "cc": ["eau", "oi", "é"]}
+    say = lambda k: " ".join("".join(rng.choice(parts[rng.choice([k, k, "aa"])]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 5)))
+    rows = [(i, say(k), k) for i, k in ((i, rng.choice(list(parts))) for i in range(90))] + [(200, "ЖѬ x", "cc"), (201, "12 .", None)]
+    out = {r.doc_id: r for r in language.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    words = lambda t: Counter(lattice.MARK + w for w in t.split())
+    models = {}
+    for k in parts:
+        counts = sum((words(t) for i, t, lang in rows if lang == k and zlib.crc32(str(i).encode()) % 5), Counter())
+        models[k] = plain_model(voc, plain_uses(voc, counts), language.PRIOR)
+    for i, t, _ in rows[:-1]:
+        logs = {k: sum(n * plain_log(m, w) for w, n in words(t).items()) for k, m in models.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert out[i].score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel=1e-6)
+        assert out[i].lang_pred == best or logs[out[i].lang_pred] == pytest.approx(logs[best])
+    assert (out[201].lang_pred, out[201].score) == ("und", 0.0)
+
+
 def test_lattice_against_all_segmentations(voc):
     words = [lattice.MARK + w for w in ("the", "stone", "then", "thé", "ab,c.", "日x", "", "stones", "12.5kg", "Ωa")]
     best, total = lattice.best(words, voc), lattice.log_sum(words, voc.suffixes, voc.byte_log_weight)
@@ -157,16 +201,14 @@ def test_lm_scores(spark, voc, monkeypatch):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     counts = Counter(w for i, t in tokens.items() if not held[i] for w in t)
     n, v = sum(counts.values()), len(counts)
-    weight, byte_weight = scoring.probabilities(voc, lattice.expected([(lattice.MARK + w, c) for w, c in counts.items() if w], voc, lattice.tilted({p: (x,) for p, x in voc.log_weight.items()})))
+    own = plain_model(voc, plain_uses(voc, {lattice.MARK + w: c for w, c in counts.items() if w}), scoring.PRIOR)
     end = (counts[None] + 1) / (n + 2)
-    table = lattice.with_suffixes(weight, 1.0)
     for i, t in tokens.items():
         r = out[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(counts[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t))
-        own = [lattice.MARK + w for w in t if w]
-        p = lattice.log_sum(own, table, byte_weight)
-        assert r.score == pytest.approx((sum(p[w] for w in own) + len(own) * math.log(1 - end) + math.log(end)) / math.log(10))
+        words = [w for w in t if w]
+        assert r.score == pytest.approx((sum(plain_log(own, lattice.MARK + w) for w in words) + len(words) * math.log(1 - end) + math.log(end)) / math.log(10))
     assert scoring.judge(docs_of(spark, []) if False else docs_of(spark, texts).limit(0)).count() == 0
 
 

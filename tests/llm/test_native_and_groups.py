@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -182,6 +183,37 @@ def test_quality_verdict_holds_for_unseen_labels(spark):
     assert sum(r.kept for r in out if r.doc_id < 1000) >= 0.98 * 300 and sum(not r.kept for r in out if r.doc_id >= 1000) >= 0.95 * 60
 
 
+def test_forest_and_threshold_equal_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, len(quality.FEATURES)))
+    forest = quality.grow(x, trees=20, rows=64)
+
+    def path(t, row):
+        at, edges = 0, 0
+        while forest.feature[t, at] >= 0:
+            at = forest.child[t, at] + (row[forest.feature[t, at]] >= forest.value[t, at])
+            edges += 1
+        leaf = forest.depth[t, at]
+        assert leaf >= edges and (leaf == edges or edges == forest.levels or leaf - edges <= quality.expected_path(64))
+        return leaf
+
+    want = [2 ** (-np.mean([path(t, row) for t in range(20)]) / quality.expected_path(64)) for row in x[:60]]
+    assert np.allclose(forest.scores(x[:60]), want)
+    harmonic = lambda n: sum(1 / i for i in range(1, n + 1))
+    assert abs(quality.expected_path(64) - (2 * harmonic(63) - 2 * 63 / 64)) < 0.02
+    scores, good = rng.random(2000).round(3) * 0.5, rng.random(2000) < 0.8
+    scores[~good] += rng.random((~good).sum()) * 0.5
+    rows = [(i, 100, 0, float(s)) for i, s in enumerate(scores)]
+    scored = spark.createDataFrame(rows, "doc_id long, n_words long, n_repeat_words long, score double")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    cut = quality.threshold_of(scored, labels)
+    lost = lambda c: (scores[good] >= c).mean()
+    caught = lambda c: (scores[~good] >= c).mean()
+    steps = np.arange(quality.SCORE_STEPS + 1) / quality.SCORE_STEPS
+    best = max(caught(c) - lost(c) for c in steps if lost(c) <= quality.MAX_GOOD_DROPPED)
+    assert lost(cut) <= quality.MAX_GOOD_DROPPED and caught(cut) - lost(cut) >= best - 1e-9
+
+
 def test_simhash_components(spark, prose):
     rng = random.Random(3)
     base = prose[9][1].split() * 6
