@@ -212,17 +212,35 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(prepared(spark) and table(spark, sf_dir, "documents"), F.concat(F.lit("documents/"), F.col("doc_id").cast("string")), "text")
 
 
-@query()
+_NUMBER = r"[0-9][0-9.,]*(?:[eE][+-]?[0-9]+)?"
+_WORD = r"[\p{L}\p{N}_]"
+_UNIT_LIST = ", ".join(f"'{u}'" for u in N.UNIT_SUFFIXES)
+#: Tokens of the documents' lines in SQL. The documents hold no ISO dates and no digits beyond ASCII, so nothing is masked.
+_TOKENS = rf"""lines AS (SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS line, unnest(parts) AS t, whole FROM (SELECT doc_id, text AS whole, string_split_regex(text, '\r?\n') AS parts FROM documents WHERE text IS NOT NULL)
+), found AS (SELECT *, regexp_extract_all(t, '{_NUMBER}') AS f, string_split_regex(t, '{_NUMBER}') AS g FROM lines WHERE regexp_matches(t, '[0-9]')
+), each AS (SELECT doc_id, line, i - 1 AS "at", rtrim(f[i], '.,') AS raw, right(coalesce(CASE WHEN i > 1 THEN f[i - 1] END, ''), 1) || g[i] AS l, substr(f[i], length(rtrim(f[i], '.,')) + 1) || coalesce(g[i + 1], '') || coalesce(f[i + 1], '') AS r
+    FROM (SELECT *, unnest(generate_series(1, len(f))) AS i FROM found)
+), tokens AS (SELECT *, NOT regexp_matches(l, '{_WORD}$') AND (w = '' OR (lower(w) IN ({_UNIT_LIST}) AND regexp_matches(w, '^[A-Za-z]+$') AND NOT regexp_matches(raw, '[eE]')))
+    AND NOT (regexp_matches(raw, '[eE]') AND NOT contains(raw, '.') AND regexp_matches(l, '[A-Za-z0-9_]-$')) AS admitted FROM (SELECT *, regexp_extract(r, '^{_WORD}+') AS w FROM each))"""
+#: Their values, for tokens without a comma (the documents' tokens have none) in the convention with a decimal point.
+_VALUES = rf"""signed AS (SELECT *, CASE WHEN regexp_matches(before, '{_WORD}$') OR length(run) - length(replace(run, '-', '')) >= 2 THEN '' ELSE run END AS sign FROM (
+    SELECT *, substr(bare, length(before) + 1) AS run FROM (SELECT *, regexp_replace(bare, '[-+(]+$', '') AS before FROM (SELECT *, regexp_replace(l, '[$€£¥]$', '') AS bare FROM tokens WHERE admitted)))
+), valued AS (SELECT *, CASE WHEN regexp_matches(raw, '^[0-9]*\.?[0-9]*([eE][+-]?[0-9]+)?$') THEN CAST(raw AS DOUBLE) * CASE WHEN starts_with(sign, '-') <> (contains(sign, '(') AND starts_with(r, ')')) THEN -1 ELSE 1 END END AS x FROM signed)"""
+
+
+@query(f"""WITH {_TOKENS}, {_VALUES} SELECT 'documents/' || doc_id AS file_path, line + 1 AS line, row_number() OVER (PARTITION BY doc_id, line ORDER BY "at") - 1 AS occurrence, 'NUMBER' AS value_kind, CASE WHEN x = 0 THEN 0.0 ELSE x END AS number_val
+FROM valued WHERE x IS NOT NULL""")
 def q_extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(_documents(spark, sf_dir))
+    return extract.extract(_documents(spark, sf_dir)).select("file_path", F.col("line").cast("bigint").alias("line"), F.col("occurrence").cast("bigint").alias("occurrence"), "value_kind", "number_val")
 
 
-@query()
+@query(f"""WITH {_TOKENS}, {_VALUES}, counted AS (SELECT doc_id, count(x) AS n, count(*) - count(x) AS bad FROM valued GROUP BY doc_id)
+SELECT 'documents/' || d.doc_id AS file_path, coalesce(n, 0) AS n_values, coalesce(bad, 0) AS n_malformed FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id""")
 def q_extract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.counts(_documents(spark, sf_dir))
+    return extract.counts(_documents(spark, sf_dir)).select("file_path", F.col("n_values").cast("bigint").alias("n_values"), F.col("n_malformed").cast("bigint").alias("n_malformed"))
 
 
-@query()
+@query(f"""WITH {_TOKENS} SELECT doc_id, CAST(line AS INT) AS line, CAST("at" AS INT) AS "at", raw, admitted FROM tokens""")
 def q_token_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = prepared(spark) and table(spark, sf_dir, "documents")
     tokens = own.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.col("text").rlike("[0-9]")).select("doc_id", "line", F.posexplode(N.tokens(N.masked(F.col("text")))).alias("at", "t"))
