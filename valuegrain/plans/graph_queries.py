@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuegrain.functions.text import VIRTUAL, absolute_path, relative_path
-from valuegrain.functions.values import duration_id
+from valuegrain.functions.values import derived_id, duration_id, number_text
 from valuegrain.operators import export, graph, status
 from valuegrain.plans import fixtures as fx
 from valuegrain.plans.registry import query, sql_date, sql_digest, sql_number, sql_value, sql_xsd
@@ -239,9 +239,30 @@ def _identified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return nodes.unionByName(made), edges
 
 
-@query(fx.ctes(IDENTIFIED) + "SELECT id, k % 11 <> 0 AND (k % 13 <> 0 ) AS supported FROM gaps")
+_SUM_ID = sql_digest("node_drv_", "'DURATION'", "'DURATION_SUM'", "CAST(secs AS VARCHAR)", "CAST(c AS VARCHAR)", "ps")
+_NUMBER_ID = sql_digest("node_drv_", "p0 || ',' || p1", "'EXPRESSION'", "CAST(n AS VARCHAR)")
+
+
+@query(fx.ctes(IDENTIFIED, "sums AS (SELECT k, count(*) AS c, CAST(sum(secs) AS BIGINT) AS secs, string_agg(id, ',' ORDER BY id) AS ps FROM gaps GROUP BY k HAVING count(*) BETWEEN 2 AND 26)")
+    + f"SELECT id, k % 11 <> 0 AND k % 13 <> 0 AS supported FROM gaps UNION ALL SELECT {_SUM_ID}, k % 7 <> 0 FROM sums UNION ALL SELECT {_NUMBER_ID}, k % 5 <> 0 FROM gaps")
 def q_derivation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.evidence(*_identified(spark, sf_dir)).select("id", "supported")
+    """Date differences, sums of them of which some name two operations, and formulas of which some come in two wordings."""
+    nodes, edges = _identified(spark, sf_dir)
+    parents = F.array(F.concat(F.lit("O:"), F.col("k").cast("string")), F.concat(F.lit("S:"), F.col("k").cast("string"), F.lit(":"), F.col("n").cast("string")))
+    gaps = stage(fx.view(spark, sf_dir, "fx_gaps").withColumn("dates", parents).withColumn("gap", duration_id(F.col("dates"), F.lit("DATE_DIFF"), F.col("secs"))), "gaps")
+    sums = gaps.groupBy("k").agg(F.array_sort(F.collect_list("gap")).alias("parents"), F.sum("secs").alias("secs")).filter("size(parents) between 2 and 26")
+    sums = sums.withColumns({"id": duration_id(F.col("parents"), F.lit("DURATION_SUM"), F.col("secs")), "number_val": F.lit(None).cast("double"), "operation": F.lit("DURATION_SUM"), "other": F.when(F.col("k") % 7 == 0, "DURATION_AVG").otherwise("DURATION_SUM")})
+    number = F.col("n").cast("double")
+    formulas = gaps.select("k", F.col("dates").alias("parents"), F.lit(None).cast("bigint").alias("secs"), derived_id(F.col("dates"), F.lit("EXPRESSION"), number_text(number)).alias("id"), number.alias("number_val"), F.lit("EXPRESSION").alias("operation"), F.lit("EXPRESSION").alias("other"))
+    made = stage(sums.select(*formulas.columns).unionByName(formulas), "made")
+    more = made.select(
+        "id", F.lit("DERIVED").alias("node_type"), F.when(F.col("number_val").isNull(), "DURATION").otherwise("NUMBER").alias("value_kind"), "number_val", F.lit(None).cast("timestamp").alias("date_val"), F.col("secs").alias("duration_secs"),
+        F.lit(None).cast("bigint").alias("source_id"), F.lit(None).cast("int").alias("line_number"), F.lit(False).alias("is_stale"), F.lit(None).cast("string").alias("stale_reason"),
+    )
+    each = made.select("k", "id", "operation", "other", F.posexplode("parents").alias("at", "parent_id"))
+    wording = F.when(F.col("operation") == "EXPRESSION", F.when((F.col("k") % 5 == 0) & (F.col("at") == 1), "b-a").otherwise("b - a"))
+    links = each.select((F.col("at") + 1).cast("bigint").alias("edge_id"), "parent_id", F.col("id").alias("child_id"), F.when(F.col("at") == 0, F.col("other")).otherwise(F.col("operation")).alias("operation"), wording.alias("expression"))
+    return export.evidence(nodes.unionByName(more), edges.unionByName(links)).select("id", "supported")
 
 
 _V, _P = "urn:valuegrain:project:demo/value/", "<urn:valuegrain:project:demo>"

@@ -291,6 +291,9 @@ def q_extract_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'nation/' || c_nationkey AS file_path, count(*) AS n_values, count(*) FILTER (WHERE nth <= 40) AS n_kept FROM (
     SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nth FROM customer) GROUP BY 1""")
 def q_value_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation with a line for each customer; of what is extracted the first 40 values are kept."""
     own = prepared(spark) and table(spark, sf_dir, "customer")
-    values = own.select(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("file_path"), F.col("c_custkey").alias("line"), F.lit(0).alias("occurrence"))
+    files = own.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("keys"))
+    content = F.array_join(F.transform("keys", lambda k: F.concat(F.lit("customer "), k.cast("string"))), "\n")
+    values = extract.extract(files.select(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("file_path"), content.alias("content"), _null("string").alias("number_format")))
     return record.within_limit(values, 40).groupBy("file_path").agg(F.count("*").alias("n_values"), F.count_if("kept").alias("n_kept"))
