@@ -139,7 +139,11 @@ def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def first_of_group(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, all columns kept: the smallest by key (nulls last), fingerprint, text hash and row number."""
+    """One row of ``docs`` for each component, all columns kept: the smallest by key (nulls last), fingerprint, text hash and row number.
+
+    Texts meet the numbers of the rows that go, which are fewer than those that stay: while Spark finds them small enough
+    to be sent to every task, no text is shuffled; beyond that texts and numbers are joined by a shuffle.
+    """
     numbered = C.stage(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
     text = F.col(f"doc.`{text_col}`")
     own = numbered.select(F.col(f"doc.`{key}`").alias("key"), F.xxhash64(text).alias("hash"), "row", text.alias("text"))
@@ -147,4 +151,5 @@ def first_of_group(docs: DataFrame, key: str = "doc_id", text_col: str = "text")
     rows = C.stage(found.select(*C.unpack(found, "key", "hash", "row"), "fp"), "fingerprints")
     place = F.struct(F.col("key").isNull().alias("last"), "key", "fp", "hash", "row")
     kept = C.stage(groups(rows, place).select(F.col("component.row").alias("row")).distinct(), "kept")
-    return numbered.join(kept, "row", "left_semi").select("doc.*")
+    gone = C.stage(rows.select("row").join(kept, "row", "left_anti"), "gone")
+    return numbered.join(gone, "row", "left_anti").select("doc.*")
