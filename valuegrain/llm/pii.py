@@ -57,7 +57,7 @@ EDGE = "()[]{}<>.,;:!?\"'#*$%&|"
 MARKER = re.compile(r"[\[({<](?:at|dot)[\])}>]", re.IGNORECASE)
 
 #: Rows of the training sample, at most, and documents that they are taken from, at most about.
-TRAIN_TOKENS, TRAIN_DOCS = 20_000, 60_000
+TRAIN_TOKENS, TRAIN_DOCS = 20_000, 20_000
 FEATURES = 1 << 12
 #: The marginal that makes a span, and the largest potentials of an edge.
 SURE, MOST = 0.9, 6.0
