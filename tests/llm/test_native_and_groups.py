@@ -30,7 +30,7 @@ def prose():
     texts = [(i, say(rng.randint(1, 150))) for i in range(30)]
     texts += [(100 + i, f"{say(20)}\n{shared[i % 3]}\n{say(20)}") for i in range(12)]
     texts += [(200 + i, texts[i][1]) for i in range(4)] + [(300, None), (301, ""), (302, "  \n "), (303, "ab " * 400), (303, "ab " * 400), (304, "é" * 700), (305, shared[0])]
-    return texts
+    return [*texts, (306, f"{say(12_000)}\n{shared[1]}\n{say(8_000)}")]  # a very long one
 
 
 def test_url_rules_and_model(spark):

@@ -1,4 +1,8 @@
-"""Registered queries of the training-data operators, over whole tables with production parameters."""
+"""Registered queries of the training-data operators, over whole tables with production parameters.
+
+Each keeps one row for each row of its table, repeated ones too, and none for an empty table; texts are read whole,
+and columns beside those that the operator names aren't read. The operators' modules say the rest.
+"""
 
 from __future__ import annotations
 
@@ -11,42 +15,52 @@ from valuegrain.llm.common import table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of ``pages`` by the rules, else by the model; null urls and those without ``://`` have empty parts."""
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(url_filter.labelled_urls(spark)))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of ``MIN_WORDS`` words or more that an earlier one, or an earlier place, has; null texts stay null."""
     return units.judge(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; null and blank texts fail the base rule."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in every document; null texts and items have none."""
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword ids of every document and whether they decode to its text; null ids for null texts."""
     return subwords.judge(table(spark, sf_dir, "documents"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; ``und`` for null texts and those without a letter."""
     return language.judge(table(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; null texts have none."""
     return pii.judge(table(spark, sf_dir, "documents"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice score of every document; null is the empty text."""
     return scoring.judge(table(spark, sf_dir, "documents"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeated strings cover; null is the empty text."""
     return suffixes.judge(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and blank texts share fingerprint zero."""
     return simhash.judge(table(spark, sf_dir, "documents"))
 
 
