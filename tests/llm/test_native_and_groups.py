@@ -1,6 +1,7 @@
 """URL filter, line dedup, quality, decontamination, SimHash and suffix dedup against plain Python on small fixtures."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -79,35 +80,59 @@ def test_url_parts_and_rules_equal_plain_ones(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.score > 0.5 else "allow"))
 
 
-def test_line_dedup(spark, prose):
+def plain_dedup(rows, separator, run_words):
+    """{(id, text): (removed, text)} by hand."""
     want, seen = {}, set()
-    for i, t in sorted({(i, t) for i, t in prose}, key=lambda x: (x[0], str(x[1]))):
-        keep, gone, at = [], [], 0
-        for line in (t or "").split("\n"):
-            norm = " ".join(line.lower().split())
-            again = len(norm.split()) >= units.MIN_WORDS and norm in seen
-            if len(norm.split()) >= units.MIN_WORDS:
+    for i, t in sorted({(i, t) for i, t in rows}, key=lambda x: (x[0] is None, x[0], str(x[1]))):
+        parts = re.split(f"({separator})", t or "")  # units and separators take turns
+        at = list(itertools.accumulate([0, *map(len, parts)]))
+        units = [(k, " ".join(parts[k].lower().split())) for k in range(0, len(parts), 2)]
+        worded, again = [k for k, n in units if n], set()
+        for k, norm in units:
+            if norm and norm in seen:
+                again.add(k)
+            elif norm:
                 seen.add(norm)
-            gone += [f"{at}:{at + len(line)}"] if again else []
-            keep += [] if again else [line]
-            at += len(line) + 1
-        want[i] = (",".join(gone), None if t is None else "\n".join(keep))
-    out = units.judge(docs_of(spark, prose)).collect()
-    assert len(out) == len(prose) and all((r.removed, r.text) == want[r.doc_id] for r in out)
-    assert units.judge(docs_of(spark, prose).limit(0)).count() == 0
-    whole = units.dedup(docs_of(spark, prose).withColumn("removed", F.lit(1)))
+        gone, run = set(), []
+        for k in [*worded, None]:
+            if k in again:
+                run.append(k)
+                continue
+            if sum(len(parts[x].split()) for x in run) >= run_words:
+                gone |= set(run)
+            run = []
+        kept = [k for k in range(0, len(parts), 2) if k not in gone]
+        text = "".join((parts[k - 1] if n else "") + parts[k] for n, k in enumerate(kept))
+        want[i, t] = (",".join(f"{at[k]}:{at[k + 1]}" for k in sorted(gone)), None if t is None else text)
+    return want
+
+
+@pytest.mark.parametrize("unit,run_words", [("sentence", units.RUN_WORDS), ("line", 1), ("line", 15), ("paragraph", 6)])
+def test_line_dedup(spark, prose, unit, run_words):
+    rng = random.Random(31)
+    lines = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 9))) + rng.choice([".", "!", "", "?"]) for _ in range(60)]
+    made = [(400 + i, "".join(rng.choice(lines) + rng.choice([" ", "\n", "\n\n", "  ", " \n\t"]) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    rows = [*prose, *made, *made[:3], (None, made[5][1]), (500, f"Intro. {prose[40][1]}. Outro é."), (501, f"Other {prose[40][1]}. Outro é."), (502, f" {made[7][1]} \n")]
+    want = plain_dedup(rows, units.SEPARATORS[unit], run_words)
+    out = units.judge(docs_of(spark, rows), unit=unit, run_words=run_words).collect()
+    given = {}
+    for i, t in rows:
+        given.setdefault(i, []).append(want[i, t])
+    assert len(out) == len(rows) and all((r.removed, r.text) in given[r.doc_id] for r in out)
+    assert sum(r.n_removed > 0 for r in out) > 5 and all(r.n_removed == len(r.removed.split(",")) for r in out if r.removed)
+    assert units.judge(docs_of(spark, rows).limit(0), unit=unit).count() == 0
+    whole = units.dedup(docs_of(spark, rows).withColumn("removed", F.lit(1)), unit=unit)
     assert whole.columns == ["doc_id", "text", "n_words", "_key", "removed"] and dict(whole.dtypes)["removed"].startswith("array")
 
 
 def test_units_of_any_length_and_paragraphs(spark):
     texts = [(1, "a b\nshort line\n\nA  b"), (2, "short line\nx\n "), (3, "x"), (4, None)]
-    out = {r.doc_id: (r.removed, r.text) for r in units.judge(docs_of(spark, texts), min_words=1).collect()}
+    out = {r.doc_id: (r.removed, r.text) for r in units.judge(docs_of(spark, texts), unit="line", run_words=1).collect()}
     assert out == {1: ("16:20", "a b\nshort line\n"), 2: ("0:10", "x\n "), 3: ("0:1", ""), 4: ("", None)}
-    long = " ".join(f"w{i}" for i in range(units.MIN_WORDS))
-    texts = [(1, f"{long}\n{long}\n\nown one"), (2, f"own two\n\n{long}\n{long} \n\nown three"), (3, long), (None, f"{long}\n{long}"), (5, "\n\n\n\n")]
-    out = {r.doc_id: (r.n_removed, r.removed, r.text) for r in units.judge(docs_of(spark, texts), unit="paragraph").collect()}
-    size = 2 * len(long) + 1
-    assert out == {1: (0, "", texts[0][1]), 2: (1, f"9:{9 + size + 1}", "own two\n\nown three"), 3: (0, "", long), None: (1, f"0:{size}", ""), 5: (0, "", "\n\n\n\n")}
+    passage = "One two three four five. Six seven eight nine ten eleven.\nTwelve thirteen fourteen! Is it fifteen sixteen seventeen eighteen nineteen?"
+    texts = [(1, f"It begins {passage} It ends."), (2, f"Elsewhere it begins so. {passage} And goes on. It ends."), (3, "One two three four five. It ends."), (4, f"Six seven. {passage}")]
+    out = {r.doc_id: r.text for r in units.judge(docs_of(spark, texts), run_words=12).collect()}
+    assert out == {1: texts[0][1], 2: "Elsewhere it begins so. One two three four five. And goes on. It ends.", 3: texts[2][1], 4: "Six seven."}
 
 
 def test_quality_base_and_verdict(spark, prose):
