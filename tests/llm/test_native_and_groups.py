@@ -131,7 +131,7 @@ def test_units_of_any_length_and_paragraphs(spark):
     assert out == {1: ("16:20", "a b\nshort line\n"), 2: ("0:10", "x\n "), 3: ("0:1", ""), 4: ("", None)}
     passage = "One two three four five. Six seven eight nine ten eleven.\nTwelve thirteen fourteen! Is it fifteen sixteen seventeen eighteen nineteen?"
     texts = [(1, f"It begins {passage} It ends."), (2, f"Elsewhere it begins so. {passage} And goes on. It ends."), (3, "One two three four five. It ends."), (4, f"Six seven. {passage}")]
-    out = {r.doc_id: r.text for r in units.judge(docs_of(spark, texts), run_words=12).collect()}
+    out = {r.doc_id: r.text for r in units.judge(docs_of(spark, texts), unit="sentence", run_words=12).collect()}
     assert out == {1: texts[0][1], 2: "Elsewhere it begins so. One two three four five. And goes on. It ends.", 3: texts[2][1], 4: "Six seven."}
 
 

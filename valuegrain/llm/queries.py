@@ -20,7 +20,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the runs of repeated sentences and lines of ``RUN_WORDS`` words or more; null texts stay null."""
+    """Every document without the runs of repeated lines of ``RUN_WORDS`` words or more; null texts stay null."""
     return units.judge(table(spark, sf_dir, "documents"))
 
 

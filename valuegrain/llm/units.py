@@ -6,9 +6,8 @@ repeated digest is carried on, and the other occurrences are found by a join of
 adaptive execution can split where one digest is hot. Repeated units of a document that follow each
 other make a run; a run with enough words goes, with the original offsets of its units.
 
-A passage that recurs inside other lines shares no whole line with its other copies, so the registered query
-cuts lines at sentence ends too: of the passages over 50 words, whole lines find one in three. Runs keep sound
-documents whole: short units recur by chance, but hardly in a row.
+A passage that recurs inside other lines shares no whole line with its other copies; sentences find more of them, at
+several times the rows and disk. Runs keep sound documents whole: short units recur by chance, but hardly in a row.
 
 Earliest means the smallest key, then the smallest start; a null key comes last. Rows with the
 same key and text are one document and get the same result. Defined cases: a null text stays null and has no
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 from valuegrain.llm import common as C
 
 #: Words that a run of repeated units must have to go.
-RUN_WORDS = 20
+RUN_WORDS = 15
 #: What stands between two units.
 SEPARATORS = {"line": "\n", "paragraph": "\n\n", "sentence": r"\n|(?<=[.!?])[ \t]+"}
 PLACES = ("nth", "at", "begin", "start", "end", "next", "words")
@@ -70,7 +69,7 @@ def with_units(docs: DataFrame, text_col: str, separator: str) -> DataFrame:
     return C.map_texts(docs, text_col, [("units", T.ArrayType(UNIT))], make, carry=["_key", "_hash"])
 
 
-def removals(docs: DataFrame, key: str, text_col: str, unit: str = "sentence", run_words: int = RUN_WORDS) -> DataFrame:
+def removals(docs: DataFrame, key: str, text_col: str, unit: str = "line", run_words: int = RUN_WORDS) -> DataFrame:
     """(_key, _hash, removed): for each distinct document that loses units those that go, as (at, begin, start, end, next) in order."""
     own = docs.select(F.col(key).alias("_key"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_own")).filter(F.col("_own").isNotNull())
     found = with_units(own, "_own", SEPARATORS[unit])
@@ -86,7 +85,7 @@ def removals(docs: DataFrame, key: str, text_col: str, unit: str = "sentence", r
     return once.withColumn("total", total).filter(F.col("total") >= run_words).groupBy("_key", "_hash").agg(F.array_sort(F.collect_list(F.struct("at", "begin", "start", "end", "next"))).alias("removed"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text_col: str = "text", unit: str = "sentence", run_words: int = RUN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text_col: str = "text", unit: str = "line", run_words: int = RUN_WORDS) -> DataFrame:
     """All columns, the text without its repeated units, and ``removed`` with their original offsets."""
     gone = removals(docs, key, text_col, unit, run_words)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(C.CARRIED), F.col(key).alias("_k"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
@@ -102,7 +101,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text_col: str = "text", unit: st
     return done.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"{C.CARRIED}.`{c}`").alias(c) for c in docs.columns if c != "removed"], "removed")
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text", unit: str = "sentence", run_words: int = RUN_WORDS) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text", unit: str = "line", run_words: int = RUN_WORDS) -> DataFrame:
     """(key, n_removed, removed as start:end, text) for each row."""
     done = dedup(docs.select(key, text_col), key, text_col, unit, run_words)
     spans = F.concat_ws(",", F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))))
@@ -112,7 +111,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text_col: str = "text", unit: st
 #: chr(1) stands on both sides of a separator, so units and separators take turns.
 ORACLE = f"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, text, string_split(regexp_replace(regexp_replace(text, '\\n', chr(1) || chr(10) || chr(1), 'g'), '([.!?])([ \\t]+)', '\\1' || chr(1) || '\\2' || chr(1), 'g'), chr(1)) AS parts FROM documents
+  SELECT row_number() OVER () AS r, doc_id, text, string_split(regexp_replace(text, '\\n', chr(1) || chr(10) || chr(1), 'g'), chr(1)) AS parts FROM documents
 ), p AS (SELECT r, doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM d WHERE text IS NOT NULL
 ), o AS (
   SELECT *, CAST(coalesce(sum(length(part)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, length(part) AS n, coalesce(lag(part) OVER (PARTITION BY r ORDER BY i), '') AS before,
