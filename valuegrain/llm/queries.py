@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuegrain.llm import decontaminate, language, pii, prefix_trie, quality, resample, scoring, simhash, subwords, suffixes, units, url_filter
+from valuegrain.llm import decontaminate, jaccard, language, pii, prefix_trie, quality, resample, scoring, simhash, subwords, suffixes, units, url_filter
 from valuegrain.llm.common import table
 
 
@@ -74,7 +74,12 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_decontaminate, op6_language_id, op7_pii, op8_lm_score, op9_suffix_dedup, op10_simhash, op11_prefix_trie, op12_resample)}
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; null and blank texts have no shingles and are linked with nothing."""
+    return jaccard.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_decontaminate, op6_language_id, op7_pii, op8_lm_score, op9_suffix_dedup, op10_simhash, op11_prefix_trie, op12_resample, op13_jaccard_join)}
 
 #: Only where SQL can express the whole result.
 ORACLES: dict[str, str] = {"op2_line_dedup": units.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_resample": resample.ORACLE}
