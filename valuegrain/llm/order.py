@@ -37,7 +37,7 @@ def running(df: DataFrame, at: str, sums: list[str], bits: int = CHUNK_BITS) ->
     totals = C.stage(own.groupBy("_chunk").agg(*[F.sum(c).alias(c) for c in sums]), "totals")
     if totals.count() < 2:
         return inside.drop("_chunk")
-    upto = running(totals, "_chunk", sums, bits).select((F.col("_chunk") + 1).alias("_next"), *[F.col(c).alias(f"_{c}") for c in sums])
+    upto = running(totals.withColumnRenamed("_chunk", "at"), "at", sums, bits).select((F.col("at") + 1).alias("_next"), *[F.col(c).alias(f"_{c}") for c in sums])
     joined = inside.join(upto, F.col("_chunk") == F.col("_next"), "left")
     return joined.select(*[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) if c in sums else F.col(c) for c in df.columns])
 
