@@ -29,7 +29,7 @@ from valuegrain.llm.resample import CRC, crc_sql
 
 #: Conversations that share their head's source, the modulus of the head's length, turns of a block, ids of a piece (bits).
 FAMILY, HEADS, BLOCK, PIECE_BITS = 5, 9, 64, 12
-ROOT = F.unhex(F.lit(""))
+ROOT = bytearray()
 
 
 def _digest(data: Column) -> Column:
@@ -80,7 +80,7 @@ def chained(items: DataFrame) -> DataFrame:
     whole = lambda s: F.when(F.col("before").isNull(), s).otherwise(_digest(F.concat("before", s)))
     rows = F.transform("own", lambda x, j: F.struct(
         x["i"].alias("i"), x["bytes"].alias("bytes"), whole(F.get("chain", j)).alias("key"),
-        F.when(j > 0, whole(F.get("chain", j - 1))).otherwise(F.coalesce("before", ROOT)).alias("parent"),
+        F.when(j > 0, whole(F.get("chain", j - 1))).otherwise(F.coalesce("before", F.lit(ROOT))).alias("parent"),
     ))
     return blocks.select("conv_id", F.explode(rows).alias("r")).select("conv_id", "r.*")
 
@@ -114,7 +114,7 @@ def tree_of(rows: DataFrame, convs: DataFrame) -> DataFrame:
     """Nodes with numbers, parents and children: (node, key, conv_id, depth, parent_conv_id, n_convs, n_children, saved, first, up, last)."""
     below = rows.groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.min("i").alias("depth"), F.min("parent").alias("parent"), F.count("*").alias("n_convs"), F.max("bytes").alias("bytes"))
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).filter("n_convs > 0")
-    root = root.select(ROOT.alias("key"), "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("parent"), "n_convs", F.lit(0).cast("long").alias("bytes"))
+    root = root.select(F.lit(ROOT).alias("key"), "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("parent"), "n_convs", F.lit(0).cast("long").alias("bytes"))
     nodes = C.stage(numbered(C.stage(below.unionByName(root), "nodes"), [F.col("parent").asc_nulls_first(), F.col("conv_id").asc()], "node"), "nodes")
     spans = nodes.filter("parent is not null").groupBy(F.col("parent").alias("_p")).agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n_children"))
     parents = C.stage(spans.join(nodes.select("key", F.col("node").alias("up"), F.col("conv_id").alias("parent_conv_id")), F.col("_p") == F.col("key")).drop("key"), "parents")
@@ -152,7 +152,7 @@ def trie(conversations: DataFrame) -> DataFrame:
     tree = tree_of(rows, convs)
     sums = subtree_sums(tree)
     lasts = rows.groupBy(F.col("conv_id").alias("_c")).agg(F.max_by("key", "i").alias("key"))
-    ends = _ends(C.stage(convs.join(lasts, F.col("conv_id") == F.col("_c"), "left").select(F.coalesce("key", ROOT).alias("key"), "conv_id"), "ends")).withColumnRenamed("key", "_key")
+    ends = _ends(C.stage(convs.join(lasts, F.col("conv_id") == F.col("_c"), "left").select(F.coalesce("key", F.lit(ROOT)).alias("key"), "conv_id"), "ends")).withColumnRenamed("key", "_key")
     done = tree.join(sums, F.col("node") == F.col("_node")).join(ends, F.col("key") == F.col("_key"), "left")
     return done.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
 
@@ -160,7 +160,7 @@ def trie(conversations: DataFrame) -> DataFrame:
 #: Sequences are lists of structs; a node is a list, its ancestors are the list's beginnings.
 ORACLE = f"""
 WITH {CRC}, own AS (
-  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(strlen(coalesce(role, '')), ':', role, text))) AS i, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
   FROM conversations WHERE conv_id IS NOT NULL
 ), convs AS (SELECT c, {crc_sql("CAST(c AS VARCHAR)")} % {HEADS} AS h, c - c % {FAMILY} AS base, n FROM (SELECT c, count(*) AS n FROM own GROUP BY c), tab
 ), seq AS (
