@@ -240,8 +240,10 @@ def test_cells_keep_near_nodes_together(spark):
     rng = np.random.default_rng(7)
     base = rng.poisson(3, (6, jaccard.SKETCH))
     counts = [np.maximum(0, b + (rng.random(jaccard.SKETCH) < 0.03)) for b in base for _ in range(40)]
-    rows = spark.createDataFrame([(1, i, i, int(c.sum()), [int(x) for x in c]) for i, c in enumerate(counts)], jaccard.ROWS)
+    none = np.zeros(jaccard.FIRST, "<u8").tobytes()
+    nodes = spark.createDataFrame([(i, int(c.sum()), c.astype("<u4").tobytes() + none) for i, c in enumerate(counts)], "node long, n int, sketch binary")
+    rows = spark.createDataFrame([(1, i, i, 0) for i in range(len(counts))], jaccard.ROWS)
     expected = {(i, j) for j in range(len(counts)) for i in range(j) if 100 * np.minimum(counts[i], counts[j]).sum() >= 90 * np.maximum(counts[i], counts[j]).sum()}
     assert len(expected) > 100
     for region in (8, 50, 1000):
-        assert {(r["a"], r["b"]) for r in jaccard.near_in_regions(rows, 90, region).collect()} == expected
+        assert {(r["a"], r["b"]) for r in jaccard.near_in_regions(rows, nodes, 90, region).collect()} == expected

@@ -12,6 +12,7 @@ A link is a Jaccard distance of at most eps = 1 - per_cent / 100. Equal sets are
    each node goes to its nearest one's cell and, by the triangle inequality, to each cell whose pivot is at most 2 eps farther.
    Cells are regions again, until they are small; one that doesn't shrink is compared in tiles of bounded size.
 3. Small regions compare counts; only pairs that are near enough by them, and not known to be connected, meet with their sets.
+   A pair whose lowest shingles tell that it meets in a lower region is left to that one.
 
 Before step 1 nodes that share a least hash meet the first of them, which links most copies; regions whose nodes are all
 connected are dropped. Components are the result, so a group of copies isn't expanded into pairs.
@@ -26,6 +27,7 @@ minimum; an empty table gives an empty result; other columns aren't read. Texts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,25 +43,32 @@ from valuegrain.llm.simhash import components
 SHINGLE, PER_CENT = 3, 90
 #: Odd factors that make orders of hashes; bins of counts; bins of the order.
 FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-SKETCH, HEAT = 128, 1 << 16
+SKETCH, HEAT = 64, 1 << 16
+#: Lowest shingles of a window that a sketch has.
+FIRST = 12
 #: Nodes of a region that one task compares; pivots of a larger one; candidates for pivots; share of a region's nodes above which a cell didn't shrink.
 REGION, PIVOTS, DRAWS, STUCK = 256, 16, 64, 0.75
 #: Bits of the bitmap of texts to look at again.
 BITMAP = 1 << 27
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit digests of a text's shingles."""
+def digests(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """64-bit digests of a text's shingles in order, repeats included: words' digests, mixed."""
     words = C.utf8_lower(text).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
-    if len(words) <= size:
-        return np.array([digest(joined)], np.uint64)
-    starts = [0]
-    for w in words:
-        starts.append(starts[-1] + len(w) + 1)
-    return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip(starts, starts[size:])], np.uint64))
+    digest = xxhash.xxh3_64_intdigest
+    if len(words) < size:
+        return np.array([digest(b" ".join(words))] if words else [], np.uint64)
+    own = np.array([digest(w) for w in words], np.uint64)
+    out = np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        out = (out + own[i : i + len(out)]) * np.uint64(FACTORS[1])
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct digests."""
+    return np.unique(digests(text, size))
 
 
 def _bin(own: np.ndarray) -> np.ndarray:
@@ -67,13 +76,14 @@ def _bin(own: np.ndarray) -> np.ndarray:
 
 
 def heat(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """Shingles in each bin, over all documents; at most ``HEAT`` rows leave a task and reach the driver."""
+    """Shingles in each bin, over all documents, repeats included; at most ``HEAT`` rows leave a task and reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(HEAT, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(_bin(shingles(text, size)), minlength=HEAT)
+            found = [digests(text, size) for text in batch.column(0).to_pylist()]
+            if found:
+                total += np.bincount(_bin(np.concatenate(found)), minlength=HEAT)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bin", "n"])
 
@@ -88,7 +98,21 @@ def window_size(n: int, per_cent: int) -> int:
     return n + 1 - -(-per_cent * n // 100)
 
 
-FIELDS = [("a", T.LongType()), ("b", T.LongType()), ("hash", T.LongType()), ("n", T.IntegerType()), ("least", T.ArrayType(T.LongType())), ("window", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.IntegerType()))]
+FIELDS = [("a", T.LongType()), ("b", T.LongType()), ("hash", T.LongType()), ("n", T.IntegerType()), ("least", T.ArrayType(T.LongType())), ("window", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
+
+
+def sketch_of(own: np.ndarray, low: np.ndarray) -> bytes:
+    """Counts of the shingles in ``SKETCH`` bins, and the first ``FIRST`` of the window, zeros where it is shorter."""
+    counts = np.bincount((own >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64), minlength=SKETCH).astype("<u4")
+    first = np.zeros(FIRST, "<u8")
+    first[: min(FIRST, len(low))] = low[:FIRST]
+    return counts.tobytes() + first.tobytes()
+
+
+def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, first) of a column of sketches, a row each."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * SKETCH + 8 * FIRST)
+    return np.ascontiguousarray(raw[:, : 4 * SKETCH]).view("<u4").astype(np.int64), np.ascontiguousarray(raw[:, 4 * SKETCH :]).view("<u8")
 
 
 def _identity(own: np.ndarray) -> tuple[int, int]:
@@ -106,15 +130,14 @@ def with_sets(docs: DataFrame, key: str, text_col: str, size: int, per_cent: int
 
     def make():
         hot = bins.value
-        shift = np.uint64(64 - (SKETCH.bit_length() - 1))
 
         def one(text):
             own = shingles(text, size)
             if not len(own):
-                return 0, 0, 0, 0, [], [], []
+                return 0, 0, 0, 0, [], [], b""
             least = [int((own * np.uint64(f)).min().view(np.int64)) for f in FACTORS]
             low = own[np.lexsort((own, hot[_bin(own)]))[: window_size(len(own), per_cent)]]
-            return *_identity(own), _text_hash(text), len(own), least, low.view(np.int64), np.bincount((own >> shift).astype(np.int64), minlength=SKETCH)
+            return *_identity(own), _text_hash(text), len(own), least, low.view(np.int64), sketch_of(own, low)
 
         return lambda texts: list(zip(*map(one, texts), strict=True))
 
@@ -128,11 +151,18 @@ def _similar(common: Column, n: Column, m: Column, per_cent: int) -> Column:
 
 def _near(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b) of nodes that are near enough by sizes and counts."""
-    side = lambda p: nodes.select(F.col("node").alias(f"_{p}"), F.col("n").alias(f"n{p}"), F.col("counts").alias(f"c{p}"))
+    side = lambda p: nodes.select(F.col("node").alias(f"_{p}"), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"s{p}"))
     met = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    sized = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent)
-    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    return sized.filter(_similar(common, F.col("na"), F.col("nb"), per_cent)).select("a", "b")
+    sized = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent).select("a", "b", "na", "nb", "sa", "sb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+                low = np.minimum(_sketches(batch.column("sa"))[0], _sketches(batch.column("sb"))[0]).sum(1)
+                yield batch.select(["a", "b"]).filter(pa.array(100 * low >= per_cent * (n + m - low)))
+
+    return sized.mapInArrow(near, "a long, b long")
 
 
 def homes(nodes: DataFrame, per_cent: int) -> DataFrame:
@@ -189,34 +219,44 @@ def roots(links: DataFrame) -> DataFrame:
     return components(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).select(F.col("node").alias("_n"), "root")
 
 
-def regions(nodes: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rows): regions of the nested pivots with two nodes, and (region, node, root) of those with more; not those that are connected, equal ones once."""
-    own = nodes.select("node", F.explode("window").alias("region"))
+def regions(nodes: DataFrame, known: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rows): regions of the nested pivots with two nodes, and (region, node, root, pos) of those with more.
+
+    Connected regions are left out; of those with the same nodes the lowest stays, and in it each node stays only if another has a size near its own.
+    """
+    own = nodes.select("node", "n", F.posexplode("window").alias("pos", "region"))
     held = C.stage(own.groupBy("region").agg(F.count("*").alias("held"), F.min("node").alias("a"), F.max("node").alias("b")).filter("held > 1"), "held")
     pairs = held.filter("held = 2").select("a", "b").distinct()
     side = lambda p: known.select(F.col("_n").alias(f"_{p}"), F.col("root").alias(f"r{p}"))
     met = pairs.join(side("a"), F.col("a") == F.col("_a"), "left").join(side("b"), F.col("b") == F.col("_b"), "left")
     apart = met.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     crowded = own.join(held.filter("held > 2").select("region"), "region", "left_semi")
-    rows = C.stage(crowded.join(known, F.col("node") == F.col("_n"), "left").select("region", "node", F.coalesce("root", "node").alias("root")), "crowded")
-    shape = rows.groupBy("region").agg(F.count("*").alias("held"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(7), F.col("node"))).alias("xor"), F.min("root").alias("low"), F.max("root").alias("high"))
-    kept = shape.filter("low < high").groupBy("held", "sum", "xor").agg(F.min("region").alias("region")).select("region")
-    return apart, rows.join(kept, "region", "left_semi")
+    class_of = F.floor(F.log("n") / math.log(100 / per_cent)).cast("int")  # sizes of a link are in the same class or in two next to each other
+    rows = C.stage(crowded.join(known, F.col("node") == F.col("_n"), "left").select("region", "node", F.coalesce("root", "node").alias("root"), "pos", class_of.alias("class")), "crowded")
+    shape = rows.groupBy("region").agg(
+        F.count("*").alias("held"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(7), F.col("node"))).alias("xor"),
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("pos").alias("first"),
+    )
+    kept = shape.filter("low < high").groupBy("held", "sum", "xor").agg(F.min_by("region", "first").alias("region")).select("region")
+    rows = rows.join(C.stage(kept, "kept"), "region", "left_semi")
+    sizes = rows.groupBy("region", "class").agg(F.count("*").alias("n"))
+    around = sizes.select("region", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), "n").groupBy("region", "class").agg(F.sum("n").alias("n")).filter("n > 1")
+    return apart, rows.join(around.drop("n"), ["region", "class"], "left_semi").select("region", "node", "root", "pos")
 
 
-ROWS = "region long, node long, root long, n int, counts array<int>"
+def _with_sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    return rows.join(nodes.select(F.col("node").alias("_m"), "n", "sketch"), F.col("node") == F.col("_m")).drop("_m")
 
 
-def _counts(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(-1, SKETCH)
-
-
-def _pairs_of(node: np.ndarray, root: np.ndarray, n: np.ndarray, counts: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a region's nodes that aren't connected and are near enough by counts."""
+def _pairs_of(node: np.ndarray, root: np.ndarray, pos: np.ndarray, n: np.ndarray, counts: np.ndarray, first: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a region's nodes that aren't connected, are near enough by counts, and don't meet in a lower region for what their sketches say."""
     firsts, seconds = [], []
+    lower = np.where(np.arange(first.shape[1]) < pos[:, None], first, 0)  # shingles of the window below the region's
     for i in range(len(node) - 1):
         low = np.minimum(counts[i + 1 :], counts[i]).sum(1)
         near = np.flatnonzero((100 * low >= per_cent * (n[i + 1 :] + n[i] - low)) & (root[i + 1 :] != root[i])) + i + 1
+        if len(near):
+            near = near[~(np.isin(lower[near], lower[i]) & (lower[near] != 0)).any(1)]
         firsts.append(np.full(len(near), node[i]))
         seconds.append(node[near])
     a, b = np.concatenate(firsts or [node[:0]]), np.concatenate(seconds or [node[:0]])
@@ -224,12 +264,12 @@ def _pairs_of(node: np.ndarray, root: np.ndarray, n: np.ndarray, counts: np.ndar
 
 
 def compared(rows: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of each small region; a task holds one region and a batch at a time."""
+    """Pairs (a, b) of each small region's rows (region, node, root, pos, n, sketch); a task holds one region and a batch at a time."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole(table, cuts):
-            node, root, n, counts = *(table[c].to_numpy() for c in ("node", "root", "n")), _counts(table["counts"])
-            found = [_pairs_of(node[i:j], root[i:j], n[i:j], counts[i:j], per_cent) for i, j in zip([0, *cuts], [*cuts, len(table)])]
+            own, sketches = [table[c].to_numpy() for c in ("node", "root", "pos", "n")], _sketches(table["sketch"])
+            found = [_pairs_of(*[x[i:j] for x in (*own, *sketches)], per_cent) for i, j in zip([0, *cuts], [*cuts, len(table)])]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
         left = None
@@ -248,14 +288,14 @@ def compared(rows: DataFrame, per_cent: int) -> DataFrame:
 
 
 def _pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """(_region, pivots): counts of ``PIVOTS`` nodes of each region, drawn from ``DRAWS`` groups of its nodes by hash, so that no region is in one place."""
+    """(_region, pivots): sketches of ``PIVOTS`` nodes of each region, drawn from ``DRAWS`` groups of its nodes by hash, so that no region is in one place."""
     h = F.xxhash64(F.lit(turn), F.col("node"))
-    drawn = rows.groupBy("region", F.pmod(h, F.lit(DRAWS)).alias("draw")).agg(F.min_by("counts", F.struct(h, "node")).alias("counts"))
-    return drawn.groupBy(F.col("region").alias("_region")).agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "counts"))), 1, PIVOTS)["counts"].alias("pivots"))
+    drawn = rows.groupBy("region", F.pmod(h, F.lit(DRAWS)).alias("draw")).agg(F.min_by("sketch", F.struct(h, "node")).alias("sketch"))
+    return drawn.groupBy(F.col("region").alias("_region")).agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "sketch"))), 1, PIVOTS)["sketch"].alias("pivots"))
 
 
 def cells(rows: DataFrame, turn: int, per_cent: int) -> DataFrame:
-    """(region, node, root, n, counts, size) of the next regions: each node in its nearest pivot's cell and in those at most 2 eps farther.
+    """(region, node, root, pos, size) of the next regions: each node in its nearest pivot's cell and in those at most 2 eps farther.
 
     If x and y are within eps and y's nearest pivot is q, then d(x, q) <= d(y, q) + eps <= d(y, p) + eps <= d(x, p) + 2 eps for x's nearest pivot p.
     """
@@ -265,20 +305,26 @@ def cells(rows: DataFrame, turn: int, per_cent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts, n = _counts(pa.chunked_array([batch.column("counts")])), batch.column("n").to_numpy()
-            nearest = []
-            for own, k, pivots in zip(counts, n, batch.column("pivots"), strict=True):
-                centres = np.asarray(pivots.values.flatten()).reshape(-1, SKETCH)
-                low = np.minimum(centres, own).sum(1)
-                nearest.append(1 - low / (k + centres.sum(1) - low))
-            inside = [np.flatnonzero(d <= d.min() + slack) for d in nearest]
+            counts, n = _sketches(batch.column("sketch"))[0], batch.column("n").to_numpy()
+            pivots = batch.column("pivots")
+            centres, known = {}, []
+            for own in pivots.to_pylist():  # the rows of a region come with the same pivots
+                key = own[0]
+                if key not in centres:
+                    centres[key] = _sketches(pa.array(own))[0]
+                known.append(centres[key])
+            inside = []
+            for own, k, c in zip(counts, n, known, strict=True):
+                low = np.minimum(c, own).sum(1)
+                away = 1 - low / (k + c.sum(1) - low)
+                inside.append(np.flatnonzero(away <= away.min() + slack))
             at = np.repeat(np.arange(batch.num_rows), [len(i) for i in inside])
-            taken = pa.Table.from_batches([batch.drop_columns(["pivots"])]).take(pa.array(at)).append_column("cell", pa.array(np.concatenate(inside), pa.int32()))
+            taken = pa.Table.from_batches([batch.select(["region", "node", "root", "pos", "size"])]).take(pa.array(at)).append_column("cell", pa.array(np.concatenate(inside), pa.int32()))
             yield from taken.combine_chunks().to_batches()
 
-    met = rows.join(_pivots(rows, turn), F.col("region") == F.col("_region")).select("region", "node", "root", "n", "counts", "size", "pivots")
+    met = rows.join(_pivots(rows, turn), F.col("region") == F.col("_region")).select("region", "node", "root", "pos", "size", "n", "sketch", "pivots")
     found = met.mapInArrow(split, f"{ROWS}, size long, cell int")
-    return found.select(F.xxhash64(F.lit(turn), "region", "cell").alias("region"), "node", "root", "n", "counts", "size")
+    return found.select(F.xxhash64(F.lit(turn), "region", "cell").alias("region"), "node", "root", "pos", "size")
 
 
 def tiles(rows: DataFrame, region: int) -> DataFrame:
@@ -286,27 +332,30 @@ def tiles(rows: DataFrame, region: int) -> DataFrame:
     count = F.ceil(F.col("size") * 2 / region)
     own = F.pmod(F.xxhash64(F.lit("tile"), F.col("node")), count)
     met = rows.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    return met.select(F.xxhash64("region", F.least("tile", "other"), F.greatest("tile", "other")).alias("region"), "node", "root", "n", "counts")
+    return met.select(F.xxhash64("region", F.least("tile", "other"), F.greatest("tile", "other")).alias("region"), "node", "root", "pos")
+
+
+ROWS = "region long, node long, root long, pos int"
 
 
-def near_in_regions(rows: DataFrame, per_cent: int, region: int = REGION) -> DataFrame:
-    """(a, b): the near pairs of the regions' rows (region, node, root, n, counts), by cells of pivots until all are small."""
+def near_in_regions(rows: DataFrame, nodes: DataFrame, per_cent: int, region: int = REGION) -> DataFrame:
+    """(a, b): the near pairs of the regions' rows (region, node, root, pos), by cells of pivots until all are small. Sketches join them where they are needed."""
     found, turn = [], 0
     rows = rows.withColumn("size", F.lit(None).cast("long"))
+    own = ("region", "node", "root", "pos")
     while True:
         sizes = rows.groupBy("region").agg(F.count("*").alias("_held"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").withColumnRenamed("region", "_r")
         rows = C.stage(rows.join(sizes, F.col("region") == F.col("_r")).drop("_r", "_low", "_high"), "regions")
-        own = ("region", "node", "root", "n", "counts")
-        found.append(C.stage(compared(rows.filter(F.col("_held") <= region).select(*own), per_cent).distinct(), "near"))
+        found.append(C.stage(compared(_with_sketches(rows.filter(F.col("_held") <= region).select(*own), nodes), per_cent).distinct(), "near"))
         large = rows.filter(F.col("_held") > region)
         stuck = F.coalesce(F.col("_held") > F.col("size") * STUCK, F.lit(False))
         held = large.select(stuck.alias("stuck")).distinct().collect()
         if any(r["stuck"] for r in held):
-            found.append(C.stage(compared(tiles(large.filter(stuck).select(*own, F.col("_held").alias("size")), region), per_cent).distinct(), "near"))
+            found.append(C.stage(compared(_with_sketches(tiles(large.filter(stuck).select(*own, F.col("_held").alias("size")), region), nodes), per_cent).distinct(), "near"))
         if all(r["stuck"] for r in held):
             break
         turn += 1
-        rows = C.stage(cells(large.filter(~stuck).select(*own, F.col("_held").alias("size")), turn, per_cent), "cells")
+        rows = C.stage(cells(_with_sketches(large.filter(~stuck).select(*own, F.col("_held").alias("size")), nodes), turn, per_cent), "cells")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -322,16 +371,17 @@ def join(docs: DataFrame, key: str = "doc_id", text_col: str = "text", size: int
     own = [n for n, _ in FIELDS]
     nodes = found.filter("n > 0").groupBy("a", "b").agg(F.first(F.struct(*own[2:])).alias("own")).select("a", "b", "own.*")
     nodes = C.stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = C.stage(found.select("_key", "a", "b", "n"), "rows")
+    C.drop_stage(found)
     first = C.stage(_near(homes(nodes, per_cent), nodes, per_cent), "near")
     links = verified(docs, text_col, first, nodes, size, per_cent)
     known = C.stage(roots(links), "known")
-    pairs, rows = regions(nodes, known)
+    pairs, crowded = regions(nodes, known, per_cent)
     pairs = C.stage(_near(pairs, nodes, per_cent), "near")
-    rows = rows.join(nodes.select(F.col("node").alias("_m"), "n", "counts"), F.col("node") == F.col("_m")).select("region", "node", "root", "n", "counts")
-    more = C.stage(pairs.unionByName(near_in_regions(rows, per_cent, region)).distinct(), "near")
+    more = C.stage(pairs.unionByName(near_in_regions(crowded, nodes, per_cent, region)).distinct(), "near")
     links = links.unionByName(verified(docs, text_col, more, nodes, size, per_cent))
     names = nodes.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "node")
-    members = found.select("_key", "a", "b", "n").join(names, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n") > 0), "left").select("_key", "node", "n")
+    members = rows.join(names, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n") > 0), "left").select("_key", "node", "n")
     return members, links
 
 
