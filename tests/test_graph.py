@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from valuegrain.operators import graph, record
+from valuegrain.operators import contract, graph, order, record
 
 NODE = "id string, node_type string, value_kind string, number_val double, date_val timestamp, duration_secs long, source_id long, line_number int, is_stale boolean, stale_reason string"
 
@@ -26,7 +26,7 @@ def reached(edges, starts):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_cascade_gc_and_closure_on_random_graphs(spark, seed):
+def test_cascade_gc_and_reach_on_random_graphs(spark, seed):
     rng = random.Random(seed)
     n = 24
     edges = sorted({(f"n{a:02d}", f"n{b:02d}") for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(40)) if a < b})
@@ -35,8 +35,8 @@ def test_cascade_gc_and_closure_on_random_graphs(spark, seed):
     s = spark.createDataFrame([(x, "R") for x in starts], "id string, reason string")
     got = {r.id: r.stale_reason for r in graph.cascade(nodes, e, s).filter("is_stale").collect()}
     assert got == {x: "R" if x in starts else graph.STALE_PARENT for x in reached(edges, starts)}
-    doubled = graph.closure(e, s.select("id"))
-    assert {(r.root, r.id) for r in doubled.collect()} == {(x, y) for x in starts for y in reached(edges, [x])}
+    each = graph.reach(e, s.select(F.col("id").alias("root"), "id"))
+    assert {(r.root, r.id) for r in each.collect()} == {(x, y) for x in starts for y in reached(edges, [x])}
     stale = {f"n{i:02d}" for i in rng.sample(range(n), 16)}
     own, e = frames(spark, edges, stale, [f"n{i:02d}" for i in range(n)])
     left, links = {f"n{i:02d}" for i in range(n)}, set(edges)
@@ -81,28 +81,97 @@ def test_empty_tables(spark):
     assert nodes.filter(F.col("id").isNull()).count() == 0
 
 
-def test_deep_graphs_in_steps_of_many_edges(spark, monkeypatch):
-    n = 1000
+def depths(pairs, start, most=10**9):
+    out, depth, todo = {}, {start: 0}, [start]
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    for x in todo:
+        for b in out.get(x, []) if depth[x] < most else []:
+            if b not in depth:
+                depth[b] = depth[x] + 1
+                todo.append(b)
+    return depth
+
+
+def edges_of(spark, pairs):
+    return spark.createDataFrame(pairs, "parent_id string, child_id string")
+
+
+def test_a_chain_of_ten_thousand(spark):
+    n = 10_000
     chain = spark.range(n).selectExpr("concat('n', id) as parent_id", "concat('n', id + 1) as child_id")
     out = {r.id: r.depth for r in graph.reach(chain, spark.createDataFrame([("n0",)], "id string")).collect()}
     assert out == {f"n{i}": i for i in range(n + 1)}
+    assert graph.is_acyclic(chain).first().acyclic
+    closed = chain.unionByName(edges_of(spark, [("n9000", "n17")]))
+    found = {r.id: r.component for r in contract.strong_components(closed).collect()}
+    assert set(found) == {f"n{i}" for i in range(17, 9001)} and set(found.values()) == {min(found)}
+
+
+def test_a_layered_graph_of_sixty_levels(spark):
+    rng = random.Random(9)
+    pairs = [(f"l{i}_{j}", f"l{i + 1}_{k}") for i in range(60) for j in range(30) for k in rng.sample(range(30), 3)]
+    got = {r.id: r.depth for r in graph.reach(edges_of(spark, pairs), spark.createDataFrame([("l0_0",)], "id string")).collect()}
+    assert got == depths(pairs, "l0_0")
+    up = {r.id: r.depth for r in graph.reach(edges_of(spark, pairs), spark.createDataFrame([("l60_0",)], "id string"), down=False).collect()}
+    assert up == depths([(b, a) for a, b in pairs], "l60_0")
+
+
+@pytest.mark.parametrize("core", [0, 10**6])
+def test_searches_beyond_the_levels(spark, monkeypatch, core):
     rng = random.Random(5)
     monkeypatch.setattr(graph, "LEVELS", 2)
-    monkeypatch.setattr(graph, "HOPS", 4)
     monkeypatch.setattr(graph, "TABLES", 2)
-    pairs = [(f"v{i}", f"v{i + 1}") for i in range(25)] + [(f"v{rng.randrange(26)}", f"v{rng.randrange(26)}") for _ in range(12)]
-    e = spark.createDataFrame(pairs, "parent_id string, child_id string")
-
-    def walk(start, most=10**9):
-        depth, todo = {start: 0}, [start]
-        for x in todo:
-            for a, b in pairs:
-                if a == x and b not in depth and depth[x] < most:
-                    depth[b] = depth[x] + 1
-                    todo.append(b)
-        return depth
-
-    assert {r.id: r.depth for r in graph.reach(e, spark.createDataFrame([("v0",)], "id string")).collect()} == walk("v0")
-    assert {r.id: r.depth for r in graph.reach(e, spark.createDataFrame([("v0",)], "id string"), max_depth=5).collect()} == walk("v0", 5)
-    many = graph.reach(e, spark.createDataFrame([("v0", "v0"), ("v7", "v7")], "root string, id string")).collect()
-    assert {(r.root, r.id): r.depth for r in many} == {(s, i): d for s in ("v0", "v7") for i, d in walk(s).items()} and len(many) == len({(r.root, r.id) for r in many})
+    monkeypatch.setattr(contract, "CORE", core)
+    pairs = [(f"v{i}", f"v{i + 1}") for i in range(25)] + [(f"v{rng.randrange(26)}", f"v{rng.randrange(26)}") for _ in range(8)] + [("v20", f"w{i}") for i in range(40)] + [("x", "y"), ("y", "x"), ("y", "z")]
+    e = edges_of(spark, pairs)
+    assert {r.id: r.depth for r in graph.reach(e, spark.createDataFrame([("v0",)], "id string")).collect()} == depths(pairs, "v0")
+    assert {r.id: r.depth for r in graph.reach(e, spark.createDataFrame([("v0",)], "id string"), max_depth=5).collect()} == depths(pairs, "v0", 5)
+    many = graph.reach(e, spark.createDataFrame([("v0", "v0"), ("v7", "v7"), ("x", "x")], "root string, id string")).collect()
+    assert {(r.root, r.id): r.depth for r in many} == {(s, i): d for s in ("v0", "v7", "x") for i, d in depths(pairs, s).items()} and len(many) == len({(r.root, r.id) for r in many})
+
+
+@pytest.mark.parametrize("core", [0, 10**6])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_cycles(spark, seed, core):
+    rng = random.Random(seed)
+    pairs = {(f"v{rng.randrange(30):02d}", f"v{rng.randrange(30):02d}") for _ in range(36)}
+    pairs |= {(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)} | {("s", "s"), ("r0", "t0")} | {(f"t{i}", f"t{i + 1}") for i in range(9)} | {("t9", "r3")} if seed == 1 else {("q", "q0"), ("q0", "q1"), ("q1", "q")}
+    pairs = sorted(pairs)
+    nodes = sorted({x for p in pairs for x in p})
+    down = {x: set(depths(pairs, x)) for x in nodes}
+    want = {x: min(y for y in down[x] if x in down[y]) for x in nodes if any(x in down[y] and y in down[x] and (y != x or (x, x) in pairs) for y in nodes)}
+    assert {r.id: r.component for r in contract.strong_components(edges_of(spark, pairs), core).collect()} == want
+
+
+def test_kept_order_checks_a_band_only(spark, tmp_path):
+    """A batch of a thousand edges at one end of a graph of 200 levels: the scan is asked for the levels of that end."""
+    pairs = [(f"l{i:03d}_{j}", f"l{i + 1:03d}_{(j + k) % 10}") for i in range(200) for j in range(10) for k in (0, 3)]
+    levels = spark.createDataFrame([(f"l{i:03d}_{j}", i) for i in range(201) for j in range(10)], "id string, level long")
+    order.levelled(edges_of(spark, pairs), levels).sort("parent_level").write.option("parquet.block.size", 1 << 14).parquet(f"{tmp_path}/edges")
+    stored = spark.read.parquet(f"{tmp_path}/edges")
+    new = [(f"l{190 + i % 5:03d}_{i % 10}", f"new{i}") for i in range(990)] + [(f"l195_{j}", f"l194_{j}") for j in range(10)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = order.band(stored, 194, 195)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(parent_level,194)" in plan and "LessThanOrEqual(child_level,195)" in plan
+    assert order.band(stored, 194, 195).count() == 20
+    batch = order.admit(stored, levels, edges_of(spark, new))
+    refused = {tuple(r) for r in batch.refused.collect()}
+    assert refused == {(f"l195_{j}", f"l194_{j}") for j in range(10)}  # each l194 node leads to the l195 node of its number
+    assert {r.id for r in batch.changed.collect()} == {f"new{i}" for i in range(990)}
+    assert order.admit(stored, levels, edges_of(spark, [("l200_0", "fresh"), ("fresh", "l000_0"), ("a", "b")])).refused.count() == 2
+
+
+def test_kept_order_over_batches_equals_the_whole_check(spark):
+    rng = random.Random(3)
+    edges, levels = order.ordered(edges_of(spark, [("a", "b"), ("b", "c"), ("k", "k")]))
+    plain = {("a", "b"), ("b", "c")}
+    for _ in range(3):
+        new = [(x, y) for x, y in ((rng.choice("abcdefgh"), rng.choice("abcdefgh")) for _ in range(6))]
+        batch = order.admit(edges, levels, edges_of(spark, new))
+        good, bad = graph.reject_cycles(edges_of(spark, sorted(plain)), edges_of(spark, new))
+        assert sorted(map(tuple, batch.accepted.collect())) == sorted(map(tuple, good.collect())) and sorted(map(tuple, batch.refused.collect())) == sorted(map(tuple, bad.collect()))
+        plain |= {tuple(r) for r in good.collect()}
+        edges, levels = order.applied(edges, levels, batch)
+        assert {(r.parent_id, r.child_id) for r in edges.collect()} == plain and edges.filter("parent_level >= child_level").count() == 0
+    assert order.admit(edges, levels, edges_of(spark, [])).changed.count() == 0

@@ -1,10 +1,12 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from valuegrain.operators import detect, export, graph, record
 from valuegrain.operators.extract import extract
 from valuegrain.functions.text import absolute_path, relative_path
-from valuegrain.sources import tables
+from valuegrain.sources import staging, store, tables
 from valuegrain.streaming import capture
 
 SOURCE = "source_id long, file_path string, mtime timestamp, file_size long, content_hash string, last_checked_at timestamp, identity string"
@@ -96,4 +98,57 @@ def test_export_guards_and_text_file(spark, tmp_path):
     lines = export.as_dot(nodes, edges)
     export.write_lines(lines, f"{tmp_path}/dot")
     assert [r.value for r in spark.read.text(f"{tmp_path}/dot").coalesce(1).collect()] == ["digraph Values {", '    "a" [label="DURATION: 1m 30s", color=black];', '    "a" -> "b" [label="EXPRESSION"];', '    "b" [label="NUMBER: 2", color=red];', "}"]
-    assert export.within_limits(nodes, edges, lines) and not export.within_limits(nodes, edges, lines, max_nodes=1) and not export.within_limits(nodes, edges, lines, max_bytes=10)
+    value, edge = F.col("seq") == "", F.col("seq") != ""
+    lines = lines.filter("section = 1")
+    assert export.publish(lines, f"{tmp_path}/good", value, edge, export.Limits(2, 1, 1000)) == {"n_values": 2, "n_edges": 1, "n_bytes": sum(len(r.line) + 1 for r in lines.collect()), "refused": None}
+    assert spark.read.text(f"{tmp_path}/good").count() == 3
+    for limits, reason in ((export.Limits(values=1), "VALUES"), (export.Limits(edges=0), "EDGES"), (export.Limits(bytes=10), "BYTES")):
+        assert export.publish(lines, f"{tmp_path}/bad", value, edge, limits)["refused"] == reason
+    assert not [p.name for p in tmp_path.iterdir() if "bad" in p.name]
+    with pytest.raises(Exception, match="(?i)exist"):
+        export.publish(lines, f"{tmp_path}/good", value, edge, export.Limits())
+
+
+def test_a_scope_leaves_what_it_keeps(spark, tmp_path):
+    with staging.Scope(spark) as outer:
+        with staging.Scope(spark) as inner:
+            first = staging.stage(spark.range(3), "first")
+            path = first.inputFiles()[0].removeprefix("file:").removeprefix("//")
+            kept = inner.keep(first.withColumn("x", F.lit(1)))
+            assert os.path.exists(path)
+        assert not os.path.exists(path) and kept.count() == 3
+        assert len(outer.made) == 1
+    with pytest.raises(Exception):
+        kept.count()
+
+
+def store_of(spark, path, buckets=4):
+    return store.Store(spark, f"{path}/set", {"rows": store.Table("k string, v long", ("k",), buckets), "more": store.Table("k string, n string", ("k", "n"), 2)})
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    own = store_of(spark, tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v long")
+    assert own.read("rows").count() == 0
+    own.commit({"rows": rows(*[(f"k{i}", i) for i in range(40)])}, batch=0)
+    before = own.manifest()["tables"]["rows"]
+    wrote = own.commit({"rows": rows(("k3", 300), ("new", 1))}, {"rows": spark.createDataFrame([("k4",)], "k string")}, batch=1)
+    after = own.manifest()["tables"]["rows"]
+    changed = {int(b) for b in after if after[b] != before.get(b)}
+    assert changed == set(wrote["rows"]) and len(changed) <= 3 < len(after) + 1
+    assert {r.k: r.v for r in own.read("rows").collect()} == {**{f"k{i}": i for i in range(40) if i != 4}, "k3": 300, "new": 1}
+    assert {r.k: r.v for r in own.read("rows", 1).collect()} == {f"k{i}": i for i in range(40)}  # a reader of the version before
+    assert own.commit({"rows": rows(("k3", 0))}, batch=1) == {} and own.read("rows").filter("v = 300").count() == 1  # tried again
+    assert store_of(spark, tmp_path, 9).tables["rows"].buckets == 4  # the first version's
+
+
+def test_old_versions_go_and_null_keys_stay_one(spark, tmp_path):
+    own = store_of(spark, tmp_path)
+    for i in range(6):
+        own.commit({"more": spark.createDataFrame([(None, "x"), (f"k{i}", None), (f"k{i}", None)], "k string, n string")})
+    assert own.versions() == [4, 5, 6]
+    assert own.read("more").filter("k is null").count() == 1 and own.read("more").count() == 7
+    folders = {p.name for p in (tmp_path / "set" / "more").iterdir() if any(p.iterdir())}
+    assert folders == {f.split("/")[1] for v in own.versions() for f in own.manifest(v)["tables"]["more"].values()}
+    own.commit({}, {"more": own.read("more").select("k", "n")})
+    assert own.read("more").count() == 0

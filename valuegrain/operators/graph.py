@@ -2,102 +2,68 @@
 
 Every loop step joins the frontier with the edges, removes what was seen by an anti join and
 stages the new frontier, so plans stay short and nothing is collected but a count. What was seen is
-one table, rewritten every few levels. Graphs deeper than ``LEVELS`` go on in steps of ``HOPS`` edges.
+one table, rewritten every few levels. Beyond ``LEVELS`` levels the rest of the graph is contracted first.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valuegrain.operators.contract import deep_reach, strong_components, union
 from valuegrain.sources.staging import drop_stage, stage
 
-#: Levels that are searched edge by edge; edges that a step takes beyond them (a power of two); tables that the seen ones may lie in.
-LEVELS, HOPS, TABLES = 24, 64, 8
+#: Levels that are searched edge by edge; tables that the seen ones may lie in.
+LEVELS, TABLES = 16, 8
 STALE_PARENT, MODIFIED, DELETED = "PARENT_NODE_STALE", "SOURCE_FILE_MODIFIED", "FILE_DELETED"
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _steps(edges: DataFrame, down: bool) -> DataFrame:
     near, far = ("parent_id", "child_id") if down else ("child_id", "parent_id")
     return edges.select(F.col(near).alias("_near"), F.col(far).alias("_far")).distinct()
 
 
-def _shortcuts(steps: DataFrame, hops: int) -> DataFrame:
-    """(_near, _far, _hops) of all pairs within so many edges, with the fewest edges; by doubling, so in few joins."""
-    pairs = stage(steps.withColumn("_hops", F.lit(1)), "hops")
-    for _ in range(hops.bit_length() - 1):
-        on = pairs.select(F.col("_near").alias("_far"), F.col("_far").alias("_to"), F.col("_hops").alias("_more"))
-        longer = pairs.join(on, "_far").select("_near", F.col("_to").alias("_far"), (F.col("_hops") + F.col("_more")).alias("_hops"))
-        doubled = stage(pairs.unionByName(longer).groupBy("_near", "_far").agg(F.min("_hops").alias("_hops")), "hops")
-        drop_stage(pairs)
-        pairs = doubled
-    return pairs
-
-
 def reach(edges: DataFrame, starts: DataFrame, down: bool = True, max_depth: int | None = None) -> DataFrame:
     """(root, id, depth) of everything each start reaches, starts included at depth 0; shortest depth, safe on cycles.
 
-    ``starts`` has ``id``, or ``root`` and ``id``. Without ``root`` all starts share one search. Beyond ``LEVELS`` the
-    edges left (in a shared search those between nodes not seen yet) get shortcuts, and a step takes ``HOPS`` of them:
-    what it reaches from the last level within so many edges is what so many levels would have found, at the same depths.
+    ``starts`` has ``id``, or ``root`` and ``id``. Without ``root`` all starts share one search. What lies beyond ``LEVELS``
+    is reached from the last level's nodes over the edges that they can reach, trees and chains without a search.
     """
     steps = stage(_steps(edges, down), "steps")
     shared = "root" not in starts.columns
     own = starts.withColumn("root", F.lit(None).cast("string")) if shared else starts
     frontier = stage(own.select("root", "id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    found, depth, jump = [frontier], 0, 1
+    found, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         if len(found) > TABLES:
-            seen = stage(_union(found[:-1] if jump > 1 else found), "seen")
-            drop_stage(*found[:-1])
-            found = [seen, found[-1]] if jump > 1 else [seen]  # the last one may still be read
-        seen = _union(found).select(F.col("root").alias("_r"), F.col("id").alias("_i"))
+            seen = stage(union(found), "seen")
+            drop_stage(*found[:-1])  # the last one is still read
+            found = [seen]
+        seen = union(found).select(F.col("root").alias("_r"), F.col("id").alias("_i"))
+        unseen = lambda met: met.join(seen, F.col("root").eqNullSafe(F.col("_r")) & (F.col("id") == F.col("_i")), "left_anti")
         if depth == LEVELS:
-            jump = HOPS
-            left = steps
-            if shared:
-                done = seen.select("_i").distinct()
-                left = steps.join(done, F.col("_far") == F.col("_i"), "left_anti").join(done.join(frontier.select("id"), F.col("_i") == F.col("id"), "left_anti"), F.col("_near") == F.col("_i"), "left_anti")
-            steps = _shortcuts(left, HOPS)
-        hops = F.col("_hops") if jump > 1 else F.lit(1)
-        met = frontier.select("root", "id").join(steps, F.col("id") == F.col("_near")).select("root", F.col("_far").alias("id"), hops.alias("_hops"))
-        met = met.groupBy("root", "id").agg((F.min("_hops") + depth).alias("depth"))
-        if max_depth is not None:
-            met = met.filter(F.col("depth") <= max_depth)
-        new = stage(met.join(seen, F.col("root").eqNullSafe(F.col("_r")) & (F.col("id") == F.col("_i")), "left_anti"), "frontier")
+            deep = deep_reach(_rest(steps, frontier, seen, shared), frontier).filter(F.lit(max_depth is None) | (F.col("depth") <= (max_depth or 0)))
+            found.append(stage(unseen(deep).select("root", "id", F.col("depth").cast("int").alias("depth")), "deep"))
+            break
+        met = frontier.select("root", "id").join(steps, F.col("id") == F.col("_near")).select("root", F.col("_far").alias("id")).distinct()
+        new = stage(unseen(met).withColumn("depth", F.lit(depth + 1)), "frontier")
         if new.isEmpty():
             break
         found.append(new)
-        depth += jump
-        frontier = new if jump == 1 else new.filter(F.col("depth") == depth)
-    return _union(found)
+        depth += 1
+        frontier = new
+    return union(found)
 
 
-def closure(edges: DataFrame, starts: DataFrame, down: bool = True) -> DataFrame:
-    """(root, id) as ``reach`` by path doubling of the whole graph: as many joins as the depth has binary digits.
-
-    It holds all reachable pairs, so it is for small graphs that many starts ask; ``reach`` is for the rest.
-    """
-    steps = _steps(edges, down)
-    own = starts if "root" in starts.columns else starts.withColumn("root", F.col("id"))
-    pairs = stage(steps.select(F.col("_near").alias("a"), F.col("_far").alias("b")), "pairs")
-    size = pairs.count()
-    while True:
-        longer = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        doubled = stage(pairs.unionByName(longer).distinct(), "pairs")
-        drop_stage(pairs)
-        pairs, grown = doubled, doubled.count()
-        if grown == size:
-            break
-        size = grown
-    reached = own.join(pairs, F.col("id") == F.col("a")).select("root", F.col("b").alias("id"))
-    return own.select("root", "id").unionByName(reached).distinct()
+def _rest(steps: DataFrame, frontier: DataFrame, seen: DataFrame, shared: bool) -> DataFrame:
+    """The steps that a search can still take: in a shared one those to nodes not seen, else those that the frontier reaches at all."""
+    if shared:
+        done = seen.select("_i").distinct()
+        passed = done.join(frontier.select("id"), F.col("_i") == F.col("id"), "left_anti")
+        return stage(steps.join(done, F.col("_far") == F.col("_i"), "left_anti").join(passed, F.col("_near") == F.col("_i"), "left_anti"), "rest")
+    edges = steps.select(F.col("_near").alias("parent_id"), F.col("_far").alias("child_id"))
+    inside = reach(edges, frontier.select("id").distinct()).select(F.col("id").alias("_in"))
+    return stage(steps.join(inside, F.col("_near") == F.col("_in"), "left_semi"), "rest")
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -105,15 +71,19 @@ def cascade(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     A start that derives from another start keeps its reason; repeated starts take the smallest reason.
     """
+    return mark_stale(nodes, marks(edges, starts))
+
+
+def marks(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(_id, _reason) of the starts and all that derives from them."""
     own = starts.groupBy("id").agg(F.min("reason").alias("reason"))
     reached = reach(edges, own.select("id"))
-    marks = reached.select("id").distinct().join(own, "id", "left").select(F.col("id").alias("_id"), F.coalesce("reason", F.lit(STALE_PARENT)).alias("_reason"))
-    return mark_stale(nodes, marks)
+    return reached.select("id").distinct().join(own, "id", "left").select(F.col("id").alias("_id"), F.coalesce("reason", F.lit(STALE_PARENT)).alias("_reason"))
 
 
-def mark_stale(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+def mark_stale(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     """Nodes with ``is_stale`` and ``stale_reason`` set by (_id, _reason)."""
-    joined = nodes.join(marks, F.col("id") == F.col("_id"), "left")
+    joined = nodes.join(marked, F.col("id") == F.col("_id"), "left")
     hit = F.col("_id").isNotNull()
     return joined.select(*[
         (hit | F.col("is_stale")).alias(c) if c == "is_stale" else F.when(hit, F.col("_reason")).otherwise(F.col("stale_reason")).alias(c) if c == "stale_reason" else F.col(c)
@@ -155,41 +125,24 @@ def orphan_sources(sources: DataFrame, nodes: DataFrame) -> DataFrame:
     return sources.join(nodes.select(F.col("source_id").alias("_s")), F.col("source_id") == F.col("_s"), "left_anti")
 
 
-def cyclic_part(edges: DataFrame) -> DataFrame:
-    """Edges left when those without an incoming edge at their parent are peeled again and again: none just if the graph has no cycle.
-
-    Peeling from both ends leaves cycles and the paths between cycles.
-    """
-    left = stage(edges.select("parent_id", "child_id").distinct(), "left")
-    size = left.count()
-    while size:
-        inner = left.join(left.select(F.col("child_id").alias("_c")).distinct(), F.col("parent_id") == F.col("_c"), "left_semi")
-        inner = inner.join(left.select(F.col("parent_id").alias("_p")).distinct(), F.col("child_id") == F.col("_p"), "left_semi")
-        left = stage(inner, "left")
-        rest = left.count()
-        if rest == size:
-            break
-        size = rest
-    return left
-
-
 def is_acyclic(edges: DataFrame) -> DataFrame:
     """One row (acyclic)."""
-    return cyclic_part(edges).agg((F.count("*") == 0).alias("acyclic"))
+    return strong_components(edges).agg((F.count("*") == 0).alias("acyclic"))
 
 
-def reject_cycles(edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New edges that may join, and those on a cycle of old and new edges, self-loops included.
-
-    Only edges left after peeling can lie on a cycle; a search runs from those alone.
-    """
+def on_cycles(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """The distinct new edges (parent_id, child_id) whose ends are in one strong component of old and new edges: those on a cycle."""
     every = edges.select("parent_id", "child_id").unionByName(new.select("parent_id", "child_id")).distinct()
-    core = stage(cyclic_part(every), "core")
-    suspects = new.select("parent_id", "child_id").distinct().join(core, ["parent_id", "child_id"], "left_semi")
-    loops = reach(core, suspects.select(F.col("child_id").alias("root"), F.col("child_id").alias("id")))
-    on_cycle = suspects.join(loops.select("root", "id").distinct(), (F.col("child_id") == F.col("root")) & (F.col("parent_id") == F.col("id"))).select("parent_id", "child_id")
-    on_cycle = stage(on_cycle.distinct(), "cycles")
-    return new.join(on_cycle, ["parent_id", "child_id"], "left_anti"), new.join(on_cycle, ["parent_id", "child_id"], "left_semi")
+    known = stage(strong_components(every), "known")
+    side = lambda p: known.select(F.col("id").alias(f"_{p}"), F.col("component").alias(f"c{p}"))
+    own = new.select("parent_id", "child_id").distinct()
+    return own.join(side("p"), F.col("parent_id") == F.col("_p")).join(side("c"), F.col("child_id") == F.col("_c")).filter("cp = cc").select("parent_id", "child_id")
+
+
+def reject_cycles(edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New edges that may join, and those on a cycle of old and new edges, self-loops included. ``operators.order`` does it over a part of the graph."""
+    refused = stage(on_cycles(edges, new), "cycles")
+    return new.join(refused, ["parent_id", "child_id"], "left_anti"), new.join(refused, ["parent_id", "child_id"], "left_semi")
 
 
 def lineage(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuegrain.functions.values import root_id, value_text
-from valuegrain.operators.graph import MODIFIED, cascade
+from valuegrain.operators.graph import MODIFIED, mark_stale, marks
 from valuegrain.sources.staging import stage
 from valuegrain.sources.tables import VIRTUAL
 
@@ -131,34 +133,65 @@ def merge_identities(sources: DataFrame, recorded: DataFrame) -> tuple[DataFrame
     return sources.join(lost.select(F.col("file_path").alias("_p")), F.col("file_path") == F.col("_p"), "left_anti"), lost.filter("_from <> _to").select("_from", "_to").distinct()
 
 
-def record_batch(
+class Changes(NamedTuple):
+    """What a batch changes: rows in place of those of the same key (nodes by id, sources by path, captures by both columns), and paths of sources that go."""
+
+    nodes: DataFrame
+    sources: DataFrame
+    lost: DataFrame
+    captures: DataFrame
+
+
+def record_changes(
     nodes: DataFrame, edges: DataFrame, sources: DataFrame, captures: DataFrame, values: DataFrame, new_sources: DataFrame, now: Column, agents: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, sources, captures) after a batch of extracted values (file_path, line, occurrence, value_kind, number_val, date_val).
+) -> Changes:
+    """The changes of a batch of extracted values (file_path, line, occurrence, value_kind, number_val, date_val).
 
     Values that changed files no longer have go stale with what derives from them; a renamed file still has a value if it has it
     under the old path. Then all is upserted, and sources of a recorded file's identity become one, their nodes its nodes.
     Recorded nodes are fresh again; stale descendants stay stale until derived anew. ``agents`` (file_path, agent) are credited
     with all values of the file. A new path's ``source_id`` must be no other path's.
     """
-    sources, new_sources, values = stage(sources, "sources"), stage(latest(new_sources, ["file_path"], "last_checked_at"), "recorded"), stage(values, "values")
-    known = stage(known_as(new_sources, sources), "known")
+    new_sources, values = stage(latest(new_sources, ["file_path"], "last_checked_at"), "recorded"), stage(values, "values")
+    by_path = sources.join(new_sources.select(F.col("file_path").alias("_p")), F.col("file_path") == F.col("_p"), "left_semi")
+    named = new_sources.filter("identity is not null and identity <> '0:0'").select(F.col("identity").alias("_i")).distinct()
+    concerned = stage(by_path.unionByName(sources.join(named, F.col("identity") == F.col("_i"), "left_semi")).dropDuplicates(["file_path"]), "concerned")
+    known = stage(known_as(new_sources, concerned), "known")
     renamed = known.filter("changed and new_path <> old_path")
     under_old = values.join(renamed, F.col("file_path") == F.col("new_path")).withColumn("file_path", F.col("old_path")).select(*values.columns)
     incoming = roots_of(values.unionByName(under_old)).select("id")
     gone = stage(vanished(nodes, incoming, known.filter("changed")).select("id", F.lit(MODIFIED).alias("reason")), "gone")
-    marked = cascade(nodes, edges, gone)
-    merged, moves = merge_identities(stage(upsert_sources(sources, new_sources), "merged"), new_sources)
+    marked = gone.select(F.col("id").alias("_id"), F.col("reason").alias("_reason")) if gone.isEmpty() else stage(marks(edges, gone), "marks")
+    merged, moves = merge_identities(stage(upsert_sources(concerned, new_sources), "merged"), new_sources)
+    merged = stage(merged, "merged")
     ids = merged.select(F.col("file_path").alias("_p"), F.col("source_id").alias("_id"))
     roots = stage(roots_of(values).join(ids, F.col("file_path") == F.col("_p")), "roots")
     new_roots = roots.withColumnsRenamed({"_id": "source_id"}).withColumns({"is_stale": F.lit(False), "stale_reason": F.lit(None).cast("string"), "created_at": now, "updated_at": now})
-    moved = marked.join(moves, F.col("source_id") == F.col("_from"), "left")
+    touched = marked.select("_id").unionByName(roots.select(F.col("id").alias("_id"))).distinct()
+    moving = nodes.join(moves.select("_from"), F.col("source_id") == F.col("_from"), "left_semi")
+    before = stage(nodes.join(touched, F.col("id") == F.col("_id"), "left_semi").unionByName(moving).dropDuplicates(["id"]), "before")
+    moved = mark_stale(before, marked).join(moves, F.col("source_id") == F.col("_from"), "left")
     moved = moved.select(*[F.coalesce("_to", "source_id").alias(c) if c == "source_id" else F.col(c) for c in nodes.columns])
-    credited = captures
+    credited = captures.limit(0)
     if agents is not None:
         own = roots.select("id", "file_path").join(agents.select(F.col("file_path").alias("_f"), "agent"), F.col("file_path") == F.col("_f"))
-        credited = add_captures(captures, own.select(F.col("id").alias("node_id"), "agent"))
-    return upsert_nodes(moved, new_roots.select(*nodes.columns)), merged, credited
+        credited = add_captures(credited, own.select(F.col("id").alias("node_id"), "agent"))
+    lost = concerned.select("file_path").join(merged.select(F.col("file_path").alias("_m")), F.col("file_path") == F.col("_m"), "left_anti")
+    return Changes(stage(upsert_nodes(moved, new_roots.select(*nodes.columns)), "changed"), merged, lost, credited)
+
+
+def record_batch(
+    nodes: DataFrame, edges: DataFrame, sources: DataFrame, captures: DataFrame, values: DataFrame, new_sources: DataFrame, now: Column, agents: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Whole (nodes, sources, captures) after the changes of a batch."""
+    made = record_changes(nodes, edges, sources, captures, values, new_sources, now, agents)
+    replaced = made.nodes.select(F.col("id").alias("_id"))
+    paths = made.sources.select(F.col("file_path").alias("_p")).unionByName(made.lost.select(F.col("file_path").alias("_p")))
+    return (
+        nodes.join(replaced, F.col("id") == F.col("_id"), "left_anti").unionByName(made.nodes),
+        sources.join(paths, F.col("file_path") == F.col("_p"), "left_anti").unionByName(made.sources),
+        captures.unionByName(made.captures).dropDuplicates(["node_id", "agent"]),
+    )
 
 
 def integrity(nodes: DataFrame) -> DataFrame:

@@ -15,8 +15,6 @@ from valuegrain.sources.staging import stage
 OPERATIONS = ("EXPRESSION", "DATE_DIFF", "DURATION_SUM", "DURATION_AVG")
 AGGREGATES = ("DURATION_SUM", "DURATION_AVG")
 MAX_PARENTS = 26
-#: Distinct formulas that become Columns of one plan; where there are more, all are translated in the tasks.
-BLOCK = 64
 
 
 def shape_faults(claims: DataFrame) -> DataFrame:
@@ -72,12 +70,8 @@ def verify(claims: DataFrame, nodes: DataFrame) -> DataFrame:
         "as_number": F.transform("parents", lambda p: F.coalesce(p["number_val"], F.unix_seconds(p["date_val"]).cast("double"), p["duration_secs"].cast("double"))),
     })
     own = stage(own, "claims")
-    few = [r[0] for r in own.filter("operation = 'EXPRESSION'").select("expression").distinct().limit(BLOCK + 1).collect()]
-    if len(few) <= BLOCK:
-        value, fits = formula.evaluate(few, F.col("expression"), F.col("as_number"))
-        own = own.withColumns({"_number": value, "_known": fits})
-    else:
-        own = formula.evaluate_in_tasks(own, "expression", "as_number", "_number", "_known")
+    own = own.withColumn("_own", formula.in_tasks(F.when(F.col("operation") == "EXPRESSION", F.col("expression")), F.col("as_number")))
+    own = own.withColumns({"_number": F.col("_own.value"), "_known": F.col("_own.known")})
     number, known = F.col("_number"), F.col("_known")
     secs_of = F.transform("parents", lambda p: p["duration_secs"])
     total = F.aggregate(secs_of, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x.cast("decimal(19,0)")).cast("decimal(38,0)"))

@@ -2,22 +2,22 @@
 
 The grammar is closed: decimals, the letters a to z for parents 0 to 25, ``+ - * / % ^`` and parentheses.
 Usual precedence: power binds tighter than a sign and to the right, the others to the left; division is
-a float's, and an undefined result is null. A formula is translated once however many claims use it:
-into a Column while there are few formulas, else in the tasks that have its claims.
+a float's, and an undefined result is null. A formula is translated once however many claims use it: into a Column where
+the formulas are given, or in the tasks that have its claims, where a batch's claims of one formula are computed together.
 """
 
 from __future__ import annotations
 
 import math
-import operator
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Limits of an admitted formula.
 MAX_BYTES, MAX_DEPTH, MAX_PARENTS = 4096, 256, 26
@@ -76,50 +76,41 @@ class OfColumns:
         return {"+": x + y, "-": x - y, "*": x * y, "^": F.pow(x, y)}[op]
 
 
-Function = Callable[[list[float]], float]
+Kernel = Callable[[np.ndarray], np.ndarray]
 
 
-class OfFunctions:
-    """The same formulas as functions of a list of doubles; what is undefined is NaN."""
+class OfArrays:
+    """The same formulas over a matrix of doubles, a row for each parent; what is undefined is NaN."""
 
-    def number(self, x: float) -> Function:
-        return lambda p: x
+    def number(self, x: float) -> Kernel:
+        return lambda p: np.full(p.shape[1], x)
 
-    def parent(self, i: int) -> Function:
+    def parent(self, i: int) -> Kernel:
         return lambda p: p[i]
 
-    def minus(self, x: Function) -> Function:
+    def minus(self, x: Kernel) -> Kernel:
         return lambda p: -x(p)
 
-    def apply(self, op: str, x: Function, y: Function) -> Function:
-        own = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": _divided, "%": _rest, "^": _power}[op]
+    def apply(self, op: str, x: Kernel, y: Kernel) -> Kernel:
+        own = {"+": np.add, "-": np.subtract, "*": np.multiply, "/": _divided, "%": _rest, "^": np.power}[op]
         return lambda p: own(x(p), y(p))
 
 
-def _divided(x: float, y: float) -> float:
-    return x / y if y else math.nan
+def _divided(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where(y == 0, math.nan, np.divide(x, y))
 
 
-def _rest(x: float, y: float) -> float:
-    return math.fmod(x, y) if y and math.isfinite(x) else math.nan
+def _rest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where(y == 0, math.nan, np.fmod(x, y))
 
 
-def _power(x: float, y: float) -> float:
-    try:
-        return math.pow(x, y)
-    except OverflowError:
-        return math.inf
-    except ValueError:
-        return math.inf if x == 0 else math.nan
-
-
-def translated(text: str, algebra: OfColumns | OfFunctions) -> Column | Function:
+def translated(text: str, algebra: OfColumns | OfArrays) -> Column | Kernel:
     """The formula in an algebra."""
     if not admitted(text):
         raise FormulaError("empty, too long or too deep")
     rest = tokenise(text)[::-1]
 
-    def atom() -> Column | Function:
+    def atom() -> Column | Kernel:
         if not rest:
             raise FormulaError("it ends too early")
         t = rest.pop()
@@ -134,7 +125,7 @@ def translated(text: str, algebra: OfColumns | OfFunctions) -> Column | Function
             raise FormulaError(f"unexpected {t!r}")
         return algebra.number(float(t))
 
-    def signed() -> Column | Function:
+    def signed() -> Column | Kernel:
         if rest and rest[-1] in "+-":
             return algebra.minus(signed()) if rest.pop() == "-" else signed()
         base = atom()
@@ -143,7 +134,7 @@ def translated(text: str, algebra: OfColumns | OfFunctions) -> Column | Function
             return algebra.apply("^", base, signed())
         return base
 
-    def chain(level: int) -> Column | Function:
+    def chain(level: int) -> Column | Kernel:
         part = signed if level + 1 == len(_LEVELS) else lambda: chain(level + 1)
         left = part()
         while rest and rest[-1] in _LEVELS[level]:
@@ -161,31 +152,46 @@ def to_column(text: str, parents: Column) -> Column:
     return translated(text, OfColumns(parents))
 
 
-def evaluate_in_tasks(claims: DataFrame, expression: str, parents: str, value: str, known: str) -> DataFrame:
-    """As ``evaluate`` for any number of distinct formulas: each task translates those of its own rows, and remembers the last ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = lru_cache(MOST_REMEMBERED)(_function)
-        for batch in batches:
-            values, fits = [], []
-            for text, own in zip(batch.column(expression).to_pylist(), batch.column(parents).to_pylist()):
-                function, n_used, highest = made(text) if text is not None else (None, 0, -1)
-                good = function is not None and own is not None and len(own) > highest and len(own) == n_used
-                x = function([math.nan if p is None else p for p in own]) if good else math.nan
-                values.append(x if math.isfinite(x) else None)
-                fits.append(good)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64()), pa.array(fits, pa.bool_())], names=[*batch.schema.names, value, known])
-
-    return claims.mapInArrow(run, T.StructType([*claims.schema.fields, T.StructField(value, T.DoubleType()), T.StructField(known, T.BooleanType())]))
-
-
-def _function(text: str) -> tuple[Function | None, int, int]:
-    """(function, parents used, the highest of them); no function for text outside the grammar."""
+@lru_cache(MOST_REMEMBERED)
+def _kernel(text: str) -> tuple[Kernel | None, int]:
+    """(kernel, parents); no kernel for text outside the grammar or that leaves one of its first parents out."""
     try:
         used = names(text)
-        return translated(text, OfFunctions()), len(used), max(used, default=-1)
+        return (translated(text, OfArrays()), len(used)) if len(used) == max(used, default=-1) + 1 else (None, 0)
     except FormulaError:
-        return None, 0, -1
+        return None, 0
+
+
+def evaluated(texts: list[str | None], parents: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, known) of a batch: its rows are grouped by formula, and each formula is computed once over all of its rows."""
+    groups = defaultdict(list)
+    for i, text in enumerate(texts):
+        if text is not None:
+            groups[text].append(i)
+    values, known = np.full(len(texts), math.nan), np.zeros(len(texts), bool)
+    starts = parents.offsets.to_numpy()
+    flat = parents.values.to_numpy(zero_copy_only=False).astype(float)  # nulls are NaN
+    counts, some = np.diff(starts), parents.is_valid().to_numpy(zero_copy_only=False)
+    with np.errstate(all="ignore"):
+        for text, own in groups.items():
+            kernel, n = _kernel(text)
+            rows = np.array(own)
+            rows = rows[some[rows] & (counts[rows] == n)]
+            if kernel is not None and len(rows):
+                values[rows] = kernel(flat[starts[rows] + np.arange(n)[:, None]])
+                known[rows] = True
+    return values, known
+
+
+def in_tasks(expression: Column, parents: Column) -> Column:
+    """Struct (value, known) of each row's own formula, however many there are; only these two columns go to Python."""
+
+    @F.arrow_udf("value double, known boolean")
+    def run(texts: pa.Array, own: pa.Array) -> pa.Array:
+        values, known = evaluated(texts.to_pylist(), own)
+        return pa.StructArray.from_arrays([pa.array(values, mask=~np.isfinite(values)), pa.array(known)], names=["value", "known"])
+
+    return run(expression, parents)
 
 
 def evaluate(formulas: Iterable[str], expression: Column, parents: Column) -> tuple[Column, Column]:

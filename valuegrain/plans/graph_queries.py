@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from valuegrain.functions.text import VIRTUAL, absolute_path, relative_path
 from valuegrain.functions.values import derived_id, duration_id, number_text
-from valuegrain.operators import export, graph, status
+from valuegrain.operators import contract, export, graph, order, status
 from valuegrain.plans import fixtures as fx
 from valuegrain.plans.registry import query, sql_date, sql_digest, sql_number, sql_value, sql_xsd
-from valuegrain.sources.staging import stage
+from valuegrain.sources.staging import prepared, stage
+from valuegrain.sources.tables import table
 
 MARKED = "marked AS (SELECT n.*, s.source_id IS NOT NULL AS is_stale, s.reason AS stale_reason FROM fx_nodes n LEFT JOIN fx_seeds s ON n.source_id = s.source_id)"
 STARTS = "starts AS (SELECT id, reason FROM fx_nodes n JOIN fx_seeds s ON n.source_id = s.source_id WHERE node_type = 'ROOT')"
@@ -143,6 +144,63 @@ def q_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.is_acyclic(edges).withColumn("name", F.lit("stored")).unionByName(graph.is_acyclic(both).withColumn("name", F.lit("with added")))
 
 
+# Orders in 25 long chains by key, each with a shortcut over 50 orders at every 50th: deep graphs of the given rows
+
+_CHAINED = """links AS (SELECT o_orderkey AS p, o_orderkey + 25 AS c FROM orders WHERE o_orderkey + 25 IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT o_orderkey, o_orderkey + 1250 FROM orders WHERE o_orderkey // 25 % 50 = 0 AND o_orderkey + 1250 IN (SELECT o_orderkey FROM orders))"""
+_BACK = """back AS (SELECT o_orderkey AS p, o_orderkey - 750 AS c FROM orders WHERE o_orderkey // 25 % 100 = 60 UNION ALL SELECT o_orderkey, o_orderkey - 625 FROM orders WHERE o_orderkey // 25 % 100 = 80 AND o_orderkey % 2 = 0
+    UNION ALL SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey % 997 = 0)"""
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(prepared(spark), sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    known = keys.select(F.col("k").alias("_c"))
+    pos = F.floor(F.col("k") / 25)
+    to = keys.withColumn("c", F.explode(F.when(pos % 50 == 0, F.array(F.col("k") + 25, F.col("k") + 1250)).otherwise(F.array(F.col("k") + 25))))
+    return stage(_named(to.join(known, F.col("c") == F.col("_c"), "left_semi")), "chained")
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.concat(F.lit("K:"), F.col("k").cast("string")).alias("parent_id"), F.concat(F.lit("K:"), F.col("c").cast("string")).alias("child_id"))
+
+
+def _back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(prepared(spark), sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    at = F.floor(F.col("k") / 25) % 100
+    ends = F.array_compact(F.array(F.when(at == 60, F.col("k") - 750), F.when((at == 80) & (F.col("k") % 2 == 0), F.col("k") - 625), F.when(F.col("k") % 997 == 0, F.col("k"))))
+    return _named(keys.withColumn("c", F.explode(ends)))
+
+
+@query("SELECT 'K:' || o_orderkey AS id, o_orderkey // 25 // 50 + o_orderkey // 25 % 50 AS depth FROM orders")
+def q_deep_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest depths in chains of 600 orders for each scale of 0.01; the SQL knows them by arithmetic."""
+    first = table(prepared(spark), sf_dir, "orders").filter("o_orderkey < 25").select(F.concat(F.lit("K:"), F.col("o_orderkey").cast("string")).alias("id"))
+    return graph.reach(_chained(spark, sf_dir), first).select("id", F.col("depth").cast("bigint").alias("depth"))
+
+
+@query(f"""WITH RECURSIVE {_CHAINED}, {_BACK}, every AS (SELECT p, c FROM links UNION SELECT p, c FROM back), heads AS (SELECT DISTINCT c AS h FROM back),
+    fore AS (SELECT h, h AS x FROM heads UNION SELECT h, c FROM fore JOIN every ON p = x), aft AS (SELECT h, h AS x FROM heads UNION SELECT h, p FROM aft JOIN every ON c = x),
+    members AS (SELECT h, x FROM fore JOIN aft USING (h, x)), names AS (SELECT h, min('K:' || x) AS component FROM members GROUP BY h)
+SELECT DISTINCT 'K:' || x AS id, component FROM members JOIN names USING (h)""")
+def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of 31 and 51 orders in the chains, some joined by a shortcut, and self-loops."""
+    return contract.strong_components(_chained(spark, sf_dir).unionByName(_back(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_CHAINED}, {_BACK}, every AS (SELECT p, c FROM links UNION SELECT p, c FROM back),
+    fore AS (SELECT c AS h, c AS x FROM back UNION SELECT h, c FROM fore JOIN every ON p = x)
+SELECT DISTINCT 'K:' || b.p AS parent_id, 'K:' || b.c AS child_id, f.x IS NOT NULL AS refused FROM (SELECT p, c FROM back UNION SELECT p, p + 10000000 FROM back) b LEFT JOIN fore f ON f.h = b.c AND f.x = b.p""")
+def q_order_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch against a kept topological order: an order's level is its place in its chain."""
+    edges = _chained(spark, sf_dir)
+    number = lambda c: F.substring(c, 3, 20).cast("bigint")
+    levels = table(spark, sf_dir, "orders").select(F.concat(F.lit("K:"), F.col("o_orderkey").cast("string")).alias("id"), F.floor(F.col("o_orderkey") / 25).alias("level"))
+    back = _back(spark, sf_dir)
+    new = stage(back.unionByName(back.select("parent_id", F.concat(F.lit("K:"), (number("parent_id") + 10_000_000).cast("string")).alias("child_id"))).distinct(), "batch")
+    batch = order.admit(stage(order.levelled(edges, levels).sort("parent_level"), "levelled"), levels, new)
+    return batch.accepted.withColumn("refused", F.lit(False)).unionByName(batch.refused.withColumn("refused", F.lit(True)))
+
+
 @query(fx.ctes() + "SELECT child_id, parent_id, row_number() OVER (PARTITION BY child_id ORDER BY edge_id) - 1 AS operand FROM fx_edges")
 def q_operand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.operands(fx.edges(spark, sf_dir)).select("child_id", "parent_id", F.col("operand").cast("bigint").alias("operand"))
@@ -188,6 +246,23 @@ def q_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.as_text(fx.marked(spark, sf_dir))
 
 
+_TEXT_NODE, _TEXT_EDGE = f"'[' || id || '] ' || value_kind || ' = ' || {sql_value()} || CASE WHEN is_stale THEN ' (STALE)' ELSE ' (VALID)' END", "'    └── ' || operation || ' --> ' || child_id"
+_PROJECT = "CASE WHEN k = 0 THEN 'a' WHEN k < 3 THEN 'b' WHEN k < 6 THEN 'c' ELSE 'd' END"
+
+
+@query(fx.ctes(MARKED) + f""", lines AS (SELECT id AS key, {_TEXT_NODE} AS line, 1 AS v FROM marked UNION ALL SELECT parent_id, {_TEXT_EDGE}, 0 FROM fx_edges),
+    own AS (SELECT {_PROJECT} AS project, line, v FROM (SELECT *, CAST(string_split(key, ':')[2] AS BIGINT) % 10 AS k FROM lines WHERE substr(key, 1, 1) IN ('O', 'S', 'P', 'D', 'T'))),
+    sums AS (SELECT project, CAST(sum(v) AS BIGINT) AS n_values, CAST(sum(1 - v) AS BIGINT) AS n_edges, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM own GROUP BY project)
+SELECT *, CASE WHEN n_values > 60000 THEN 'VALUES' WHEN n_edges > 22000 THEN 'EDGES' WHEN n_bytes > 1500000 THEN 'BYTES' ELSE 'NONE' END AS refused FROM sums""")
+def q_export_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of four projects against limits of values, edges and bytes; at a scale of 0.01 each limit refuses one."""
+    lines = export.as_text(fx.marked(spark, sf_dir), fx.edges(spark, sf_dir)).filter("substr(key, 1, 1) in ('O', 'S', 'P', 'D', 'T')")
+    k = F.split("key", ":")[1].cast("bigint") % 10
+    own = lines.withColumn("project", F.when(k == 0, "a").when(k < 3, "b").when(k < 6, "c").otherwise("d"))
+    out = export.admission(own, "project", F.col("seq") == "", F.col("seq") != "", export.Limits(60_000, 22_000, 1_500_000))
+    return out.withColumn("refused", F.coalesce("refused", F.lit("NONE")))
+
+
 _HOURS = "CASE WHEN duration_secs % 3600 = 0 THEN CAST(duration_secs // 3600 AS VARCHAR) || CASE WHEN duration_secs = 3600 THEN ' hour' ELSE ' hours' END END"
 
 

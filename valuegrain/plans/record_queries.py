@@ -277,16 +277,16 @@ def q_command_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUE_ID = sql_digest("node_raw_", _PATH, "'1'", "'0'", "'NUMBER'", "CAST(event_id AS VARCHAR)")
 
 
-@query(f"""WITH {_KNOWN}, {_NORMAL}, top AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY user_id),
+_STREAMED = f"""WITH {_KNOWN}, {_NORMAL}, top AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY user_id),
     good AS (SELECT n.*, {_VALUE_ID} AS id FROM normal n JOIN top USING (user_id) WHERE event_id = e AND content IS NOT NULL AND phase = 'After' AND outcome IN ('CompletedResult', 'ExplicitSuccess') AND complete)
 SELECT 'value' AS kind, id, CAST(event_id AS VARCHAR) AS state FROM good UNION ALL SELECT 'capture', id, agent FROM good UNION ALL SELECT 'source', path, 'fresh' FROM good
-UNION ALL SELECT 'reject', CAST(event_id AS VARCHAR), 'MALFORMED' FROM own WHERE broken""")
-def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, run until nothing is left: values, attributions, sources and rejects of the store afterwards."""
-    root = f"{shared_dir(prepared(spark))}/stream-{uuid.uuid4().hex}"
-    _events(spark, sf_dir).select("event_id", "ts", "agent", "payload").write.parquet(f"{root}/in")
+UNION ALL SELECT 'reject', CAST(event_id AS VARCHAR), 'MALFORMED' FROM own WHERE broken"""
+
+
+def _streamed(spark: SparkSession, sf_dir: str, root: str, files_a_batch: int | None = None) -> DataFrame:
+    """The store and the rejects after the events under ``root``/in went through as a stream."""
     files = stage(_stored(spark, sf_dir).select("file_path", F.to_timestamp(F.lit(T0)).alias("mtime"), F.lit(1).cast("bigint").alias("file_size"), "content_hash", F.col("file_path").alias("identity")), "files")
-    capture.start(capture.read_events(spark, f"{root}/in"), files, root, f"{root}/log", F.to_timestamp(F.lit(T1))).awaitTermination()
+    capture.start(capture.read_events(spark, f"{root}/in", files_a_batch=files_a_batch), files, root, f"{root}/log", F.to_timestamp(F.lit(T1))).awaitTermination()
     out = capture.recorded(spark, root)
     fresh = out["nodes"].filter("not is_stale")
     return (
@@ -294,3 +294,36 @@ def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(out["sources"].select(F.lit("source").alias("kind"), F.col("file_path").alias("id"), F.lit("fresh").alias("state")))
         .unionByName(out["rejects"].select(F.lit("reject").alias("kind"), F.col("event_id").cast("string").alias("id"), F.col("reason").alias("state")))
     )
+
+
+@query(_STREAMED)
+def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, run until nothing is left: values, attributions, sources and rejects of the store afterwards."""
+    root = f"{shared_dir(prepared(spark))}/stream-{uuid.uuid4().hex}"
+    _events(spark, sf_dir).select("event_id", "ts", "agent", "payload").write.parquet(f"{root}/in")
+    return _streamed(spark, sf_dir, root)
+
+
+@query(_STREAMED)
+def q_stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: half of the events, each twice; all of them; a third of them again. Each event is taken, and refused, once."""
+    root = f"{shared_dir(prepared(spark))}/stream-{uuid.uuid4().hex}"
+    own = stage(_events(spark, sf_dir).select("event_id", "ts", "agent", "payload"), "events")
+    half, third = own.filter("event_id % 2 = 0"), own.filter("event_id % 3 = 0")
+    for events_of in (half.unionByName(half), own, third):
+        events_of.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return _streamed(spark, sf_dir, root, files_a_batch=1)
+
+
+@query("""SELECT '/data/' || event_id || '.csv' AS file_path, CAST(event_id AS VARCHAR) AS first, CAST(line AS BIGINT) AS line FROM events, (SELECT 1 AS line UNION ALL SELECT 2) WHERE event_id % 3 <> 0
+UNION ALL SELECT '/data/' || event_id || '.csv', CAST(event_id AS VARCHAR), 1 FROM events WHERE event_id % 6 = 0""")
+def q_line_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of returned lines: a file with a value beyond the lines returned (every third; every sixth has no such value) has none at all."""
+    e = F.col("event_id")
+    two = F.concat(F.lit("a,"), e.cast("string"), F.lit("\nb,"), e.cast("string"))
+    own = tables.table(prepared(spark), sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("codex").alias("agent"), _str("/data/", e, ".csv").alias("path"),
+        F.when(e % 6 == 0, F.concat(F.lit("a,"), e.cast("string"), F.lit("\nb"))).otherwise(two).alias("content"), F.when(e % 3 == 0, 1).otherwise(2).alias("n_lines"),
+    )
+    values, _ = capture.values_of(own)
+    return values.select("file_path", F.col("number_val").cast("bigint").cast("string").alias("first"), F.col("line").cast("bigint").alias("line"))

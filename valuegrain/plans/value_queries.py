@@ -122,6 +122,41 @@ def q_verify_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("claim_id", "status", _shown(F.floor(F.col("number") * 1000 + 0.12345).cast("bigint")).alias("computed"))
 
 
+@query(fx.ctes() + """SELECT k * 100 + n AS claim_id, CASE WHEN k % 13 = 0 THEN 'MISMATCH' ELSE 'OK' END AS status,
+CAST(CAST(floor(CASE k % 3 WHEN 0 THEN price * (k % 10000 + 1) + discount * discount - tax WHEN 1 THEN (k % 10000 + 1) - -price / (1 + discount) + tax * 0 ELSE price % (k % 10000 + 1) + discount * tax END * 1000 + 0.12345) AS BIGINT) AS VARCHAR) AS computed FROM fx_lines""")
+def q_verify_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About as many formulas as there are orders, up to 30,000."""
+    claims, nodes = _price_claims(spark, sf_dir)
+    lines = stage(fx.view(spark, sf_dir, "fx_lines"), "lines")
+    c, a, b, t, k = (F.col("k") % 10000 + 1).cast("bigint"), F.col("price"), F.col("discount"), F.col("tax"), F.col("k") % 3
+    text = F.when(k == 0, _str("a * ", c, " + b ^ 2 - c")).when(k == 1, _str(c, " - -a / (1 + b) + c * 0")).otherwise(_str("a % ", c, " + b*c"))
+    value = F.when(k == 0, a * c + b * b - t).when(k == 1, c + a / (F.lit(1.0) + b)).otherwise(a % c + b * t)
+    own = lines.select((F.col("k") * 100 + F.col("n")).alias("_id"), text.alias("_text"), F.when(F.col("k") % 13 == 0, value + 1 + F.abs(value)).otherwise(value).cast("string").alias("_claimed"))
+    met = claims.join(own, F.col("claim_id") == F.col("_id")).withColumns({"expression": F.col("_text"), "result": F.col("_claimed")}).drop("_id", "_text", "_claimed")
+    out = verify.verify(met, nodes)
+    return out.select("claim_id", "status", _shown(F.floor(F.col("number") * 1000 + 0.12345).cast("bigint")).alias("computed"))
+
+
+_READS = "'The formula reads ' || CASE k % 3 WHEN 0 THEN 'dates as seconds since 1970' WHEN 1 THEN 'dates as seconds since 1970 and durations as their seconds' ELSE 'durations as their seconds' END || '; its result is a number, not a duration.'"
+
+
+@query(fx.ctes() + f"""SELECT k * 100 + n AS claim_id, CASE WHEN k % 13 = 0 THEN 'MISMATCH' ELSE 'OK' END AS status, CAST(CASE k % 3 WHEN 0 THEN shipped - ordered WHEN 1 THEN ordered + secs ELSE secs * 2 END AS VARCHAR) AS computed, {_READS} AS warning
+FROM (SELECT *, shipped - ordered AS secs FROM fx_lines WHERE shipped >= ordered)""")
+def q_verify_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas over dates and durations: they count as seconds, the result is a number, and a warning says so."""
+    own = stage(fx.view(spark, sf_dir, "fx_lines").filter("shipped >= ordered").withColumns({"tag": _str(F.col("k"), ":", F.col("n")), "secs": F.col("shipped") - F.col("ordered")}), "lines")
+    at = {p: F.concat(F.lit(p), F.col("tag")) for p in ("O:", "S:", "D:")}
+    nodes = _leaf(own, at["O:"], "DATE", F.timestamp_seconds("ordered")).unionByName(_leaf(own, at["S:"], "DATE", F.timestamp_seconds("shipped"))).unionByName(_leaf(own, at["D:"], "DURATION", F.col("secs")))
+    k = F.col("k") % 3
+    value = F.when(k == 0, F.col("secs")).when(k == 1, F.col("ordered") + F.col("secs")).otherwise(F.col("secs") * 2)
+    claims = own.select(
+        (F.col("k") * 100 + F.col("n")).alias("claim_id"), F.when(k == 0, F.array(at["O:"], at["S:"])).when(k == 1, F.array(at["O:"], at["D:"])).otherwise(F.array(at["D:"])).alias("parent_ids"), F.lit("EXPRESSION").alias("operation"),
+        F.when(k == 0, "b - a").when(k == 1, "a + b").otherwise("2 * a").alias("expression"), F.when(F.col("k") % 13 == 0, value * 2 + 100).otherwise(value).cast("string").alias("result"), _null("string").alias("result_unit"),
+    )
+    out = verify.verify(claims, nodes)
+    return out.select("claim_id", "status", _shown(F.col("number").cast("bigint")).alias("computed"), "warning")
+
+
 def _gap_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = stage(fx.view(spark, sf_dir, "fx_lines").withColumn("tag", _str(F.col("k"), ":", F.col("n"))), "lines")
     first, second = F.concat(F.lit("O:"), F.col("k").cast("string")), F.concat(F.lit("S:"), F.col("tag"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +30,52 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """Tables staged inside go when it ends, but those that are kept; an outer scope has those then.
+
+    What is made inside and used after it must be staged and kept.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __enter__(self) -> Scope:
+        self._outer, self._token = _SCOPE.get(), _SCOPE.set(self)
+        return self
+
+    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        """The table, staged now, and not to go with the scope."""
+        out = stage(df, name)
+        path = self.made.pop()
+        if self._outer is not None:
+            self._outer.made.append(path)
+        return out
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPE.reset(self._token)
+        for path in self.made:
+            _delete(self.spark, path)
+
+
 def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{name}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
+    if _SCOPE.get() is not None:
+        _SCOPE.get().made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stage(*tables: DataFrame) -> None:
     """Remove staged tables that no one will read again."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = sc._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)

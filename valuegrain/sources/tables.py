@@ -47,7 +47,7 @@ def number_format(explicit: Column, setting: Column) -> Column:
     return F.coalesce(known(explicit), known(setting), F.lit("auto"))
 
 
-def _path(spark: SparkSession, name: str) -> tuple:
+def hadoop_path(spark: SparkSession, name: str) -> tuple:
     """A path and its file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -55,7 +55,7 @@ def _path(spark: SparkSession, name: str) -> tuple:
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the complete versions, in order."""
-    path, fs = _path(spark, root)
+    path, fs = hadoop_path(spark, root)
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
     return sorted(int(n[2:]) for n in names if n.startswith("v-"))
 
@@ -70,12 +70,17 @@ def write_snapshot(tables: dict[str, DataFrame], root: str) -> str:
     for k, df in tables.items():
         df.write.parquet(f"{aside}/{k}")
     name = f"v-{(versions(spark, root) or [0])[-1] + 1:012d}"
+    rename_once(spark, aside, f"{root}/{name}")
+    return name
+
+
+def rename_once(spark: SparkSession, source: str, target: str) -> None:
+    """Rename, and fail if the target is there."""
     sc = spark.sparkContext
-    (source, _), (target, _) = _path(spark, aside), _path(spark, f"{root}/{name}")
-    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), sc._jsc.hadoopConfiguration())
+    (old, _), (new, _) = hadoop_path(spark, source), hadoop_path(spark, target)
+    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), sc._jsc.hadoopConfiguration())
     no_overwriting = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-    context.rename(source, target, no_overwriting)
-    return name
+    context.rename(old, new, no_overwriting)
 
 
 def read_snapshot(spark: SparkSession, root: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
@@ -83,7 +88,7 @@ def read_snapshot(spark: SparkSession, root: str, names: tuple[str, ...] = TABLE
     known = versions(spark, root)
     reads = {}
     for k in names if known else ():
-        path, fs = _path(spark, f"{root}/v-{known[-1]:012d}/{k}")
+        path, fs = hadoop_path(spark, f"{root}/v-{known[-1]:012d}/{k}")
         if fs.exists(path):
             reads[k] = spark.read.parquet(str(path))
     return reads

@@ -1,8 +1,8 @@
 """Capture as a stream: events are normalised, gated and matched; each batch is recorded as one unit, or not at all.
 
-``files`` is what is on disk now: (file_path, mtime, file_size, content_hash, identity). The store is a folder of
-table sets (``sources.tables.write_snapshot``); a batch reads the last version and writes the next, so readers never
-see half a batch, and a batch that is tried again records the same rows over themselves.
+``files`` is what is on disk now: (file_path, mtime, file_size, content_hash, identity). The store is in buckets
+(``sources.store``); a batch writes the buckets that its changes fall in and publishes the next version, so readers never
+see half a batch, and a batch that is tried again after it was published does nothing.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from valuegrain.operators.extract import extract
-from valuegrain.operators.record import canonical_agent, record_batch, within_limit
-from valuegrain.sources.staging import stage
-from valuegrain.sources.tables import read_snapshot, write_snapshot
+from valuegrain.operators.record import Changes, canonical_agent, record_batch, record_changes, within_limit
+from valuegrain.sources.staging import Scope, stage
+from valuegrain.sources.store import Store, Table
 from valuegrain.streaming.events import MAX_BYTES, eligible, normalise, snapshot_matches
 
 SCHEMA = "event_id long, ts timestamp, agent string, payload string"
@@ -24,10 +24,15 @@ STORE = {
     "sources": "source_id long, file_path string, mtime timestamp, file_size long, content_hash string, last_checked_at timestamp, identity string",
     "captures": "node_id string, agent string",
 }
+#: Keys of the store's tables.
+KEYS = {"nodes": ("id",), "edges": ("parent_id", "child_id"), "sources": ("file_path",), "captures": ("node_id", "agent")}
+#: How long after its first arrival an event that arrives again is known.
+REPEATS = "1 day"
 
 
-def read_events(spark: SparkSession, folder: str, kind: str = "parquet") -> DataFrame:
-    return spark.readStream.format(kind).schema(SCHEMA).load(folder)
+def read_events(spark: SparkSession, folder: str, kind: str = "parquet", files_a_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.format(kind).schema(SCHEMA)
+    return (reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)).load(folder)
 
 
 def _normalised(events: DataFrame) -> DataFrame:
@@ -72,29 +77,61 @@ def empty_store(spark: SparkSession) -> dict[str, DataFrame]:
     return {k: spark.createDataFrame([], v) for k, v in STORE.items()}
 
 
-def record_events(events: DataFrame, files: DataFrame, store: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
-    """The store after the events, recorded as one batch. A new path's id is a digest of the path."""
+def store_at(spark: SparkSession, root: str, buckets: int = 16) -> Store:
+    """The store under a folder; the number of buckets is that of its first version for good."""
+    return Store(spark, f"{root}/store", {k: Table(v, KEYS[k], buckets) for k, v in STORE.items()})
+
+
+def _batch(events: DataFrame, files: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(values, sources, agents) to record. A new path's id is a digest of the path."""
     values, agents = values_of(stage(captured(events, files), "captured"))
     paths = agents.select(F.col("file_path").alias("_p")).distinct()
     own = files.join(paths, F.col("file_path") == F.col("_p"), "left_semi")
     sources = own.select(F.pmod(F.xxhash64("file_path"), F.lit(1 << 62)).alias("source_id"), "file_path", "mtime", "file_size", "content_hash", now.alias("last_checked_at"), "identity")
+    return values, sources, agents
+
+
+def record_events(events: DataFrame, files: DataFrame, store: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
+    """The whole store after the events, recorded as one batch."""
+    values, sources, agents = _batch(events, files, now)
     nodes, kept, captures = record_batch(store["nodes"], store["edges"], store["sources"], store["captures"], values, sources, now, agents)
     return {"nodes": nodes, "edges": store["edges"], "sources": kept, "captures": captures}
 
 
-def start(events: DataFrame, files: DataFrame, root: str, checkpoint: str, now: Column | None = None) -> StreamingQuery:
-    """Run what is there and stop. Each batch writes the store's next version under ``root``/store, and what it refused under ``root``/rejects."""
+def event_changes(events: DataFrame, files: DataFrame, store: dict[str, DataFrame], now: Column) -> Changes:
+    """What the events change in the store, recorded as one batch."""
+    values, sources, agents = _batch(events, files, now)
+    return record_changes(store["nodes"], store["edges"], store["sources"], store["captures"], values, sources, now, agents)
+
+
+def once(events: DataFrame, repeats: str = REPEATS) -> DataFrame:
+    """A stream's events without those that came before, the same in all columns, within the time given.
+
+    The state is kept by arrival, not by the events' own times, so no event is too late to be taken.
+    """
+    arrived = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", repeats)
+    return arrived.dropDuplicatesWithinWatermark(events.columns).drop("_arrived")
+
+
+def start(events: DataFrame, files: DataFrame, root: str, checkpoint: str, now: Column | None = None, repeats: str = REPEATS, buckets: int = 16) -> StreamingQuery:
+    """Run what is there and stop. Each batch commits its changes to the store under ``root``/store, and writes what it refused under ``root``/rejects.
+
+    Without ``now`` rows are stamped with the batch's last event time.
+    """
 
     def record(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = stage(batch, "batch")
-        rejects(own).write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
-        store = {**empty_store(spark), **read_snapshot(spark, f"{root}/store")}
-        write_snapshot(record_events(own, files, store, F.current_timestamp() if now is None else now), f"{root}/store")
+        store = store_at(batch.sparkSession, root, buckets)
+        with Scope(batch.sparkSession):  # the batch leaves what it commits
+            own = stage(batch, "batch")
+            rejects(own).write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
+            last = own.agg(F.max("ts")).first()[0]
+            stamp = now if now is not None else F.current_timestamp() if last is None else F.lit(last)
+            made = event_changes(own, files, store.read_all(), stamp)
+            store.commit({"nodes": made.nodes, "sources": made.sources, "captures": made.captures}, {"sources": made.lost}, number)
 
-    return events.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once(events, repeats).writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def recorded(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The store's last version, and the rejects of all batches."""
-    return {**read_snapshot(spark, f"{root}/store"), "rejects": spark.read.schema("event_id long, reason string").parquet(f"{root}/rejects").select("event_id", "reason")}
+    return {**store_at(spark, root).read_all(), "rejects": spark.read.schema("event_id long, reason string").parquet(f"{root}/rejects").select("event_id", "reason")}
