@@ -7,8 +7,8 @@ A link is a Jaccard distance of at most eps = 1 - per_cent / 100. Equal sets are
    and y by at most their Jaccard distance. A document's home is the pivot of its lowest shingle, where that share is zero; the
    triangle inequality's window replicates it to the pivots of its own shingles where the share is at most eps. Two linked
    documents meet at their lowest common shingle. Shingles that many documents hold go last, so they open no crowded regions.
-2. Pivots of counts. Each node carries the counts of its shingles in ``SKETCH`` bins; the Jaccard distance of counts is a
-   metric and never larger than that of the sets. A region of more than ``REGION`` nodes chooses ``PIVOTS`` of its nodes;
+2. Pivots of sizes and counts. A region of more than ``REGION`` nodes is cut into rings by size first. Each node carries the counts of its shingles in ``SKETCH`` bins; the Jaccard distance of counts is a
+   metric and never larger than that of the sets. A larger ring chooses ``PIVOTS`` of its nodes;
    each node goes to its nearest one's cell and, by the triangle inequality, to each cell whose pivot is at most 2 eps farther.
    Cells are regions again, until they are small; one that doesn't shrink is compared in tiles of bounded size.
 3. Small regions compare counts; only pairs that are near enough by them, and not known to be connected, meet with their sets.
@@ -220,7 +220,7 @@ def roots(links: DataFrame) -> DataFrame:
 
 
 def regions(nodes: DataFrame, known: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rows): regions of the nested pivots with two nodes, and (region, node, root, pos) of those with more.
+    """(pairs, rows): regions of the nested pivots with two nodes, and (region, node, root, pos, class) of those with more.
 
     Connected regions are left out; of those with the same nodes the lowest stays, and in it each node stays only if another has a size near its own.
     """
@@ -241,11 +241,11 @@ def regions(nodes: DataFrame, known: DataFrame, per_cent: int) -> tuple[DataFram
     rows = rows.join(C.stage(kept, "kept"), "region", "left_semi")
     sizes = rows.groupBy("region", "class").agg(F.count("*").alias("n"))
     around = sizes.select("region", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), "n").groupBy("region", "class").agg(F.sum("n").alias("n")).filter("n > 1")
-    return apart, rows.join(around.drop("n"), ["region", "class"], "left_semi").select("region", "node", "root", "pos")
+    return apart, rows.join(around.drop("n"), ["region", "class"], "left_semi").select("region", "node", "root", "pos", "class")
 
 
 def _with_sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    return rows.join(nodes.select(F.col("node").alias("_m"), "n", "sketch"), F.col("node") == F.col("_m")).drop("_m")
+    return rows.join(nodes.select(F.col("node").alias("_m"), "n", "sketch").hint("merge"), F.col("node") == F.col("_m")).drop("_m")
 
 
 def _pairs_of(node: np.ndarray, root: np.ndarray, pos: np.ndarray, n: np.ndarray, counts: np.ndarray, first: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,68 +294,75 @@ def _pivots(rows: DataFrame, turn: int) -> DataFrame:
     return drawn.groupBy(F.col("region").alias("_region")).agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "sketch"))), 1, PIVOTS)["sketch"].alias("pivots"))
 
 
+def rings(rows: DataFrame) -> DataFrame:
+    """The next regions by size, a set's distance from the empty one: each node in the ring of its class and in the one below, so that linked ones share one."""
+    each = rows.withColumn("ring", F.explode(F.array(F.col("class") - 1, F.col("class"))))
+    return each.select(F.xxhash64(F.lit("ring"), "region", "ring").alias("region"), "node", "root", "pos", "class")
+
+
 def cells(rows: DataFrame, turn: int, per_cent: int) -> DataFrame:
-    """(region, node, root, pos, size) of the next regions: each node in its nearest pivot's cell and in those at most 2 eps farther.
+    """(parent, region, node, root, pos, class) of the next regions: each node in its nearest pivot's cell and in those at most 2 eps farther.
 
     If x and y are within eps and y's nearest pivot is q, then d(x, q) <= d(y, q) + eps <= d(y, p) + eps <= d(x, p) + 2 eps for x's nearest pivot p.
     """
     slack = 2 * (100 - per_cent) / 100 + 1e-9
+    kept = ["region", "node", "root", "pos", "class"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts, n = _sketches(batch.column("sketch"))[0], batch.column("n").to_numpy()
-            pivots = batch.column("pivots")
-            centres, known = {}, []
-            for own in pivots.to_pylist():  # the rows of a region come with the same pivots
-                key = own[0]
-                if key not in centres:
-                    centres[key] = _sketches(pa.array(own))[0]
-                known.append(centres[key])
-            inside = []
-            for own, k, c in zip(counts, n, known, strict=True):
-                low = np.minimum(c, own).sum(1)
-                away = 1 - low / (k + c.sum(1) - low)
+            counts, n, inside, centres = _sketches(batch.column("sketch"))[0], batch.column("n").to_numpy(), [], {}
+            for own, k, region, pivots in zip(counts, n, batch.column("region").to_pylist(), batch.column("pivots"), strict=True):
+                if region not in centres:
+                    centres[region] = _sketches(pivots.values)[0]
+                low = np.minimum(centres[region], own).sum(1)
+                away = 1 - low / (k + centres[region].sum(1) - low)
                 inside.append(np.flatnonzero(away <= away.min() + slack))
             at = np.repeat(np.arange(batch.num_rows), [len(i) for i in inside])
-            taken = pa.Table.from_batches([batch.select(["region", "node", "root", "pos", "size"])]).take(pa.array(at)).append_column("cell", pa.array(np.concatenate(inside), pa.int32()))
+            taken = pa.Table.from_batches([batch.select(kept)]).take(pa.array(at)).append_column("cell", pa.array(np.concatenate(inside), pa.int32()))
             yield from taken.combine_chunks().to_batches()
 
-    met = rows.join(_pivots(rows, turn), F.col("region") == F.col("_region")).select("region", "node", "root", "pos", "size", "n", "sketch", "pivots")
-    found = met.mapInArrow(split, f"{ROWS}, size long, cell int")
-    return found.select(F.xxhash64(F.lit(turn), "region", "cell").alias("region"), "node", "root", "pos", "size")
+    met = rows.join(_pivots(rows, turn).hint("merge"), F.col("region") == F.col("_region")).select(*kept, "n", "sketch", "pivots")
+    found = met.mapInArrow(split, f"{ROWS}, cell int")
+    return found.select(F.col("region").alias("parent"), F.xxhash64(F.lit(turn), "region", "cell").alias("region"), *kept[1:])
 
 
 def tiles(rows: DataFrame, region: int) -> DataFrame:
-    """Regions of all pairs of tiles of the regions (with ``size``): for what no pivot separates."""
-    count = F.ceil(F.col("size") * 2 / region)
+    """Regions of all pairs of tiles of the regions (with ``held``): for what no pivot separates."""
+    count = F.ceil(F.col("held") * 2 / region)
     own = F.pmod(F.xxhash64(F.lit("tile"), F.col("node")), count)
     met = rows.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    return met.select(F.xxhash64("region", F.least("tile", "other"), F.greatest("tile", "other")).alias("region"), "node", "root", "pos")
+    return met.select(F.xxhash64("region", F.least("tile", "other"), F.greatest("tile", "other")).alias("region"), "node", "root", "pos", "class")
 
 
-ROWS = "region long, node long, root long, pos int"
+ROWS = "region long, node long, root long, pos int, class int"
 
 
 def near_in_regions(rows: DataFrame, nodes: DataFrame, per_cent: int, region: int = REGION) -> DataFrame:
-    """(a, b): the near pairs of the regions' rows (region, node, root, pos), by cells of pivots until all are small. Sketches join them where they are needed."""
+    """(a, b): the near pairs of the regions' rows (region, node, root, pos, class). Sketches join them where they are needed.
+
+    Larger regions are cut into rings, then by pivots until all are small. A region with a cell of more than ``STUCK`` of it is cut into tiles instead.
+    """
     found, turn = [], 0
-    rows = rows.withColumn("size", F.lit(None).cast("long"))
-    own = ("region", "node", "root", "pos")
+    near = lambda part: found.append(C.stage(compared(_with_sketches(part, nodes), per_cent).distinct(), "near"))
     while True:
-        sizes = rows.groupBy("region").agg(F.count("*").alias("_held"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").withColumnRenamed("region", "_r")
+        sizes = rows.groupBy("region").agg(F.count("*").alias("held"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").withColumnRenamed("region", "_r")
         rows = C.stage(rows.join(sizes, F.col("region") == F.col("_r")).drop("_r", "_low", "_high"), "regions")
-        found.append(C.stage(compared(_with_sketches(rows.filter(F.col("_held") <= region).select(*own), nodes), per_cent).distinct(), "near"))
-        large = rows.filter(F.col("_held") > region)
-        stuck = F.coalesce(F.col("_held") > F.col("size") * STUCK, F.lit(False))
-        held = large.select(stuck.alias("stuck")).distinct().collect()
-        if any(r["stuck"] for r in held):
-            found.append(C.stage(compared(_with_sketches(tiles(large.filter(stuck).select(*own, F.col("_held").alias("size")), region), nodes), per_cent).distinct(), "near"))
-        if all(r["stuck"] for r in held):
+        near(rows.filter(F.col("held") <= region).drop("held"))
+        large = rows.filter(F.col("held") > region)
+        if large.isEmpty():
             break
         turn += 1
-        rows = C.stage(cells(_with_sketches(large.filter(~stuck).select(*own, F.col("_held").alias("size")), nodes), turn, per_cent), "cells")
+        if turn == 1:
+            rows = C.stage(rings(large), "rings")
+            continue
+        parts = C.stage(cells(_with_sketches(large, nodes), turn, per_cent), "cells")
+        largest = parts.groupBy("parent", "region").count().groupBy(F.col("parent").alias("_p")).agg(F.max("count").alias("largest"))
+        stuck = large.select("region", "held").distinct().join(largest, F.col("region") == F.col("_p")).filter(F.col("largest") > F.col("held") * STUCK).select(F.col("region").alias("_s"))
+        stuck = C.stage(stuck, "stuck")
+        near(tiles(large.join(stuck, F.col("region") == F.col("_s"), "left_semi"), region))
+        rows = C.stage(parts.join(stuck, F.col("parent") == F.col("_s"), "left_anti").drop("parent"), "regions")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
