@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from valuegrain.operators.extract import counts, extract, malformed
+from valuegrain.operators import record
+from valuegrain.operators.extract import counts, extract, extract_lines, malformed
+from valuegrain.sources import tables
 
 #: text, format, expected values (dates as ISO days), malformed candidates
 CASES = [
@@ -32,3 +36,45 @@ def test_lines_occurrences_and_auto(spark):
     rows = [(r.file_path, r.line, r.occurrence, r.value_kind, r.number_val) for r in extract(df).orderBy("file_path", "line", "occurrence").collect()]
     assert rows == [("a", 1, 0, "NUMBER", 1.0), ("a", 1, 1, "NUMBER", 1.0), ("a", 2, 0, "DATE", None), ("a", 2, 1, "NUMBER", 2.0), ("b", 1, 0, "NUMBER", 1000.5), ("b", 2, 0, "NUMBER", 2000.0)]
     assert {r.file_path: (r.n_values, r.n_malformed) for r in counts(df).collect()} == {"a": (4, 0), "b": (2, 0), "c": (0, 0)}
+
+
+def test_files_in_splits_equal_whole_texts(spark, tmp_path):
+    """Files of some MB read in splits of 64 KB: numbers, lines and formats are those of the whole texts."""
+    rng = random.Random(2)
+    line = lambda i: rng.choice([f"row {i} is {rng.randrange(10**6)}", "no digit", "", f"on 2024-03-{i % 28 + 1:02d} -{i}.5e1", "x " * 40 + str(i)])
+    whole = {}
+    for name, first in (("a", "1.234,5"), ("b", "1,234.5"), ("c", "")):
+        rows = [line(i) for i in range(40_000 if name == "a" else 9_000)]
+        rows[20_000 % len(rows)] = first  # far from the file's start
+        rows[-1] = "9.876,5" if name == "b" else "last 7"
+        whole[name] = ("\r\n" if name == "b" else "\n").join(rows) + ("" if name == "a" else "\n")
+        (tmp_path / f"{name}.txt").write_bytes(whole[name].encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        lines = tables.text_lines(spark, str(tmp_path), "*.txt")
+        assert lines.rdd.getNumPartitions() > 10
+        assert lines.agg(F.max(F.octet_length("text"))).first()[0] < 1000
+        got = {(r.file_path.rsplit("/", 1)[-1][0], *r[1:]) for r in extract_lines(lines).collect()}
+    finally:
+        for name, x in zip(("maxPartitionBytes", "openCostInBytes"), before):
+            spark.conf.set(f"spark.sql.files.{name}", x)
+    docs = spark.createDataFrame([(k, v, None) for k, v in whole.items()], "file_path string, content string, number_format string")
+    assert got == {tuple(r) for r in extract(docs).collect()}
+    given = {r.number_val for r in extract_lines(tables.text_lines(spark, str(tmp_path), "c.txt"), "EU").collect()}
+    assert given and None not in {r.line for r in extract_lines(tables.text_lines(spark, str(tmp_path), "c.txt")).collect()}
+
+
+def test_the_limit_orders_one_block_only(spark):
+    """One source has most of the values; its order is needed only in the block in which the limit lies."""
+    rng = random.Random(3)
+    rows = [("hot", i // 3, i % 3) for i in range(9_000)] + [("cold", i, 0) for i in range(20)] + [("edge", i, 0) for i in range(100)] + [(None, 1, 0)]
+    rng.shuffle(rows)
+    values = spark.createDataFrame(rows, "file_path string, line int, occurrence int").repartition(5)
+    for limit in (1, 100, 3072, 3073, 5000, 100_000):
+        out = record.within_limit(values, limit)
+        kept = {(r.file_path, r.line, r.occurrence) for r in out.filter("kept").collect()}
+        assert kept == {r for name in ("hot", "cold", "edge", None) for r in sorted(x for x in rows if x[0] == name)[:limit]} and out.count() == len(rows)
+    window = [x for x in record.within_limit(values, 5000)._jdf.queryExecution().executedPlan().toString().splitlines() if "row_number" in x and "Window" in x]
+    assert window and all("_block" in x for x in window)

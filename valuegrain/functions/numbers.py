@@ -46,10 +46,15 @@ def masked(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, whole, "DDDD-DD-DD"), last, "DDDD-DD-$1")
 
 
+def shaped(text: Column) -> Column:
+    """``us`` or ``eu`` by the first number of a text with both separators that fits one of them; else null."""
+    fits = F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\d[\d.,]*\d"), F.lit(0)), lambda m: m.rlike(US_SHAPE) | m.rlike(EU_SHAPE))
+    return F.when(F.get(fits, F.lit(0)).rlike(EU_SHAPE), F.lit("eu")).when(F.size(fits) > 0, F.lit("us"))
+
+
 def auto_format(content: Column) -> Column:
-    """``us`` or ``eu`` by the first number with both separators that fits one of them; else ``us``."""
-    fits = F.filter(F.regexp_extract_all(content, F.lit(r"(?U)\d[\d.,]*\d"), F.lit(0)), lambda m: m.rlike(US_SHAPE) | m.rlike(EU_SHAPE))
-    return F.when(F.get(fits, F.lit(0)).rlike(EU_SHAPE), F.lit("eu")).otherwise(F.lit("us"))
+    """The format that a text's numbers tell; ``us`` if they tell none."""
+    return F.coalesce(shaped(content), F.lit("us"))
 
 
 def tokens(line: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuegrain.functions import numbers as N
+from valuegrain.sources.staging import stage
 
 KIND = "struct<value_kind:string,number_val:double,date_val:timestamp>"
 
@@ -45,6 +46,22 @@ def extract(docs: DataFrame) -> DataFrame:
     return out.select("file_path", "line", "occurrence", "v.*")
 
 
+def extract_lines(rows: DataFrame, number_format: str = "auto") -> DataFrame:
+    """As ``extract``, of lines (file_path, line, text) as ``sources.tables.text_lines`` reads them: a text of any size, no row of which is more than a line.
+
+    An automatic format is that of the file's first line whose numbers tell one; a first pass finds it.
+    """
+    own = rows.filter(F.col("text").rlike(r"(?U)\d"))
+    if number_format.lower() in ("us", "eu"):
+        known = own.withColumn("number_format", F.lit(number_format.lower()))
+    else:
+        told = own.select("file_path", "line", N.shaped(F.col("text")).alias("shape")).filter("shape is not null")
+        formats = stage(told.groupBy(F.col("file_path").alias("_p")).agg(F.min_by("shape", "line").alias("number_format")), "formats")
+        known = own.join(formats, F.col("file_path") == F.col("_p"), "left").withColumn("number_format", F.coalesce("number_format", F.lit("us")))
+    out = known.select("file_path", "line", F.posexplode(F.filter(found(F.col("text"), F.col("number_format")), _good)).alias("occurrence", "v"))
+    return out.select("file_path", "line", "occurrence", "v.*")
+
+
 def malformed(docs: DataFrame) -> DataFrame:
     """(file_path, line, n_malformed) of lines with malformed candidates."""
     return lines(docs).select("file_path", "line", F.size(F.filter("found", lambda v: ~_good(v))).alias("n_malformed")).filter("n_malformed > 0")

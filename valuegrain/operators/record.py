@@ -18,6 +18,8 @@ AGENTS = {
     "opencode": (), "gemini": ("gemini-cli",), "vibe": (), "pi": (), "hermes": (),
 }
 VALUE_LIMIT = 10_000
+#: Bits of a line's number inside its block, when the values of a source are counted.
+BLOCK_BITS = 10
 KINDS = {"NUMBER": "number_val", "DATE": "date_val", "DURATION": "duration_secs"}
 
 
@@ -91,11 +93,23 @@ def canonical_agent(name: Column) -> Column:
 
 
 def within_limit(values: DataFrame, limit: int = VALUE_LIMIT) -> DataFrame:
-    """Values with ``kept``: the first so many of each source by line and occurrence."""
+    """Values with ``kept``: the first so many of each source by line and occurrence.
+
+    Blocks of lines are counted first; whole blocks stay or go, and only the values of the block in which the limit lies are
+    ordered. So a source of any size is sorted by no task: there a row stands for a block.
+    """
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("file_path").orderBy("line", "occurrence"))
-    return values.withColumn("kept", place <= limit)
+    own = values.withColumn("_block", F.shiftright("line", BLOCK_BITS))
+    sizes = own.groupBy("file_path", "_block").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("file_path").orderBy("_block"))
+    room = stage(sizes.select(F.col("file_path").alias("_p"), F.col("_block").alias("_b"), (F.lit(limit) - upto + F.col("_n")).alias("_room"), "_n"), "room")
+    met = own.join(room, F.col("file_path").eqNullSafe(F.col("_p")) & F.col("_block").eqNullSafe(F.col("_b")))
+    cut = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
+    place = F.row_number().over(Window.partitionBy("file_path", "_block").orderBy("line", "occurrence"))
+    whole = met.filter(~cut).withColumn("kept", F.col("_room") > 0)
+    split = met.filter(cut).withColumn("kept", place <= F.col("_room"))
+    return whole.unionByName(split).select(*values.columns, "kept")
 
 
 def roots_of(values: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from valuegrain.functions import values as V
 from valuegrain.operators import extract, record, verify
 from valuegrain.plans import fixtures as fx
 from valuegrain.plans.registry import query, sql_digest, sql_duration, sql_number, sql_xsd
-from valuegrain.sources.staging import prepared, stage
-from valuegrain.sources.tables import table, texts
+from valuegrain.sources.staging import prepared, shared_dir, stage
+from valuegrain.sources.tables import table, text_lines, texts
 
 
 def _str(*parts: Column | str) -> Column:
@@ -331,4 +333,18 @@ def q_value_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = own.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("keys"))
     content = F.array_join(F.transform("keys", lambda k: F.concat(F.lit("customer "), k.cast("string"))), "\n")
     values = extract.extract(files.select(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("file_path"), content.alias("content"), _null("string").alias("number_format")))
-    return record.within_limit(values, 40).groupBy("file_path").agg(F.count("*").alias("n_values"), F.count_if("kept").alias("n_kept"))
+    return record.within_limit(stage(values, "values"), 40).groupBy("file_path").agg(F.count("*").alias("n_values"), F.count_if("kept").alias("n_kept"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(1 AS BIGINT) AS place, CAST(1234 AS BIGINT) AS amount FROM orders")
+def q_extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of text files, in the order of their keys, which follow each other: a line's number less its place among the file's keys is one."""
+    own = table(prepared(spark), sf_dir, "orders")
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    own.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of 1.234,50"))).write.text(folder)
+    values = stage(extract.extract_lines(text_lines(spark, folder, "part-*")), "values")
+    keys = values.filter("occurrence = 0").select("file_path", "line", F.col("number_val").cast("bigint").alias("k"))
+    amounts = values.filter("occurrence = 1").select(F.col("file_path").alias("_p"), F.col("line").alias("_l"), F.floor("number_val").alias("amount"))
+    first = keys.groupBy(F.col("file_path").alias("_f")).agg(F.min("k").alias("first"))
+    met = keys.join(amounts, (F.col("file_path") == F.col("_p")) & (F.col("line") == F.col("_l"))).join(first, F.col("file_path") == F.col("_f"))
+    return met.select(F.col("k").cast("string").alias("k"), (F.col("line") - F.col("k") + F.col("first")).alias("place"), "amount")

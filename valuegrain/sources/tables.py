@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Inline content; its earlier values are never invalidated and it is never checked for changes.
 from valuegrain.functions.text import VIRTUAL  # noqa: F401
+from valuegrain.sources.staging import stage
 
 TABLES = ("sources", "nodes", "edges", "captures", "settings")
 
@@ -34,6 +35,20 @@ def files(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     return found.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("file_size"), "content")
 
 
+def text_lines(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
+    """(file_path, line, text) of text files of any size: files are read in splits, and no row holds more than a line.
+
+    A line's number is its place in its split and the lines of the file's splits before, which are counted in a pass of their own.
+    """
+    read = spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    own = read.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+    splits = own.groupBy("file_path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file_path").orderBy("_block")) - F.col("_n")  # a row for each split
+    starts = stage(splits.select(F.col("file_path").alias("_p"), F.col("_block").alias("_b"), (before - F.col("_first") + 1).alias("_shift")), "splits")
+    met = own.join(starts, (F.col("file_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return met.select("file_path", (F.col("_at") + F.col("_shift")).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
+
+
 def utf8_gate(df: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Texts decoded from valid UTF-8, and the rows that are no text."""
     text = F.try_validate_utf8(F.col(content).cast("string"))

@@ -65,8 +65,8 @@ def values_of(events: DataFrame, number_format: str = "auto") -> tuple[DataFrame
     """
     last = events.groupBy("path").agg(F.max_by(F.struct("content", "n_lines"), F.struct("ts", "event_id")).alias("_last"), F.collect_set("agent").alias("agents"))
     texts = stage(last.select(F.col("path").alias("file_path"), "_last.content", "_last.n_lines", "agents").withColumn("number_format", F.lit(number_format)), "texts")
-    found = within_limit(extract(texts.select("file_path", "content", "number_format"))).filter("kept").drop("kept")
-    values = stage(found, "values")
+    found = stage(extract(texts.select("file_path", "content", "number_format")), "found")
+    values = stage(within_limit(found).filter("kept").drop("kept"), "values")
     beyond = values.join(texts.select(F.col("file_path").alias("_p"), "n_lines"), (F.col("file_path") == F.col("_p")) & (F.col("line") > F.col("n_lines"))).select(F.col("file_path").alias("_b")).distinct()
     whole = values.join(beyond, F.col("file_path") == F.col("_b"), "left_anti")
     agents = texts.join(beyond, F.col("file_path") == F.col("_b"), "left_anti").select("file_path", F.explode("agents").alias("agent"))
