@@ -241,7 +241,7 @@ def test_cells_keep_near_nodes_together(spark):
     base = rng.poisson(3, (6, jaccard.SKETCH))
     counts = [np.maximum(0, b + (rng.random(jaccard.SKETCH) < 0.03)) for b in base for _ in range(40)]
     none = np.zeros(jaccard.FIRST, "<u8").tobytes()
-    nodes = spark.createDataFrame([(i, int(c.sum()), c.astype("<u4").tobytes() + none) for i, c in enumerate(counts)], "node long, n int, sketch binary")
+    nodes = spark.createDataFrame([(i, int(c.sum()), none + c.astype("<u2").tobytes()) for i, c in enumerate(counts)], "node long, n int, sketch binary")
     rows = spark.createDataFrame([(1, i, i, 0, int(math.log(c.sum()) / math.log(100 / 90))) for i, c in enumerate(counts)], jaccard.ROWS)
     expected = {(i, j) for j in range(len(counts)) for i in range(j) if 100 * np.minimum(counts[i], counts[j]).sum() >= 90 * np.maximum(counts[i], counts[j]).sum()}
     assert len(expected) > 100

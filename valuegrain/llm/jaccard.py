@@ -41,9 +41,11 @@ from valuegrain.llm import common as C
 from valuegrain.llm.simhash import components
 
 SHINGLE, PER_CENT = 3, 90
-#: Odd factors that make orders of hashes; bins of counts; bins of the order.
+#: Odd factors that make orders of hashes; bins of counts at least (more for larger sets); bins of the order.
 FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SKETCH, HEAT = 64, 1 << 16
+#: Shingles for each bin of counts, at most; heads that the nodes with a common least hash meet.
+FILL, HEADS = 4, 4
 #: Lowest shingles of a window that a sketch has.
 FIRST = 12
 #: Nodes of a region that one task compares; pivots of a larger one; candidates for pivots; share of a region's nodes above which a cell didn't shrink.
@@ -102,17 +104,28 @@ FIELDS = [("a", T.LongType()), ("b", T.LongType()), ("hash", T.LongType()), ("n"
 
 
 def sketch_of(own: np.ndarray, low: np.ndarray) -> bytes:
-    """Counts of the shingles in ``SKETCH`` bins, and the first ``FIRST`` of the window, zeros where it is shorter."""
-    counts = np.bincount((own >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64), minlength=SKETCH).astype("<u4")
+    """The first ``FIRST`` shingles of the window, zeros where it is shorter, and counts of all in bins by their leading bits: a power of two, in proportion to the set."""
     first = np.zeros(FIRST, "<u8")
     first[: min(FIRST, len(low))] = low[:FIRST]
-    return counts.tobytes() + first.tobytes()
+    bits = max(SKETCH.bit_length() - 1, (len(own) // FILL).bit_length())
+    while True:
+        counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max() < 1 << 16:
+            return first.tobytes() + counts.astype("<u2").tobytes()
+        bits += 1
+
+
+def _counts(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, "<u2", offset=8 * FIRST)
+
 
+def _folded(counts: list[np.ndarray], bins: int) -> np.ndarray:
+    """Counts, a row each, in so many bins."""
+    return np.stack([c.reshape(bins, -1).sum(1, dtype=np.int32) for c in counts])
 
-def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, first) of a column of sketches, a row each."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * SKETCH + 8 * FIRST)
-    return np.ascontiguousarray(raw[:, : 4 * SKETCH]).view("<u4").astype(np.int64), np.ascontiguousarray(raw[:, 4 * SKETCH :]).view("<u8")
+
+def _bins(counts: list[np.ndarray]) -> int:
+    return min(len(c) for c in counts)
 
 
 def _identity(own: np.ndarray) -> tuple[int, int]:
@@ -159,19 +172,22 @@ def _near(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                low = np.minimum(_sketches(batch.column("sa"))[0], _sketches(batch.column("sb"))[0]).sum(1)
+                each = [[_counts(x) for x in pair] for pair in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+                low = np.array([np.minimum(*_folded(pair, _bins(pair))).sum() for pair in each])
                 yield batch.select(["a", "b"]).filter(pa.array(100 * low >= per_cent * (n + m - low)))
 
     return sized.mapInArrow(near, "a long, b long")
 
 
 def homes(nodes: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of nodes with a common least hash: each with the first of them."""
+    """Pairs (a, b) of nodes with a common least hash: each with the first of each of ``HEADS`` groups of them, as one alone may be an odd copy."""
     own = nodes.select("node", "n", F.posexplode("least").alias("order", "hash"))
-    first = own.groupBy("order", "hash").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("held")).filter("held > 1")
-    met = own.join(first.select("order", "hash", "first"), ["order", "hash"]).filter(F.col("node") > F.col("first.node"))
+    drawn = F.pmod(F.xxhash64(F.lit("head"), "node"), F.lit(HEADS))
+    first = own.groupBy("order", "hash", drawn.alias("draw")).agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("held"))
+    heads = first.groupBy("order", "hash").agg(F.collect_list("first").alias("heads"), F.sum("held").alias("held")).filter("held > 1")  # at most HEADS in each
+    met = own.join(heads.select("order", "hash", "heads"), ["order", "hash"]).select("node", "n", F.explode("heads").alias("first")).filter(F.col("node") != F.col("first.node"))
     sized = met.filter(F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * per_cent)
-    return sized.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    return sized.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -248,28 +264,40 @@ def _with_sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.select(F.col("node").alias("_m"), "n", "sketch").hint("merge"), F.col("node") == F.col("_m")).drop("_m")
 
 
-def _pairs_of(node: np.ndarray, root: np.ndarray, pos: np.ndarray, n: np.ndarray, counts: np.ndarray, first: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a region's nodes that aren't connected, are near enough by counts, and don't meet in a lower region for what their sketches say."""
-    firsts, seconds = [], []
-    lower = np.where(np.arange(first.shape[1]) < pos[:, None], first, 0)  # shingles of the window below the region's
-    for i in range(len(node) - 1):
-        low = np.minimum(counts[i + 1 :], counts[i]).sum(1)
-        near = np.flatnonzero((100 * low >= per_cent * (n[i + 1 :] + n[i] - low)) & (root[i + 1 :] != root[i])) + i + 1
-        if len(near):
-            near = near[~(np.isin(lower[near], lower[i]) & (lower[near] != 0)).any(1)]
-        firsts.append(np.full(len(near), node[i]))
-        seconds.append(node[near])
-    a, b = np.concatenate(firsts or [node[:0]]), np.concatenate(seconds or [node[:0]])
+def _pairs_of(node: np.ndarray, root: np.ndarray, pos: np.ndarray, size: np.ndarray, n: np.ndarray, sketches: list[bytes], per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a region's nodes that aren't connected, are near enough by counts, and don't meet in a lower region for what their sketches say.
+
+    ``size`` is the class of sizes: linked nodes are in one class or in two next to each other.
+    """
+    firsts, seconds = [node[:0]], [node[:0]]
+    for c in np.unique(size):
+        own = np.flatnonzero(size == c)
+        both = np.concatenate([own, np.flatnonzero(size == c + 1)])
+        if len(both) < 2 or (root[both] == root[both[0]]).all():
+            continue
+        counts = [_counts(sketches[i]) for i in both]
+        counts = _folded(counts, _bins(counts))
+        lower = np.stack([np.frombuffer(sketches[i], "<u8", FIRST) for i in both])
+        lower = np.where(np.arange(FIRST) < pos[both][:, None], lower, 0)  # shingles of the window below the region's
+        m, r = n[both], root[both]
+        for i in range(len(own)):
+            low = np.minimum(counts[i + 1 :], counts[i]).sum(1)
+            near = np.flatnonzero((100 * low >= per_cent * (m[i + 1 :] + m[i] - low)) & (r[i + 1 :] != r[i])) + i + 1
+            if len(near):
+                near = near[~(np.isin(lower[near], lower[i]) & (lower[near] != 0)).any(1)]
+                firsts.append(np.full(len(near), node[both[i]]))
+                seconds.append(node[both[near]])
+    a, b = np.concatenate(firsts), np.concatenate(seconds)
     return np.minimum(a, b), np.maximum(a, b)
 
 
 def compared(rows: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of each small region's rows (region, node, root, pos, n, sketch); a task holds one region and a batch at a time."""
+    """Pairs (a, b) of each small region's rows (region, node, root, pos, class, n, sketch); a task holds one region and a batch at a time."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole(table, cuts):
-            own, sketches = [table[c].to_numpy() for c in ("node", "root", "pos", "n")], _sketches(table["sketch"])
-            found = [_pairs_of(*[x[i:j] for x in (*own, *sketches)], per_cent) for i, j in zip([0, *cuts], [*cuts, len(table)])]
+            own = [*[table[c].to_numpy() for c in ("node", "root", "pos", "class", "n")], table["sketch"].to_pylist()]
+            found = [_pairs_of(*[x[i:j] for x in own], per_cent) for i, j in zip([0, *cuts], [*cuts, len(table)])]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
         left = None
@@ -312,12 +340,16 @@ def cells(rows: DataFrame, turn: int, per_cent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts, n, inside, centres = _sketches(batch.column("sketch"))[0], batch.column("n").to_numpy(), [], {}
-            for own, k, region, pivots in zip(counts, n, batch.column("region").to_pylist(), batch.column("pivots"), strict=True):
+            inside, centres = [], {}
+            for sketch, k, region, pivots in zip(batch.column("sketch").to_pylist(), batch.column("n").to_pylist(), batch.column("region").to_pylist(), batch.column("pivots"), strict=True):
+                own = _counts(sketch)
                 if region not in centres:
-                    centres[region] = _sketches(pivots.values)[0]
-                low = np.minimum(centres[region], own).sum(1)
-                away = 1 - low / (k + centres[region].sum(1) - low)
+                    known = [_counts(x) for x in pivots.values.to_pylist()]
+                    centres[region] = _folded(known, _bins(known))
+                bins = min(len(own), centres[region].shape[1])
+                there = centres[region].reshape(len(centres[region]), bins, -1).sum(2)
+                low = np.minimum(there, _folded([own], bins)).sum(1)
+                away = 1 - low / (k + there.sum(1) - low)
                 inside.append(np.flatnonzero(away <= away.min() + slack))
             at = np.repeat(np.arange(batch.num_rows), [len(i) for i in inside])
             taken = pa.Table.from_batches([batch.select(kept)]).take(pa.array(at)).append_column("cell", pa.array(np.concatenate(inside), pa.int32()))
