@@ -7,15 +7,17 @@ A link is a Jaccard distance of at most eps = 1 - per_cent / 100. Equal sets are
    and y by at most their Jaccard distance. A document's home is the pivot of its lowest shingle, where that share is zero; the
    triangle inequality's window replicates it to the pivots of its own shingles where the share is at most eps. Two linked
    documents meet at their lowest common shingle. Shingles that many documents hold go last, so they open no crowded regions.
-2. Pivots of sizes and counts. A region of more than ``REGION`` nodes is cut into rings by size first. Each node carries the counts of its shingles in ``SKETCH`` bins; the Jaccard distance of counts is a
-   metric and never larger than that of the sets. A larger ring chooses ``PIVOTS`` of its nodes;
-   each node goes to its nearest one's cell and, by the triangle inequality, to each cell whose pivot is at most 2 eps farther.
-   Cells are regions again, until they are small; one that doesn't shrink is compared in tiles of bounded size.
+2. Pivots of sizes and counts. A region of more than ``REGION`` nodes is cut into rings by size, the distance from the empty
+   set, first. Each node carries the counts of its shingles in bins; the Jaccard distance of counts is a metric and never larger
+   than that of the sets. A larger ring chooses ``PIVOTS`` of its nodes; each node goes to its nearest one's cell and, by the
+   triangle inequality, to each cell whose pivot is at most 2 eps farther. Cells are regions again, until they are small; a
+   region that no pivot separates is compared in tiles of bounded size.
 3. Small regions compare counts; only pairs that are near enough by them, and not known to be connected, meet with their sets.
    A pair whose lowest shingles tell that it meets in a lower region is left to that one.
 
-Before step 1 nodes that share a least hash meet the first of them, which links most copies; regions whose nodes are all
-connected are dropped. Components are the result, so a group of copies isn't expanded into pairs.
+Before step 1 nodes that share a least hash meet a few of them, which links most copies; regions whose nodes are all
+connected are dropped. Components are the result, so a group of copies isn't expanded into pairs. What remains quadratic is a
+group of texts just too far from each other: nothing but their sets tells that, so each two of them are compared.
 
 Shingles are compared by 64-bit digests. The counts that set the order cover all documents, in a table of ``HEAT`` bins; any
 order is right. Sets are sent only for candidates: a bitmap of a bounded size says which texts to look at again.
