@@ -175,3 +175,32 @@ def test_kept_order_over_batches_equals_the_whole_check(spark):
         edges, levels = order.applied(edges, levels, batch)
         assert {(r.parent_id, r.child_id) for r in edges.collect()} == plain and edges.filter("parent_level >= child_level").count() == 0
     assert order.admit(edges, levels, edges_of(spark, [])).changed.count() == 0
+
+
+def test_many_starts_as_bits(spark):
+    """Three words of starts over shared ancestors, a cycle, a null root and repeated rows; depths, counts and what a level carries."""
+    rng = random.Random(11)
+    pairs = [(f"l{i}_{j:03d}", f"l{i + 1}_{k:03d}") for i in range(5) for j in range(150) for k in rng.sample(range(150), 2)] + [("l5_000", "l2_007"), ("l2_007", "l5_000")]
+    roots = [f"l0_{j:03d}" for j in range(150)]
+    e, want = edges_of(spark, pairs), {r: depths(pairs, r) for r in roots}
+    out = graph.reach(e, spark.createDataFrame([(r, r) for r in roots + roots[:5]] + [(None, "l0_000")], "root string, id string")).collect()
+    assert {(r.root, r.id): r.depth for r in out} == {(r, i): d for r, own in [*want.items(), (None, want["l0_000"])] for i, d in own.items()} and len(out) == sum(map(len, want.values())) + len(want["l0_000"])
+    least = graph.reach(e, spark.createDataFrame([(r, r) for r in roots], "root string, id string"), max_depth=2).collect()
+    assert {(r.root, r.id): r.depth for r in least} == {(r, i): d for r in roots for i, d in depths(pairs, r, 2).items()}
+    counts = {r.id: r.n_starts for r in graph.start_counts(e, spark.createDataFrame([(r,) for r in roots], "id string")).collect()}
+    assert counts == {i: sum(i in own for own in want.values()) for i in {i for own in want.values() for i in own}}
+    from valuegrain.operators import bits
+
+    steps = e.selectExpr("parent_id as _near", "child_id as _far").distinct()
+    sets = bits.search(steps, spark.createDataFrame([(r, r) for r in roots], "root string, id string"), None)
+    assert sets.found.count() * 4 < sum(map(len, want.values()))
+    none = spark.createDataFrame([], "root string, id string")
+    assert graph.reach(e, none).count() == 0 and graph.start_counts(e, none.select("id")).count() == 0
+
+
+def test_start_counts_beyond_the_levels(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEVELS", 2)
+    pairs = [(f"v{i}", f"v{i + 1}") for i in range(9)] + [("a", "v3"), ("v9", "v5")]
+    got = {r.id: r.n_starts for r in graph.start_counts(edges_of(spark, pairs), spark.createDataFrame([("v0",), ("a",)], "id string")).collect()}
+    want = [depths(pairs, s) for s in ("v0", "a")]
+    assert got == {i: sum(i in d for d in want) for i in {*want[0], *want[1]}}

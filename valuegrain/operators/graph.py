@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valuegrain.operators import bits
 from valuegrain.operators.contract import deep_reach, strong_components, union
 from valuegrain.sources.staging import drop_stage, stage
 
 #: Levels that are searched edge by edge; tables that the seen ones may lie in.
 LEVELS, TABLES = 16, 8
+#: Root of a search that all starts share.
+NO_ROOT = "cast(null as string) as root"
 STALE_PARENT, MODIFIED, DELETED = "PARENT_NODE_STALE", "SOURCE_FILE_MODIFIED", "FILE_DELETED"
 
 
@@ -26,44 +29,67 @@ def _steps(edges: DataFrame, down: bool) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, down: bool = True, max_depth: int | None = None) -> DataFrame:
     """(root, id, depth) of everything each start reaches, starts included at depth 0; shortest depth, safe on cycles.
 
-    ``starts`` has ``id``, or ``root`` and ``id``. Without ``root`` all starts share one search. What lies beyond ``LEVELS``
-    is reached from the last level's nodes over the edges that they can reach, trees and chains without a search.
+    ``starts`` has ``id``, or ``root`` and ``id``. Without ``root`` all starts share one search; with it sets of roots are
+    carried as bits. What lies beyond ``LEVELS`` is reached from the last level's nodes over the edges that they can reach,
+    trees and chains without a search.
     """
     steps = stage(_steps(edges, down), "steps")
-    shared = "root" not in starts.columns
-    own = starts.withColumn("root", F.lit(None).cast("string")) if shared else starts
-    frontier = stage(own.select("root", "id").distinct().withColumn("depth", F.lit(0)), "frontier")
+    if "root" in starts.columns:
+        return _reach_each(steps, starts, max_depth)
+    frontier = stage(starts.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     found, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         if len(found) > TABLES:
             seen = stage(union(found), "seen")
             drop_stage(*found[:-1])  # the last one is still read
             found = [seen]
-        seen = union(found).select(F.col("root").alias("_r"), F.col("id").alias("_i"))
-        unseen = lambda met: met.join(seen, F.col("root").eqNullSafe(F.col("_r")) & (F.col("id") == F.col("_i")), "left_anti")
+        seen = union(found).select(F.col("id").alias("_i"))
         if depth == LEVELS:
-            deep = deep_reach(_rest(steps, frontier, seen, shared), frontier).filter(F.lit(max_depth is None) | (F.col("depth") <= (max_depth or 0)))
-            found.append(stage(unseen(deep).select("root", "id", F.col("depth").cast("int").alias("depth")), "deep"))
+            deep = deep_reach(_rest(steps, frontier, seen), frontier.selectExpr(NO_ROOT, "id", "depth"))
+            found.append(stage(_within(deep, max_depth).join(seen, F.col("id") == F.col("_i"), "left_anti").select("id", "depth"), "deep"))
             break
-        met = frontier.select("root", "id").join(steps, F.col("id") == F.col("_near")).select("root", F.col("_far").alias("id")).distinct()
-        new = stage(unseen(met).withColumn("depth", F.lit(depth + 1)), "frontier")
+        met = frontier.select("id").join(steps, F.col("id") == F.col("_near")).select(F.col("_far").alias("id")).distinct()
+        new = stage(met.join(seen, F.col("id") == F.col("_i"), "left_anti").withColumn("depth", F.lit(depth + 1)), "frontier")
         if new.isEmpty():
             break
         found.append(new)
         depth += 1
         frontier = new
-    return union(found)
-
-
-def _rest(steps: DataFrame, frontier: DataFrame, seen: DataFrame, shared: bool) -> DataFrame:
-    """The steps that a search can still take: in a shared one those to nodes not seen, else those that the frontier reaches at all."""
-    if shared:
-        done = seen.select("_i").distinct()
-        passed = done.join(frontier.select("id"), F.col("_i") == F.col("id"), "left_anti")
-        return stage(steps.join(done, F.col("_far") == F.col("_i"), "left_anti").join(passed, F.col("_near") == F.col("_i"), "left_anti"), "rest")
-    edges = steps.select(F.col("_near").alias("parent_id"), F.col("_far").alias("child_id"))
-    inside = reach(edges, frontier.select("id").distinct()).select(F.col("id").alias("_in"))
-    return stage(steps.join(inside, F.col("_near") == F.col("_in"), "left_semi"), "rest")
+    return union(found).selectExpr(NO_ROOT, "id", "depth")
+
+
+def _reach_each(steps: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """``reach`` with roots: bits for the first ``LEVELS`` levels, rows of (root, id) beyond."""
+    own = bits.search(steps, starts.select("root", "id").distinct(), LEVELS if max_depth is None else min(LEVELS, max_depth))
+    found = bits.expanded(own.found, own.words)
+    if (max_depth is not None and max_depth <= LEVELS) or own.frontier.isEmpty():
+        return found
+    frontier = stage(bits.expanded(own.frontier, own.words), "frontier")
+    inside = reach(steps.select(F.col("_near").alias("parent_id"), F.col("_far").alias("child_id")), frontier.select("id").distinct()).select(F.col("id").alias("_in"))
+    rest = stage(steps.join(inside, F.col("_near") == F.col("_in"), "left_semi"), "rest")
+    seen = found.select(F.col("root").alias("_r"), F.col("id").alias("_i"))
+    deep = _within(deep_reach(rest, frontier), max_depth).join(seen, F.col("root").eqNullSafe(F.col("_r")) & (F.col("id") == F.col("_i")), "left_anti")
+    return found.unionByName(stage(deep, "deep"))
+
+
+def start_counts(edges: DataFrame, starts: DataFrame, down: bool = True) -> DataFrame:
+    """(id, n_starts): how many of the starts (id) reach each node, themselves included. No set is expanded within ``LEVELS`` levels."""
+    steps = stage(_steps(edges, down), "steps")
+    own = bits.search(steps, starts.select(F.col("id").alias("root"), "id").distinct(), LEVELS)
+    if own.frontier.isEmpty():
+        return bits.counted(own.found)
+    return reach(edges, starts.select(F.col("id").alias("root"), "id"), down).groupBy("id").agg(F.count("*").alias("n_starts"))
+
+
+def _within(found: DataFrame, max_depth: int | None) -> DataFrame:
+    return found.filter(F.lit(max_depth is None) | (F.col("depth") <= (max_depth or 0))).withColumn("depth", F.col("depth").cast("int"))
+
+
+def _rest(steps: DataFrame, frontier: DataFrame, seen: DataFrame) -> DataFrame:
+    """The steps that a shared search can still take: those to nodes not seen, and not from those that it has passed."""
+    done = seen.select("_i").distinct()
+    passed = done.join(frontier.select("id"), F.col("_i") == F.col("id"), "left_anti")
+    return stage(steps.join(done, F.col("_far") == F.col("_i"), "left_anti").join(passed, F.col("_near") == F.col("_i"), "left_anti"), "rest")
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:

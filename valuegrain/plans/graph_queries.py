@@ -84,6 +84,12 @@ def q_upstream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(fx.edges(spark, sf_dir), own, down=False).select("root", "id")
 
 
+@query(fx.ctes("down AS (SELECT id AS root, id FROM fx_nodes WHERE id LIKE 'D:%' UNION SELECT root, e.child_id FROM down JOIN fx_edges e ON e.parent_id = down.id)") + "SELECT id, count(*) AS n_starts FROM down GROUP BY id")
+def q_start_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all date differences each derived value rests on: as many searches as there are differences."""
+    return graph.start_counts(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir).filter("id like 'D:%'").select("id"))
+
+
 FRESHENED = "aged AS (SELECT c.id, c.is_stale AND NOT (c.id LIKE 'C:%' AND coalesce(TRY_CAST(substr(c.id, 3) AS BIGINT), 1) % 5 = 0) AS is_stale FROM cascaded c)"
 KEPT = "kept AS (SELECT id FROM aged WHERE NOT is_stale UNION SELECT e.parent_id FROM kept k JOIN fx_edges e ON e.child_id = k.id)"
 
