@@ -294,6 +294,8 @@ def test_simhash_keeps_one_row_of_each_group(spark, prose):
 
 def test_suffix_dedup(spark, prose):
     texts = [*prose, (700, "q" * 1200), (701, "start " + prose[40][1]), (702, prose[36][1] + " end")]
+    line = "it rains on the old harbour wall and on the boats that lie there until the wind turns round once more; "
+    texts += [(703, "ab" * 700), (704, "one " + "ab" * 230 + " two"), (705, "x" * 30 + "q" * 400), (706, line * 12), (707, line[50:] + line * 4), (708, "z" * 401), (709, "y" * 400), (710, "abc" * 500 + "ab" * 205), (711, "end " + line * 3 + line[:95])]
     data = [(i, (t or "").encode()) for i, t in texts]
     counts = Counter(b[k : k + 400] for _, b in data for k in range(len(b) - 399))
     want = []
@@ -309,6 +311,17 @@ def test_suffix_dedup(spark, prose):
     assert sum(w[2] > 0 for w in want) > 10 and suffixes.judge(docs_of(spark, []), batches=2).count() == 0
 
 
+def test_suffixes_of_a_text_that_repeats_itself():
+    """A stretch of equal strings has one suffix, which covers it all."""
+    for unit in (b"a", b"ab", b"a line of sixty letters or so that someone copied many times\n"):
+        data = (unit * 1_000_000)[:1_000_000]
+        own = suffixes.suffixes_of(data)
+        assert len(own) < 20 and own[0][0] == 0 and own[-1][-1] == len(data) - 400
+        assert all(a[-1] + 1 == b[0] for a, b in zip(own, own[1:]))
+    noise = random.Random(3).randbytes(300_000)
+    assert all(s[-1] == s[1] for s in suffixes.suffixes_of(noise)) and len(suffixes.suffixes_of(noise)) < 6_000
+
+
 def test_family_merges_geometrically_and_outlives_the_session(spark, tmp_path):
     batches = [spark.createDataFrame([(k, k, k, k, 1), (99, 99, b, b, 1), (7, b, 1, 1, 2)], suffixes.RUN) for b, k in enumerate(range(100, 107))]
     met, levels = [], []

@@ -14,6 +14,9 @@ while a level of the same size exists, the two merge into one of twice the size,
 times. Levels lie in a folder and outlive the session: a later batch meets what earlier ones left. All have the same buckets, so
 scans and merges read them bucket by bucket, in order, and shuffle nothing; only a batch itself is shuffled, counted beforehand.
 
+A text that repeats within itself, such as a run of one letter, has a stretch of suffixes whose strings are those of the
+suffix before, moved on by a period. All of them are repeated; the first stands for the stretch and counts twice.
+
 Verdicts: where two suffixes agree in key and digest, all strings filed there are repeated. Where only keys
 agree, the ranges of every undecided suffix, and of one suffix for each distinct digest under the same key, are
 cut into parts of ``STEP`` starts that are compared in the same way; what is still undecided is digested string
@@ -45,9 +48,13 @@ DEPTH = LENGTH - SPREAD + 1
 BATCHES = 4
 #: Positions that are hashed at once, and bits of a position within them.
 BLOCK, PLACE_BITS = 1 << 20, 22
+#: Suffixes of one period from which on a text is compared with itself whole, not suffix by suffix.
+MANY = 64
 #: Starts that are decided together in the second step.
 STEP = 16
 SUFFIX = T.StructType([*[T.StructField(n, T.IntegerType()) for n in ("low", "high", "anchor")], *[T.StructField(n, T.LongType()) for n in ("head", "print", "d1", "d2")]])
+#: With the last start of the stretch that a suffix stands for; its own last start if for itself alone.
+STRETCH = T.StructType([*SUFFIX.fields, T.StructField("till", T.IntegerType())])
 KEY = ["head", "print"]
 DIGEST = ["d1", "d2"]
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,15 +100,33 @@ def _entry(data: bytes, low: int, high: int, anchor: int, common: int, length: i
     return (low, high, anchor, int.from_bytes(data[anchor : anchor + 8], "big", signed=True), _signed(key), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True))
 
 
+def repeats(data: bytes, lows: np.ndarray, highs: np.ndarray, filed: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of each suffix are those of the one before, moved on by as much as the suffix is."""
+    again = np.zeros(len(lows), bool)
+    by = np.diff(lows)
+    alike = (by == np.diff(highs)) & (by == np.diff(filed))
+    raw = np.frombuffer(data, np.uint8)
+    for p in np.unique(by[alike]).tolist():
+        own = np.flatnonzero(alike & (by == p))
+        if len(own) < MANY:
+            equal = [data[lows[i] : highs[i] + length] == data[lows[i] + p : highs[i] + p + length] for i in own.tolist()]
+        else:
+            differing = np.concatenate([[0], np.cumsum(raw[:-p] != raw[p:], dtype=np.int32)])
+            equal = differing[highs[own] + length] == differing[lows[own]]
+        again[own + 1] = equal
+    return again
+
+
 def suffixes_of(data: bytes, length: int = LENGTH, spread: int = SPREAD, gram: int = GRAM) -> list[tuple[int, ...]]:
-    """(first start, last start, anchor, head, fingerprint, digest) of each suffix with strings."""
+    """(first start, last start, anchor, head, fingerprint, digest, last start of the stretch) of each suffix with strings that stands for itself or for a stretch."""
     filed = anchors(data, length, gram, spread)
     if not len(filed):
         return []
     cuts = np.flatnonzero(filed[1:] != filed[:-1]) + 1
-    lows = [0, *cuts.tolist()]
-    highs = [*(cuts - 1).tolist(), len(filed) - 1]
-    return [_entry(data, low, high, a, length - spread + 1, length) for low, high, a in zip(lows, highs, filed[lows].tolist())]
+    lows, highs = np.concatenate([[0], cuts]), np.concatenate([cuts - 1, [len(filed) - 1]])
+    first = np.flatnonzero(~repeats(data, lows, highs, filed[lows], length))
+    tills = highs[np.append(first[1:], len(lows)) - 1]
+    return [(*_entry(data, low, high, a, length - spread + 1, length), till) for low, high, a, till in zip(lows[first].tolist(), highs[first].tolist(), filed[lows[first]].tolist(), tills.tolist())]
 
 
 def parts_of(data: bytes, low: int, high: int, anchor: int, length: int = LENGTH) -> list[tuple[int, ...]]:
@@ -114,7 +139,7 @@ def parts_of(data: bytes, low: int, high: int, anchor: int, length: int = LENGTH
 
 
 def with_suffixes(docs: DataFrame) -> DataFrame:
-    """(key, hash, low, high, head, print, d1, d2) of all texts; one narrow pass."""
+    """(key, hash, low, high, anchor, head, print, d1, d2, till) of all texts; one narrow pass."""
 
     def make():
         def work(texts):
@@ -122,13 +147,13 @@ def with_suffixes(docs: DataFrame) -> DataFrame:
             offsets = [0]
             for own in rows:
                 offsets.append(offsets[-1] + len(own))
-            flat = list(zip(*[s for own in rows for s in own])) or [()] * len(SUFFIX)
-            items = pa.StructArray.from_arrays([pa.array(c, C.to_arrow(f.dataType)) for c, f in zip(flat, SUFFIX)], names=SUFFIX.names)
+            flat = list(zip(*[s for own in rows for s in own])) or [()] * len(STRETCH)
+            items = pa.StructArray.from_arrays([pa.array(c, C.to_arrow(f.dataType)) for c, f in zip(flat, STRETCH)], names=STRETCH.names)
             return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)]
 
         return work
 
-    out = C.map_texts(docs, "_own", [("s", T.ArrayType(SUFFIX))], make, carry=["_key", "_hash"])
+    out = C.map_texts(docs, "_own", [("s", T.ArrayType(STRETCH))], make, carry=["_key", "_hash"])
     return out.select(*C.unpack(out, "_key", "_hash"), F.explode("s").alias("s")).select("_key", "_hash", "s.*")
 
 
@@ -289,8 +314,9 @@ def texts_of(docs: DataFrame, batches: int) -> DataFrame:
     """(row, key, hash, text, sure, todo) of the texts with suffixes found again. ``docs`` has _key, _hash, _own."""
     spark = docs.sparkSession
     rows = C.stage(with_suffixes(docs), "suffixes")
+    times = F.when(F.col("till") > F.col("high"), 2).otherwise(1).cast("long").alias("n")
     family = Family(spark, f"{C.shared_dir(spark)}/family-{uuid.uuid4().hex}")
-    met = [family.add(rows.filter(F.pmod(F.xxhash64("_key", "_hash"), F.lit(batches)) == b).select(*KEY, *DIGEST, F.lit(1).cast("long").alias("n"))) for b in range(batches)]
+    met = [family.add(rows.filter(F.pmod(F.xxhash64("_key", "_hash"), F.lit(batches)) == b).select(*KEY, *DIGEST, times)) for b in range(batches)]
     with in_order(spark):
         again = union([family.read(m) for m in met]).distinct()
         known = family.write(family.all_levels().hint("merge").join(again, KEY, "left_semi").groupBy(*KEY, *DIGEST).agg(F.sum("n").alias("n")))
@@ -300,8 +326,8 @@ def texts_of(docs: DataFrame, batches: int) -> DataFrame:
         family.drop(name)
     family.close(keep=False)
     C.drop_stage(rows)
-    own = lambda df, is_sure, is_open: df.select("_key", "_hash", F.lit(is_sure).alias("is_sure"), F.struct("low", "high", "anchor", F.lit(is_open).alias("open")).alias("s"))
-    tagged = own(sure, True, False).unionByName(own(undecided, False, True)).unionByName(own(partner, False, False))
+    own = lambda df, is_sure, is_open, last="high": df.select("_key", "_hash", F.lit(is_sure).alias("is_sure"), F.struct("low", F.col(last).alias("high"), "anchor", F.lit(is_open).alias("open")).alias("s"))
+    tagged = own(sure, True, False, "till").unionByName(own(undecided, False, True)).unionByName(own(partner, False, False))
     by_text = tagged.groupBy(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).agg(
         F.collect_list(F.when(F.col("is_sure"), F.struct("s.low", "s.high"))).alias("sure"), F.collect_list(F.when(~F.col("is_sure"), F.col("s"))).alias("todo")
     )
