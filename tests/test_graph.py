@@ -204,3 +204,24 @@ def test_start_counts_beyond_the_levels(spark, monkeypatch):
     got = {r.id: r.n_starts for r in graph.start_counts(edges_of(spark, pairs), spark.createDataFrame([("v0",), ("a",)], "id string")).collect()}
     want = [depths(pairs, s) for s in ("v0", "a")]
     assert got == {i: sum(i in d for d in want) for i in {*want[0], *want[1]}}
+
+
+def test_shortcuts_and_loops_in_long_chains_contract(spark, monkeypatch):
+    """What is left after chains are contracted is long too; it must not be searched edge by edge or peeled node by node."""
+    n = 1500
+    chain = [(f"k{i}", f"k{i + 1}") for i in range(n)] + [(f"k{i}", f"k{i + 10}") for i in range(0, n - 10, 10)]
+    back = [(f"k{i + 12}", f"k{i + 6}") for i in range(0, n - 20, 20)] + [(f"k{i + 16}", f"k{i + 11}") for i in range(0, n - 20, 40)] + [("k7", "k7")]
+    rounds = []
+    plain = contract.stage
+    monkeypatch.setattr(contract, "stage", lambda df, name, *more: rounds.append(name) or plain(df, name, *more))
+    steps = edges_of(spark, chain).selectExpr("parent_id as _near", "child_id as _far")
+    first = spark.createDataFrame([("k0", "k0", 0)], "root string, id string, depth int")
+    assert {r.id: r.depth for r in contract.deep_reach(steps, first, core=0).collect()} == depths(chain, "k0")
+    assert len(rounds) < 60
+    rounds.clear()
+    want = {}
+    for i in range(0, n - 20, 20):
+        own = [f"k{j}" for j in range(i + 6, i + (17 if i % 40 == 0 else 13))]
+        want |= dict.fromkeys(own, min(own))
+    assert {r.id: r.component for r in contract.strong_components(edges_of(spark, chain + back), 0).collect()} == want
+    assert len(rounds) < 120
