@@ -225,3 +225,19 @@ def test_shortcuts_and_loops_in_long_chains_contract(spark, monkeypatch):
         want |= dict.fromkeys(own, min(own))
     assert {r.id: r.component for r in contract.strong_components(edges_of(spark, chain + back), 0).collect()} == want
     assert len(rounds) < 120
+
+
+def test_fixture_graph_equals_its_views(spark):
+    """Nodes and edges made from one pass over the lines are those of the views; kinds asked for alone are the same rows."""
+    from valuegrain.plans import fixtures as fx
+
+    folder = "/root/testdata/sf0.001"
+    own = fx.Graph(spark, folder)
+    made = {"fx_nodes": own.nodes().withColumn("date_secs", F.unix_seconds("date_val")), "fx_edges": own.edges()}
+    for name, df in made.items():
+        want = fx.view(spark, folder, name)
+        cols = [c for c in want.columns if c != "number_val"]
+        got = df.select(*[F.col(c).cast(want.schema[c].dataType) for c in cols])
+        assert got.exceptAll(want.select(*cols)).isEmpty() and want.select(*cols).exceptAll(got).isEmpty()
+    assert {x.split("#")[0] for x in own._known} == {"lines", "sums", "customers", "places", "nodes-OSPDTCNR", "edges-DTCNR"}
+    assert own.nodes("D").exceptAll(own.nodes().filter("id like 'D:%'")).isEmpty() and own.nodes("D").count() == own.gaps().count()

@@ -116,7 +116,8 @@ UNION ALL SELECT 'source', CAST(source_id AS VARCHAR), CASE WHEN status = 'CHECK
 def q_sync_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, current, contents, now = _snapshots(spark, sf_dir)
     verdicts = stage(detect.detect(stored, current, contents, now), "verdicts")
-    nodes, own = detect.sync(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), stored, verdicts, current, now)
+    known = fx.Graph(spark, sf_dir)
+    nodes, own = detect.sync(known.nodes(), known.edges(), stored, verdicts, current, now)
     checked = own.filter(F.col("last_checked_at") == now).join(verdicts.select("source_id", "status"), "source_id")
     state = F.when(F.col("status") == "CHECK_FAILED", "touched").otherwise("refreshed")
     return nodes.filter("is_stale").select(F.lit("node").alias("kind"), "id", F.col("stale_reason").alias("state")).unionByName(checked.select(F.lit("source").alias("kind"), F.col("source_id").cast("string").alias("id"), state.alias("state")))
