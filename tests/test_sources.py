@@ -152,3 +152,26 @@ def test_old_versions_go_and_null_keys_stay_one(spark, tmp_path):
     assert folders == {f.split("/")[1] for v in own.versions() for f in own.manifest(v)["tables"]["more"].values()}
     own.commit({}, {"more": own.read("more").select("k", "n")})
     assert own.read("more").count() == 0
+
+
+def test_turtle_in_order_and_counted_without_sorting_or_grouping_lines(spark):
+    """Repeated rows and a parent named twice too; the plans move rows, not the lines they give."""
+    from pyspark.sql import functions as F
+
+    from valuegrain.operators import export
+
+    nodes = spark.createDataFrame([(i, "ROOT", "NUMBER", v, None, None, 1, 2, False, None) for i, v in (("b", 1.0), ("a", 2.0), ("a", 3.0))], "id string, node_type string, value_kind string, number_val double, date_val timestamp, duration_secs long, source_id long, line_number int, is_stale boolean, stale_reason string")
+    edges = spark.createDataFrame([(1, "a", "b", "EXPRESSION", "a"), (2, "a", "b", "EXPRESSION", "a")], "edge_id long, parent_id string, child_id string, operation string, expression string")
+    sources = spark.createDataFrame([(1, "x.csv")], "source_id long, file_path string")
+    captures = spark.createDataFrame([("a", "codex")], "node_id string, agent string")
+    head, sections = export.turtle_sections("p", "/home", nodes, edges, sources, captures)
+    plain = export.turtle("p", "/home", nodes, edges, sources, captures)
+    want = {r.line: r["count"] for r in plain.groupBy("line").count().collect()}
+    got = export.line_counts(head, sections).collect()
+    assert {r.line: r.n for r in got} == want and len(got) == len(want) and max(want.values()) == 2
+    one = nodes.filter("number_val <> 3.0")
+    head, sections = export.turtle_sections("p", "/home", one, edges.limit(1), sources, captures)
+    sorted_lines = [r.line for r in export.turtle("p", "/home", one, edges.limit(1), sources, captures).orderBy("section", "key", "seq").collect()]
+    assert [r.line for r in export.in_order(head, sections).select("line").collect()] == sorted_lines
+    rows = sections[1].rendered(sections[1].rows.orderBy(F.col("id")))._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.index("Generate") < rows.index("Sort")
