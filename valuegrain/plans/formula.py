@@ -3,7 +3,8 @@
 The grammar is closed: decimals, the letters a to z for parents 0 to 25, ``+ - * / % ^`` and parentheses.
 Usual precedence: power binds tighter than a sign and to the right, the others to the left; division is
 a float's, and an undefined result is null. A formula is translated once however many claims use it: into a Column where
-the formulas are given, or in the tasks that have its claims, where a batch's claims of one formula are computed together.
+the formulas are given, or in the tasks that have its claims, where a batch's claims of formulas that differ in their decimals only
+are computed together.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Limits of an admitted formula.
 MAX_BYTES, MAX_DEPTH, MAX_PARENTS = 4096, 256, 26
-#: Translated formulas that a task remembers.
+#: Formulas, and shapes of formulas, that a task remembers.
 MOST_REMEMBERED = 10_000
 _TOKEN = re.compile(r"\s*(?:((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)|([a-z])(?![A-Za-z0-9_])|(.))", re.S)
 _LEVELS = ("+-", "*/%")
@@ -96,6 +97,17 @@ class OfArrays:
         return lambda p: own(x(p), y(p))
 
 
+class OfShapes(OfArrays):
+    """Formulas of one shape: their decimals, in order, are further rows of the matrix, below the parents."""
+
+    def __init__(self, n_parents: int):
+        self.at = n_parents - 1
+
+    def number(self, x: float) -> Kernel:
+        self.at += 1
+        return self.parent(self.at)
+
+
 def _divided(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(y == 0, math.nan, np.divide(x, y))
 
@@ -108,7 +120,12 @@ def translated(text: str, algebra: OfColumns | OfArrays) -> Column | Kernel:
     """The formula in an algebra."""
     if not admitted(text):
         raise FormulaError("empty, too long or too deep")
-    rest = tokenise(text)[::-1]
+    return of_tokens(tokenise(text), algebra)
+
+
+def of_tokens(tokens: Sequence[str], algebra: OfColumns | OfArrays) -> Column | Kernel:
+    """The formula of some tokens in an algebra, which meets its decimals from left to right."""
+    rest = list(tokens)[::-1]
 
     def atom() -> Column | Kernel:
         if not rest:
@@ -152,33 +169,51 @@ def to_column(text: str, parents: Column) -> Column:
     return translated(text, OfColumns(parents))
 
 
+def _shape(text: str) -> tuple[tuple[str, ...], tuple[float, ...]] | None:
+    """(tokens with 0 for each decimal, the decimals) of a formula; none for text that isn't admitted."""
+    try:
+        tokens = tokenise(text) if admitted(text) else []
+    except FormulaError:
+        return None
+    is_number = [t[0] in ".0123456789" for t in tokens]
+    return (tuple("0" if x else t for t, x in zip(tokens, is_number)), tuple(float(t) for t, x in zip(tokens, is_number) if x)) if tokens else None
+
+
 @lru_cache(MOST_REMEMBERED)
-def _kernel(text: str) -> tuple[Kernel | None, int]:
-    """(kernel, parents); no kernel for text outside the grammar or that leaves one of its first parents out."""
+def _kernel(shape: tuple[str, ...]) -> tuple[Kernel | None, int]:
+    """(kernel, parents); no kernel for tokens outside the grammar or that leave one of the first parents out."""
+    used = {ord(t) - 97 for t in shape if "a" <= t <= "z"}
     try:
-        used = names(text)
-        return (translated(text, OfArrays()), len(used)) if len(used) == max(used, default=-1) + 1 else (None, 0)
+        return (of_tokens(shape, OfShapes(len(used))), len(used)) if len(used) == max(used, default=-1) + 1 else (None, 0)
     except FormulaError:
         return None, 0
 
 
 def evaluated(texts: list[str | None], parents: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, known) of a batch: its rows are grouped by formula, and each formula is computed once over all of its rows."""
-    groups = defaultdict(list)
+    """(values, known) of a batch: its rows are grouped by their formulas' shapes, and each shape is computed once over all of its rows."""
+    rows_of, groups = defaultdict(list), defaultdict(list)
     for i, text in enumerate(texts):
         if text is not None:
-            groups[text].append(i)
+            rows_of[text].append(i)
+    for text, own in rows_of.items():
+        shape = _shape(text)
+        if shape is not None:
+            groups[shape[0]].append((own, shape[1]))
     values, known = np.full(len(texts), math.nan), np.zeros(len(texts), bool)
     starts = parents.offsets.to_numpy()
     flat = parents.values.to_numpy(zero_copy_only=False).astype(float)  # nulls are NaN
     counts, some = np.diff(starts), parents.is_valid().to_numpy(zero_copy_only=False)
     with np.errstate(all="ignore"):
-        for text, own in groups.items():
-            kernel, n = _kernel(text)
-            rows = np.array(own)
-            rows = rows[some[rows] & (counts[rows] == n)]
-            if kernel is not None and len(rows):
-                values[rows] = kernel(flat[starts[rows] + np.arange(n)[:, None]])
+        for shape, members in groups.items():
+            kernel, n = _kernel(shape)
+            if kernel is None:
+                continue
+            rows = np.array([i for own, _ in members for i in own])
+            decimals = np.repeat(np.array([d for _, d in members], float), [len(own) for own, _ in members], axis=0)
+            fits = some[rows] & (counts[rows] == n)
+            rows, decimals = rows[fits], decimals[fits]
+            if len(rows):
+                values[rows] = kernel(np.vstack([flat[starts[rows] + np.arange(n)[:, None]], decimals.T]))
                 known[rows] = True
     return values, known
 

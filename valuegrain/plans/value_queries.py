@@ -103,7 +103,8 @@ def _leaf(df: DataFrame, node_id: Column, kind: str, value: Column, stale: Colum
     return df.select(node_id.alias("id"), F.lit(kind).alias("value_kind"), *[(value.cast(t) if typed[kind] == c else _null(t)).alias(c) for c, t in types.items()], (stale if stale is not None else F.lit(False)).alias("is_stale"))
 
 
-def _price_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _price_claims(spark: SparkSession, sf_dir: str, formula: Column | None = None, claimed: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Claims on the lines' prices, discounts and taxes, and these; other formulas and results may be given."""
     own = stage(fx.view(spark, sf_dir, "fx_lines").withColumn("tag", _str(F.col("k"), ":", F.col("n"))), "lines")
     ids = {p: F.concat(F.lit(p), F.col("tag")) for p in ("P:", "X:", "Y:")}
     nodes = _leaf(own, ids["P:"], "NUMBER", F.col("price")).unionByName(_leaf(own, ids["X:"], "NUMBER", F.col("discount"))).unionByName(_leaf(own, ids["Y:"], "NUMBER", F.col("tax")))
@@ -111,8 +112,8 @@ def _price_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     bad = F.col("k") % 13 == 0
     claims = own.select(
         (F.col("k") * 100 + F.col("n")).alias("claim_id"), F.array(*ids.values()).alias("parent_ids"), F.lit("EXPRESSION").alias("operation"),
-        F.when(F.col("k") % 17 == 0, "a * (1 - b)").when(F.col("k") % 2 == 0, "a * (1 - b) * (1 + c)").otherwise("(1+c)*a - (c + 1) * a*b").alias("expression"),
-        F.when(bad, value * 1.01).otherwise(value).cast("string").alias("result"), _null("string").alias("result_unit"),
+        (F.when(F.col("k") % 17 == 0, "a * (1 - b)").when(F.col("k") % 2 == 0, "a * (1 - b) * (1 + c)").otherwise("(1+c)*a - (c + 1) * a*b") if formula is None else formula).alias("expression"),
+        (F.when(bad, value * 1.01).otherwise(value).cast("string") if claimed is None else claimed).alias("result"), _null("string").alias("result_unit"),
     )
     return claims, nodes
 
@@ -128,14 +129,11 @@ def q_verify_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAST(CAST(floor(CASE k % 3 WHEN 0 THEN price * (k % 10000 + 1) + discount * discount - tax WHEN 1 THEN (k % 10000 + 1) - -price / (1 + discount) + tax * 0 ELSE price % (k % 10000 + 1) + discount * tax END * 1000 + 0.12345) AS BIGINT) AS VARCHAR) AS computed FROM fx_lines""")
 def q_verify_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About as many formulas as there are orders, up to 30,000."""
-    claims, nodes = _price_claims(spark, sf_dir)
-    lines = stage(fx.view(spark, sf_dir, "fx_lines"), "lines")
     c, a, b, t, k = (F.col("k") % 10000 + 1).cast("bigint"), F.col("price"), F.col("discount"), F.col("tax"), F.col("k") % 3
     text = F.when(k == 0, _str("a * ", c, " + b ^ 2 - c")).when(k == 1, _str(c, " - -a / (1 + b) + c * 0")).otherwise(_str("a % ", c, " + b*c"))
     value = F.when(k == 0, a * c + b * b - t).when(k == 1, c + a / (F.lit(1.0) + b)).otherwise(a % c + b * t)
-    own = lines.select((F.col("k") * 100 + F.col("n")).alias("_id"), text.alias("_text"), F.when(F.col("k") % 13 == 0, value + 1 + F.abs(value)).otherwise(value).cast("string").alias("_claimed"))
-    met = claims.join(own, F.col("claim_id") == F.col("_id")).withColumns({"expression": F.col("_text"), "result": F.col("_claimed")}).drop("_id", "_text", "_claimed")
-    out = verify.verify(met, nodes)
+    claimed = F.when(F.col("k") % 13 == 0, value + 1 + F.abs(value)).otherwise(value).cast("string")
+    out = verify.verify(*_price_claims(spark, sf_dir, text, claimed))
     return out.select("claim_id", "status", _shown(F.floor(F.col("number") * 1000 + 0.12345).cast("bigint")).alias("computed"))
 
 
