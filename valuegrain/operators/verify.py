@@ -41,7 +41,8 @@ def with_parents(claims: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A claim has at most 26 parents, so a group is small; one node may serve any number of claims.
     """
-    each = claims.select("claim_id", F.posexplode("parent_ids").alias("place", "_parent"))
+    # the outer form keeps what ``parent_ids`` is computed from out of a filter below the rows it makes
+    each = claims.select("claim_id", F.posexplode_outer("parent_ids").alias("place", "_parent")).filter("place is not null")
     own = nodes.select(F.col("id").alias("_n"), "value_kind", "number_val", "date_val", "duration_secs", "is_stale")
     joined = each.join(own, F.col("_parent") == F.col("_n"), "left")
     fields = F.struct("place", "value_kind", "number_val", "date_val", "duration_secs", "is_stale")
