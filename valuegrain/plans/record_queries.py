@@ -13,7 +13,7 @@ from valuegrain.operators import detect, graph, record
 from valuegrain.plans import fixtures as fx
 from valuegrain.plans.registry import query, sql_digest, sql_number
 from valuegrain.sources import tables
-from valuegrain.sources.staging import prepared, shared_dir, stage
+from valuegrain.sources.staging import PACKED, prepared, shared_dir, stage
 from valuegrain.streaming import capture, events
 
 T0, T1 = "2020-01-01 00:00:00", "2020-02-01 00:00:00"
@@ -32,9 +32,12 @@ NEW_PRICE = "CASE WHEN k % 5 = 0 AND n % 2 = 0 THEN price + 1 ELSE price END"
 SUMS = f"old_roots AS (SELECT k, n, {_root_sql('price')} AS id FROM fx_lines), new_roots AS (SELECT k, n, {_root_sql(NEW_PRICE)} AS id FROM fx_lines WHERE k % 7 <> 0)"
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(old nodes, new nodes, edges): price values of two versions, and one derived node for each order that has a first line."""
-    own = stage(fx.view(spark, sf_dir, "fx_lines").select("k", "n", "price"), "lines")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(fx.view(spark, sf_dir, "fx_lines").select("k", "n", "price"), "lines", PACKED)
+
+
+def _versions(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(old nodes, new nodes, edges) of the lines: price values of two versions, and one derived node for each order that has a first line."""
     new_price = F.when((F.col("k") % 5 == 0) & (F.col("n") % 2 == 0), F.col("price") + 1).otherwise(F.col("price"))
 
     def roots(df: DataFrame, price: Column, at: str) -> DataFrame:
@@ -45,7 +48,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
             F.lit(None).cast("string").alias("stale_reason"), when.alias("created_at"), when.alias("updated_at"),
         )
 
-    old, new = stage(roots(own, F.col("price"), T0), "old"), stage(roots(own.filter("k % 7 <> 0"), new_price, T1), "new")
+    old, new = stage(roots(own, F.col("price"), T0), "old", PACKED), roots(own.filter("k % 7 <> 0"), new_price, T1)
     child = old.filter("line_number = 3").select(F.lit(1).cast("bigint").alias("edge_id"), F.col("id").alias("parent_id"), _str("E:", F.col("source_id")).alias("child_id"), F.lit("EXPRESSION").alias("operation"), F.lit("a").alias("expression"))
     derived = child.select(F.col("child_id").alias("id")).distinct().select(
         "id", F.lit("DERIVED").alias("node_type"), F.lit("NUMBER").alias("value_kind"), F.lit(1.0).alias("number_val"), F.lit(None).cast("timestamp").alias("date_val"), F.lit(None).cast("bigint").alias("duration_secs"), F.lit(None).cast("bigint").alias("source_id"),
@@ -56,7 +59,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 @query(fx.ctes(SUMS) + "SELECT id FROM old_roots WHERE k % 7 <> 0 AND k % 5 = 0 AND id NOT IN (SELECT id FROM new_roots)")
 def q_record_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new, _ = _versions(spark, sf_dir)
+    old, new, _ = _versions(_lines(spark, sf_dir))
     changed = fx.view(spark, sf_dir, "fx_sources").filter("source_id % 5 = 0 and source_id % 7 <> 0").select("source_id")
     return record.vanished(old, new.select("id"), changed).select("id")
 
@@ -64,7 +67,7 @@ def q_record_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fx.ctes(SUMS) + f"""SELECT id, CASE WHEN max(v) = 1 THEN '{T1[:10]}' ELSE '{T0[:10]}' END AS updated, CASE WHEN min(v) = 0 THEN '{T0[:10]}' ELSE '{T1[:10]}' END AS created
 FROM (SELECT id, 0 AS v FROM old_roots UNION ALL SELECT id, 1 FROM new_roots) GROUP BY id""")
 def q_upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new, _ = _versions(spark, sf_dir)
+    old, new, _ = _versions(_lines(spark, sf_dir))
     out = record.upsert_nodes(old.filter("node_type = 'ROOT'"), new)
     return out.select("id", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"), F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
@@ -134,7 +137,8 @@ UNION SELECT 'source', CASE WHEN k % 7 <> 0 AND {RENAMED} THEN 'moved/' ELSE 'or
 UNION SELECT 'rekeyed', id, CAST(k + {NEW_ID} AS VARCHAR) FROM old_roots WHERE k % 7 <> 0 AND {RENAMED} UNION SELECT 'rekeyed', id, CAST(k + {NEW_ID} AS VARCHAR) FROM moved_roots""")
 def q_record_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes stale, the sources afterwards, and the nodes that have another source than before; a ninth of the files is renamed."""
-    old, _, edges = _versions(spark, sf_dir)
+    priced = _lines(spark, sf_dir)
+    old, _, edges = _versions(priced)
     stored = fx.sources(spark, sf_dir)
     renamed = F.col("k") % 11 == 3
     path = _str(F.when(renamed, "moved/").otherwise("orders/"), F.col("k"), ".csv")
@@ -142,13 +146,13 @@ def q_record_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_path": path, "source_id": F.when(renamed, F.col("k") + NEW_ID).otherwise(F.col("k")),
         "content_hash": F.when(F.col("k") % 5 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")), "last_checked_at": F.to_timestamp(F.lit(T1)),
     }).drop("k")
-    lines = fx.view(spark, sf_dir, "fx_lines").filter("k % 7 <> 0")
+    lines = priced.filter("k % 7 <> 0")
     price = F.when((F.col("k") % 5 == 0) & (F.col("n") % 2 == 0), F.col("price") + 1).otherwise(F.col("price"))
     values = lines.select(path.alias("file_path"), (F.col("n") + 1).cast("int").alias("line"), F.lit(0).alias("occurrence"), F.lit("NUMBER").alias("value_kind"), price.alias("number_val"), F.lit(None).cast("timestamp").alias("date_val"))
     none = spark.createDataFrame([], "node_id string, agent string")
     agents = again.select("file_path", F.lit("codex").alias("agent"))
     nodes, sources, _ = record.record_batch(old, edges, stored, none, values, again, F.to_timestamp(F.lit(T1)), agents)
-    nodes = stage(nodes, "recorded")
+    nodes = stage(nodes, "recorded", PACKED)
     return (
         nodes.filter("is_stale").select(F.lit("stale").alias("kind"), "id", F.col("stale_reason").alias("state"))
         .unionByName(sources.select(F.lit("source").alias("kind"), F.col("file_path").alias("id"), F.col("source_id").cast("string").alias("state")))
