@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -276,3 +277,27 @@ def test_pii_field_finds_rewritten_data_and_leaves_near_misses(spark):
     (base, every), = pii.spans_of(["call +1 (826) 555-4081 190.137.223.204 now"], model)  # the pattern runs on into the address
     assert [k for _, k, _ in base] == [1] and (5, 3, 22) in every
     assert pii.spans_of(["jo [at] mail [dot] example [dot] com"], model)[0][1] == [(0, 0, 36)]
+
+
+def test_sums_of_many_words_together(voc):
+    draw = random.Random(5)
+    letters = "etaoinshrdlu" * 3 + ".,-0123456789é日ж" + lattice.OWN_MARK
+    words = list({lattice.MARK + "".join(draw.choices(letters, k=draw.randint(0, 14))) for _ in range(60_000)} | {lattice.MARK + "th" * n for n in (74, 75, 200)})
+    table = {p: (x, 1.1 * x - 0.3, x - 2.0) for p, x in voc.log_weight.items()}
+    tilt, bytes_too = lattice.tilted(table), (voc.byte_log_weight, voc.byte_log_weight - 1.0, voc.byte_log_weight - 2.0)
+    sums = lattice.Sums(table, tilt, bytes_too)
+    rows, alone = lattice.Rows(sums, voc.pairs, most=50_000), draw.sample(words, 300)
+    found = dict(zip(words, rows.of(words).tolist(), strict=True))
+    for w in alone:
+        assert found[w] == pytest.approx(lattice.in_logarithms(w, table, tilt, bytes_too), rel=1e-9)
+        assert sums.of([w]).tolist()[0] == pytest.approx(found[w], rel=1e-12)
+    again = rows.of(alone)  # remembered, and after being forgotten
+    rows.of([w + "x" for w in words[:50_000]])
+    assert np.array_equal(again, np.array([found[w] for w in alone])) and np.array_equal(rows.of(alone), again)
+    start = time.process_time()
+    sums.of(words)
+    together = time.process_time() - start
+    start = time.process_time()
+    for w in words[:2_000]:
+        lattice.in_logarithms(w, table, tilt, bytes_too)
+    assert together < 10 * (time.process_time() - start)  # 30 times the words

@@ -8,7 +8,7 @@ Training uses a bounded sample of labelled rows (``SAMPLE`` a language, chosen b
 key) and one round of expectation over all their words, both as Spark jobs. Every language that
 has a training row is learned. Scoring is narrow, one step over the texts for each ``BLOCK``
 languages, whose piece tables are what reaches the driver and the tasks at once; distinct words of
-some texts are scored once, in sorted order.
+some texts are scored once, all together.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; without any training
 row every text is ``und``; a null language is not learned; ties go to the smaller language name;
@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,26 +115,32 @@ def with_block(texts: DataFrame, carry: list[str], voc: L.Vocabulary, langs: lis
 
     def make():
         names, pairs, table, bytes_too = shared.value
-        tilt = L.tilted(table)
-        memory = L.remembered(lambda parts: L.log_sums(parts, table, tilt, bytes_too), lambda own: tuple(map(sum, zip(*own))) if len(own) > 1 else own[0], pairs)
-
-        def verdict(known: dict, words: Counter, best: str | None, before: float | None, mass: float | None) -> tuple[str, float, float]:
-            totals = [0.0] * len(names)
-            for w, n in words.items():
-                totals = [t + n * x for t, x in zip(totals, known[w])]
+        memory = L.Rows(L.Sums(table, L.tilted(table), bytes_too), pairs)
+
+        def totals_of(counted: list[Counter]) -> list[list[float]]:
+            """Log probabilities of each text, by language."""
+            places = {w: i for i, w in enumerate({w for c in counted for w in c})}
+            logs = memory.of(list(places))
+            sizes = np.array([len(c) for c in counted])
+            at = np.fromiter((places[w] for c in counted for w in c), np.int64, sizes.sum())
+            n = np.fromiter((n for c in counted for n in c.values()), np.float64, len(at))
+            return np.add.reduceat(logs[at] * n[:, None], np.cumsum(sizes) - sizes, axis=0).tolist()
+
+        def verdict(totals: list[float], best: str | None, before: float | None, mass: float | None) -> tuple[str, float, float]:
             top = max(totals)
             if best is not None and before >= top:
                 return best, before, mass + sum(exp(t - before) for t in totals)
             return names[totals.index(top)], top, sum(exp(t - top) for t in totals) + (mass * exp(before - top) if best is not None else 0.0)
 
         def work(texts, best, high, mass):
-            out = []
+            out = [(None, None, None)] * len(texts)
             for a, b in L.chunks(texts):
                 counted = [Counter((" " + t).replace(L.MARK, L.OWN_MARK).split()) if t else Counter() for t in texts[a:b]]
-                counted = [c if any(map(str.isalpha, c)) or any(any(map(str.isalpha, w)) for w in c) else None for c in counted]
-                counted = [None if c is None else Counter({L.MARK + w: n for w, n in c.items()}) for c in counted]
-                known = memory.of({w for c in counted if c for w in c})
-                out += [(None, None, None) if c is None else verdict(known, c, *so_far) for c, *so_far in zip(counted, best[a:b], high[a:b], mass[a:b])]
+                own = [i for i, c in enumerate(counted) if any(map(str.isalpha, c)) or any(any(map(str.isalpha, w)) for w in c)]
+                if own:
+                    totals = totals_of([Counter({L.MARK + w: n for w, n in counted[i].items()}) for i in own])
+                    for i, found in zip(own, totals, strict=True):
+                        out[a + i] = verdict(found, best[a + i], high[a + i], mass[a + i])
             return [list(x) for x in zip(*out)]
 
         return work

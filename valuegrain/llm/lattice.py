@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from math import exp, log
 
+import numpy as np
+
 MARK = "▁"
 #: Stands for a mark that occurs in a text itself; no vocabulary has a lone surrogate.
 OWN_MARK = "\ud800"
@@ -179,36 +181,146 @@ def in_logarithms(w: str, weight: dict[str, tuple[float, ...]], tilt: dict[str,
     return alpha[-1]
 
 
-def log_sums(words: list[str], weight: dict[str, tuple[float, ...]], tilt: dict[str, tuple[float, ...]], byte_weight: tuple[float, ...]) -> dict[str, list[float]]:
-    """As ``log_sum`` for several models at once (``tilt`` is ``tilted(weight)``); words too long or too rare for plain doubles go through logarithms."""
-    get = tilt.get
-    out: dict[str, list[float]] = {}
-    alpha: list[tuple[float, ...]] = [(1.0,) * len(byte_weight)]
-    before = ""
-    for w in sorted(words):
-        if len(w) > PLAIN:
-            out[w] = in_logarithms(w, weight, tilt, byte_weight)
-            continue
-        k = shared(before, w)
-        del alpha[k + 1 :]
-        for j in range(k + 1, len(w) + 1):
-            total, i = None, j - 1
-            while i >= 0:
-                p = get(w[i:j])
-                if p is None:
+#: Doubles of sums that a walk of many words holds at once.
+HELD = 1 << 18
+
+
+class Sums:
+    """``log_sum`` for several models at once, of many words together: a step extends the pieces from the same place of all words by a letter.
+
+    Pieces are a trie whose transitions (node, letter) lie in a hash table; a word's sums don't depend on the words beside it.
+    ``tilt`` is ``tilted(weight)``. Words too long or too rare for plain doubles go through logarithms.
+    """
+
+    def __init__(self, weight: dict[str, tuple[float, ...]], tilt: dict[str, tuple[float, ...]], byte_weight: tuple[float, ...]):
+        self.weight, self.tilt, self.byte_weight = weight, tilt, byte_weight
+        to: dict[int, int] = {}
+        row = [-1]  # of each node's piece
+        for at, piece in enumerate(weight):
+            node = 0
+            for c in piece:
+                node = to.setdefault(node << 21 | ord(c), len(row))
+                if node == len(row):
+                    row.append(-1)
+            row[node] = at
+        self.row = np.array(row)
+        self.tilted = np.array([tilt[p] for p in weight]).reshape(-1, len(byte_weight))
+        self.by_bytes = np.exp(np.outer(np.arange(5), byte_weight) + TILT)
+        self.shift = np.uint64(64 - max(8, (4 * len(to)).bit_length()))
+        self.keys, self.nodes = np.full(1 << 64 - int(self.shift), -1, np.int64), np.full(1 << 64 - int(self.shift), -1)
+        keys, nodes = np.array(list(to), np.int64), np.array(list(to.values()), np.int64)
+        place = self._place(keys)
+        while len(keys):
+            free, first = np.unique(place, return_index=True)
+            first = first[self.keys[free] == -1]
+            self.keys[place[first]], self.nodes[place[first]] = keys[first], nodes[first]
+            left = np.setdiff1d(np.arange(len(keys)), first)
+            keys, nodes, place = keys[left], nodes[left], (place[left] + 1) % len(self.keys)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        """Nodes of the transitions, -1 for none."""
+        place = self._place(keys)
+        held = self.keys[place]
+        out = np.where(held == keys, self.nodes[place], -1)
+        open_ = np.flatnonzero((held != keys) & (held != -1))
+        while len(open_):
+            place[open_] = (place[open_] + 1) % len(self.keys)
+            held = self.keys[place[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.nodes[place[open_[hit]]]
+            open_ = open_[~hit & (held != -1)]
+        return out
+
+    def _walk(self, words: list[str]) -> np.ndarray:
+        """Sums of tilted weights, a row each, of words from long to short."""
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.array([len(w) for w in words])
+        starts = np.cumsum(sizes) - sizes
+        reach = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), "right")  # words that have so many letters
+        at = np.cumsum(reach) - reach
+        sums = np.zeros((reach.sum(), len(self.byte_weight)))
+        sums[: len(words)] = 1.0
+
+        def add(begin: np.ndarray, end: np.ndarray, times: np.ndarray) -> None:
+            times *= sums.take(begin, 0)
+            times += sums.take(end, 0)
+            sums[end] = times
+
+        for i in range(sizes[0]):
+            own = np.arange(reach[i + 1])
+            node = np.zeros(len(own), np.int64)
+            for n in range(1, sizes[0] - i + 1):
+                letter = letters.take(starts.take(own) + (i + n - 1))
+                node = self._next(node << 21 | letter)
+                row = np.where(node >= 0, self.row.take(node), -1)
+                hit = np.flatnonzero(row >= 0)
+                add(at[i] + own[hit], at[i + n] + own[hit], self.tilted.take(row[hit], 0))
+                if n == 1 and len(hit) < len(own):
+                    none = np.flatnonzero(row < 0)
+                    x = letter[none]
+                    add(at[i] + own[none], at[i + 1] + own[none], self.by_bytes.take(np.where(x < 0x80, 1, np.where(x < 0x800, 2, np.where(x < 0x10000, 3, 4))), 0))
+                go = np.flatnonzero(node[: np.searchsorted(own, reach[min(i + n + 1, sizes[0])])] >= 0) if i + n < sizes[0] else own[:0]
+                if not len(go):
                     break
-                if p:
-                    total = [x * y for x, y in zip(alpha[i], p)] if total is None else [t + x * y for t, x, y in zip(total, alpha[i], p)]
-                i -= 1
-            if not get(w[j - 1]):
-                n = len(bytes_of(w[j - 1]))
-                own = [x * exp(b * n + TILT) for x, b in zip(alpha[j - 1], byte_weight)]
-                total = own if total is None else [t + x for t, x in zip(total, own)]
-            alpha.append(total)
-        last = alpha[-1]
-        out[w] = [log(x) - TILT * len(w) for x in last] if min(last) > SMALL else in_logarithms(w, weight, tilt, byte_weight)
-        before = w
-    return out
+                own, node = own[go], node[go]
+        return sums[at[sizes] + np.arange(len(words))]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row of logs for each word."""
+        sizes = np.array([len(w) for w in words])
+        out = np.zeros((len(words), len(self.byte_weight)))
+        order = np.argsort(-sizes, kind="stable")
+        start = np.searchsorted(-sizes[order], -PLAIN)
+        slow = order[:start].tolist()
+        while start < len(order):
+            many = max(1, HELD // (int(sizes[order[start]] + 1) * len(self.byte_weight)))
+            own = order[start : start + many]
+            start += many
+            last = self._walk([words[i] for i in own])
+            slow += own[last.min(1) <= SMALL].tolist()
+            with np.errstate(divide="ignore"):
+                out[own] = np.log(last) - TILT * sizes[own, None]
+        for i in slow:
+            out[i] = in_logarithms(words[i], self.weight, self.tilt, self.byte_weight)
+        return out
+
+
+class Rows:
+    """Rows of ``Sums`` by word, computed from those of the words' parts; about ``most`` words are remembered until they are too many."""
+
+    def __init__(self, sums: Sums, pairs: frozenset[str], most: int = 300_000):
+        self.sums, self.pairs, self.most = sums, pairs, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.known = np.zeros((0, len(self.sums.byte_weight)))
+
+    def _computed(self, words: list[str]) -> np.ndarray:
+        cut = [(w,) if len(w) <= PLAIN and w[1:].isascii() else segments(w, self.pairs) for w in words]  # few ASCII words have parts
+        parts = {x: i for i, x in enumerate(dict.fromkeys(x for own in cut for x in own))}
+        rows = self.sums.of(list(parts))
+        sizes = np.array([len(own) for own in cut])
+        at = np.fromiter((parts[x] for own in cut for x in own), np.int64, sizes.sum())
+        return np.add.reduceat(rows[at], np.cumsum(sizes) - sizes, axis=0)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Rows of these distinct words."""
+        new = [w for w in words if w not in self.places]
+        if new and len(self.places) + len(new) > self.most:
+            self._forget()
+            new = words
+        if new:
+            self.places.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.known = np.concatenate([self.known, self._computed(new)])
+        return self.known[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
+
+
+def log_sums(words: list[str], weight: dict[str, tuple[float, ...]], tilt: dict[str, tuple[float, ...]], byte_weight: tuple[float, ...]) -> dict[str, list[float]]:
+    return dict(zip(words, Sums(weight, tilt, byte_weight).of(words).tolist(), strict=True))
 
 
 def expected(counted: Iterable[tuple[str, float]], voc: Vocabulary, tilt: dict[str, tuple[float, ...]]) -> dict[int, float]:
