@@ -241,3 +241,47 @@ def test_fixture_graph_equals_its_views(spark):
         assert got.exceptAll(want.select(*cols)).isEmpty() and want.select(*cols).exceptAll(got).isEmpty()
     assert {x.split("#")[0] for x in own._known} == {"lines", "sums", "customers", "places", "nodes-OSPDTCNR", "edges-DTCNR"}
     assert own.nodes("D").exceptAll(own.nodes().filter("id like 'D:%'")).isEmpty() and own.nodes("D").count() == own.gaps().count()
+
+
+def test_links_and_marked_nodes_are_made_without_a_staged_copy(spark):
+    """Links have no order to sort for; seeds meet the roots only, so nodes without a source don't meet in one task; both equal the former ways."""
+    from valuegrain.operators import export
+    from valuegrain.plans import fixtures as fx
+
+    folder = "/root/testdata/sf0.001"
+    own = fx.Graph(spark, folder)
+    links, marked = own.links(), fx.marked(spark, folder, own)
+    assert not any(k.startswith(("nodes", "edges")) for k in own._known)
+    assert "Window" not in links._jdf.queryExecution().toString()
+    want = own.edges().select(links.columns)
+    assert links.exceptAll(want).isEmpty() and want.exceptAll(links).isEmpty()
+    seeds = fx.view(spark, folder, "fx_seeds").select(F.col("source_id").alias("_s"), "reason")
+    joined = own.nodes().join(seeds, F.col("source_id") == F.col("_s"), "left").withColumns({"is_stale": F.col("_s").isNotNull(), "stale_reason": F.col("reason")}).select(marked.columns)
+    assert marked.filter("is_stale").count() > 0 and marked.exceptAll(joined).isEmpty() and joined.exceptAll(marked).isEmpty()
+    for kind in (export.as_text, export.as_mermaid, export.as_dot):
+        whole, checked = kind(marked, links, whole=True), kind(marked, links)
+        assert whole.exceptAll(checked).isEmpty() and checked.exceptAll(whole).isEmpty()
+
+
+def test_a_search_keeps_nothing_of_its_steps(spark):
+    """Edges are dealt out once for all levels of a search and let go afterwards."""
+    from valuegrain.sources.staging import Scope
+
+    nodes, edges = frames(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)])
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with Scope(spark) as scope:
+        starts = spark.createDataFrame([("n0",), ("n3",)], "id string")
+        assert graph.reach(edges, starts).count() == 7
+        assert graph.reach(edges, starts.select(F.col("id").alias("root"), "id")).count() == 11
+        assert graph.start_counts(edges, starts).count() == 7
+        assert not any("table-steps-" in path for path in scope.made)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_exported_lines_name_nulls(spark):
+    from valuegrain.operators import export
+
+    nodes = spark.createDataFrame([("a", "ROOT", None, None, None, None, None, 1, False, None)], NODE)
+    edges = spark.createDataFrame([("a", "b", None), ("lost", "b", "SUM")], "parent_id string, child_id string, operation string")
+    lines = {r.line for r in export.as_dot(nodes, edges).collect()}
+    assert lines == {"digraph Values {", '    "a" [label="null: null", color=black];', '    "a" -> "b" [label="null"];', "}"}
