@@ -285,3 +285,30 @@ def test_exported_lines_name_nulls(spark):
     edges = spark.createDataFrame([("a", "b", None), ("lost", "b", "SUM")], "parent_id string, child_id string, operation string")
     lines = {r.line for r in export.as_dot(nodes, edges).collect()}
     assert lines == {"digraph Values {", '    "a" [label="null: null", color=black];', '    "a" -> "b" [label="null"];', "}"}
+
+
+def shuffled(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_evidence_deals_a_node_out_once_for_its_edges_and_finds_unfit_parents(spark):
+    from valuegrain.functions.values import duration_id
+    from valuegrain.operators.export import evidence
+
+    n, roots = 3000, [("d0", "DATE"), ("d1", "DATE"), ("x", "NUMBER")]
+    pairs = spark.range(n).select("id", F.when(F.col("id") % 10 == 1, F.array(F.lit("d0"), F.lit("x"))).when(F.col("id") % 10 == 2, F.array(F.lit("d0"), F.lit("gone"))).otherwise(F.array(F.lit("d0"), F.lit("d1"))).alias("parents"))
+    made = pairs.select(F.col("id").alias("k"), "parents", duration_id(F.col("parents"), F.lit("DATE_DIFF"), F.col("id")).alias("id")).cache()
+    nodes = spark.createDataFrame([(i, "ROOT", k, None, None) for i, k in roots], "id string, node_type string, value_kind string, number_val double, duration_secs long").unionByName(
+        made.select("id", F.lit("DERIVED").alias("node_type"), F.lit("DURATION").alias("value_kind"), F.lit(None).cast("double").alias("number_val"), F.col("k").alias("duration_secs"))
+    )
+    each = made.select("k", "id", F.posexplode("parents").alias("at", "parent_id"))
+    operation = F.when((F.col("k") % 10 == 3) & (F.col("at") == 1), "DURATION_SUM").when((F.col("k") % 10 == 4) & (F.col("at") == 1), F.lit(None)).otherwise("DATE_DIFF")
+    edges = each.select(F.col("at").cast("bigint").alias("edge_id"), "parent_id", F.col("id").alias("child_id"), operation.alias("operation"), F.lit(None).cast("string").alias("expression"))
+    before = shuffled(spark)
+    found = evidence(nodes, edges).join(made.select("k", F.col("id").alias("_i")).hint("broadcast"), F.col("id") == F.col("_i")).select("k", "supported").collect()
+    dealt = shuffled(spark) - before
+    assert len(found) == n and {r.k for r in found if r.supported} == {k for k in range(n) if k % 10 not in (1, 2, 3)}
+    assert dealt < 3.5 * n, dealt  # nodes twice, their edges once; no row for each edge
