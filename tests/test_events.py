@@ -76,3 +76,15 @@ def test_values_beyond_the_returned_lines_are_refused(spark):
     own = spark.createDataFrame([(1, None, "claude-code", "a", "x,1\ny,2", 1), (2, None, "claude-code", "b", "x,1\ny,2", 2)], "event_id long, ts timestamp, agent string, path string, content string, n_lines int")
     values, agents = capture.values_of(own)
     assert {r.file_path for r in values.collect()} == {r.file_path for r in agents.collect()} == {"b"}
+
+
+def test_a_batch_of_repeats_changes_nothing(spark, tmp_path, monkeypatch):
+    """Sent twice in two batches: the second holds nothing new, and isn't recorded at all."""
+    calls, own = [], capture.event_changes
+    monkeypatch.setattr(capture, "event_changes", lambda *a: calls.append(1) or own(*a))
+    files, now = files_of(spark, [("/p/a.csv", "x,1\ny,2\n")]), F.to_timestamp(F.lit("2020-02-01"))
+    for _ in range(2):
+        spark.createDataFrame([(1, None, "claude", json.dumps(READ))], capture.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    capture.start(capture.read_events(spark, f"{tmp_path}/in", files_a_batch=1), files, str(tmp_path), f"{tmp_path}/log", now).awaitTermination()
+    assert len(calls) == 1
+    assert stored_values(capture.recorded(spark, str(tmp_path))) == {("/p/a.csv", 1, 1.0, False, "claude-code"), ("/p/a.csv", 2, 2.0, False, "claude-code")}

@@ -309,15 +309,19 @@ def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, root)
 
 
+ROWS_A_FILE = 100_000
+
+
 @query(_STREAMED)
 def q_stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches: half of the events, each twice; all of them; a third of them again. Each event is taken, and refused, once."""
     root = f"{shared_dir(prepared(spark))}/stream-{uuid.uuid4().hex}"
     own = stage(_events(spark, sf_dir).select("event_id", "ts", "agent", "payload"), "events")
     half, third = own.filter("event_id % 2 = 0"), own.filter("event_id % 3 = 0")
+    files = own.count() // ROWS_A_FILE + 1  # as many for each, so that a batch is one of the three
     for events_of in (half.unionByName(half), own, third):
-        events_of.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return _streamed(spark, sf_dir, root, files_a_batch=1)
+        events_of.repartition(files).write.mode("append").parquet(f"{root}/in")
+    return _streamed(spark, sf_dir, root, files_a_batch=files)
 
 
 @query("""SELECT '/data/' || event_id || '.csv' AS file_path, CAST(event_id AS VARCHAR) AS first, CAST(line AS BIGINT) AS line FROM events, (SELECT 1 AS line UNION ALL SELECT 2) WHERE event_id % 3 <> 0

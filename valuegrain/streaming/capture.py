@@ -124,7 +124,9 @@ def start(events: DataFrame, files: DataFrame, root: str, checkpoint: str, now:
         with Scope(batch.sparkSession):  # the batch leaves what it commits
             own = stage(batch, "batch")
             rejects(own).write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
-            last = own.agg(F.max("ts")).first()[0]
+            last, n = own.agg(F.max("ts"), F.count("*")).first()
+            if n == 0:  # nothing but repeats, or a batch that only moves the watermark
+                return
             stamp = now if now is not None else F.current_timestamp() if last is None else F.lit(last)
             made = event_changes(own, files, store.read_all(), stamp)
             store.commit({"nodes": made.nodes, "sources": made.sources, "captures": made.captures}, {"sources": made.lost}, number)
