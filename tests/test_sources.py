@@ -175,3 +175,48 @@ def test_turtle_in_order_and_counted_without_sorting_or_grouping_lines(spark):
     assert [r.line for r in export.in_order(head, sections).select("line").collect()] == sorted_lines
     rows = sections[1].rendered(sections[1].rows.orderBy(F.col("id")))._jdf.queryExecution().optimizedPlan().toString()
     assert rows.index("Generate") < rows.index("Sort")
+
+
+MIXED = ["node_drv_" + "0a" * 16, "node_drv_" + "0b" * 16, "node_drv_0", "node_drv_", "f" * 32, "F" * 32, "é" + "1" * 32, "S:1:2", "a", "a!", "", "0" * 31, None]
+
+
+def test_packed_ids_are_exact_and_short(spark):
+    from valuegrain.functions.values import packed_id, unpacked_id
+
+    rows = spark.createDataFrame([(x,) for x in MIXED], "x string").select("x", packed_id(F.col("x")).alias("p")).select("x", "p", unpacked_id(F.col("p")).alias("y")).collect()
+    assert [r.x for r in rows] == [r.y for r in rows] and len({bytes(r.p) for r in rows}) == len(MIXED)
+    assert max(len(r.p) for r in rows if r.x and r.x.startswith("node_drv_")) == 26
+
+
+def test_turtle_rows_are_dealt_out_narrow_and_counted_by_digests(spark, monkeypatch):
+    """Order over ids of all kinds; no IRI and no row for each parent is sorted; digests that clash change no count."""
+    from valuegrain.functions.values import duration_id
+
+    ids = [x for x in MIXED if x]
+    dates = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id string, n long")
+    row = "id", "node_type", "value_kind", "number_val", "date_val", "duration_secs", "source_id", "line_number", "is_stale", "stale_reason"
+    roots = dates.selectExpr("id", "'ROOT'", "'DATE'", "cast(null as double)", "timestamp_seconds(n)", "cast(null as bigint)", "cast(1 as bigint)", "1", "false", "cast(null as string)").toDF(*row)
+    made = spark.range(30).withColumn("parents", F.array(F.lit(ids[0]), F.lit("a"))).withColumn("parents", F.when(F.col("id") == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.col("parents"))).withColumn("i", duration_id(F.col("parents"), F.lit("DATE_DIFF"), F.col("id")))
+    derived = made.selectExpr("i", "'DERIVED'", "'DURATION'", "cast(null as double)", "cast(null as timestamp)", "id", "cast(null as bigint)", "cast(null as int)", "false", "cast(null as string)").toDF(*row)
+    edges = made.select(F.posexplode("parents").alias("at", "parent_id"), F.col("i").alias("child_id")).select(F.col("at").cast("bigint").alias("edge_id"), "parent_id", "child_id", F.lit("DATE_DIFF").alias("operation"), F.lit(None).cast("string").alias("expression"))
+    own = roots.unionByName(derived), edges, spark.createDataFrame([(1, "x.csv")], "source_id long, file_path string"), spark.createDataFrame([("a", "codex"), ("é" + "1" * 32, "codex")], "node_id string, agent string")
+    plain = export.turtle("p", "/home", *own)
+    head, sections = export.turtle_sections("p", "/home", *own)
+    assert [r.line for r in export.in_order(head, sections).collect()] == [r.line for r in plain.orderBy("section", "key", "seq").collect()]
+    usages = sections[4].sorted()
+    assert usages.count() == 30 and set(usages.columns) == {"id", "parents"}
+    assert all("_iri" not in c for s in sections for c in s.sorted().columns)
+    want = {r.line: r["count"] for r in plain.groupBy("line").count().collect()}
+    for digest in (F.xxhash64, lambda *_: F.lit(1)):
+        monkeypatch.setattr(export.F, "xxhash64", digest)
+        got = export.line_counts(head, sections).collect()
+        assert {r.line: r.n for r in got} == want and len(got) == len(want) and max(want.values()) == 2
+
+
+def test_turtle_queries_stage_a_row_for_each_order_only(spark, monkeypatch):
+    from valuegrain.plans import graph_queries
+
+    staged, stage = [], graph_queries.stage
+    monkeypatch.setattr(graph_queries, "stage", lambda df, name, *o: staged.append(name) or stage(df, name, *o))
+    graph_queries._identified(spark, "/root/testdata/sf0.001")
+    assert staged == ["orders", "lines"]
