@@ -312,3 +312,52 @@ def test_evidence_deals_a_node_out_once_for_its_edges_and_finds_unfit_parents(sp
     dealt = shuffled(spark) - before
     assert len(found) == n and {r.k for r in found if r.supported} == {k for k in range(n) if k % 10 not in (1, 2, 3)}
     assert dealt < 3.5 * n, dealt  # nodes twice, their edges once; no row for each edge
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 100_000])
+def test_stretches_are_spans_merged(spark, monkeypatch, blocks):
+    monkeypatch.setattr(order, "BLOCKS", blocks)
+    rng = random.Random(blocks)
+    spans = [(a, a + rng.choice((0, 1, 4, 9))) for a in (rng.randrange(0, 400) for _ in range(60))]
+    covered = sorted({(lo, hi) for lo, hi in spans})
+    want = []
+    for lo, hi in covered:
+        if want and lo <= want[-1][1]:
+            want[-1] = (want[-1][0], max(hi, want[-1][1]))
+        else:
+            want.append((lo, hi))
+    low, high = min(lo for lo, _ in spans), max(hi for _, hi in spans)
+    against = spark.createDataFrame([(hi, lo) for lo, hi in spans], "parent_level long, child_level long")
+    parts = order.stretches(against, low, high)
+    assert sorted(map(tuple, parts.collect())) == want
+    pairs = [(x, y) for x in range(low - 3, high + 4, 2) for y in (x + 1, x + 3, x - 2)]
+    edges = spark.createDataFrame([(f"p{x}", f"c{y}", x, y) for x, y in pairs], "parent_id string, child_id string, parent_level long, child_level long")
+    got = sorted(map(tuple, order._inside(edges, parts, low, high).collect()))
+    assert got == sorted((f"p{x}", f"c{y}") for x, y in pairs if any(lo <= x <= hi and lo <= y <= hi for lo, hi in want))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_batch_all_over_the_order_is_not_searched(spark, monkeypatch, few):
+    """Edges back all along a chain: only stretches are looked at, and those without a search if it wouldn't leave out much. Both ways judge as the whole check does."""
+    searched, reach = [], order.reach
+    monkeypatch.setattr(order, "reach", lambda *a: searched.append(a[0].count()) or reach(*a))
+    monkeypatch.setattr(order, "FEW", few)
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(200)] + [(f"n{i:03d}", f"n{i + 20:03d}") for i in range(0, 180, 20)]
+    levels = spark.createDataFrame([(f"n{i:03d}", i) for i in range(201)], "id string, level long")
+    new = [(f"n{i + 9:03d}", f"n{i + 4:03d}") for i in range(0, 200, 20)] + [(f"n{i + 11:03d}", f"n{i + 8:03d}") for i in range(0, 200, 40)] + [("n050", "n050"), ("n003", "n190"), ("n020", "x")]
+    batch = order.admit(order.levelled(edges_of(spark, chain), levels), levels, edges_of(spark, new))
+    good, bad = graph.reject_cycles(edges_of(spark, chain), edges_of(spark, new))
+    assert sorted(map(tuple, batch.accepted.collect())) == sorted(map(tuple, good.collect())) and sorted(map(tuple, batch.refused.collect())) == sorted(map(tuple, bad.collect()))
+    assert len(searched) == (few == 0) and all(n < 100 for n in searched)
+
+
+def test_loops_take_turns_by_their_length(spark, monkeypatch):
+    staged, plain = [], contract.stage
+    monkeypatch.setattr(contract, "stage", lambda df, name, *more: staged.append(name) or plain(df, name, *more))
+    n, size = 900, 7
+    pairs = [(f"k{i}_{j}", f"k{i}_{(j + 1) % size}") for i in range(n) for j in range(size)] + [(f"t{i}_{j}", f"k{i}_0" if j == 0 else f"t{i}_{j - 1}") for i in range(0, n, 100) for j in range(5)]
+    climbed = contract.climb(spark.createDataFrame(pairs, "id string, up string"))
+    assert len(staged) <= 7, staged
+    rows = {r.id: r for r in climbed.looping.collect()}
+    assert climbed.settled.isEmpty() and len(rows) == len(pairs) and {r.up[0] for r in rows.values()} == {"k"}
+    assert all(rows[f"k{i}_{j}"].least == f"k{i}_0" for i in range(n) for j in range(size)) and {rows[f"k{i}_{j}"].up for i in range(n) for j in range(size)} == {f"k{i}_{j}" for i in range(n) for j in range(size)}

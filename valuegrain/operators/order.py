@@ -2,16 +2,17 @@
 
 Every node has a level, and a stored edge goes from a lower level to a higher one. A new edge that does so too closes no
 cycle by itself; every cycle holds an edge against the order, and all its nodes have levels between those of such edges'
-ends. So only stored edges within that band are read, and of them only those that the edges' heads reach. Edges carry their
-ends' levels (``parent_level``, ``child_level``), so files sorted by level are read in that band alone: both bounds are
-pushed to the scan. An accepted edge against the order raises its child, and what follows from it, as far as levels collide.
+ends. So only stored edges within that band are read. Edges carry their ends' levels (``parent_level``, ``child_level``), so
+files sorted by level are read in that band alone: both bounds are pushed to the scan. A cycle goes down over each level that
+it goes up over, so it stays in one stretch of levels that such edges span without a gap; edges that leave a stretch are left
+out, and where such edges are few, all that their heads don't reach. An accepted edge against the order raises its child, and what follows from it, as far as levels collide.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from valuegrain.operators.contract import union
@@ -19,6 +20,10 @@ from valuegrain.operators.graph import on_cycles, reach
 from valuegrain.sources.staging import stage
 
 
+#: Parts of a band of levels, in each of which stretches are found and looked up; stored edges for each edge against the order from which on a search pays.
+BLOCKS, FEW = 100_000, 1000
+
+
 class Admitted(NamedTuple):
     """What became of a batch: new edges taken and refused, and the levels (id, level) of new nodes and of those raised."""
 
@@ -40,6 +45,35 @@ def band(edges: DataFrame, low: int, high: int) -> DataFrame:
     return edges.filter((F.col("parent_level") >= low) & (F.col("child_level") <= high))
 
 
+def _upto(value: Column, last: int, blocks: DataFrame, own: DataFrame) -> DataFrame:
+    """``own`` (low, block, ...) with ``upto``, the largest value in order of ``low``: up to the row itself (``last`` 0) or to the one before (-1). One task orders blocks, not rows."""
+    tops = own.groupBy("block").agg(F.max(value).alias("_top"))
+    before = blocks.join(tops, "block", "left").select(F.col("block").alias("_b"), F.max("_top").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = F.max(value).over(Window.partitionBy("block").orderBy("low").rowsBetween(Window.unboundedPreceding, last))
+    met = own.withColumn("_within", within).join(before, F.col("block") == F.col("_b"))
+    return met.withColumn("upto", F.greatest("_within", "_before")).drop("_within", "_before", "_b")
+
+
+def _block(level: Column, low: int, high: int) -> Column:
+    return F.floor((level - F.lit(low)) / ((high - low) // BLOCKS + 1))
+
+
+def stretches(against: DataFrame, low: int, high: int) -> DataFrame:
+    """(low, high) of the stretches of levels that edges against the order span between these bounds; any two have a gap between them."""
+    own = against.groupBy(F.col("child_level").alias("low")).agg(F.max("parent_level").alias("high")).withColumn("block", _block(F.col("low"), low, high))
+    own = stage(own, "spans")
+    blocks = stage(own.select("block").distinct(), "blocks")
+    first = _upto(F.col("high"), -1, blocks, own).withColumn("first", F.when(F.col("upto").isNull() | (F.col("low") > F.col("upto")), F.col("low"))).drop("upto")
+    return _upto(F.col("first"), 0, blocks, stage(first, "spans")).groupBy(F.col("upto").alias("low")).agg(F.max("high").alias("high"))
+
+
+def _inside(edges: DataFrame, parts: DataFrame, low: int, high: int) -> DataFrame:
+    """Levelled edges with both ends in one of the stretches (low, high)."""
+    at = parts.select(F.col("low").alias("_low"), F.col("high").alias("_high"), F.explode(F.sequence(_block(F.col("low"), low, high), _block(F.col("high"), low, high))).alias("_block"))
+    ends = [F.col(f"{p}_level").between(F.col("_low"), F.col("_high")) for p in ("parent", "child")]
+    return edges.join(at, (_block(F.col("parent_level"), low, high) == F.col("_block")) & ends[0] & ends[1]).select("parent_id", "child_id")
+
+
 def _starting(new: DataFrame, levels: DataFrame) -> DataFrame:
     """(id, level, fresh) of the batch's nodes: stored levels, and for new nodes one above their highest stored parent, 0 without any."""
     ends = new.select(F.explode(F.array("parent_id", "child_id")).alias("id")).distinct()
@@ -79,10 +113,15 @@ def admit(edges: DataFrame, levels: DataFrame, new: DataFrame) -> Admitted:
     fresh = starting.filter("fresh").select("id", "level")
     if low is None:
         return Admitted(own.select(*new.columns), own.select(*new.columns).limit(0), fresh)
-    inside = band(edges.select("parent_id", "child_id", "parent_level", "child_level").unionByName(own.select("parent_id", "child_id", "parent_level", "child_level")), low, high)
-    met = stage(reach(inside, against.select(F.col("child_id").alias("id")).distinct()).select(F.col("id").alias("_in")), "met")
-    region = inside.join(met, F.col("parent_id") == F.col("_in"), "left_semi").join(met, F.col("child_id") == F.col("_in"), "left_semi").select("parent_id", "child_id")
-    refused = stage(on_cycles(region, own.join(met, F.col("parent_id") == F.col("_in"), "left_semi")), "refused")
+    columns = ["parent_id", "child_id", "parent_level", "child_level"]
+    parts = stage(stretches(against, low, high), "stretches")
+    inside = stage(_inside(band(edges.select(*columns).unionByName(own.select(*columns)), low, high), parts, low, high), "inside")
+    judged = _inside(own, parts, low, high)
+    if against.count() * FEW < inside.count():
+        met = stage(reach(inside, against.select(F.col("child_id").alias("id")).distinct()).select(F.col("id").alias("_in")), "met")
+        inside = inside.join(met, F.col("parent_id") == F.col("_in"), "left_semi").join(met, F.col("child_id") == F.col("_in"), "left_semi")
+        judged = judged.join(met, F.col("parent_id") == F.col("_in"), "left_semi")
+    refused = stage(on_cycles(inside, judged), "refused")
     accepted = stage(own.join(refused, ["parent_id", "child_id"], "left_anti").select(*own.columns), "accepted")
     raised = _raised(edges, accepted, low)
     changed = stage(union([fresh, raised]).groupBy("id").agg(F.max("level").alias("level")), "changed")
