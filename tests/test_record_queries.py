@@ -10,3 +10,33 @@ def test_a_batch_reads_the_lines_once(spark, monkeypatch):
     monkeypatch.setattr(record_queries.record, "record_batch", lambda nodes, edges, sources, captures, *_: (nodes, sources, captures))
     record_queries.q_record_batch(spark, SMOKE_DIR)
     assert seen.count("fx_lines") == 1 and staged == ["lines", "old", "recorded"]
+
+
+def test_a_batch_deals_nodes_and_sources_out_few_times(spark):
+    """Rows dealt out by the whole query, without broadcasts, as on large tables: each line and each source a few times, not at every step."""
+    from test_graph import shuffled
+
+    lines = spark.read.parquet(f"{SMOKE_DIR}/lineitem.parquet").count()
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    known = {n: spark.conf.get(n, None) for n in names}
+    before = shuffled(spark)
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        assert record_queries.q_record_batch(spark, SMOKE_DIR).count() > 0
+    finally:
+        for n, v in known.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    dealt = (shuffled(spark) - before) / lines
+    print("rows dealt out for each line:", round(dealt, 2))
+    assert dealt < 12, dealt
+
+
+def test_packed_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    from valuegrain.functions.values import packed_hex, unpacked_hex
+
+    texts = ["ab" * 32, "AB", "abc", "", "h1", "zz", None, "é"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", packed_hex(F.col("x")).alias("p")).select("x", "p", unpacked_hex(F.col("p")).alias("y")).collect()
+    assert [r.x for r in rows] == [r.y for r in rows] and len({r.p and bytes(r.p) for r in rows}) == len(texts) and len(rows[0].p) == 33
