@@ -28,7 +28,6 @@ def test_a_batch_deals_nodes_and_sources_out_few_times(spark):
         for n, v in known.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
     dealt = (shuffled(spark) - before) / lines
-    print("rows dealt out for each line:", round(dealt, 2))
     assert dealt < 12, dealt
 
 
